@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, lookalike, repetition, splits, terms
+from . import components, encoding, lookalike, repetition, splits, terms
+
+
+def p1_restored(spark, d):
+    return encoding.garbled(encoding.documents_and_lines(table(spark, d, "documents"), table(spark, d, "page_lines")))
+
+
+def p1_found(spark, d):
+    return p1_restored(spark, d).select("table_name", "record_id")
 
 
 def p2_found(spark, d):
@@ -42,7 +50,7 @@ def p10_found(spark, d):
     return repetition.repeated_documents(table(spark, d, "documents")).select(repetition.F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p4_found, p5_found, p5_frequencies, p7_found, p7_rewritten, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p4_found, p5_found, p5_frequencies, p7_found, p7_rewritten, p10_found, p10_repetition)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),
