@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, encoding, lookalike, repetition, splits, terms
+from . import components, encoding, lookalike, overlap, repetition, splits, terms
 
 
 def p1_restored(spark, d):
@@ -22,6 +22,18 @@ def p2_splits(spark, d):
     return splits.assign_splits(table(spark, d, "labels"), table(spark, d, "split_targets"))
 
 
+def p3_pairs(spark, d):
+    return overlap.cross_split_pairs(table(spark, d, "train"), table(spark, d, "article_splits"), table(spark, d, "character_aliases_quotes_homoglyphs"))
+
+
+def p3_found(spark, d):
+    return p3_pairs(spark, d).select("row_a", "row_b")
+
+
+def p3_report(spark, d):
+    return overlap.overlap_report(p3_pairs(spark, d))
+
+
 def p4_found(spark, d):
     return components.group_keys(table(spark, d, "similarity_candidates"))
 
@@ -50,7 +62,7 @@ def p10_found(spark, d):
     return repetition.repeated_documents(table(spark, d, "documents")).select(repetition.F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p4_found, p5_found, p5_frequencies, p7_found, p7_rewritten, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p7_found, p7_rewritten, p10_found, p10_repetition)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),
