@@ -95,16 +95,15 @@ def bytes_of(wrong: str) -> dict[str, int]:
     return table
 
 
+@lru_cache(None)
+def _byte_table(wrong: str) -> dict[int, int]:
+    return {ord(c): b for c, b in bytes_of(wrong).items() if b >= 0x80}
+
+
 def encoded(text: str, wrong: str) -> bytes | None:
     """The bytes that `wrong` read as `text`, or None."""
-    if wrong in WRONG:
-        table = bytes_of(wrong)
-        try:
-            return bytes([table[c] for c in text])
-        except KeyError:
-            return None
     try:
-        return text.encode(wrong)
+        return text.translate(_byte_table(wrong)).encode("latin_1") if wrong in WRONG else text.encode(wrong)
     except UnicodeEncodeError:
         return None
 
@@ -119,6 +118,7 @@ _PATTERNS = {
     "cp932": rb"(?:[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc])",
     "euc_jp": rb"(?:[\xa1-\xfe][\xa1-\xfe]|\x8e[\xa1-\xdf])",
 }
+_UNITS = {right: re.compile(pattern) for right, pattern in _PATTERNS.items()}
 #: Byte stretches tried as encoding T: units of T, in cp932 with ASCII between them.
 _STRETCH = {
     "utf_8": re.compile(_PATTERNS["utf_8"] + b"+"),
@@ -251,7 +251,7 @@ def _stretches(pieces: list, wrong: str, right: str) -> list[tuple[int, int, str
                 index = {o: i for i, o in enumerate(where)}
             if wide:
                 # A stretch begins and ends between characters; one that is cut in two belongs to the text beside it.
-                cuts = [c for c in [*(u.start() for u in re.compile(_PATTERNS[right]).finditer(raw, a, b)), b] if c in index]
+                cuts = [c for c in [*(u.start() for u in _UNITS[right].finditer(raw, a, b)), b] if c in index]
                 if len(cuts) < 2:
                     continue
                 a, b = cuts[0], cuts[-1]
@@ -266,7 +266,16 @@ def all_spans(text: str) -> dict[tuple[str, str], list[tuple[int, int, str]]]:
     out = {}
     if text.isascii() or not flags([text])[0][0]:
         return out
+    kind = kinds()
+    odd = sorted(c for c in set(text) if kind[ord(c)] & _ODD)
+    readings = set()
     for wrong in (*WRONG, *WRONG_WIDE):
+        if wrong in WRONG:
+            # Readings that most odd characters cannot come from, and readings of the same bytes, are left out.
+            own = tuple(map(_byte_table(wrong).get, map(ord, odd)))
+            if own.count(None) * 5 > len(own) * 2 or not own or own in readings:
+                continue
+            readings.add(own)
         pieces = _pieces(text, wrong)
         for right in RIGHT_WIDE:
             if (wrong, right) in WIDE_KEYS and (found := _stretches(pieces, wrong, right)):
@@ -308,6 +317,7 @@ class Reader:
     def __init__(self, bigrams: Bigrams):
         self.bigrams = bigrams
         self.gains: dict[tuple[str, str, str], float] = {}
+        self.exchanges: dict[tuple[str, str, bool, bool], float] = {}
 
     def suspicious(self, texts: list[str]) -> list[bool]:
         """Whether some swap may read each text better, by a cheap test of every odd character in its place."""
@@ -340,21 +350,30 @@ class Reader:
                 last = b
         return total, "".join(out) + text[last:]
 
-    def apply_narrow(self, text: str, wrong: str, right: str) -> tuple[float, str]:
+    def apply_narrow(self, text: str, table: dict[int, str]) -> tuple[float, str]:
         """translate() of the sentences that the cipher improves."""
-        table = cipher(wrong, right)
-        if not any(ord(c) in table for c in set(text)):
-            return 0.0, text
         total, out = 0.0, []
         for m in _SENTENCE.finditer(text) if len(text) > 200 else [re.match("(?s).*", text)]:
             new = m[0].translate(table)
-            g = self.bigrams.score(new) - self.bigrams.score(m[0]) if new != m[0] else 0.0
-            if g > 0:
-                total += g
+            g = 0.0 if new == m[0] else self.exchanged(m[0], new)
+            total += max(0.0, g)
             out.append(new if g > 0 else m[0])
         joined = "".join(out)
         return (total, joined) if len(joined) == len(text) else (0.0, text)
 
+    def exchanged(self, old: str, new: str) -> float:
+        """Gain of a text of the same length, from the pairs that differ; each pair's gain is remembered."""
+        changed = [i for i in range(len(new)) if new[i] != old[i]]
+        total = 0.0
+        for i in sorted({*changed, *(j + 1 for j in changed)}):
+            at = (old[i - 1 : i + 1] if i else old[:1], new[i - 1 : i + 1] if i else new[:1], i == 0, i == len(new))
+            if at not in self.exchanges:
+                pairs = [codes(x[-1:] if at[3] else x) for x in at[:2]]
+                cut = slice(0, 1) if at[2] else slice(1, 2)
+                self.exchanges[at] = float(self.bigrams.log[pairs[1][:-1], pairs[1][1:]][cut].sum() - self.bigrams.log[pairs[0][:-1], pairs[0][1:]][cut].sum())
+            total += self.exchanges[at]
+        return total
+
     def hypotheses(self, text: str) -> list[tuple[str, float, str]]:
         """(swap, log likelihood ratio to the text as it stands, original); a swap may be followed by others."""
         found = []
@@ -373,8 +392,15 @@ class Reader:
             found.append((best[2], best[0], best[1]))
         if max((g for _, g, _ in found), default=0.0) > 20.0:
             return found
+        odd = sorted(o for o in map(ord, set(text)) if kinds()[o] & _ODD)
+        readings = set()
         for w, t in NARROW_KEYS:
-            g, original = self.apply_narrow(text, w, t)
+            table = cipher(w, t)
+            own = tuple(map(table.get, odd))
+            if own in readings or own.count(None) == len(own):
+                continue
+            readings.add(own)
+            g, original = self.apply_narrow(text, table)
             if g > 0:
                 found.append((f"{t}>{w}", g, original))
         return found
@@ -430,8 +456,8 @@ def _rescored(shared):
 
     def run(batches):
         for batch in batches:
-            gains = [40.0 if swap == "lost" else shared.value.score(original) - shared.value.score(text) for swap, text, original in zip(*(batch.column(c).to_pylist() for c in ("swap", "text", "original")))]
-            yield batch.set_column(batch.schema.get_field_index("gain"), "gain", pa.array(gains, pa.float64()))
+            gains = [shared.value.score(original) - shared.value.score(text) for text, original in zip(batch.column("text").to_pylist(), batch.column("original").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("table_name", "record_id", "source", "swap")), pa.array(gains, pa.float64())], names=["table_name", "record_id", "source", "swap", "gain"])
 
     return run
 
@@ -458,7 +484,7 @@ def _bounded_counts(rows: DataFrame) -> dict[tuple[int, int], float]:
 
 
 def posteriors(evidence: DataFrame, sizes: DataFrame, work: Workspace, rounds: int = 2, prior: float = 0.02, strength: float = 50.0) -> DataFrame:
-    """evidence (table_name, record_id, source, swap, gain, text, original) plus posterior, by EM over the swaps' share of each source.
+    """evidence (table_name, record_id, source, swap, gain) plus posterior, by EM over the swaps' share of each source.
 
     E step: a record's posterior of each swap against the text as it stands. M step: the share of each swap in the
     source, drawn towards its share in the whole collection by `strength` pseudo-records. Sums by source are combined
@@ -500,14 +526,20 @@ def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5) ->
     sizes = work.write(records.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sizes")
     proof = work.write(spread(suspects).mapInArrow(_evidence(spark.sparkContext.broadcast(bigrams)), _EVIDENCE), "evidence")
     work.drop("suspects")
-    judged = posteriors(proof, sizes, work)
+    thin = ["table_name", "record_id", "source", "swap"]
+    # Stretches of several bytes were never counted, so only one-letter ciphers change the bigrams and change with them.
+    letters = work.write(proof.where((F.length("original") == F.length("text")) & (F.col("swap") != "lost")), "letters")
+    fixed = proof.where((F.length("original") != F.length("text")) | (F.col("swap") == "lost")).select(*thin, "gain")
+    judged = work.write(posteriors(fixed.unionByName(letters.select(*thin, "gain")), sizes, work), "judged")
     for _ in range(rounds - 1):
-        minus = _bounded_counts(judged.where("posterior > 0.05").select("text", "original", "posterior").mapInArrow(_deltas, "a int, b int, n double"))
+        weights = judged.where("posterior > 0.05").select(*thin, "posterior")
+        minus = _bounded_counts(letters.join(weights, thin).select("text", "original", "posterior").mapInArrow(_deltas, "a int, b int, n double"))
         bigrams = Bigrams({k: counts.get(k, 0.0) - minus.get(k, 0.0) for k in counts.keys() | minus.keys()})
-        proof = work.write(judged.drop("posterior").mapInArrow(_rescored(spark.sparkContext.broadcast(bigrams)), _EVIDENCE), "evidence")
-        judged = posteriors(proof, sizes, work)
-    best = judged.groupBy("table_name", "record_id").agg(F.sum("posterior").alias("posterior"), F.max_by(F.struct("swap", "original"), F.struct((F.col("swap") != "lost").cast("int"), "gain", "swap")).alias("x"))
-    return best.where(F.col("posterior") >= threshold).select("table_name", "record_id", "x.swap", "posterior", "x.original")
+        again = letters.mapInArrow(_rescored(spark.sparkContext.broadcast(bigrams)), "table_name string, record_id long, source string, swap string, gain double")
+        judged = work.write(posteriors(fixed.unionByName(again), sizes, work), "judged")
+    best = judged.groupBy("table_name", "record_id").agg(F.sum("posterior").alias("posterior"), F.max_by("swap", F.struct((F.col("swap") != "lost").cast("int"), "gain", "swap")).alias("swap"))
+    best = best.where(F.col("posterior") >= threshold)
+    return best.join(proof.select("table_name", "record_id", "swap", "original"), ["table_name", "record_id", "swap"]).select("table_name", "record_id", "swap", "posterior", "original")
 
 
 def documents_and_lines(documents: DataFrame, page_lines: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import components, encoding, lookalike, overlap, repetition, splits, terms
+from . import components, encoding, lookalike, mixing, overlap, packing, repetition, splits, subset, terms
 
 
 def p1_restored(spark, d):
@@ -46,6 +46,14 @@ def p5_found(spark, d):
     return p5_frequencies(spark, d).where("mark is not null").select("field_name", "term", "mark")
 
 
+def p6_subset(spark, d):
+    return subset.varied_subset(table(spark, d, "train"), 2000)
+
+
+def p6_report(spark, d):
+    return subset.subset_report(table(spark, d, "train"), p6_subset(spark, d))
+
+
 def p7_rewritten(spark, d):
     return lookalike.inconsistent_rows(table(spark, d, "train"), table(spark, d, "real_references"), table(spark, d, "character_aliases_quotes_homoglyphs"))
 
@@ -54,6 +62,22 @@ def p7_found(spark, d):
     return p7_rewritten(spark, d).select("table_name", "record_id")
 
 
+def p8_packed(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p8_report(spark, d):
+    return packing.fill_report(p8_packed(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p9_mixed(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_repetition(spark, d):
     return repetition.repetition_shares(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -62,7 +86,7 @@ def p10_found(spark, d):
     return repetition.repeated_documents(table(spark, d, "documents")).select(repetition.F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p7_found, p7_rewritten, p10_found, p10_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),
