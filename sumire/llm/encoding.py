@@ -135,14 +135,15 @@ _NEEDED = {
 }
 
 
-_ODD, _SIGN, _PAIR, _HALFWIDTH, _LOWER, _HAN, _LEAD = (1 << i for i in range(7))
+_ODD, _SIGN, _PAIR, _HALFWIDTH, _LOWER, _HAN, _LEAD, _PLAIN = (1 << i for i in range(8))
 
 
 @lru_cache(1)
 def kinds() -> np.ndarray:
     """What each code point can be in a text that went through a swap with a wide encoding.
 
-    Wide text read in one-byte encodings has neighbouring characters that are neither ASCII nor East Asian. Kana in
+    Wide text read in one-byte encodings has neighbouring characters that are neither ASCII nor East Asian, and not
+    both plain. Kana in
     UTF-8 begin with the bytes E3 80 to E3 83, which wide encodings read as a few rare ideographs; kana of EUC-JP
     begin with half-width marks; Latin letters become half-width pairs or ideographs inside lower-case words.
     """
@@ -159,6 +160,9 @@ def kinds() -> np.ndarray:
     k[0x61:0x7B] |= _LOWER
     k[0x3400:0xA000] |= _HAN
     k[[ord("‚"), ord("ƒ")]] |= _LEAD
+    # Letters and marks that stand side by side in ordinary words; not those that UTF-8 so often begins with.
+    k[[*range(0xC0, 0x100), *map(ord, "‘’“”„«»–—…°œŒ\xa0")]] |= _PLAIN
+    k[[ord(c) for c in "ÃÂâ"]] &= ~np.uint8(_PLAIN)
     return k
 
 
@@ -168,7 +172,8 @@ def flags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     hit = (k & _SIGN) != 0
     odd = (k & _ODD) != 0
-    hit[:-1] |= odd[:-1] & odd[1:]
+    strange = (k & _PLAIN) == 0
+    hit[:-1] |= odd[:-1] & odd[1:] & (strange[:-1] | strange[1:])
     hit[:-1] |= ((k[:-1] & _PAIR) != 0) & ((k[1:] & _HALFWIDTH) != 0)
     hit[:-1] |= ((k[:-1] & _LOWER) != 0) & ((k[1:] & _HAN) != 0)
     hit[:-2] |= ((k[:-2] & _LEAD) != 0) & ((k[2:] & _LEAD) != 0)
@@ -178,6 +183,9 @@ def flags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return wide, narrow
 
 
+_KANA = re.compile(rb"\xe3[\x80-\x83][\x80-\xbf]")
+
+
 @lru_cache(None)
 def repertoire(wrong: str) -> re.Pattern:
     """Runs of characters that `wrong` can have produced."""
@@ -231,7 +239,8 @@ def _stretches(pieces: list, wrong: str, right: str) -> list[tuple[int, int, str
     wide = wrong in WRONG_WIDE
     if wide and right == "utf_8":
         # Ideographs alone prove nothing; they count only beside a stretch with kana.
-        any_kana = any(re.search(rb"\xe3[\x80-\x83][\x80-\xbf]", raw) for _, _, raw in pieces)
+        stretches = [m[0] for _, _, raw in pieces for m in _STRETCH[right].finditer(raw)]
+        any_kana = any(_KANA.search(x) for x in stretches) and sum(len(x) for x in stretches if len(x) >= 6 or _KANA.search(x)) >= 10
     for start, piece, raw in pieces:
         if not _NEEDED[right].search(raw) and not (wide and right == "utf_8"):
             continue
@@ -241,8 +250,7 @@ def _stretches(pieces: list, wrong: str, right: str) -> list[tuple[int, int, str
             if not _NEEDED[right].search(raw, a, b) and not (wide and right == "utf_8"):
                 continue
             if wide and right == "utf_8":
-                kana = re.search(rb"\xe3[\x80-\x83][\x80-\xbf]", raw[a:b])
-                if not kana and (b - a != 2 or len(piece) > 3) and not (any_kana and b - a >= 6):
+                if not (b - a == 2 and len(piece) <= 3) and not (any_kana and (b - a >= 6 or _KANA.search(raw, a, b))):
                     continue
             elif wide and b - a < 6:
                 continue
@@ -293,22 +301,13 @@ def cipher(wrong: str, right: str) -> dict[int, str]:
     for c, b in bytes_of(wrong).items():
         if b >= 0x80:
             original = _decoded(bytes([b]), right)
-            if original and original != c and (original.isalpha() or original in "‘’“”„‚«»–—…°") and original.isprintable():
+            if original and original != c and (original.isprintable() or original == "\xa0"):
                 table[ord(c)] = original
     return table
 
 
 NARROW_KEYS = [(w, t) for w in WRONG for t in RIGHT if w != t and cipher(w, t)]
 _LATIN_ODD = re.compile("[^\x00-\x7f　-ヿ㐀-鿿＀-￯�]")
-_SENTENCE = re.compile("[^\n.。]*(?:[\n.。]|$)")
-
-
-def masked(text: str) -> str:
-    """text with every decodable stretch of some length cut out; what the bigrams are counted on."""
-    cut = [(a, b) for found in all_spans(text).values() for a, b, original in found if len(original) >= 3 or b - a >= 6]
-    for a, b in sorted(cut, reverse=True):
-        text = text[:a] + "\n" + text[b:]
-    return text.replace("�", "\n")
 
 
 class Reader:
@@ -317,15 +316,14 @@ class Reader:
     def __init__(self, bigrams: Bigrams):
         self.bigrams = bigrams
         self.gains: dict[tuple[str, str, str], float] = {}
+        self.single: dict[tuple, float] = {}
         self.exchanges: dict[tuple[str, str, bool, bool], float] = {}
 
     def suspicious(self, texts: list[str]) -> list[bool]:
-        """Whether some swap may read each text better, by a cheap test of every odd character in its place."""
+        """Whether some swap may read each text better: one with a wide encoding by its flag, one between one-byte
+        encodings by a test of every odd character in its place."""
         wide, narrow = flags(texts)
-        return [bool(w and self._wide(t) or n and self._narrow(t)) for t, w, n in zip(texts, wide, narrow)]
-
-    def _wide(self, text: str) -> bool:
-        return "�" in text or any(self.bigrams.gain(text[:a], text[a:b], original, text[b:]) > 2.0 for found in all_spans(text).values() for a, b, original in found)
+        return [bool(w or n and self._narrow(t)) for t, w, n in zip(texts, wide, narrow)]
 
     def _narrow(self, text: str) -> bool:
         for m in _LATIN_ODD.finditer(text):
@@ -350,16 +348,23 @@ class Reader:
                 last = b
         return total, "".join(out) + text[last:]
 
-    def apply_narrow(self, text: str, table: dict[int, str]) -> tuple[float, str]:
-        """translate() of the sentences that the cipher improves."""
-        total, out = 0.0, []
-        for m in _SENTENCE.finditer(text) if len(text) > 200 else [re.match("(?s).*", text)]:
-            new = m[0].translate(table)
-            g = 0.0 if new == m[0] else self.exchanged(m[0], new)
-            total += max(0.0, g)
-            out.append(new if g > 0 else m[0])
-        joined = "".join(out)
-        return (total, joined) if len(joined) == len(text) else (0.0, text)
+    def apply_narrow(self, text: str, places: list[int], table: dict[int, str]) -> tuple[float, str]:
+        """translate() of the one window that the cipher improves most: all odd characters in it go through the cipher."""
+        best, low, high, run, begin = 0.0, 0, 0, 0.0, 0
+        for i in places:
+            new = table.get(ord(text[i]))
+            at = (text[i - 1 : i], text[i], new, text[i + 1 : i + 2])
+            if at not in self.single:
+                self.single[at] = -8.0 if new is None else self.bigrams.gain(*at)
+            if run <= 0:
+                run, begin = 0.0, i
+            run += self.single[at]
+            if run > best:
+                best, low, high = run, begin, i + 1
+        if not best:
+            return 0.0, text
+        new = text[:low] + text[low:high].translate(table) + text[high:]
+        return (self.exchanged(text, new), new) if len(new) == len(text) else (0.0, text)
 
     def exchanged(self, old: str, new: str) -> float:
         """Gain of a text of the same length, from the pairs that differ; each pair's gain is remembered."""
@@ -392,7 +397,8 @@ class Reader:
             found.append((best[2], best[0], best[1]))
         if max((g for _, g, _ in found), default=0.0) > 20.0:
             return found
-        odd = sorted(o for o in map(ord, set(text)) if kinds()[o] & _ODD)
+        places = [m.start() for m in _LATIN_ODD.finditer(text)]
+        odd = sorted({ord(text[i]) for i in places})
         readings = set()
         for w, t in NARROW_KEYS:
             table = cipher(w, t)
@@ -400,19 +406,39 @@ class Reader:
             if own in readings or own.count(None) == len(own):
                 continue
             readings.add(own)
-            g, original = self.apply_narrow(text, table)
+            g, original = self.apply_narrow(text, places, table)
             if g > 0:
                 found.append((f"{t}>{w}", g, original))
         return found
 
 
+def trusted(text: str) -> bool:
+    """Whether a flagged text can still be counted: few odd characters, no rare sign and no stretch that decodes."""
+    k = kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    return not (k & _SIGN).any() and ((k & _ODD) != 0).mean() < 0.1 and not all_spans(text)
+
+
+def pair_counts(texts: list[str]) -> np.ndarray:
+    """Bigrams (first x codes + second) of the texts that no swap with a wide encoding has garbled.
+
+    A Latin letter of ASCII beside a letter or sign of no Latin alphabet is what one-byte ciphers leave behind, so
+    such pairs are left out.
+    """
+    _, size, _ = alphabet()
+    text = "\n".join(t for t, w in zip(texts, flags(texts)[0]) if not w or trusted(t))
+    c = codes(text).astype(np.int64)
+    raw = np.frombuffer(("\n" + text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    latin = ((raw | 32) >= 0x61) & ((raw | 32) <= 0x7A) & (raw < 0x80)
+    strange = ((kinds()[raw] & (_ODD | _PLAIN)) == _ODD) & ~((raw >= 0xC0) & (raw < 0x180))
+    fine = ~((latin[:-1] & strange[1:]) | (strange[:-1] & latin[1:]))
+    return np.bincount((c[:-1] * size + c[1:])[fine], minlength=size * size)
+
+
 def _count(batches):
     _, size, _ = alphabet()
     total = np.zeros(size * size, np.int64)
     for batch in batches:
-        texts = [t for t in batch.column("text").to_pylist() if t]
-        c = codes("\n".join(masked(t) if w else t for t, w in zip(texts, flags(texts)[0]))).astype(np.int64)
-        total += np.bincount(c[:-1] * size + c[1:], minlength=len(total))
+        total += pair_counts([t for t in batch.column("text").to_pylist() if t])
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at].astype(np.float64))], names=["a", "b", "n"])
 
@@ -469,7 +495,7 @@ def _deltas(batches):
     for batch in batches:
         for text, original, weight in zip(*(batch.column(c).to_pylist() for c in ("text", "original", "posterior"))):
             if len(text) != len(original):
-                continue  # stretches of several bytes were never counted
+                continue
             a, b = codes(text).astype(np.int64), codes(original).astype(np.int64)
             for c, sign in ((a, weight), (b, -weight)):
                 for k in (c[:-1] * size + c[1:]).tolist():
@@ -527,7 +553,7 @@ def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5) ->
     proof = work.write(spread(suspects).mapInArrow(_evidence(spark.sparkContext.broadcast(bigrams)), _EVIDENCE), "evidence")
     work.drop("suspects")
     thin = ["table_name", "record_id", "source", "swap"]
-    # Stretches of several bytes were never counted, so only one-letter ciphers change the bigrams and change with them.
+    # Flagged texts were never counted, so only one-letter ciphers change the bigrams and change with them.
     letters = work.write(proof.where((F.length("original") == F.length("text")) & (F.col("swap") != "lost")), "letters")
     fixed = proof.where((F.length("original") != F.length("text")) | (F.col("swap") == "lost")).select(*thin, "gain")
     judged = work.write(posteriors(fixed.unionByName(letters.select(*thin, "gain")), sizes, work), "judged")
