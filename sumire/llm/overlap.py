@@ -21,8 +21,12 @@ from . import lookalike
 LENGTHS = (3, 4, 6, 9)
 #: Width of the position buckets that are part of a segment's key.
 BUCKET = 16
-#: Bits of the filter of segment keys; its size is fixed, a full one only lets more substrings through.
-FILTER_BITS = 26
+#: Evaluation texts of one block. A block's segments, texts and character counts are what a broadcast holds.
+BLOCK = 100_000
+#: Bits of a block's filter of segment keys.
+FILTER_BITS = 25
+#: Classes of the character counts that bound a distance from below.
+CLASSES = 64
 #: Grams of four characters held by more than this share of the texts are frequent; at most 1 / COMMON times the mean
 #: length of a text exist.
 COMMON = 1 / 2000
@@ -70,13 +74,12 @@ class Packed:
         at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
         return self.doc[at], at - self.starts[self.doc[at]], h[at]
 
-    def parities(self) -> np.ndarray:
-        """64 bits of each text: the parity of the number of its characters in each of 64 hash classes."""
+    def counts(self) -> np.ndarray:
+        """Characters of each text in each of CLASSES hash classes, at most 255."""
         with np.errstate(over="ignore"):
-            bit = (_mix(self.codes.astype(np.uint64) * _B) & np.uint64(63)).astype(np.int64)
+            kind = (_mix(self.codes.astype(np.uint64) * _B) % np.uint64(CLASSES)).astype(np.int64)
         n = len(self.lengths)
-        odd = (np.bincount(self.doc * 64 + bit, minlength=n * 64).reshape(n, 64) & 1).astype(np.uint8)
-        return np.packbits(odd, axis=1).view(np.uint64).reshape(n)
+        return np.minimum(np.bincount(self.doc * CLASSES + kind, minlength=n * CLASSES), 255).astype(np.uint8).reshape(n, CLASSES)
 
 
 def _keyed(h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -84,11 +87,6 @@ def _keyed(h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         return _mix(h + bucket.astype(np.uint64) * _B)
 
 
-def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    return keys & mask, (keys >> np.uint64(32)) & mask
-
-
 def _frequent_grams(share: float, chunk: int = 100_000):
     """Grams that a chunk of the partition's texts holds often; the chunks' counts are summed afterwards."""
 
@@ -183,58 +181,101 @@ def _costs(part, n, doc, pos, value) -> dict[int, np.ndarray]:
     return out
 
 
-_POSTINGS = "key long, cls long, pos int, len int, sig long"
-
-
-def _postings(key, cls, pos, length, sig) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.array(pos.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(sig.view(np.int64))], names=["key", "cls", "pos", "len", "sig"])
-
-
-def _evaluation_postings(frequent, percent):
-    def run(batches):
-        grams, shares = frequent.value
-        for batch in batches:
-            texts = batch.column("norm").to_pylist()
-            cls = batch.column("cls").to_numpy(zero_copy_only=False)
-            if not texts:
+class Block:
+    """The segments of a block of evaluation texts, ready to be met by training substrings."""
+
+    def __init__(self, cls: np.ndarray, texts: list[str], grams: np.ndarray, shares: np.ndarray, percent: int):
+        self.cls, self.texts, self.percent = cls, texts, percent
+        packed = Packed(texts)
+        self.lengths, self.counts = packed.lengths, packed.counts()
+        doc, start, length = cut(texts, grams, shares, percent)
+        self.filter = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        self.sizes = []
+        reaches = np.array([bound(longest_partner(n, percent), percent) for n in range(int(self.lengths.max(initial=0)) + 1)])
+        for size in LENGTHS:
+            own = np.flatnonzero(length == size)
+            if not len(own):
                 continue
-            packed = Packed(texts)
-            sig = packed.parities()
-            doc, start, length = cut(texts, grams, shares, percent)
-            for size in LENGTHS:
-                own = np.flatnonzero(length == size)
-                if not len(own):
-                    continue
-                d, s = doc[own], start[own]
-                wd, wp, wh = packed.windows(size)
-                h = wh[np.searchsorted(wd * (1 << 32) + wp, d * (1 << 32) + s)]
-                n = packed.lengths[d]
-                reach = np.array([bound(longest_partner(int(x), percent), percent) for x in range(int(n.max()) + 1)])[n]
-                first, last = np.maximum(0, s - reach) // BUCKET, (s + reach) // BUCKET
-                for step in range(int((last - first).max()) + 1):
-                    on = first + step <= last
-                    yield _postings(_keyed(h[on], first[on] + step), cls[d[on]], s[on], n[on], sig[d[on]])
-
-    return run
+            d, s = doc[own], start[own]
+            wd, wp, wh = packed.windows(size)
+            h = wh[np.searchsorted(wd * (1 << 32) + wp, d * (1 << 32) + s)]
+            reach = reaches[self.lengths[d]]
+            first, last = np.maximum(0, s - reach) // BUCKET, (s + reach) // BUCKET
+            times = last - first + 1
+            each = np.repeat(np.arange(len(own)), times)
+            bucket = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            keys = _keyed(h[each], bucket)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            slot = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            np.bitwise_or.at(self.filter, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+            heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            self.sizes.append((size, keys[heads], np.append(heads, len(keys)), d[each][order].astype(np.int32), s[each][order].astype(np.int32)))
+
+    def met(self, packed: Packed, limit: int = 4_000_000):
+        """(evaluation, training) numbers of the pairs that share a segment at a reachable place and whose lengths and
+        character counts allow the bound; in pieces of bounded size, however often a segment occurs."""
+        counts = packed.counts()
+        for size, keys, heads, docs, starts in self.sizes:
+            d, p, h = packed.windows(size)
+            k = _keyed(h, p // BUCKET)
+            slot = (k & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            on = np.flatnonzero(self.filter[slot >> 3] >> (slot & 7) & 1)
+            at = np.minimum(np.searchsorted(keys, k[on]), len(keys) - 1)
+            good = keys[at] == k[on]
+            on, at = on[good], at[good]
+            times = heads[at + 1] - heads[at]
+            upto = np.cumsum(times)
+            begin = 0
+            while begin < len(on):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + limit, "right")))
+                for low in range(0, int(times[begin]) if end == begin + 1 else 1, limit):
+                    t = np.minimum(times[begin:end] - low, limit) if end == begin + 1 else times[begin:end]
+                    each = np.repeat(np.arange(begin, end), t)
+                    member = heads[at[each]] + low + np.arange(len(each)) - np.repeat(np.cumsum(t) - t, t)
+                    yield self._reachable(packed, counts, docs[member], starts[member], d[on[each]], p[on[each]])
+                begin = end
+
+    def _reachable(self, packed, counts, e, e_pos, t, t_pos):
+        n, m = self.lengths[e], packed.lengths[t]
+        most = self.percent * np.maximum(n, m) // 100
+        shift, grown = t_pos - e_pos, m - n
+        ok = np.flatnonzero(np.abs(shift) + np.abs(grown - shift) <= most)
+        pairs = np.unique(e[ok].astype(np.int64) << 32 | t[ok])
+        e, t = pairs >> 32, pairs & 0xFFFFFFFF
+        most = self.percent * np.maximum(self.lengths[e], packed.lengths[t]) // 100
+        keep = []
+        for part in range(0, len(e), 200_000):
+            x, y = self.counts[e[part : part + 200_000]], counts[t[part : part + 200_000]]
+            keep.append((np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= 2 * most[part : part + 200_000])
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        return e[keep], t[keep]
+
+
+def _matches(shared):
+    """Verified pairs of a block's evaluation texts and a partition's training texts."""
 
-
-def _training_postings(filtered):
     def run(batches):
-        words = filtered.value
+        block: Block = shared.value
         for batch in batches:
             texts = batch.column("norm").to_pylist()
-            if not texts:
+            if not texts or not len(block.texts):
                 continue
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
             packed = Packed(texts)
-            sig = packed.parities()
-            for size in LENGTHS:
-                d, p, h = packed.windows(size)
-                keys = _keyed(h, p // BUCKET)
-                a, b = _slots(keys)
-                on = ((words[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)).astype(bool)
-                if on.any():
-                    yield _postings(keys[on], cls[d[on]], p[on], packed.lengths[d[on]], sig[d[on]])
+            found = [e << 32 | t for e, t in block.met(packed)]
+            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            e, t = pairs >> 32, pairs & 0xFFFFFFFF
+            other = block.cls[e] != cls[t]
+            e, t = e[other], t[other]
+            size = np.maximum(block.lengths[e], packed.lengths[t])
+            most = block.percent * size // 100
+            ok = np.zeros(len(e), bool)
+            order = np.argsort(size, kind="stable")
+            for part in range(0, len(order), 4096):
+                own = order[part : part + 4096]
+                ok[own] = distances([block.texts[i] for i in e[own]], [texts[i] for i in t[own]], most[own].copy()) <= most[own]
+            yield pa.RecordBatch.from_arrays([pa.array(block.cls[e[ok]]), pa.array(cls[t[ok]])], names=["evaluation", "training"])
 
     return run
 
@@ -278,22 +319,6 @@ def distances(left: list[str], right: list[str], limits: np.ndarray) -> np.ndarr
     return out
 
 
-def _verify(percent: int, chunk: int = 4096):
-    def run(batches):
-        for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            size = np.fromiter((max(len(x), len(y)) for x, y in zip(left, right)), np.int64, len(left))
-            limit = percent * size // 100
-            ok = np.zeros(len(left), bool)
-            order = np.argsort(size, kind="stable")
-            for at in range(0, len(order), chunk):
-                own = order[at : at + chunk]
-                ok[own] = distances([left[i] for i in own], [right[i] for i in own], limit[own].copy()) <= limit[own]
-            yield batch.select(["evaluation", "training"]).filter(pa.array(ok))
-
-    return run
-
-
 _SPACES = re.compile(r"\s+")
 
 
@@ -312,30 +337,27 @@ def valid_splits(article_splits: DataFrame) -> DataFrame:
     return last.select("article_id", "x.split", "x.source")
 
 
-def class_pairs(classes: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """(evaluation, training): pairs of different texts, of classes (cls, norm, evaluation, training), within the bound."""
+def class_pairs(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(evaluation, training): pairs of different texts, of classes (cls, norm, evaluation, training), within the bound.
+
+    The evaluation texts, a stated query set, are taken in blocks of about `block` texts by hash. A block's index is
+    broadcast (its size is that of the block, not of the input) and met by every training text where it lies, so
+    neither substrings nor candidates are ever shuffled and no segment, however frequent, gathers in one task.
+    """
     spark = classes.sparkSession
-    total = classes.count()
+    total, queries = classes.agg(F.count(F.lit(1)), F.count_if("evaluation")).first()
     grams = classes.select("norm").mapInArrow(_frequent_grams(COMMON), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).toArrow()
     order = np.argsort(grams.column("gram").to_numpy().view(np.uint64))
-    frequent = spark.sparkContext.broadcast((grams.column("gram").to_numpy().view(np.uint64)[order], (grams.column("n").to_numpy()[order] / max(1, total)).astype(np.float32)))
-    segments = work.write(spread(classes.where("evaluation")).select("cls", "norm").mapInArrow(_evaluation_postings(frequent, percent), _POSTINGS), "segments")
-    mask = F.lit((1 << FILTER_BITS) - 1)
-    slots = segments.select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 32).bitwiseAND(mask))).alias("slot"))
-    set_bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    words[set_bits.column("word").to_numpy()] = set_bits.column("bits").to_numpy().view(np.uint64)
-    trained = spread(classes.where("training")).select("cls", "norm").mapInArrow(_training_postings(spark.sparkContext.broadcast(words)), _POSTINGS)
-    e, t = segments.alias("e"), trained.alias("t")
-    limit = F.floor(F.greatest(F.col("e.len"), F.col("t.len")) * percent / 100)
-    shift, grown = F.col("t.pos") - F.col("e.pos"), F.col("t.len") - F.col("e.len")
-    reachable = (F.abs(shift) + F.abs(grown - shift) <= limit) & (F.bit_count(F.col("e.sig").bitwiseXOR(F.col("t.sig"))) <= 2 * limit)
-    candidates = e.join(t, (F.col("e.key") == F.col("t.key")) & reachable & (F.col("e.cls") != F.col("t.cls"))).select(F.col("e.cls").alias("evaluation"), F.col("t.cls").alias("training"))
-    candidates = work.write(candidates.distinct(), "candidates")
-    work.drop("segments")
-    texts = classes.select("cls", "norm")
-    pairs = candidates.join(texts.withColumnRenamed("cls", "evaluation").withColumnRenamed("norm", "left"), "evaluation").join(texts.withColumnRenamed("cls", "training").withColumnRenamed("norm", "right"), "training")
-    return pairs.select("evaluation", "training", "left", "right").mapInArrow(_verify(percent), "evaluation long, training long")
+    keys, shares = grams.column("gram").to_numpy().view(np.uint64)[order], (grams.column("n").to_numpy()[order] / max(1, total)).astype(np.float32)
+    trained = spread(classes.where("training").select("cls", "norm"))
+    blocks = max(1, -(-queries // block))
+    out = None
+    for turn in range(blocks):
+        own = classes.where("evaluation").where(F.pmod(F.xxhash64(F.lit("block"), "cls"), F.lit(blocks)) == turn).select("cls", "norm").toArrow()
+        index = Block(own.column("cls").to_numpy(), own.column("norm").to_pylist(), keys, shares, percent)
+        found = trained.mapInArrow(_matches(spark.sparkContext.broadcast(index)), "evaluation long, training long")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def cross_split_pairs(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> DataFrame:
@@ -355,7 +377,7 @@ def cross_split_pairs(train: DataFrame, article_splits: DataFrame, aliases: Data
     classes = work.write(
         rows.groupBy("h1", "h2").agg(F.min("row_id").alias("cls"), F.first("norm").alias("norm"), F.max(F.col("split") != "train").alias("evaluation"), F.max(F.col("split") == "train").alias("training")), "classes"
     )
-    near = class_pairs(classes, work, percent)
+    near = class_pairs(classes, percent)
     same = classes.where("evaluation and training").select(F.col("cls").alias("evaluation"), F.col("cls").alias("training"))
     pairs = near.unionByName(same)
     members = rows.join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("row_id", "split", "source", "cls")
