@@ -1,4 +1,6 @@
 """All core queries by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpus, layout, scoring, selection  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
