@@ -29,8 +29,8 @@ _LETTERS = "".join(f"{chr(a)}-{chr(b)}" for a, b in RANGES)
 _WORD = re.compile(f"[{_LETTERS}]+")
 _FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
 #: Deleted: format characters (soft hyphen, zero-width, direction marks, byte order mark), fillers and variation selectors.
-IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
-_SPACE = re.compile("[\t   -   　]")
+IGNORABLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
+_SPACE = re.compile("[\t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 #: Forms that NFKC would turn into other content than width or shape: superscripts, fractions, enclosed and squared
 #: signs, dots, and spacing accents keep their characters.
 _KEPT = {"<super>", "<sub>", "<fraction>", "<circle>", "<square>"}
