@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
-from ..session import spread
+from ..session import Workspace, spread
 
 
 def _count_characters(batches):
@@ -38,6 +38,19 @@ def ranked(counts: DataFrame, value: str = "occurrences", key: str = "character"
     return counts.withColumn("frequency_rank", F.row_number().over(Window.orderBy(F.desc(value), key)).cast("long"))
 
 
+def with_ordinal(df: DataFrame, order: str) -> DataFrame:
+    """df plus ordinal: 0, 1, 2 ... in the order (unique values). Partitions by range are numbered on their own and
+    shifted by the sizes of those before them, which are all the driver sees."""
+    local = Workspace(df.sparkSession).write(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("mid_", F.monotonically_increasing_id()), "ordered")
+    sizes = local.groupBy(F.shiftright("mid_", 33).cast("int").alias("part_")).count().orderBy("part_").collect()
+    starts, at = [], 0
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    shifts = df.sparkSession.createDataFrame(starts, "part_ int, start_ long")
+    return local.withColumn("part_", F.shiftright("mid_", 33).cast("int")).join(F.broadcast(shifts), "part_").withColumn("ordinal", F.col("start_") + F.col("mid_").bitwiseAND((1 << 33) - 1)).drop("part_", "start_", "mid_")
+
+
 def frequency_bucket(n: Column) -> Column:
     return F.when(n >= 500, "500+").when(n >= 100, "100-499").otherwise("1-99")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .corpus import with_ordinal
+
 
 def islands(df: DataFrame, partition: list[str], order: list[str], joins_previous: Column) -> DataFrame:
     """df plus island: consecutive rows that join the row before them share a number within the partition.
@@ -41,7 +43,7 @@ def _stacks(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [run] if len(run) >= 3 else [[r] for r in run]
         for part in rows:
             first = part[0]
-            out.append((first.page, first.line, "".join(r.text for r in part), len(part), min(r.x0 for r in part), min(r.y0 for r in part), max(r.x1 for r in part), max(r.y1 for r in part), "vertical" if len(part) > 1 else first.orientation))
+            out.append((first.page, first.line, "".join(r.text or "" for r in part), len(part), min(r.x0 for r in part), min(r.y0 for r in part), max(r.x1 for r in part), max(r.y1 for r in part), "vertical" if len(part) > 1 else first.orientation))
         run.clear()
 
     for r in pdf.itertuples(index=False):
@@ -185,6 +187,6 @@ def class_runs(df: DataFrame, key: str, text: str, is_class) -> DataFrame:
 
 def batch_windows(df: DataFrame, order: str, size: Column, batch: int, window: int) -> DataFrame:
     """df plus batch: rows in order are taken in windows of `window` batches, sorted by size inside each, then cut."""
-    rows = df.withColumn("i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("win", F.floor(F.col("i") / (batch * window)))
+    rows = with_ordinal(df, order).withColumn("win", F.floor(F.col("ordinal") / (batch * window)))
     k = F.row_number().over(Window.partitionBy("win").orderBy(size, order)) - 1
-    return rows.withColumn("batch", F.col("win") * window + F.floor(k / batch)).drop("i", "win")
+    return rows.withColumn("batch", F.col("win") * window + F.floor(k / batch)).drop("ordinal", "win")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -56,6 +58,10 @@ def quote_weighted_distance(reference: str, prediction: str) -> float:
 def alignment(reference: str, prediction: str) -> list[tuple[str, str, str, int, int]]:
     """(kind, reference, prediction, reference_index, prediction_index) of a least edit script; where several are
     least, traced from the end, a match or substitution comes before a deletion and that before an insertion."""
+    same = 0  # the trace runs along a common end, whatever comes before it
+    while same < min(len(reference), len(prediction)) and reference[-1 - same] == prediction[-1 - same]:
+        same += 1
+    reference, prediction = reference[: len(reference) - same], prediction[: len(prediction) - same]
     n, m = len(reference), len(prediction)
     rows = [list(range(m + 1))]
     for i, a in enumerate(reference, 1):
@@ -79,11 +85,14 @@ def alignment(reference: str, prediction: str) -> list[tuple[str, str, str, int,
     return out[::-1]
 
 
+_EXCUSABLE = re.compile("[.)）] | [(（]")
+
+
 def without_free_spaces(reference: str, prediction: str) -> str:
     """prediction without the spaces that the reference's punctuation excuses: after a period or closing parenthesis
     that the prediction has before the space, or before an opening one that it has after it. Traced along a least
     edit script that prefers matches, then deletions, then insertions."""
-    if " " not in prediction or not set(reference) & set(".()（）"):
+    if reference == prediction or not _EXCUSABLE.search(prediction):
         return prediction
     n, m = len(reference), len(prediction)
 
@@ -116,11 +125,17 @@ def without_free_spaces(reference: str, prediction: str) -> str:
     return "".join(reversed(kept))
 
 
+def weighted_distance(reference: Column, prediction: Column) -> Column:
+    """The quotation-weighted distance; without a quotation mark in the reference it is the plain one, computed in the JVM."""
+    quoted = reference.rlike("[“”\"‘’']")
+    return F.coalesce(_quoted_distance(F.when(quoted, reference), prediction), F.levenshtein(reference, prediction).cast("double"))
+
+
 _EDITS = T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "reference", "prediction")), *(T.StructField(n, T.IntegerType()) for n in ("reference_index", "prediction_index"))]))
 
 
 @F.pandas_udf(T.DoubleType())
-def weighted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+def _quoted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else quote_weighted_distance(a, b) for a, b in zip(reference, prediction)], dtype="float64")
 
 
@@ -163,8 +178,6 @@ _SEQUENCE_ROWS = "pattern string, occurrences long, reference_characters long, d
 
 
 def _sequences(batches):
-    import re
-
     word = re.compile(r"(?<![\w'-])[A-Za-z]+(?:['-][A-Za-z]+)*(?![\w'-])")
     for pdf in batches:
         sums = {p: [0] * 6 for p in tx.SEQUENCE_PATTERNS}

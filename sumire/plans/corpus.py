@@ -86,7 +86,7 @@ def split_counts(spark, d):
     return split_assignment(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("articles"))
 
 
-_FOLD = "list_reduce(list_prepend(0, list_transform(string_split({h}, ''), x -> (strpos('0123456789abcdef', x) - 1)::INTEGER)), (a, b) -> ((a * 16 + b) % 10)::INTEGER)"
+_FOLD = "list_reduce(list_prepend(0, list_transform(string_split({h}, ''), lambda x: (strpos('0123456789abcdef', x) - 1)::INTEGER)), lambda a, b: ((a * 16 + b) % 10)::INTEGER)"
 
 
 @query(f"SELECT doc_id, {_FOLD.format(h=_sha(SEED + ':split', 'doc_id'))} = 0 AS validation FROM documents")
@@ -138,8 +138,8 @@ _PARA = "para AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FRO
 
 
 @query(rf"""WITH {_PARA} SELECT doc_id, count(*)::BIGINT AS lines FROM para WHERE len(regexp_extract_all(line, '[^\s]+')) >= 12 AND length(line) >= 80
- AND len(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]')) >= 0.7 * length(line) AND regexp_matches(line, '(?i)\b({tx.ENGLISH_FUNCTION_WORDS})\b')
- AND regexp_matches(line, '[.!?](["”'']|$| )') AND NOT regexp_matches(line, 'https?://|www\.|[{{}}|=<>\\]|\bISBN\b') AND NOT regexp_matches(line, '(\b[A-Za-z]\b\s+){{5}}') GROUP BY doc_id""")
+ AND len(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]')) >= 0.7 * length(line) AND regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_])({tx.ENGLISH_FUNCTION_WORDS})($|[^\p{{L}}\p{{N}}_])')
+ AND regexp_matches(line, '[.!?](["”'']|$| )') AND NOT regexp_matches(line, 'https?://|www\.|[{{}}|=<>\\]|(^|[^\p{{L}}\p{{N}}_])ISBN($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])([A-Za-z]\s+){{5}}') GROUP BY doc_id""")
 def prose_filter_latin(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(tx.english_prose(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
@@ -147,7 +147,7 @@ def prose_filter_latin(spark, d):
 
 @query(rf"""WITH t AS (SELECT row_id, text, coalesce(title, '') AS title, regexp_extract_all(text, '[ぁ-ゖァ-ヺㇰ-ㇿー゚゙]{{8,}}') AS runs FROM train WHERE lang = 'ja' AND text IS NOT NULL)
  SELECT row_id FROM t WHERE NOT regexp_matches(title, '{tx.TABLE_TITLE}') AND NOT regexp_matches(text, '(\p{{L}}[\s　 ]+){{5}}\p{{L}}')
- AND len(list_filter(runs, r -> len(regexp_extract_all(r, '[{tx.SMALL_KANA}]')) >= 4 OR (length(r) >= 10 AND len(list_distinct(string_split(r, ''))) >= 0.9 * length(r)))) = 0
+ AND len(list_filter(runs, lambda r: len(regexp_extract_all(r, '[{tx.SMALL_KANA}]')) >= 4 OR (length(r) >= 10 AND len(list_distinct(string_split(r, ''))) >= 0.9 * length(r)))) = 0
  AND len(regexp_extract_all(text, '[ぁ-ゖ]')) >= 3 AND regexp_matches(text, '{tx.JAPANESE_ENDINGS}|[一-鿿ァ-ヺ][のにはをがでとへも][一-鿿ぁ-ゖァ-ヺ]')""")
 def prose_filter_japanese(spark, d):
     return table(spark, d, "train").where("lang = 'ja' and text is not null").where(tx.japanese_prose(F.col("text"), F.col("title"))).select("row_id")
@@ -160,7 +160,7 @@ def title_markup_exclusion(spark, d):
 
 _BAD = r"len(regexp_extract_all(text, '[\x{FFFD}\x{00}-\x{08}\x{0E}-\x{1B}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]'))"
 _VISIBLE = r"length(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g'))"
-_REASONS = f"""SELECT source_pdf, list_filter([CASE WHEN unmapped > 0 THEN 'font_without_to_unicode' END, CASE WHEN bad > 0 THEN 'unreadable_character_codes' END, CASE WHEN chars < 2000 THEN 'too_few_characters' END], x -> x IS NOT NULL) AS r
+_REASONS = f"""SELECT source_pdf, list_filter([CASE WHEN unmapped > 0 THEN 'font_without_to_unicode' END, CASE WHEN bad > 0 THEN 'unreadable_character_codes' END, CASE WHEN chars < 2000 THEN 'too_few_characters' END], lambda x: x IS NOT NULL) AS r
  FROM (SELECT source_pdf, count(*) FILTER (WHERE NOT to_unicode) AS unmapped, coalesce(sum({_BAD}), 0) AS bad, coalesce(sum({_VISIBLE}), 0) AS chars FROM page_lines WHERE source_pdf IS NOT NULL GROUP BY 1)"""
 
 
@@ -201,7 +201,7 @@ def lang_statistics(spark, d):
     return table(spark, d, "train").groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("article_id").alias("articles"), F.sum(F.length("text")).alias("characters"))
 
 
-@query(f"SELECT lang, pattern, sum(len(list_filter(range(1, length(text) - length(pattern) + 2), i -> substr(text, i, length(pattern)) = pattern)))::BIGINT AS occurrences, sum(contains(text, pattern)::INTEGER)::BIGINT AS \"rows\" FROM (SELECT * FROM train WHERE lang IN ('en', 'fr', 'de')), (VALUES {_values([(p,) for p in tx.LETTER_PATTERNS])}) p(pattern) GROUP BY 1, 2")
+@query(f"SELECT lang, pattern, sum(len(list_filter(range(1, length(text) - length(pattern) + 2), lambda i: substr(text, i, length(pattern)) = pattern)))::BIGINT AS occurrences, sum(contains(text, pattern)::INTEGER)::BIGINT AS \"rows\" FROM (SELECT * FROM train WHERE lang IN ('en', 'fr', 'de')), (VALUES {_values([(p,) for p in tx.LETTER_PATTERNS])}) p(pattern) GROUP BY 1, 2")
 def pattern_overlap_counts(spark, d):
     return op.pattern_counts(table(spark, d, "train").where("lang in ('en', 'fr', 'de')"), tx.LETTER_PATTERNS, ["lang"])
 
@@ -271,13 +271,13 @@ def _valid_splits(spark, d):
     return last.select("article_id", "x.split", "x.source")
 
 
-@query(f"WITH {_VALID}, t AS (SELECT row_id, text, split FROM train JOIN valid USING (article_id) WHERE text IS NOT NULL), g AS (SELECT row_id, split, unnest(CASE WHEN length(text) < 16 THEN [text] ELSE list_transform(range(1, length(text) - 14), i -> substr(text, i, 16)) END) AS gram FROM t) SELECT DISTINCT row_id AS id FROM g WHERE split = 'train' AND gram IN (SELECT gram FROM g WHERE split IN ('validation', 'test'))")
+@query(f"WITH {_VALID}, t AS (SELECT row_id, text, split FROM train JOIN valid USING (article_id) WHERE text IS NOT NULL), g AS (SELECT row_id, split, unnest(CASE WHEN length(text) < 16 THEN [text] ELSE list_transform(range(1, length(text) - 14), lambda i: substr(text, i, 16)) END) AS gram FROM t) SELECT DISTINCT row_id AS id FROM g WHERE split = 'train' AND gram IN (SELECT gram FROM g WHERE split IN ('validation', 'test'))")
 def fragment_contamination(spark, d):
     rows = table(spark, d, "train").select("row_id", "article_id", "text").join(_valid_splits(spark, d), "article_id")
     return op.sharing_rows(rows.where("split = 'train'"), "row_id", rows.where("split in ('validation', 'test')"))
 
 
-@query(f"WITH {_VALID}, t AS (SELECT row_id, text, split FROM train JOIN valid USING (article_id) WHERE text IS NOT NULL), g AS (SELECT row_id, split, unnest(CASE WHEN length(text) < 16 THEN [text] ELSE list_transform(range(1, length(text) - 14), i -> substr(text, i, 16)) END) AS gram FROM t) SELECT row_id, text FROM t WHERE split = 'train' AND row_id NOT IN (SELECT row_id FROM g WHERE split = 'train' AND gram IN (SELECT gram FROM g WHERE split IN ('validation', 'test')))")
+@query(f"WITH {_VALID}, t AS (SELECT row_id, text, split FROM train JOIN valid USING (article_id) WHERE text IS NOT NULL), g AS (SELECT row_id, split, unnest(CASE WHEN length(text) < 16 THEN [text] ELSE list_transform(range(1, length(text) - 14), lambda i: substr(text, i, 16)) END) AS gram FROM t) SELECT row_id, text FROM t WHERE split = 'train' AND row_id NOT IN (SELECT row_id FROM g WHERE split = 'train' AND gram IN (SELECT gram FROM g WHERE split IN ('validation', 'test')))")
 def decontaminated_rows(spark, d):
     rows = table(spark, d, "train").where("text is not null").select("row_id", "article_id", "text").join(_valid_splits(spark, d), "article_id").where("split = 'train'")
     return rows.select("row_id", "text").join(fragment_contamination(spark, d).withColumnRenamed("id", "row_id"), "row_id", "left_anti")

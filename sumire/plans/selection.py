@@ -1 +1,175 @@
+"""Selection, sampling, mixing and verification queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from ..functions import characters as ch, hashing, text as tx
+from ..operators import corpus, integrity, selection as op
+from ..session import table
+from .corpus import SEED, _sha
+from .registry import query
+
+HIRAGANA = "".join(chr(o) for o in range(0x3041, 0x3094))
+
+
+@query("SELECT shard, row_id FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY row_id) AS k FROM train) WHERE k <= 3")
+def first_rows_per_shard(spark, d):
+    w = Window.partitionBy("shard").orderBy("row_id")
+    return table(spark, d, "train").select("shard", "row_id", F.row_number().over(w).alias("k")).where("k <= 3").drop("k")
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {_sha(SEED, 'doc_id')}, doc_id LIMIT 100")
+def hash_shuffle_head(spark, d):
+    return op.hash_sample(table(spark, d, "documents").select("doc_id"), "doc_id", SEED, 100)
+
+
+@query(f"SELECT epoch, doc_id, row_number() OVER (PARTITION BY epoch, source ORDER BY sha256('{SEED}/' || epoch || ':' || doc_id), doc_id)::INTEGER AS position FROM documents, (VALUES (1), (2)) e(epoch) WHERE source IS NOT NULL")
+def epoch_orders(spark, d):
+    docs = table(spark, d, "documents").where("source is not null").select("doc_id", "source", F.explode(F.array(F.lit(1), F.lit(2))).alias("epoch"))
+    key = F.sha2(F.concat(F.lit(SEED + "/"), "epoch", F.lit(":"), "doc_id"), 256)
+    return docs.select("epoch", "doc_id", F.row_number().over(Window.partitionBy("epoch", "source").orderBy(key, "doc_id")).alias("position"))
+
+
+@query(f"SELECT lang, source, doc_id, turn::INTEGER AS turn FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY {_sha(SEED, 'doc_id')}, doc_id) AS turn FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) ORDER BY turn, lang, source LIMIT 200")
+def stratified_round_robin(spark, d):
+    docs = table(spark, d, "documents").where("lang is not null and source is not null").select("lang", "source", "doc_id")
+    return op.round_robin(docs, ["lang", "source"], F.struct(hashing.shuffle_key(F.col("doc_id"), SEED), "doc_id"), 200)
+
+
+@query(f"SELECT doc_id, ['top', 'bottom', 'left'][((row_number() OVER (PARTITION BY source ORDER BY {_sha(SEED, 'doc_id')}, doc_id) - 1) % 3)::INTEGER + 1] AS position FROM documents")
+def balanced_assignment(spark, d):
+    order = F.struct(hashing.shuffle_key(F.col("doc_id"), SEED), F.col("doc_id"))
+    return table(spark, d, "documents").select("doc_id", op.balanced_values(None, [F.col("source")], order, ["top", "bottom", "left"]).alias("position"))
+
+
+@query("""WITH p AS (SELECT source_pdf, page, max(line_count) AS n FROM labels WHERE source_pdf IS NOT NULL GROUP BY 1, 2), e AS (SELECT *, row_number() OVER (PARTITION BY source_pdf ORDER BY page) AS i, count(*) OVER (PARTITION BY source_pdf) AS m FROM p WHERE n > 0)
+ SELECT source_pdf, page FROM e WHERE i = (m + 2) // 3 OR i = (2 * m + 2) // 3""")
+def quantile_pick(spark, d):
+    pages = table(spark, d, "labels").where("source_pdf is not null").groupBy("source_pdf", "page").agg(F.max("line_count").alias("n"))
+    return op.third_pages(pages, "source_pdf", "page", F.col("n")).select("source_pdf", "page")
+
+
+@query("SELECT image, line_id, before::BIGINT AS before FROM (SELECT image, line_id, coalesce(sum(length(text)) OVER (PARTITION BY image ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM page_lines) WHERE before < 200")
+def running_budget_prefix(spark, d):
+    rows = table(spark, d, "page_lines").select("image", "line_id", F.length("text").alias("size"))
+    return op.within_budget(rows, "image", "line_id", "size", 200).select("image", "line_id", "before")
+
+
+@query("""WITH r AS (SELECT image, line_id, bbox[4] <= 700 AS fits, source_block = 0 AS heading, row_number() OVER (PARTITION BY image ORDER BY line_id) AS i, count(*) OVER (PARTITION BY image) AS n FROM page_lines WHERE image IS NOT NULL),
+ f AS (SELECT *, coalesce(min(CASE WHEN NOT fits THEN i END) OVER (PARTITION BY image) - 1, n) AS capacity FROM r), k AS (SELECT * FROM f WHERE capacity > 0 AND i <= greatest(1, floor(capacity * 0.75)))
+ SELECT image, line_id FROM (SELECT *, max(CASE WHEN NOT heading THEN i END) OVER (PARTITION BY image) AS last FROM k) WHERE i <= last""")
+def overflow_prefix(spark, d):
+    rows = table(spark, d, "page_lines").where("image is not null").select("image", "line_id", (F.get("bbox", F.lit(3)) <= 700).alias("fits"), (F.col("source_block") == 0).alias("heading"))
+    return op.before_overflow(rows, "image", "line_id", "fits", "heading", 0.75).select("image", "line_id")
+
+
+@query()
+def paragraph_excerpts(spark, d):
+    return table(spark, d, "documents").where("text is not null").select("doc_id", op.paragraph_excerpt(F.col("text"), 400).alias("paragraphs"))
+
+
+@query("WITH s AS (SELECT user_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 6)::BIGINT AS segment, round(value * 100)::BIGINT AS cents FROM events) SELECT user_id, segment, count(*)::BIGINT AS items, sum(cents)::BIGINT AS cents FROM s GROUP BY ROLLUP (user_id, segment)")
+def segmented_subtotals(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").select("user_id", F.floor((F.row_number().over(w) - 1) / 6).alias("segment"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return rows.rollup("user_id", "segment").agg(F.count(F.lit(1)).alias("items"), F.sum("cents").alias("cents"))
+
+
+@query()
+def weighted_choices(spark, d):
+    return table(spark, d, "documents").select("doc_id", op.weighted_choice(F.col("doc_id"), SEED, {"plain": 6.0, "ruled": 3.0, "dashed": 1.0}).alias("style"))
+
+
+@query("SELECT part, 'source-' || (CASE part WHEN 'ja' THEN 0 ELSE 1 END) || '-' || doc_id AS doc_id, length(text)::INTEGER AS n FROM (SELECT lang AS part, doc_id, text FROM documents WHERE lang IN ('ja', 'en'))")
+def mixture_union(spark, d):
+    docs = table(spark, d, "documents")
+    parts = [(lang, docs.where(F.col("lang") == lang).select("doc_id", F.length("text").alias("n"))) for lang in ("ja", "en")]
+    return integrity.mixture(parts, "doc_id")
+
+
+@query("SELECT count(*) FILTER (WHERE lang = 'ja') = count(*) FILTER (WHERE lang = 'en') AS equal FROM documents")
+def mixture_counts_equal(spark, d):
+    docs = table(spark, d, "documents")
+    return integrity.equal_counts([(lang, docs.where(F.col("lang") == lang)) for lang in ("ja", "en")])
+
+
+@query("WITH p AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS character FROM train WHERE lang IS NOT NULL) SELECT character FROM p GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT lang) FROM p)")
+def characters_of_all_languages(spark, d):
+    rows = table(spark, d, "train").where("lang is not null").select("lang", F.explode(F.array_distinct(tx.characters(F.col("text")))).alias("character"))
+    return integrity.held_by_all(rows, "lang", "character")
+
+
+@query("SELECT count(*)::BIGINT AS \"rows\", count(DISTINCT doc_id)::BIGINT AS ids, count(DISTINCT text)::BIGINT AS texts FROM documents")
+def distinct_texts(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("ids"), F.count_distinct("text").alias("texts"))
+
+
+@query("""WITH h AS (SELECT lang, doc_id AS o, sha256(coalesce(text, chr(0))) AS h FROM documents), b AS (SELECT lang, floor(o / 4096) AS block, count(*) AS n, sha256(string_agg(h, '' ORDER BY o, h)) AS h FROM h GROUP BY 1, 2)
+ SELECT lang, sum(n)::BIGINT AS "rows", sha256(string_agg(h, '' ORDER BY block)) AS digest FROM b GROUP BY 1""")
+def dataset_digest(spark, d):
+    return integrity.content_digest(table(spark, d, "documents"), "doc_id", "text", ["lang"])
+
+
+def _checks():
+    return {
+        "unique_id": F.col("n") == 1,
+        "digest": F.col("sample_id") == F.sha2("text", 256),
+        "length": F.col("length") == F.length("text"),
+        "span": F.col("end_offset") - F.col("start_offset") == F.length("text"),
+        "single_line": ~F.col("text").rlike(r"[\r\n]"),
+        "anchor_inside": F.contains(F.col("text"), F.col("anchor")),
+        "has_article": F.col("article_id").isNotNull(),
+    }
+
+
+@query(r"""WITH t AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM train),
+ c AS (SELECT [n = 1, sample_id = sha256(text), "length" = length(text), end_offset - start_offset = length(text), NOT regexp_matches(text, '[\r\n]'), contains(text, anchor), article_id IS NOT NULL] AS ok FROM t)
+ SELECT "check", count(*) FILTER (WHERE NOT coalesce(ok[i], false))::BIGINT AS violations FROM c, (VALUES (1, 'unique_id'), (2, 'digest'), (3, 'length'), (4, 'span'), (5, 'single_line'), (6, 'anchor_inside'), (7, 'has_article')) k(i, "check") GROUP BY 1""")
+def verifier_violations(spark, d):
+    train = table(spark, d, "train")
+    counted = train.join(train.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")), "row_id")
+    return integrity.violations(counted, _checks())
+
+
+def _candidates(spark, d):
+    return table(spark, d, "train").where("text is not null").select(F.col("row_id").alias("id"), F.coalesce("article_id", F.concat(F.lit("row:"), "row_id")).alias("article_id"), F.col("start_offset").alias("start"), F.col("end_offset").alias("end"), "text")
+
+
+@query()
+def disjoint_excerpts(spark, d):
+    return op.disjoint_excerpts(_candidates(spark, d).select("id", "article_id", "text"), SEED).select("id", "article_id")
+
+
+@query()
+def rare_first_selection(spark, d):
+    return op.rare_first_selection(_candidates(spark, d), 3)
+
+
+@query()
+def balanced_pick(spark, d):
+    pool = table(spark, d, "train").select(F.col("row_id").alias("id"), "article_id", F.coalesce("lang", F.lit("")).alias("language"), "text").where("article_id is not null and text is not null")
+    return op.balanced_pick(pool, "“”‘’「」°éß", 20, SEED)[1]
+
+
+@query()
+def goal_collection(spark, d):
+    rows = table(spark, d, "train").where("lang = 'en' and article_id is not null")
+    hits = rows.select(F.col("row_id").alias("id"), "article_id", F.explode(tx.patterns_in(tx.english_words(F.col("text")))).alias("pattern"), hashing.shuffle_key(F.col("row_id"), SEED).alias("rank"))
+    return op.first_per_pattern(hits, 50)
+
+
+@query()
+def deficit_fill(spark, d):
+    vocabulary = spark.createDataFrame([(c,) for c in HIRAGANA + "ヰヱヵヶ"], "character string")
+    lacking = corpus.coverage(table(spark, d, "train"), vocabulary, 50)
+    return op.deficit_lines(lacking, "あいうえおかきくけこさしすせそたちつてとなにぬねの", 5, 22, SEED)
+
+
+@query()
+def deficit_substitution(spark, d):
+    counts = corpus.character_counts(table(spark, d, "train"))
+    lacking = ch.with_properties(counts.where("article_count < 2")).select("character", (2 - F.col("article_count")).alias("shortfall"), "class")
+    classes = ch.with_properties(counts.select("character")).select("character", "class")
+    donors = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
+    return op.deficit_substitutions(lacking.select("character", "shortfall"), donors, classes, SEED).select("donor_id", "position", "from", "to", "text")
