@@ -35,41 +35,50 @@ def vertical_fragments(lines: DataFrame) -> DataFrame:
     return rows.groupBy("page", "source_block", "island").agg(text.alias("text"), F.count(F.lit(1)).alias("lines"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def _stacks(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("line", ignore_index=True)
-    out, run = [], []
+_STACKED = "page string, line long, text string, lines long, x0 double, y0 double, x1 double, y1 double, orientation string"
+
+
+def _stacks(batches):
+    """Lines come sorted by page and line; only the open run is held."""
+    run, out = [], []
 
     def close():
-        rows = [run] if len(run) >= 3 else [[r] for r in run]
-        for part in rows:
+        for part in [run] if len(run) >= 3 else [[r] for r in run]:
             first = part[0]
             out.append((first.page, first.line, "".join(r.text or "" for r in part), len(part), min(r.x0 for r in part), min(r.y0 for r in part), max(r.x1 for r in part), max(r.y1 for r in part), "vertical" if len(part) > 1 else first.orientation))
         run.clear()
 
-    for r in pdf.itertuples(index=False):
-        if r.wmode != 0 or r.text is None or len(r.text) != 1:
-            close()
+    def fits(r) -> bool:
+        last, head, size = run[-1], run[0], min(run[-1].size, r.size)
+        alike = last.page == r.page and last.source_block == r.source_block and last.font == r.font
+        return alike and size > 0 and max(last.size, r.size) <= 1.2 * size and abs(head.x - r.x) <= 0.15 * size and 0.5 * size <= r.y - last.y <= 1.4 * size
+
+    def flush():
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _STACKED.split(", ")])
+        out.clear()
+        return frame
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            single = r.wmode == 0 and r.text is not None and len(r.text) == 1
+            if run and not (single and fits(r)):
+                close()
             run.append(r)
-            close()
-            continue
-        if run:
-            size = min(run[-1].size, r.size)
-            step = r.y - run[-1].y
-            fits = size > 0 and run[-1].source_block == r.source_block and run[-1].font == r.font and max(run[-1].size, r.size) <= 1.2 * size and abs(run[0].x - r.x) <= 0.15 * size and 0.5 * size <= step <= 1.4 * size
-            if not fits:
+            if not single:
                 close()
-        run.append(r)
+        yield flush()
     close()
-    return pd.DataFrame(out, columns=["page", "line", "text", "lines", "x0", "y0", "x1", "y1", "orientation"])
+    yield flush()
 
 
 def stacked_characters(lines: DataFrame) -> DataFrame:
     """Runs of at least three single characters under each other become one vertical line; others stay.
 
     lines: (page, line, source_block, text, wmode, font, orientation, x, y, size, x0..y1). A character is compared with
-    the one before and, across, with the head of its run, which no window function can do; a group is one page.
+    the one before and, across, with the head of its run, which no window function can do; pages are sorted into the
+    partitions and streamed.
     """
-    return lines.groupBy("page").applyInPandas(_stacks, "page string, line long, text string, lines long, x0 double, y0 double, x1 double, y1 double, orientation string")
+    return lines.repartition("page").sortWithinPartitions("page", "line").mapInPandas(_stacks, _STACKED)
 
 
 def visual_lines(chars: DataFrame) -> DataFrame:

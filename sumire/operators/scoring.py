@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -134,6 +135,99 @@ def weighted_distance(reference: Column, prediction: Column) -> Column:
 _EDITS = T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "reference", "prediction")), *(T.StructField(n, T.IntegerType()) for n in ("reference_index", "prediction_index"))]))
 
 
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(texts), width), np.uint32)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _marks(codes: np.ndarray) -> np.ndarray:
+    """1 for double quotation marks, 2 for single ones, 0 for the rest."""
+    return np.isin(codes, [ord(c) for c in DOUBLE_QUOTES]).astype(np.int8) + 2 * np.isin(codes, [ord(c) for c in SINGLE_QUOTES]).astype(np.int8)
+
+
+def _solid_neighbours(codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each position, the mark class of the last character before it that is no space."""
+    out, last = np.zeros_like(marks), np.zeros(len(marks), np.int8)
+    for j in range(codes.shape[1]):
+        out[:, j] = last
+        last = np.where(codes[:, j] == 0x20, last, marks[:, j])
+    return out
+
+
+def quote_weighted_distances(references: list[str], predictions: list[str]) -> np.ndarray:
+    """quote_weighted_distance of many pairs: one table whose cells are arrays over the pairs."""
+    n, m = np.array([len(t) for t in references]), np.array([len(t) for t in predictions])
+    a, b = _codes(references, int(n.max(initial=0))), _codes(predictions, int(m.max(initial=0)))
+    qa, qb = _marks(a), _marks(b)
+    left = _solid_neighbours(b, qb)
+    # Reversed rows begin with the padding, which is no space and no mark.
+    right = _solid_neighbours(b[:, ::-1], qb[:, ::-1])[:, ::-1]
+    # From here on a row is a position and its entries are the pairs, so every step reads whole rows.
+    a, b, qa, qb, left, right = (np.ascontiguousarray(x.T) for x in (a, b, qa, qb, left, right))
+    space = b == 0x20
+    double_b, single_b = qb == 1, qb == 2
+    pair_b = np.zeros_like(single_b)
+    pair_b[1:] = single_b[1:] & single_b[:-1]
+    has_left, has_right = space & (left > 0), space & (right > 0)
+    quotes_b = np.flatnonzero((qb > 0).any(axis=1))
+    quoted = set(quotes_b.tolist())
+    spaced = set(np.flatnonzero((has_left | has_right).any(axis=1)).tolist())
+    none = np.zeros(len(n), np.int8)
+    half, one = np.float32(0.5), np.float32(1)
+    out = np.zeros(len(n))
+    above2 = above = None
+    for i in range(a.shape[0] + 1):
+        row = np.empty((b.shape[0] + 1, len(n)), np.float32)
+        row[0] = i
+        back, front = (qa[i - 1] if i else none), (qa[i] if i < a.shape[0] else none)
+        marked = bool(i) and bool((qa[i - 1] > 0).any())
+        pair_a = (qa[i - 1] == 2) & (qa[i - 2] == 2) if i > 1 and marked else None
+        for j in range(1, b.shape[0] + 1):
+            k = j - 1
+            if k in spaced:
+                cheap = (has_left[k] & (left[k] == back)) | (has_right[k] & (right[k] == front))
+                best = row[k] + np.where(cheap, half, one)
+            else:
+                best = row[k] + one
+            if i:
+                swap = (a[i - 1] != b[k]).astype(np.float32)
+                if marked and k in quoted:
+                    swap[(swap > 0) & (qa[i - 1] > 0) & (qa[i - 1] == qb[k])] = half
+                np.minimum(best, above[j] + one, out=best)
+                np.minimum(best, above[k] + swap, out=best)
+                if pair_a is not None and k in quoted:
+                    best = np.where(pair_a & double_b[k], np.minimum(best, above2[k] + half), best)
+                if marked and j > 1 and k in quoted:
+                    best = np.where((qa[i - 1] == 1) & pair_b[k], np.minimum(best, above[j - 2] + half), best)
+            row[j] = best
+        ended = np.flatnonzero(n == i)
+        out[ended] = row[m[ended], ended]
+        above2, above = above, row
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _quoted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
+    out = np.full(len(reference), np.nan)
+    known = [i for i, (a, b) in enumerate(zip(reference, prediction)) if a is not None and b is not None]
+    known.sort(key=lambda i: len(reference[i]))
+    for at in range(0, len(known), 2048):
+        own = known[at : at + 2048]
+        out[own] = quote_weighted_distances([reference[i] for i in own], [prediction[i] for i in own])
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
+def weighted_distance(reference: Column, prediction: Column) -> Column:
+    """The quotation-weighted distance; without a quotation mark in the reference it is the plain one, computed in the JVM."""
+    quoted = reference.rlike("[“”\"‘’']")
+    return F.coalesce(_quoted_distance(F.when(quoted, reference), prediction), F.levenshtein(reference, prediction).cast("double"))
+
+
+_EDITS = T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "reference", "prediction")), *(T.StructField(n, T.IntegerType()) for n in ("reference_index", "prediction_index"))]))
+
+
 @F.pandas_udf(T.DoubleType())
 def _quoted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else quote_weighted_distance(a, b) for a, b in zip(reference, prediction)], dtype="float64")
@@ -279,9 +373,12 @@ def epochs_since_best(df: DataFrame, run: str, epoch: str, value: str, patience:
 
 
 def ctc_collapse(path: Column, blank: int = 0) -> Column:
-    """Token ids without repeats of the one before, then without blanks."""
-    kept = F.filter(path, lambda x, i: (i == 0) | (x != F.get(path, i - 1)))
-    return F.filter(kept, lambda x: x != blank)
+    """Token ids without repeats of the one before, then without blanks. Each id is paired with the one before it first,
+    so the path is not looked up again for every element."""
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(path, F.lit(1), F.greatest(F.lit(0), F.size(path) - 1)))
+    paired = F.zip_with(path, before, lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+    kept = F.filter(paired, lambda e: e["x"].isNotNull() & ~e["x"].eqNullSafe(e["p"]) & (e["x"] != blank))
+    return F.transform(kept, lambda e: e["x"])
 
 
 def adjacent_repeats(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import text as tx
 from ..operators import integrity, scoring as op
-from ..session import table
+from ..session import spread, table
 from .registry import query
 
 _CORRUPT = "replace(replace(replace(text, 'tt', 't'), 'ou', 'on'), ', ', ',')"
@@ -24,7 +24,7 @@ def _corrupted(text):
 
 def pairs(spark, d):
     """ASCII excerpts as references beside their corrupted copies."""
-    rows = table(spark, d, "train").where(F.col("text").rlike("^[ -~]+$"))
+    rows = spread(table(spark, d, "train")).where(F.col("text").rlike("^[ -~]+$"))
     return rows.select("row_id", "extraction", "shard", F.length("text").alias("n"), F.col("text").alias("reference"), _corrupted(F.col("text")).alias("prediction"))
 
 
