@@ -319,11 +319,14 @@ class Reader:
         self.single: dict[tuple, float] = {}
         self.exchanges: dict[tuple[str, str, bool, bool], float] = {}
 
-    def suspicious(self, texts: list[str]) -> list[bool]:
+    def suspicious(self, texts: list[str | None]) -> list[bool]:
         """Whether some swap may read each text better: one with a wide encoding by its flag, one between one-byte
         encodings by a test of every odd character in its place."""
-        wide, narrow = flags(texts)
-        return [bool(w or n and self._narrow(t)) for t, w, n in zip(texts, wide, narrow)]
+        out: list[bool] = []
+        for part in pieces_of(texts):
+            wide, narrow = flags(part)
+            out += [bool(w or n and self._narrow(t)) for t, w, n in zip(part, wide, narrow)]
+        return out
 
     def _narrow(self, text: str) -> bool:
         for m in _LATIN_ODD.finditer(text):
@@ -412,6 +415,18 @@ class Reader:
         return found
 
 
+def pieces_of(texts: list[str], size: int = 2_000_000):
+    """The list in pieces of about so many characters, in order; what array work holds at once."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield texts[start : i + 1]
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
+
+
 def trusted(text: str) -> bool:
     """Whether a flagged text can still be counted: few odd characters, no rare sign and no stretch that decodes."""
     k = kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -438,7 +453,8 @@ def _count(batches):
     _, size, _ = alphabet()
     total = np.zeros(size * size, np.int64)
     for batch in batches:
-        total += pair_counts([t for t in batch.column("text").to_pylist() if t])
+        for part in pieces_of([t for t in batch.column("text").to_pylist() if t]):
+            total += pair_counts(part)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at].astype(np.float64))], names=["a", "b", "n"])
 

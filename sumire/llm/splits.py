@@ -15,13 +15,13 @@ def document_name(path: Column) -> Column:
 
 
 def tied_records(labels: DataFrame) -> DataFrame:
-    """Labels with doc, node and component.
+    """(label_id, split_group, split, doc, node, component) of every row of labels.
 
     Documents and split groups are tied by each row that names both. A row that names one belongs to that one's
     component; a row that names neither is a component of its own (`r:` and its label_id).
     """
     doc = document_name(F.col("source_pdf"))
-    rows = labels.withColumn("doc", doc).withColumn("d", F.concat(F.lit("d:"), "doc")).withColumn("g", F.concat(F.lit("g:"), "split_group"))
+    rows = labels.select("label_id", "split_group", "split", doc.alias("doc")).withColumn("d", F.concat(F.lit("d:"), "doc")).withColumn("g", F.concat(F.lit("g:"), "split_group"))
     found = hash_to_min(rows.select(F.coalesce("d", "g").alias("a"), F.coalesce("g", "d").alias("b")).distinct(), Workspace(labels.sparkSession))
     rows = rows.withColumn("node", F.coalesce("d", "g", F.concat(F.lit("r:"), F.col("label_id").cast("string")))).drop("d", "g")
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
