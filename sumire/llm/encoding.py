@@ -59,14 +59,26 @@ class Bigrams:
     """Log probabilities of one code after another, from counts; smoothed towards the frequency of the second."""
 
     def __init__(self, counts: dict[tuple[int, int], float], weight: float = 5.0):
+        self.at = np.array(list(counts), np.int32).reshape(len(counts), 2)
+        self.n = np.maximum(0, np.fromiter(counts.values(), np.float32, len(counts)))
+        self.weight = weight
+        self._fill()
+
+    def _fill(self) -> None:
         _, size, within = alphabet()
         n = np.zeros((size, size), np.float32)
-        if counts:
-            at = np.array(list(counts), np.int64)
-            n[at[:, 0], at[:, 1]] = np.maximum(0, np.fromiter(counts.values(), np.float64, len(counts)))
+        n[self.at[:, 0], self.at[:, 1]] = self.n
         single = n.sum(0) + 0.1
         single /= single.sum()
-        self.log = np.log((n + weight * single) / (n.sum(1, keepdims=True) + weight)) + within
+        self.log = np.log((n + self.weight * single) / (n.sum(1, keepdims=True) + self.weight)) + within
+
+    def __getstate__(self):
+        """What is sent to the workers are the counts; the table is filled there."""
+        return self.at, self.n, self.weight
+
+    def __setstate__(self, state) -> None:
+        self.at, self.n, self.weight = state
+        self._fill()
 
     def score(self, text: str) -> float:
         c = codes(text)
@@ -564,9 +576,10 @@ def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5) ->
     bigrams = Bigrams(counts)
     schema = "table_name string, record_id long, source string, text string"
     odd = texts.where(F.col("text").rlike("[^\\x00-\\x7f]")).select("table_name", "record_id", "source", "text")
-    suspects = work.write(odd.mapInArrow(_suspects(spark.sparkContext.broadcast(bigrams)), schema), "suspects")
+    shared = spark.sparkContext.broadcast(bigrams)
+    suspects = work.write(odd.mapInArrow(_suspects(shared), schema), "suspects")
     sizes = work.write(records.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    proof = work.write(spread(suspects).mapInArrow(_evidence(spark.sparkContext.broadcast(bigrams)), _EVIDENCE), "evidence")
+    proof = work.write(spread(suspects).mapInArrow(_evidence(shared), _EVIDENCE), "evidence")
     work.drop("suspects")
     thin = ["table_name", "record_id", "source", "swap"]
     # Flagged texts were never counted, so only one-letter ciphers change the bigrams and change with them.
