@@ -75,3 +75,33 @@ def uncovered_grid(rows: DataFrame, left: DataFrame, right: DataFrame, a: str, b
     wanted = left.select(a).distinct().crossJoin(F.broadcast(right.select(b).distinct()))
     there = rows.select(a, b).distinct()
     return wanted.join(there, [a, b], "left_anti").withColumn("problem", F.lit("missing")).unionByName(there.join(wanted, [a, b], "left_anti").withColumn("problem", F.lit("unexpected")))
+
+
+def prefix_mismatches(written: DataFrame, planned: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """(order, problem): rows already written that the plan lacks or states otherwise; what a resumed run must not have."""
+    w = written.select(order, F.struct(*columns).alias("w"))
+    p = planned.select(order, F.struct(*columns).alias("p"))
+    rows = w.join(p, order, "left")
+    problem = F.when(F.col("p").isNull(), "unplanned").when(~F.col("w").eqNullSafe(F.col("p")), "different")
+    return rows.select(order, problem.alias("problem")).where("problem is not null")
+
+
+def checked_records(listed: DataFrame, records: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, problem): listed keys without record, and records whose value differs from the list's."""
+    a, b = listed.select(key, F.col(value).alias("a")), records.select(key, F.col(value).alias("b"), F.lit(True).alias("there"))
+    problem = F.when(F.col("there").isNull(), "missing").when(~F.col("a").eqNullSafe(F.col("b")), "different")
+    return a.join(b, key, "left").select(key, problem.alias("problem")).where("problem is not null")
+
+
+def checked_exclusions(names: list[str]) -> list[str]:
+    """Sorted names of an exclusion list: unique base names that end in .pdf; anything else is a ValueError."""
+    if len(set(names)) != len(names) or any(not n.endswith(".pdf") or "/" in n or "\\" in n for n in names):
+        raise ValueError("exclusions are unique .pdf base names")
+    return sorted(names)
+
+
+def positive(**counts: int) -> None:
+    """Reject counts that are not positive integers, by name."""
+    for name, n in counts.items():
+        if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+            raise ValueError(f"{name} must be a positive integer")

@@ -384,3 +384,20 @@ def ctc_collapse(path: Column, blank: int = 0) -> Column:
 def adjacent_repeats(text: Column) -> Column:
     """Characters equal to the one before."""
     return F.regexp_count(text, F.lit(r"(?s)(.)(?=\1)"))
+
+
+def otsu_levels(histogram: DataFrame, image: str, level: str, n: str) -> DataFrame:
+    """(image, level): the level that splits each image's histogram into two classes of the greatest variance between
+    them; the least such level if there are several, null if all pixels have one level."""
+    w = Window.partitionBy(image).orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(image)
+    rows = histogram.groupBy(image, level).agg(F.sum(n).alias("n_")).withColumn("below", F.sum("n_").over(w)).withColumn("mass", F.sum(F.col("n_") * F.col(level)).over(w)).withColumn("all_", F.sum("n_").over(whole)).withColumn("all_mass", F.sum(F.col("n_") * F.col(level)).over(whole))
+    rest = F.col("all_") - F.col("below")
+    gap = F.col("mass") * rest - (F.col("all_mass") - F.col("mass")) * F.col("below")
+    between = F.when(rest > 0, gap.cast("double") * gap / (F.col("below").cast("double") * rest))
+    return rows.withColumn("between_", between).groupBy(image).agg(F.max(F.when(F.col("between_") > 0, F.struct(F.col("between_").alias("b"), (-F.col(level)).alias("l")))).alias("x")).select(image, (-F.col("x.l")).alias(level))
+
+
+def length_group(low: Column, high: Column) -> Column:
+    """Name of a grid's length condition; any other pair of bounds is an error."""
+    return F.when((low == 5) & (high == 5), "short5").when((low == 20) & (high == 25), "normal").when((low == 80) & (high == 80), "long80").otherwise(F.raise_error(F.lit("unknown length condition")).cast("string"))

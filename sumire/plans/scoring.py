@@ -206,3 +206,12 @@ def ctc_collapse(spark, d):
 @query("SELECT row_id, len(list_filter(range(2, length(text) + 1), lambda i: substr(text, i, 1) = substr(text, i - 1, 1)))::INTEGER AS repeats FROM train")
 def adjacent_repeats(spark, d):
     return table(spark, d, "train").select("row_id", op.adjacent_repeats(F.col("text")).alias("repeats"))
+
+
+@query("""WITH h AS (SELECT l_suppkey AS image, l_quantity::BIGINT AS level, count(*) AS n FROM lineitem GROUP BY 1, 2),
+ c AS (SELECT *, sum(n) OVER w AS below, sum(n * level) OVER w AS mass, sum(n) OVER (PARTITION BY image) AS total, sum(n * level) OVER (PARTITION BY image) AS total_mass FROM h WINDOW w AS (PARTITION BY image ORDER BY level)),
+ b AS (SELECT image, level, CASE WHEN total > below THEN (mass * (total - below) - (total_mass - mass) * below)::DOUBLE * (mass * (total - below) - (total_mass - mass) * below) / (below::DOUBLE * (total - below)) END AS between_ FROM c)
+ SELECT image, level FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY between_ DESC NULLS LAST, level) AS k FROM b) WHERE k = 1""")
+def otsu_levels(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_quantity").cast("long").alias("level"), F.lit(1).alias("n"))
+    return op.otsu_levels(rows, "image", "level", "n")

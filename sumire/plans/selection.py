@@ -173,3 +173,46 @@ def deficit_substitution(spark, d):
     classes = ch.with_properties(counts.select("character")).select("character", "class")
     donors = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
     return op.deficit_substitutions(lacking.select("character", "shortfall"), donors, classes, SEED).select("donor_id", "position", "from", "to", "text")
+
+
+_NAME = r"nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '')"
+
+
+@query(f"""WITH a AS (SELECT {_NAME} AS document, max(page)::INTEGER AS pages FROM labels WHERE {_NAME} IS NOT NULL GROUP BY 1), b AS (SELECT {_NAME} AS document, max(page)::INTEGER AS pages FROM page_lines WHERE {_NAME} IS NOT NULL GROUP BY 1)
+ SELECT a.document, CASE WHEN b.document IS NULL THEN 'missing' ELSE 'different' END AS problem FROM a LEFT JOIN b ON a.document = b.document WHERE b.document IS NULL OR a.pages IS DISTINCT FROM b.pages""")
+def record_consistency(spark, d):
+    def pages(name):
+        document = F.nullif(tx.basename(F.col("source_pdf")), F.lit(""))
+        return table(spark, d, name).select(document.alias("document"), "page").where("document is not null").groupBy("document").agg(F.max("page").alias("pages"))
+
+    return integrity.checked_records(pages("labels"), pages("page_lines"), "document", "pages")
+
+
+@query("SELECT lower(trim(text)) AS text FROM train INTERSECT SELECT lower(trim(reference)) FROM real_references")
+def normalized_intersection(spark, d):
+    a = table(spark, d, "train").select(F.lower(F.trim("text")).alias("text"))
+    return a.intersect(table(spark, d, "real_references").select(F.lower(F.trim("reference")).alias("text")))
+
+
+@query("SELECT DISTINCT image FROM labels WHERE img_hash NOT IN (SELECT image_sha256 FROM real_references WHERE image_sha256 IS NOT NULL) AND img_hash IS NOT NULL")
+def hash_membership(spark, d):
+    known = table(spark, d, "real_references").select(F.col("image_sha256").alias("img_hash")).where("img_hash is not null").distinct()
+    return table(spark, d, "labels").where("img_hash is not null").join(known, "img_hash", "left_anti").select("image").distinct()
+
+
+@query("SELECT source_pdf, array_to_string(list_sort(list(DISTINCT font_name)), ',') AS fonts FROM page_lines WHERE source_pdf IS NOT NULL AND font_name IS NOT NULL GROUP BY 1")
+def fonts_of_documents(spark, d):
+    rows = table(spark, d, "page_lines").where("source_pdf is not null and font_name is not null")
+    return rows.groupBy("source_pdf").agg(F.array_join(F.array_sort(F.collect_set("font_name")), ",").alias("fonts"))
+
+
+@query("SELECT row_id, len(ids)::INTEGER AS length, list_sum(ids)::BIGINT AS total, len(list_filter(ids, lambda x: x = 0))::INTEGER AS blanks FROM (SELECT row_id, list_transform(string_split(text, ''), lambda c: strpos('abcdefghijklmnopqrstuvwxyz .,', c)) AS ids FROM train WHERE lang = 'en')")
+def encoded_texts(spark, d):
+    rows = table(spark, d, "train").where("lang = 'en'").select("row_id", tx.encode(F.col("text"), "abcdefghijklmnopqrstuvwxyz .,").alias("ids"))
+    return rows.select("row_id", F.size("ids").alias("length"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size(F.filter("ids", lambda x: x == 0)).alias("blanks"))
+
+
+@query("SELECT w.row_id, 'different' AS problem FROM train w JOIN train p USING (row_id) WHERE w.text IS DISTINCT FROM p.text OR w.\"length\" IS DISTINCT FROM length(p.text)")
+def resume_prefix_check(spark, d):
+    train = table(spark, d, "train")
+    return integrity.prefix_mismatches(train.select("row_id", "text", "length"), train.select("row_id", "text", F.length("text").alias("length")), "row_id", ["text", "length"])

@@ -34,8 +34,8 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 def label_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(image, value...): the entries of one JSON object {image: value}, `value` being the values' struct type."""
-    raw = spark.read.option("wholetext", True).text(path)
-    entries = raw.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("image", "v"))
+    raw = spark.read.text(path, wholetext=True)
+    entries = raw.select(F.explode(F.from_json("value", f"map<string,{value}>", {"mode": "FAILFAST"})).alias("image", "v"))
     return entries.select("image", "v.*")
 
 
@@ -52,7 +52,7 @@ def code_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(sequence, fields): files of `;`-separated fields whose first is a list of hex code points; # starts a comment."""
     body = F.trim(F.regexp_replace("value", "#.*$", ""))
     rows = text_lines(spark, path).select(body.alias("b")).where("b <> ''").select(F.split("b", r"\s*;\s*").alias("fields"))
-    chars = F.transform(F.split(F.col("fields")[0], r"\s+"), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32BE"))
+    chars = F.transform(F.split(F.col("fields")[0], r"\s+"), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32"))
     return rows.select(F.array_join(chars, "").alias("sequence"), F.slice("fields", 2, 100).alias("fields"))
 
 

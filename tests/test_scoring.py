@@ -1,0 +1,134 @@
+import itertools
+
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from sumire.operators import scoring as op
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_alignment_has_as_many_edits_as_the_distance():
+    words = ["".join(w) for n in range(4) for w in itertools.product("AB", repeat=n)]
+    for a in words:
+        for b in words:
+            events = op.alignment(a, b)
+            assert len(events) == plain_distance(a, b)
+            for kind, x, y, i, j in events:
+                assert (kind == "insertion" or a[i] == x) and (kind == "deletion" or b[j] == y)
+
+
+@pytest.mark.parametrize("a,b,event", [("ABC", "AXC", ("substitution", "B", "X", 1, 1)), ("ABC", "AC", ("deletion", "B", "", 1, 1)), ("AC", "ABC", ("insertion", "", "B", 1, 1))])
+def test_alignment_of_single_edits(a, b, event):
+    assert op.alignment(a, b) == [event]
+
+
+@pytest.mark.parametrize(
+    "a,b,cost",
+    [
+        ("a“b", "a “ b", 1.0), ("a“b", "a”b", 0.5), ("a“b", "a‘b", 1.0), ("“", "‘’", 0.5), ("‘’", "“", 0.5), ("“", "‘’’", 1.5), ("“", "‘’’’", 2.5), ("ab", "a b", 1.0),
+        ("", "", 0.0), ("", "ab", 2.0), ("ab", "", 2.0), ("a’b", "a ’b", 0.5),
+    ],
+)
+def test_quote_weights(a, b, cost):
+    assert op.quote_weighted_distance(a, b) == cost
+    assert op.quote_weighted_distances([a], [b])[0] == cost
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab “”\"‘’'", max_size=8), st.text("ab “”\"‘’'", max_size=8)), min_size=1, max_size=20))
+def test_array_distances_equal_single_ones(pairs):
+    got = op.quote_weighted_distances([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [op.quote_weighted_distance(a, b) for a, b in pairs]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7))
+def test_without_quotes_the_weighted_distance_is_the_plain_one(a, b):
+    assert op.quote_weighted_distance(a, b) == plain_distance(a, b) == op.quote_weighted_distance(b, a)
+
+
+@pytest.mark.parametrize("a,b,kept", [("1.感度", "1. 感度", "1.感度"), ("a,b", "a, b", "a, b"), ("(a)(b)", "(a) (b)", "(a)(b)"), ("x(a)", "x (a)", "x(a)"), ("a. b", "a. b", "a. b"), ("a.b", "a.  b", "a. b"), ("(a)", "( a)", "( a)")])
+def test_excused_spaces(a, b, kept):
+    assert op.without_free_spaces(a, b) == kept
+
+
+def test_totals_and_rates(spark):
+    df = spark.createDataFrame([("ab", "ab"), ("abc", "x"), ("", "")], "reference string, prediction string")
+    row = op.with_rates(op.totals(df, [])).first()
+    assert (row.samples, row.exact_matches, row.character_errors, row.reference_characters) == (3, 2, 3, 5)
+    assert row.cer == 0.6
+
+
+def test_cer_may_exceed_one_and_is_null_without_references(spark):
+    df = spark.createDataFrame([("a", "a", "bcdef"), ("b", "", "")], "k string, reference string, prediction string")
+    got = {r.k: r.cer for r in op.with_rates(op.totals(df, ["k"])).collect()}
+    assert got == {"a": 5.0, "b": None}
+
+
+def test_confusion_rates(spark):
+    df = spark.createDataFrame([("AAB", "AXB"), ("AB", "ABC"), ("B", "")], "reference string, prediction string")
+    got = {(r.kind, r.reference, r.prediction): (r["count"], r.reference_occurrences, r.rate) for r in op.confusions(df).collect()}
+    assert got == {("substitution", "A", "X"): (1, 3, 1 / 3), ("insertion", "", "C"): (1, None, None), ("deletion", "B", ""): (1, 3, 1 / 3)}
+
+
+def test_sequence_rates(spark):
+    df = spark.createDataFrame([("office staff skiing", "offce staf sking"), (None, "x")], "reference string, prediction string")
+    got = {r.pattern: r for r in op.sequence_rates(df).collect()}
+    assert (got["ff"].occurrences, got["ff"].deleted_occurrences, got["ff"].deletion_rate) == (2, 1, 0.5)
+    assert got["tt"].occurrences == 0 and got["tt"].deletion_rate is None
+
+
+def test_checked_pairs(spark):
+    refs = spark.createDataFrame([("a", "x", True), ("b", "y", False), ("c", "z", True), ("c", "z", True)], "image string, reference string, reference_verified boolean")
+    preds = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z"), ("d", "q")], "image string, prediction string")
+    assert {r.image: r.problem for r in op.checked_pairs(refs, preds).collect()} == {"a": None, "b": "unverified", "c": "duplicate", "d": "missing"}
+
+
+def test_detection_zero_bases(spark):
+    df = spark.createDataFrame([("m", 4, 5, 5), ("m", 4, 5, 5), ("z", 0, 0, 0)], "model string, matches long, ground_truth long, predictions long")
+    got = {r.model: (r.pages, r.recall, r.precision, r.f1) for r in op.detection_scores(df, ["model"]).collect()}
+    assert got == {"m": (2, 0.8, 0.8, 0.8), "z": (1, 0.0, 0.0, 0.0)}
+
+
+def test_three_conventions_for_empty(spark):
+    df = spark.createDataFrame([("a", 0.9, False, 4, None)], "k string, probability double, inside boolean, pixels long, v double")
+    row = op.region_metrics(df, ["k"]).first()
+    assert (row.pixels, row.mean_probability, row.fraction_at_05) == (0, None, None)
+    assert df.select(op.simple_f1(F.lit(0), F.lit(0), F.lit(0)).alias("f")).first().f == 1.0
+    parts = spark.createDataFrame([("a", 10, 0.5), ("a", 30, None), ("a", 10, 1.0)], "k string, pixels long, v double")
+    assert op.weighted_merge(parts, ["k"], "v").first().v == pytest.approx(15 / 50)
+
+
+@pytest.mark.parametrize("path,out", [([1, 1, 0, 1, 2, 2, 0, 2], [1, 1, 2, 2]), ([0, 0], []), ([], []), ([1, 1], [1]), ([3], [3])])
+def test_ctc(spark, path, out):
+    df = spark.createDataFrame([(path,)], "p array<int>")
+    assert df.select(op.ctc_collapse(F.col("p")).alias("r")).first().r == out
+
+
+def test_best_is_the_first_minimum(spark):
+    df = spark.createDataFrame([("r", i, v) for i, v in enumerate([3.0, 1.0, 2.0, 1.0, 2.0])], "run string, epoch int, value double")
+    rows = op.epochs_since_best(df, "run", "epoch", "value", 3).orderBy("epoch").collect()
+    assert [(r.best_epoch, r.stop) for r in rows] == [(0, False), (1, False), (1, False), (1, False), (1, True)]
+
+
+def test_otsu(spark):
+    rows = [("a", v, 10) for v in (1, 2, 3)] + [("a", v, 10) for v in (200, 201)] + [("b", 7, 3)]
+    got = {r.image: r.level for r in op.otsu_levels(spark.createDataFrame(rows, "image string, level int, n int"), "image", "level", "n").collect()}
+    assert got == {"a": 3, "b": None}
+
+
+def test_length_groups(spark):
+    ok = spark.createDataFrame([(5, 5), (20, 25), (80, 80)], "a int, b int")
+    assert [r.g for r in ok.select(op.length_group(F.col("a"), F.col("b")).alias("g")).collect()] == ["short5", "normal", "long80"]
+    with pytest.raises(Exception, match="length condition"):
+        spark.createDataFrame([(5, 25)], "a int, b int").select(op.length_group(F.col("a"), F.col("b"))).collect()
