@@ -246,39 +246,45 @@ def _pieces(text: str, wrong: str) -> list[tuple[int, str, bytes]]:
     return list(_wide_runs(text, wrong))
 
 
+def _aligned(piece: str, raw: bytes, wrong: str, right: str):
+    """(start, end, bytes, whole) of the stretches of a piece that are whole units of `right` and whole characters of
+    `wrong`; whole is the stretch with what was cut off at its ends."""
+    index = None
+    for m in _STRETCH[right].finditer(raw):
+        a, b = m.span()
+        if index is None:
+            index = {o: i for i, o in enumerate(_offsets(piece, wrong))}
+        if wrong in WRONG_WIDE:
+            # A stretch begins and ends between characters; one that is cut in two belongs to the text beside it.
+            cuts = [c for c in [*(u.start() for u in _UNITS[right].finditer(raw, a, b)), b] if c in index]
+            if len(cuts) < 2:
+                continue
+            a, b = cuts[0], cuts[-1]
+        yield index[a], index[b], raw[a:b], m[0]
+
+
 def _stretches(pieces: list, wrong: str, right: str) -> list[tuple[int, int, str]]:
-    found = []
+    """(start, end, original) of the stretches that can be strings of `right` read as `wrong`."""
     wide = wrong in WRONG_WIDE
-    if wide and right == "utf_8":
-        # Ideographs alone prove nothing; they count only beside a stretch with kana.
-        stretches = [m[0] for _, _, raw in pieces for m in _STRETCH[right].finditer(raw)]
-        any_kana = any(_KANA.search(x) for x in stretches) and sum(len(x) for x in stretches if len(x) >= 6 or _KANA.search(x)) >= 10
+    unicode_in_wide = wide and right == "utf_8"
+    found = []
     for start, piece, raw in pieces:
-        if not _NEEDED[right].search(raw) and not (wide and right == "utf_8"):
+        if not unicode_in_wide and not _NEEDED[right].search(raw):
             continue
-        where = index = None
-        for m in _STRETCH[right].finditer(raw):
-            a, b = m.span()
-            if not _NEEDED[right].search(raw, a, b) and not (wide and right == "utf_8"):
-                continue
-            if wide and right == "utf_8":
-                if not (b - a == 2 and len(piece) <= 3) and not (any_kana and (b - a >= 6 or _KANA.search(raw, a, b))):
-                    continue
-            elif wide and b - a < 6:
-                continue
-            if where is None:
-                where = _offsets(piece, wrong)
-                index = {o: i for i, o in enumerate(where)}
-            if wide:
-                # A stretch begins and ends between characters; one that is cut in two belongs to the text beside it.
-                cuts = [c for c in [*(u.start() for u in _UNITS[right].finditer(raw, a, b)), b] if c in index]
-                if len(cuts) < 2:
-                    continue
-                a, b = cuts[0], cuts[-1]
-            original = _decoded(raw[a:b], right)
-            if original and original != piece[index[a] : index[b]]:
-                found.append((start + index[a], start + index[b], original))
-    return found
+        for a, b, own, whole in _aligned(piece, raw, wrong, right):
+            if unicode_in_wide or _NEEDED[right].search(whole) and not (wide and len(whole) < 6):
+                kana = bool(_KANA.search(whole if len(own) >= 6 else own))
+                found.append((start + a, start + b, own, kana, len(piece)))
+    if unicode_in_wide:
+        # A few decodable bytes in a long text are chance: together they must hold kana and be thirty bytes or a fifth of
+        # all. A letter of two bytes between ASCII stands on its own.
+        strong = [x for x in found if len(x[2]) >= 6 or x[3]]
+        total = sum(len(x[2]) for x in strong)
+        if not any(x[3] for x in strong) or total < 30 and 5 * total < sum(len(raw) for _, _, raw in pieces):
+            strong = []
+        found = strong + [x for x in found if len(x[2]) == 2 and x[4] <= 3]
+    decoded = ((a, b, _decoded(own, right)) for a, b, own, _, _ in found)
+    return sorted((a, b, t) for a, b, t in decoded if t)
 
 
 def all_spans(text: str) -> dict[tuple[str, str], list[tuple[int, int, str]]]:
@@ -562,7 +568,7 @@ def posteriors(evidence: DataFrame, sizes: DataFrame, work: Workspace, rounds: i
         rows = rows.drop("share", "posterior").join(shares, ["source", "swap"])
 
 
-def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.5) -> DataFrame:
+def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.7) -> DataFrame:
     """(table_name, record_id, swap, posterior, original) of the garbled rows of records (table_name, record_id, source, text).
 
     `original` is the restored text; characters that the wrong reading lost stay U+FFFD. Null and empty texts and
