@@ -17,6 +17,8 @@ DIMS = TEXT_DIMS + ANCHOR_DIMS
 BATCHES = 4
 #: Bits of the signature that marks families of similar texts.
 FAMILY_BITS = 20
+#: Rows of a cluster that are ranked in one task.
+RANKED = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,8 +136,8 @@ def varied_subset(train: DataFrame, size: int, k: int = 64) -> DataFrame:
     of large articles come later, by the square root of the article's rows over the mean. Ties go by hash and row_id.
     Null texts are never chosen; null articles count as one article each row.
 
-    The two rankings keep at most the largest quota of each group before and after the shuffle, and that is at most
-    `size`.
+    Rankings meet bounded groups: a score threshold cuts large families first, large clusters are ranked in parts, and
+    each part keeps at most the largest quota, which is at most `size`.
     """
     work = Workspace(train.sparkSession)
     rows = spread(train.where("text is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("article_id").cast("string").alias("article_id"), "text", F.col("anchor").cast("string").alias("anchor")))
@@ -148,13 +150,21 @@ def varied_subset(train: DataFrame, size: int, k: int = 64) -> DataFrame:
     mean = articles.agg(F.avg("n").alias("mean"))
     weights = articles.crossJoin(F.broadcast(mean)).select("article_id", F.least(F.lit(1.0), F.sqrt(F.col("mean") / F.col("n"))).alias("w"))
     u = (F.pmod(F.xxhash64(F.lit("pick"), "row_id"), F.lit(1 << 40)) + 1) / float(1 << 40)
-    scored = labelled.join(weights, "article_id", "left").withColumn("score", u / F.coalesce("w", F.lit(1.0)))
-    turns = scored.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "family").orderBy("score", "row_id"))).where(F.col("turn") <= most)
-    ranked = turns.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("turn", "score", "row_id"))).where(F.col("rank") <= most)
-    quota = F.lit(0)
-    for c, n in slots.items():
-        quota = F.when(F.col("cluster") == c, F.lit(n)).otherwise(quota)
-    own = F.element_at(F.create_map(*[x for c, n in slots.items() for x in (F.lit(c), F.lit(n))]), F.col("cluster")) if slots else quota
+    scored = labelled.join(weights, "article_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0))).withColumn("score", u / F.col("w"))
+    # Of a large family only the rows below a score are ranked: about four times as many as could be chosen.
+    families = scored.groupBy("cluster", "family").agg(F.count(F.lit(1)).alias("n_"), F.sum("w").alias("mass_"))
+    near = scored.join(families, ["cluster", "family"]).where((F.col("n_") <= 4 * most + 20) | (F.col("score") * F.col("mass_") < 4 * most + 20))
+    turns = near.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "family").orderBy("score", "row_id"))).where(F.col("turn") <= most)
+    # A large cluster is ranked in parts of about RANKED rows first; the best of all are among the best of the parts.
+    order = ["turn", "score", "row_id"]
+    if slots:
+        parts = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(1 + n // RANKED))]), F.col("cluster"))
+        own = F.element_at(F.create_map(*[x for c, n in slots.items() for x in (F.lit(c), F.lit(n))]), F.col("cluster"))
+    else:
+        parts, own = F.lit(1), F.lit(0)
+    part = turns.withColumn("part", F.pmod(F.xxhash64("row_id"), parts))
+    first = part.withColumn("rank", F.row_number().over(Window.partitionBy("cluster", "part").orderBy(*order))).where(F.col("rank") <= most)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where(F.col("rank") <= most)
     return ranked.where(F.col("rank") <= own).select("row_id", "article_id", "cluster", "family", "rank")
 
 
