@@ -72,7 +72,7 @@ def manifest_differences(expected: dict[str, str], actual: dict[str, str]) -> li
 
 def uncovered_grid(rows: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, problem): combinations of the two parameter lists that rows lack, and combinations in rows outside them."""
-    wanted = left.select(a).distinct().crossJoin(F.broadcast(right.select(b).distinct()))
+    wanted = left.select(a).distinct().crossJoin(right.select(b).distinct())
     there = rows.select(a, b).distinct()
     return wanted.join(there, [a, b], "left_anti").withColumn("problem", F.lit("missing")).unionByName(there.join(wanted, [a, b], "left_anti").withColumn("problem", F.lit("unexpected")))
 

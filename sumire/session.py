@@ -64,3 +64,12 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete every intermediate table in the shared folder, once no result that reads them is still needed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "work-*")) or []:
+        fs.delete(status.getPath(), True)
