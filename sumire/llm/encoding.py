@@ -2,9 +2,9 @@
 
 A code-page swap (bytes of encoding T read as W) is a substitution cipher: each wrong character stands for a byte, each
 byte or byte sequence for a letter. Which swap a record went through is unknown. Expectation-maximisation learns, per
-source, how probable each swap is, and with it the language's own character bigrams, from which the garbled share is
-taken out again in each round. A record is garbled when the swaps' posterior outweighs that of the text as it stands.
-One-byte ciphers are applied with translate(); byte sequences are decoded.
+source, which letter each odd symbol stands for and how probable each swap is, and with that the language's own character
+bigrams, from which the garbled share is taken out again in each round. A record is garbled when the swaps' posterior
+outweighs that of the text as it stands. One-byte ciphers are applied with translate(); byte sequences are decoded.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -400,8 +401,11 @@ class Reader:
             total += self.exchanges[at]
         return total
 
-    def hypotheses(self, text: str) -> list[tuple[str, float, str]]:
-        """(swap, log likelihood ratio to the text as it stands, original); a swap may be followed by others."""
+    def hypotheses(self, text: str, learned: dict[str, str] | None = None) -> list[tuple[str, float, str]]:
+        """(swap, log likelihood ratio to the text as it stands, original); a swap may be followed by others.
+
+        `learned` is the cipher learned for the text's source; characters it does not hold stand for themselves.
+        """
         found = []
         if "�" in text:
             found.append(("lost", 40.0, text))
@@ -420,6 +424,12 @@ class Reader:
             return found
         places = [m.start() for m in _LATIN_ODD.finditer(text)]
         odd = sorted({ord(text[i]) for i in places})
+        if learned and any(chr(o) in learned for o in odd):
+            self.single.clear()
+            g, original = self.apply_narrow(text, places, {o: learned.get(chr(o), chr(o)) for o in odd})
+            self.single.clear()
+            if g > 0:
+                found.append(("learned", g, original))
         readings = set()
         for w, t in NARROW_KEYS:
             table = cipher(w, t)
@@ -486,6 +496,90 @@ def _suspects(shared):
     return run
 
 
+# --- ciphers learned from a source's own text ---------------------------------------------------------------------
+_CONTEXTS = "source string, left string, symbol string, right string, n long"
+
+
+def _contexts(batches):
+    """How often each odd character stands between which neighbours, of texts that no wide swap can have garbled."""
+    for batch in batches:
+        count: dict[tuple[str, str, str, str], int] = {}
+        texts = batch.column("text").to_pylist()
+        for source, text, wide in zip(batch.column("source").to_pylist(), texts, flags(texts)[0]):
+            if not wide:
+                for m in _LATIN_ODD.finditer(text):
+                    i = m.start()
+                    at = (source, text[i - 1 : i], text[i], text[i + 1 : i + 2])
+                    count[at] = count.get(at, 0) + 1
+        keys = list(count)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([count[k] for k in keys], pa.int64())], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
+
+
+def letters_of(counts: dict[tuple[int, int], float], least: float = 1e-3) -> list[str]:
+    """Letters and quotation marks beyond ASCII that make up at least that share of all such characters counted."""
+    code, size, _ = alphabet()
+    single = np.zeros(size)
+    for (_, b), n in counts.items():
+        single[b] += n
+    chars = [chr(o) for o in (*range(0xAA, 0x250), *range(0x2010, 0x2040)) if chr(o).isalpha() or chr(o) in "‘’“”„‚«»–—…°"]
+    whole = sum(single[code[ord(c)]] for c in chars)
+    return [c for c in chars if whole and single[code[ord(c)]] >= least * whole]
+
+
+def learn_cipher(contexts: list[tuple[str, str, str, float]], bigrams: Bigrams, letters: list[str], rounds: int = 12) -> dict[str, tuple[str, float]]:
+    """symbol -> (letter, probability): what each odd symbol of a source stands for, by expectation-maximisation.
+
+    contexts are (left, symbol, right, n). The hidden letter of a symbol has the prior probability that the known code
+    pages give it (any letter has a little, the symbol itself half); the bigrams of the language score it between its
+    neighbours. E step: the letter's posterior in every context. M step: the symbol's letters over all its contexts.
+    Symbols that are letters of the language are left to the code pages: they are no sign of a cipher by themselves.
+    """
+    symbols = sorted({x for _, x, _, _ in contexts} - set(letters))
+    code = alphabet()[0]
+    of = lambda c: int(code[ord(c)]) if c else 0
+    found = {}
+    for x in symbols:
+        own = [c for c in contexts if c[1] == x]
+        options = [x, *(y for y in letters if y != x)]
+        known = [cipher(w, t).get(ord(x)) for w, t in NARROW_KEYS]
+        prior = np.array([0.5] + [0.05 / len(options) + 0.45 * known.count(y) / max(1, len(known)) for y in options[1:]])
+        prior /= prior.sum()
+        ys = np.array([of(y) for y in options])
+        fit = np.array([bigrams.log[of(left), ys] + bigrams.log[ys, of(right)] for left, _, right, _ in own], np.float64)
+        n = np.array([c[3] for c in own], np.float64)
+        theta = prior
+        for _ in range(rounds):
+            odds = np.log(theta) + fit
+            weight = np.exp(odds - odds.max(axis=1, keepdims=True))
+            weight /= weight.sum(axis=1, keepdims=True)
+            theta = n @ weight + prior
+            theta /= theta.sum()
+        best = int(theta.argmax())
+        if best:
+            found[x] = (options[best], float(theta[best]))
+    return found
+
+
+def _learn(shared, letters):
+    def run(pdf):
+        contexts = list(zip(pdf.left, pdf.symbol, pdf.right, pdf.n))
+        rows = [(pdf.source.iloc[0], x, y, p) for x, (y, p) in learn_cipher(contexts, shared.value, letters).items()]
+        return pd.DataFrame(rows, columns=["source", "symbol", "letter", "probability"])
+
+    return run
+
+
+def learned_ciphers(suspects: DataFrame, shared, letters: list[str], certain: float = 0.8) -> DataFrame:
+    """(source, cipher): the letters that the symbols of each source stand for, where that is certain enough.
+
+    Contexts are counted before they are shuffled; a source reaches its task as distinct contexts (at most alphabet
+    squared times symbols), however large it is.
+    """
+    contexts = suspects.select("source", "text").mapInArrow(_contexts, _CONTEXTS).groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
+    tables = contexts.groupBy("source").applyInPandas(_learn(shared, letters), "source string, symbol string, letter string, probability double")
+    return tables.where(F.col("probability") >= certain).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "letter"))).alias("cipher"))
+
+
 _EVIDENCE = "table_name string, record_id long, source string, swap string, gain double, text string, original string"
 
 
@@ -496,9 +590,9 @@ def _evidence(shared):
         reader = Reader(shared.value)
         for batch in batches:
             rows = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, (text, learned) in enumerate(zip(batch.column("text").to_pylist(), batch.column("cipher").to_pylist())):
                 best: dict[str, tuple[float, str]] = {}
-                for swap, g, original in reader.hypotheses(text):
+                for swap, g, original in reader.hypotheses(text, dict(learned) if learned else None):
                     if g > best.get(swap, (0.0, ""))[0]:
                         best[swap] = (g, original)
                 rows += [(i, swap, g, original) for swap, (g, original) in best.items()]
@@ -568,7 +662,7 @@ def posteriors(evidence: DataFrame, sizes: DataFrame, work: Workspace, rounds: i
         rows = rows.drop("share", "posterior").join(shares, ["source", "swap"])
 
 
-def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.7) -> DataFrame:
+def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.65) -> DataFrame:
     """(table_name, record_id, swap, posterior, original) of the garbled rows of records (table_name, record_id, source, text).
 
     `original` is the restored text; characters that the wrong reading lost stay U+FFFD. Null and empty texts and
@@ -585,7 +679,8 @@ def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.7) ->
     shared = spark.sparkContext.broadcast(bigrams)
     suspects = work.write(odd.mapInArrow(_suspects(shared), schema), "suspects")
     sizes = work.write(records.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    proof = work.write(spread(suspects).mapInArrow(_evidence(shared), _EVIDENCE), "evidence")
+    ciphers = work.write(learned_ciphers(suspects, shared, letters_of(counts)), "ciphers")
+    proof = work.write(spread(suspects.join(ciphers, "source", "left")).mapInArrow(_evidence(shared), _EVIDENCE), "evidence")
     work.drop("suspects")
     thin = ["table_name", "record_id", "source", "swap"]
     # Flagged texts were never counted, so only one-letter ciphers change the bigrams and change with them.

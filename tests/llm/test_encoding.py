@@ -97,3 +97,21 @@ def test_extra_columns_do_not_matter(spark):
     docs = spark.createDataFrame([(1, "s", "plain", "x", 1.0)], "doc_id long, source string, text string, table_name string, posterior double")
     lines = spark.createDataFrame([(1, "F", True, "plain", "y")], "line_id long, font_name string, to_unicode boolean, text string, record_id string")
     assert en.garbled(en.documents_and_lines(docs, lines)).count() == 0
+
+
+def test_a_cipher_is_learned_without_its_code_page(reader):
+    """A swap that no known pair of encodings makes: letters stand for each other at random."""
+    table = str.maketrans("éèêàäöüß", "ЖÞ‡¤ŁɅðŊ")
+    texts = [t.translate(table) for t in corpus(200)]
+    contexts = {}
+    for t in texts:
+        for m in en._LATIN_ODD.finditer(t):
+            i = m.start()
+            at = (t[i - 1 : i], t[i], t[i + 1 : i + 2])
+            contexts[at] = contexts.get(at, 0) + 1
+    got = en.learn_cipher([(*k, n) for k, n in contexts.items()], reader.bigrams, list("éèêàäöüßôùâî’"))
+    right = {chr(b): chr(a) for a, b in table.items()}
+    assert sum(got.get(x, ("",))[0] == y for x, y in right.items() if any(x in t for t in texts)) >= 6
+    bad = FRENCH.format(a="Brameris", b="Klotis").translate(table)
+    best = max(reader.hypotheses(bad, {x: y for x, (y, _) in got.items()}), key=lambda h: h[1])
+    assert best[0] == "learned" and sum(a == b for a, b in zip(best[2], FRENCH.format(a="Brameris", b="Klotis"))) >= len(bad) - 1
