@@ -212,17 +212,29 @@ def quote_rows(spark, d):
     return table(spark, d, "train").groupBy("lang").agg(F.sum(n).cast("long").alias("quotes"), F.count_if(n > 0).alias("rows"))
 
 
-@query()
+_PATTERN_LIST = "[" + ", ".join(f"'{p}'" for p in tx.SEQUENCE_PATTERNS) + "]"
+
+
+# A word without look-around: a whole run of word characters, hyphens and apostrophes.
+@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_''-]+')) AS word FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT *, list_filter({_PATTERN_LIST}, lambda p: contains(word, p)) AS hits FROM w WHERE regexp_full_match(word, '[A-Za-z]+([''-][A-Za-z]+)*'))
+ SELECT word, count(*)::BIGINT AS occurrences, min(doc_id) AS first_row, array_to_string(any_value(hits), ',') AS patterns FROM h WHERE len(hits) > 0 GROUP BY word""")
 def word_inventory(spark, d):
     return op.word_inventory(table(spark, d, "documents"))
 
 
-@query()
+@query(r"SELECT sequence, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS articles, false AS registered FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}][\x{E0100}-\x{E01EF}]')) AS sequence FROM documents) GROUP BY 1")
 def ivs_counts(spark, d):
     docs = table(spark, d, "documents")
     return op.selector_counts(docs, spark.createDataFrame([], "sequence string"))
 
 
+@query(f"{_INVENTORY} SELECT character, occurrences, article_count, occurrences - coalesce(followed, 0)::BIGINT AS standalone_occurrences FROM counted LEFT JOIN (SELECT substr(s, 1, 1) AS character, count(*) AS followed FROM (SELECT unnest(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}][\\x{{E0100}}-\\x{{E01EF}}]')) AS s FROM documents) GROUP BY 1) USING (character)")
+def standalone_characters(spark, d):
+    docs = table(spark, d, "documents")
+    return op.standalone_counts(op.character_counts(docs), ivs_counts(spark, d))
+
+
 @query("SELECT doc_id, start::INTEGER AS start, least(start + 80, length(text))::INTEGER AS \"end\", substr(text, start::INTEGER + 1, 80) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text) - 60 + 1, 60)) AS start FROM documents WHERE length(text) >= 60)")
 def fixed_window_excerpts(spark, d):
     return op.fixed_windows(table(spark, d, "documents"), "doc_id", "text", 60, 80)

@@ -201,3 +201,12 @@ def test_records_prefixes_and_arguments(spark):
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_selector_sequences(spark):
+    docs = spark.createDataFrame([(1, "葛\U000e0101と葛\U000e0101、辻\U000e0100"), (2, "葛\U000e0101a\U000e0101葛"), (3, None)], "doc_id long, text string")
+    registry = spark.createDataFrame([("葛\U000e0101",)], "sequence string")
+    found = corpus.selector_counts(docs, registry)
+    assert {tuple(r) for r in found.collect()} == {("葛\U000e0101", 3, 2, True), ("辻\U000e0100", 1, 1, False)}
+    counts = {r.character: r.standalone_occurrences for r in corpus.standalone_counts(corpus.character_counts(docs), found).collect()}
+    assert counts["葛"] == 1 and counts["辻"] == 0 and counts["a"] == 1
