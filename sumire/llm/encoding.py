@@ -425,9 +425,7 @@ class Reader:
         places = [m.start() for m in _LATIN_ODD.finditer(text)]
         odd = sorted({ord(text[i]) for i in places})
         if learned and any(chr(o) in learned for o in odd):
-            self.single.clear()
             g, original = self.apply_narrow(text, places, {o: learned.get(chr(o), chr(o)) for o in odd})
-            self.single.clear()
             if g > 0:
                 found.append(("learned", g, original))
         readings = set()

@@ -104,13 +104,27 @@ e AS (SELECT image_a AS a, image_b AS b FROM similarity_candidates WHERE image_a
 reach(n, m) AS (SELECT n, n FROM names UNION SELECT reach.n, e.b FROM reach JOIN e ON reach.m = e.a)
 SELECT n AS image, min(m) AS group_key FROM reach GROUP BY n
 """
-_TERMS = """
-SELECT field_name, term, mark FROM (
-  SELECT 'anchor' AS field_name, anchor AS term, CASE WHEN count(*) < 3 THEN 'rare' WHEN count(*) > 0.005 * (SELECT count(anchor) FROM train) THEN 'common' END AS mark
-  FROM train WHERE anchor IS NOT NULL GROUP BY anchor
-  UNION ALL
-  SELECT 'character', character, CASE WHEN sum(coalesce(sample_count, 0)) < 3 THEN 'rare' WHEN sum(coalesce(sample_count, 0)) > 0.05 * (SELECT count(*) FROM train) THEN 'common' END
-  FROM (SELECT *, row_number() OVER (PARTITION BY shard, character ORDER BY counted_at DESC NULLS LAST, coverage_id DESC) AS k FROM coverage WHERE character IS NOT NULL) WHERE k = 1 GROUP BY character)
-WHERE mark IS NOT NULL
+_FREQUENCIES = """
+SELECT 'anchor' AS field_name, anchor AS term, count(*)::BIGINT AS occurrences, count(*)::BIGINT AS records, CASE WHEN count(*) < 3 THEN 'rare' WHEN count(*) > 0.005 * (SELECT count(anchor) FROM train) THEN 'common' END AS mark
+FROM train WHERE anchor IS NOT NULL GROUP BY anchor
+UNION ALL
+SELECT 'character', character, sum(coalesce(corpus_occurrences, 0))::BIGINT, sum(coalesce(sample_count, 0))::BIGINT, CASE WHEN sum(coalesce(sample_count, 0)) < 3 THEN 'rare' WHEN sum(coalesce(sample_count, 0)) > 0.05 * (SELECT count(*) FROM train) THEN 'common' END
+FROM (SELECT *, row_number() OVER (PARTITION BY shard, character ORDER BY counted_at DESC NULLS LAST, coverage_id DESC) AS k FROM coverage WHERE character IS NOT NULL) WHERE k = 1 GROUP BY character
 """
-SQL = {"p2_found": _TIES, "p4_found": _KEYS, "p5_found": _TERMS}
+_TERMS = f"SELECT field_name, term, mark FROM ({_FREQUENCIES}) WHERE mark IS NOT NULL"
+_REPEATED = r"""
+WITH kept AS (SELECT doc_id, string_split(regexp_replace(text, '[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\p{Nd}]', '', 'g'), '') AS chars FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, unnest(chars) AS c, unnest(range(1, len(chars) + 1)) AS pos FROM kept),
+windows AS (SELECT doc_id, pos, c || lead(c, 1) OVER w || lead(c, 2) OVER w || lead(c, 3) OVER w || lead(c, 4) OVER w || lead(c, 5) OVER w || lead(c, 6) OVER w || lead(c, 7) OVER w || lead(c, 8) OVER w || lead(c, 9) OVER w || lead(c, 10) OVER w || lead(c, 11) OVER w || lead(c, 12) OVER w || lead(c, 13) OVER w || lead(c, 14) OVER w || lead(c, 15) OVER w || lead(c, 16) OVER w || lead(c, 17) OVER w || lead(c, 18) OVER w || lead(c, 19) OVER w AS g FROM c WHERE c <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+again AS (SELECT doc_id, pos, (g IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) > 1)::INTEGER AS r FROM windows),
+covered AS (SELECT doc_id, max(r) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS r FROM again)
+"""
+_SHARES = _REPEATED + r""", n AS (SELECT doc_id, count(*)::BIGINT AS kept, sum(r)::BIGINT AS repeated FROM covered GROUP BY doc_id)
+SELECT d.doc_id, coalesce(lang, 'none') AS stratum, coalesce(kept, 0)::BIGINT AS kept, coalesce(repeated, 0)::BIGINT AS repeated, CASE WHEN kept > 0 THEN repeated / kept ELSE 0.0::DOUBLE END AS share FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+_FOUND_REPEATED = _REPEATED + "SELECT doc_id FROM covered GROUP BY doc_id HAVING sum(r) >= 0.30 * count(*)"
+_INCONSISTENT = r"""
+SELECT table_name, record_id FROM (SELECT 'train' AS table_name, row_id AS record_id, text FROM train UNION ALL SELECT 'real_references', ref_id, reference FROM real_references)
+WHERE text <> nfc_normalize(text) OR regexp_matches(text, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FF61}-\x{FF9F}\x{FB00}-\x{FB06}\x{2E80}-\x{2FD5}\x{F900}-\x{FAFF}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{3000}\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]') OR regexp_matches(text, '[A-Za-z\x{00C0}-\x{024F}][\x{0370}-\x{03FF}\x{0400}-\x{052F}]|[\x{0370}-\x{03FF}\x{0400}-\x{052F}][A-Za-z\x{00C0}-\x{024F}]')
+"""
+SQL = {"p2_found": _TIES, "p4_found": _KEYS, "p5_found": _TERMS, "p5_frequencies": _FREQUENCIES, "p7_found": _INCONSISTENT, "p10_found": _FOUND_REPEATED, "p10_repetition": _SHARES}
