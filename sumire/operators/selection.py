@@ -21,20 +21,23 @@ def greedy_disjoint(claims: DataFrame, work: Workspace) -> DataFrame:
 
     claims has one row (id, rank, claim) per claim; ranks are unique per id and comparable. In each round a candidate
     whose rank is the least of every claim it makes is taken, and all candidates that share a claim with it are out.
+    Claims of one candidate alone never decide anything, so only contested ones go through the rounds.
     """
-    live = work.write(claims.select("id", "rank", "claim").distinct(), "live")
-    taken = None
+    every = claims.select("id", "rank", "claim").distinct()
+    contested = every.groupBy("claim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("claim")
+    live = work.write(every.join(contested, "claim", "left_semi"), "live")
+    taken = work.write(every.select("id").distinct().join(live.select("id").distinct(), "id", "left_anti"), "free")
     turn = 0
     while not live.isEmpty():
         least = live.groupBy("claim").agg(F.min(F.struct("rank", "id")).alias("first"))
         wins = live.join(least, "claim").groupBy("id").agg(F.min((F.col("first.id") == F.col("id")).cast("int")).alias("all_")).where("all_ = 1").select("id")
         won = work.write(wins, f"won{turn}")
-        taken = won if taken is None else taken.unionByName(won)
+        taken = taken.unionByName(won)
         spent = live.join(won, "id", "left_semi").select("claim").distinct()
         out = live.join(spent, "claim", "left_semi").select("id").distinct()
         live = work.write(live.join(out, "id", "left_anti"), "live")
         turn += 1
-    return taken if taken is not None else live.select("id")
+    return taken
 
 
 def disjoint_excerpts(pool: DataFrame, seed: str, count: int | None = None) -> DataFrame:
