@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,20 @@ def clear_work(spark: SparkSession) -> None:
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "work-*")) or []:
         fs.delete(status.getPath(), True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in every Python worker of the session, wherever it was started from.
+
+    The package goes as one archive through Spark's own file server, once per session.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sumire_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="sumire-code-")) / "sumire.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._sumire_shipped = True

@@ -135,3 +135,23 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     q = totals.writeStream.format("memory").queryName("totals").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(total) as s, max(n) as n from totals").first().n == 1
+
+
+def test_workers_elsewhere_find_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from sumire.operators import corpus
+from sumire.session import ship
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+ship(s); ship(s)
+print("rows", corpus.character_counts(s.createDataFrame([("ab",)], "text string")).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 2" in done.stdout, done.stderr[-800:]
