@@ -7,7 +7,6 @@ of rounds is logarithmic for hash orders.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as tx
@@ -67,7 +66,7 @@ def rare_first_selection(candidates: DataFrame, goal: int, rounds: int = 20) ->
     chars = work.write(pool.select("id", F.explode(F.array_distinct(tx.characters(F.col("text")))).alias("character")), "characters")
     frequency = chars.groupBy("character").agg(F.count(F.lit(1)).alias("frequency"))
     grams = work.write(fragments(pool, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim")), "grams")
-    taken = None
+    taken = anchors = None
     for turn in range(rounds):
         have = chars.join(taken, "id", "left_semi").groupBy("character").agg(F.count(F.lit(1)).alias("n")) if taken is not None else None
         lack = frequency.withColumn("lacking", F.lit(goal)) if have is None else frequency.join(have, "character", "left").withColumn("lacking", goal - F.coalesce("n", F.lit(0)))
@@ -89,8 +88,8 @@ def rare_first_selection(candidates: DataFrame, goal: int, rounds: int = 20) ->
         claims = grams.join(best, "id").select("id", "rank", "claim")
         won = work.write(greedy_disjoint(claims, Workspace(candidates.sparkSession)).join(best.select("id", F.col("rank.character").alias("anchor")), "id"), f"taken{turn}")
         taken = won.select("id") if taken is None else taken.unionByName(won.select("id"))
-        anchors = won if turn == 0 else anchors.unionByName(won)  # noqa: F821
-    if taken is None:
+        anchors = won if anchors is None else anchors.unionByName(won)
+    if anchors is None:
         return pool.select("id", "text", F.lit(None).cast("string").alias("anchor")).limit(0)
     return pool.join(anchors, "id").select("id", "text", "anchor")
 
