@@ -2,7 +2,6 @@ import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from sumire.llm import mixing as mx, packing as pk, subset as sb, tokens as tk
 
