@@ -241,15 +241,15 @@ class Block:
         most = self.percent * np.maximum(n, m) // 100
         shift, grown = t_pos - e_pos, m - n
         ok = np.flatnonzero(np.abs(shift) + np.abs(grown - shift) <= most)
-        pairs = np.unique(e[ok].astype(np.int64) << 32 | t[ok])
-        e, t = pairs >> 32, pairs & 0xFFFFFFFF
-        most = self.percent * np.maximum(self.lengths[e], packed.lengths[t]) // 100
+        e, t, most = e[ok].astype(np.int64), t[ok], most[ok]
+        # Few pairs pass the counts, so they are tested before repeats are removed.
         keep = []
-        for part in range(0, len(e), 200_000):
-            x, y = self.counts[e[part : part + 200_000]], counts[t[part : part + 200_000]]
-            keep.append((np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= 2 * most[part : part + 200_000])
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        return e[keep], t[keep]
+        for part in range(0, len(e), 100_000):
+            x, y = self.counts[e[part : part + 100_000]], counts[t[part : part + 100_000]]
+            keep.append((np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.uint16) <= 2 * most[part : part + 100_000])
+        keep = np.flatnonzero(np.concatenate(keep)) if keep else np.zeros(0, np.int64)
+        pairs = np.unique(e[keep] << 32 | t[keep])
+        return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def _matches(shared):
