@@ -272,7 +272,7 @@ _SEQUENCE_ROWS = "pattern string, occurrences long, reference_characters long, d
 
 
 def _sequences(batches):
-    word = re.compile(tx.ENGLISH_WORD.removeprefix("(?U)"))
+    word = re.compile(tx.ENGLISH_WORD.replace(r"\p{L}\p{N}_", r"\w"))
     for pdf in batches:
         sums = {p: [0] * 6 for p in tx.SEQUENCE_PATTERNS}
         for ref, pred in zip(pdf.reference, pdf.prediction):
