@@ -59,17 +59,37 @@ def quote_weighted_distance(reference: str, prediction: str) -> float:
 def alignment(reference: str, prediction: str) -> list[tuple[str, str, str, int, int]]:
     """(kind, reference, prediction, reference_index, prediction_index) of a least edit script; where several are
     least, traced from the end, a match or substitution comes before a deletion and that before an insertion."""
-    same = 0  # the trace runs along a common end, whatever comes before it
-    while same < min(len(reference), len(prediction)) and reference[-1 - same] == prediction[-1 - same]:
+    if reference == prediction:
+        return []
+    same, most = 0, min(len(reference), len(prediction))  # the trace runs along a common end, whatever comes before it
+    while same < most and reference[-1 - same] == prediction[-1 - same]:
         same += 1
     reference, prediction = reference[: len(reference) - same], prediction[: len(prediction) - same]
     n, m = len(reference), len(prediction)
-    rows = [list(range(m + 1))]
-    for i, a in enumerate(reference, 1):
-        row = [i]
-        for j, b in enumerate(prediction, 1):
-            row.append(min(rows[-1][j - 1] + (a != b), rows[-1][j] + 1, row[-1] + 1))
-        rows.append(row)
+    # All least scripts of up to `limit` edits lie in a band of diagonals, so the trace meets the same values in it.
+    gap, limit, far = m - n, max(abs(m - n), 2), n + m + 1
+    while True:
+        slack = (limit - abs(gap)) // 2
+        low, high = min(0, gap) - slack, max(0, gap) + slack
+        rows = [[j if j <= high else far for j in range(m + 1)]]
+        for i, a in enumerate(reference, 1):
+            above, row, first = rows[-1], [far] * (m + 1), max(1, i + low)
+            row[0] = left = i if i + low <= 0 else far
+            if first > 1:
+                left = far
+            for j in range(first, min(m, i + high) + 1):
+                best = above[j - 1] + (a != prediction[j - 1])
+                up = above[j] + 1
+                left += 1
+                if up < best:
+                    best = up
+                if left < best:
+                    best = left
+                row[j] = left = best
+            rows.append(row)
+        if rows[n][m] <= limit:
+            break
+        limit *= 2
     out, i, j = [], n, m
     while i or j:
         a, b = reference[i - 1 : i], prediction[j - 1 : j]
@@ -101,19 +121,26 @@ def without_free_spaces(reference: str, prediction: str) -> str:
         left, right = reference[i - 1 : i] if i else "", reference[i : i + 1]
         return prediction[j] == " " and bool(left and left in ".)）" and j and prediction[j - 1] == left or right and right in "(（" and prediction[j + 1 : j + 2] == right)
 
-    cost, step = [[0] * (m + 1) for _ in range(n + 1)], [[""] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            ways = []
-            if i and j:
-                ways.append((cost[i - 1][j - 1] + (reference[i - 1] != prediction[j - 1]), 0, "match"))
-            if i:
-                ways.append((cost[i - 1][j] + 1, 1, "delete"))
-            if j:
-                f = free(i, j - 1)
-                ways.append((cost[i][j - 1] + (not f), 2, "free" if f else "insert"))
-            if ways:
-                cost[i][j], _, step[i][j] = min(ways)
+    # A way of cost `limit` deletes so many characters at most, which bounds its diagonals however many spaces are free.
+    gap, limit, far = m - n, max(n - m, 0), n + m + 1
+    while True:
+        cost, step = [[far] * (m + 1) for _ in range(n + 1)], [[""] * (m + 1) for _ in range(n + 1)]
+        cost[0][0] = 0
+        for i in range(n + 1):
+            for j in range(max(0, i - limit), min(m, i + gap + limit) + 1):
+                ways = []
+                if i and j:
+                    ways.append((cost[i - 1][j - 1] + (reference[i - 1] != prediction[j - 1]), 0, "match"))
+                if i:
+                    ways.append((cost[i - 1][j] + 1, 1, "delete"))
+                if j:
+                    f = free(i, j - 1)
+                    ways.append((cost[i][j - 1] + (not f), 2, "free" if f else "insert"))
+                if ways:
+                    cost[i][j], _, step[i][j] = min(ways)
+        if cost[n][m] <= limit:
+            break
+        limit = 2 * limit + 1
     kept, i, j = [], n, m
     while i or j:
         s = step[i][j]
@@ -219,20 +246,6 @@ def _quoted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
-def weighted_distance(reference: Column, prediction: Column) -> Column:
-    """The quotation-weighted distance; without a quotation mark in the reference it is the plain one, computed in the JVM."""
-    quoted = reference.rlike("[“”\"‘’']")
-    return F.coalesce(_quoted_distance(F.when(quoted, reference), prediction), F.levenshtein(reference, prediction).cast("double"))
-
-
-_EDITS = T.ArrayType(T.StructType([*(T.StructField(n, T.StringType()) for n in ("kind", "reference", "prediction")), *(T.StructField(n, T.IntegerType()) for n in ("reference_index", "prediction_index"))]))
-
-
-@F.pandas_udf(T.DoubleType())
-def _quoted_distance(reference: pd.Series, prediction: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else quote_weighted_distance(a, b) for a, b in zip(reference, prediction)], dtype="float64")
-
-
 @F.pandas_udf(_EDITS)
 def edits(reference: pd.Series, prediction: pd.Series) -> pd.Series:
     keys = ("kind", "reference", "prediction", "reference_index", "prediction_index")
