@@ -33,7 +33,7 @@ def line_fragment_islands(spark, d):
 
 @query()
 def stacked_runs(spark, d):
-    rows = _lines(spark, d).where("image is not null").select(F.col("image").alias("page"), F.col("line_id").alias("line"), "source_block", F.substring("text", 1, 1).alias("text"), "wmode", F.col("font_name").alias("font"), "orientation", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("y1") - F.col("y0")).alias("size"), "x0", "y0", "x1", "y1")
+    rows = _lines(spark, d).where("image is not null").select(F.col("image").alias("page"), F.col("line_id").alias("line"), "source_block", "text", "wmode", F.col("font_name").alias("font"), "orientation", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("y1") - F.col("y0")).alias("size"), "x0", "y0", "x1", "y1")
     return op.stacked_characters(rows)
 
 
