@@ -139,21 +139,65 @@ def deficit_lines(lacking: DataFrame, alphabet: str, per_line: int, length: int,
 def deficit_substitutions(lacking: DataFrame, donors: DataFrame, classes: DataFrame, seed: str) -> DataFrame:
     """(donor_id, base_text, position, from, to, text): one changed donor per missing copy of a character.
 
-    lacking (character, shortfall); donors (id, text); classes (character, class). The n-th missing place of a class
-    goes to the n-th unused donor, in hash order, that holds a character of that class; the first such character is
-    replaced. A donor serves once. Places without donor are left (compare with the shortfall).
+    lacking (character, shortfall); donors (id, text); classes (character, class), a bounded alphabet. A place goes to an
+    unused donor that holds a character of its class other than the wanted one; the first such character is replaced. A
+    donor serves once. Classes with few donors choose first, donors with several characters of the class go before those
+    with one, then in hash order. A class is left only when no unused donor fits any of its open places, so a place
+    without donor (compare with the shortfall) has none left.
     """
+    work = Workspace(donors.sparkSession)
+    alphabet = [(r["character"], r["class"]) for r in classes.where("character is not null and class is not null").select("character", "class").distinct().collect()]
     places = lacking.where("shortfall > 0").join(classes, "character").select("character", "class", F.explode(F.sequence(F.lit(1), F.col("shortfall").cast("int"))).alias("copy"))
-    places = places.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy(shuffle_key(F.concat_ws("/", "copy", "character"), seed))))
-    spots = donors.select("id", "text", F.posexplode(tx.characters(F.col("text"))).alias("position", "character")).join(classes, "character")
-    one = spots.groupBy("id", "text", "class").agg(F.min(F.struct("position", "character")).alias("spot"))
-    own = one.withColumn("w", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "class")))).where("w = 1")
-    # No class needs more donors than it has places, so no more of them reach its task.
-    most = places.groupBy("class").count().agg(F.max("count")).first()[0] or 0
-    own = own.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy(shuffle_key(F.col("id"), seed)))).where(F.col("n") <= most)
-    pairs = places.join(own, ["class", "n"]).where(F.col("character") != F.col("spot.character"))
-    changed = F.concat(F.substr("text", F.lit(1), F.col("spot.position")), F.col("character"), F.substr("text", F.col("spot.position") + 2))
-    return pairs.select(F.col("id").alias("donor_id"), F.col("text").alias("base_text"), F.col("spot.position").alias("position"), F.col("spot.character").alias("from"), F.col("character").alias("to"), changed.alias("text"))
+    places = work.write(places.withColumn("h", shuffle_key(F.concat_ws("/", "copy", "character"), seed)), "places")
+    # Each character of the alphabet is read as a private-use letter of its class.
+    letters = {c: chr(0xE000 + k) for k, c in enumerate(sorted({c for _, c in alphabet}))}
+    source, target = "".join(c for c, _ in alphabet), "".join(letters[c] for _, c in alphabet)
+    foreign = "".join(letters.values())
+
+    def read(text: Column) -> Column:
+        # A letter that a text itself holds is read as its own class, or as none.
+        return F.translate(text, source + foreign, target + "\uffff" * len(foreign))
+
+    lines = work.write(donors.where("id is not null and text is not null").select("id", "text", read(F.col("text")).alias("read")), "lines")
+    wanted = [r["class"] for r in places.select("class").distinct().collect()]
+    found = lines.agg(F.count(F.lit(1)), *[F.count_if(F.contains("read", F.lit(letters[c]))).alias(f"n{k}") for k, c in enumerate(wanted)]).first()
+    out = []
+    for k, own in sorted(enumerate(wanted), key=lambda x: (found[f"n{x[0]}"], x[1])):
+        letter = F.lit(letters[own])
+        open_ = places.where(F.col("class") == own)
+        first = lines.where(F.contains("read", letter)).withColumn("p", F.instr("read", letter)).withColumn("c", F.substr("text", F.col("p"), F.lit(1)))
+        # The first character of the class that differs from the first one.
+        second = first.withColumn("q", F.instr(read(F.replace("text", F.col("c"), F.lit("\uffff"))), letter))
+        turn = dry = 0
+        while dry < 2 and (left := open_.count()):
+            free = second
+            for done in out:
+                free = free.join(F.broadcast(done.select(F.col("donor_id").alias("id"))), "id", "left_anti")
+            # Whether both orders run dry decides: then one character is all that is wanted and all that donors have.
+            only = F.when(F.col("q") == 0, F.col("c"))
+            direction, against = (F.asc_nulls_first, F.desc) if turn % 2 == 0 else (F.desc_nulls_first, F.asc)
+            order = [direction("only"), shuffle_key(F.col("id"), seed), F.col("id")]
+            drawn = free.withColumn("only", only).orderBy(*order).limit(left).withColumn("n", F.row_number().over(Window.orderBy(*order)))
+            asked = open_.withColumn("n", F.row_number().over(Window.orderBy(against("character"), "h")))
+            fits = asked.join(drawn, "n").where((F.col("character") != F.col("c")) | (F.col("q") > 0))
+            at = F.when(F.col("character") != F.col("c"), F.col("p")).otherwise(F.col("q"))
+            changed = F.concat(F.substr("text", F.lit(1), at - 1), F.col("character"), F.substr("text", at + 1))
+            made = fits.select(F.col("id").alias("donor_id"), F.col("text").alias("base_text"), (at - 1).alias("position"), F.substr("text", at, F.lit(1)).alias("from"), F.col("character").alias("to"), changed.alias("text"), "copy")
+            made = work.write(made, f"made{k}-{turn}")
+            turn += 1
+            if made.isEmpty():
+                dry += 1
+                continue
+            dry = 0
+            out.append(made)
+            open_ = open_.join(F.broadcast(made.select(F.col("to").alias("character"), "copy")), ["character", "copy"], "left_anti")
+    names = ["donor_id", "base_text", "position", "from", "to", "text"]
+    if not out:
+        return donors.select(F.col("id").alias("donor_id"), F.col("text").alias("base_text"), F.lit(0).alias("position"), F.lit("").alias("from"), F.lit("").alias("to"), "text").limit(0)
+    result = out[0]
+    for made in out[1:]:
+        result = result.unionByName(made)
+    return result.select(*names)
 
 
 def round_robin(df: DataFrame, strata: list[str], order: Column, n: int) -> DataFrame:

@@ -171,7 +171,8 @@ def deficit_substitution(spark, d):
     counts = corpus.character_counts(table(spark, d, "train"))
     lacking = ch.with_properties(counts.where("article_count < 2")).select("character", (2 - F.col("article_count")).alias("shortfall"), "class")
     classes = ch.with_properties(counts.select("character")).select("character", "class")
-    donors = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("text"))
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where("text <> ''")
+    donors = lines.select(F.concat_ws(":", "doc_id", "line").alias("id"), "text")
     return op.deficit_substitutions(lacking.select("character", "shortfall"), donors, classes, SEED).select("donor_id", "position", "from", "to", "text")
 
 

@@ -77,6 +77,35 @@ def test_deficit_substitutions_use_a_donor_once(spark):
         assert r.base_text[r.position] == r["from"] and r.text == r.base_text[: r.position] + r["to"] + r.base_text[r.position + 1 :]
 
 
+def test_deficit_substitutions_leave_no_place_that_a_donor_fits(spark):
+    kinds = {**dict.fromkeys("ABC", "Lu"), **dict.fromkeys("xyz", "Ll"), **dict.fromkeys("12", "Nd"), "\ue000": "Co"}
+    classes = spark.createDataFrame(list(kinds.items()), "character string, class string")
+    random.seed(3)
+    cases = [([("A", 1)], ["A", "A", "B"]), ([("A", 1), ("B", 1)], ["A", "B"]), ([("1", 2)], ["x1", "x2", "AB1", "\ue001"]), ([("y", 2), ("A", 1)], ["Bx", "Cx", "z"]), ([("A", 1), ("B", 2)], ["A"])]
+    cases += [([(c, random.randint(0, 3)) for c in "ABxy1"], ["".join(random.choice("ABCxyz12? ") for _ in range(random.randint(1, 3))) for _ in range(9)])]
+    for need, texts in cases:
+        lacking, donors = spark.createDataFrame(need, "character string, shortfall int"), spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+        rows = op.deficit_substitutions(lacking, donors, classes, "s").collect()
+        assert len({r.donor_id for r in rows}) == len(rows)
+        for r in rows:
+            assert r["from"] != r["to"] and kinds[r["from"]] == kinds[r["to"]] and r.base_text == texts[r.donor_id]
+            assert r.base_text[r.position] == r["from"] and r.text == r.base_text[: r.position] + r["to"] + r.base_text[r.position + 1 :]
+        for c, n in need:
+            unfilled = n - sum(r["to"] == c for r in rows)
+            fit = [t for i, t in enumerate(texts) if i not in {r.donor_id for r in rows} and any(kinds.get(x) == kinds[c] and x != c for x in t)]
+            assert unfilled >= 0 and not (unfilled and fit), (need, texts, c, fit)
+
+
+def test_deficit_substitution_takes_later_lines(spark, tmp_path):
+    from sumire.plans import selection as plans
+
+    spark.createDataFrame([("ab",), ("ab",), ("Q",)], "text string").write.parquet(f"{tmp_path}/train.parquet")
+    spark.createDataFrame([(1, "??\n\nab Q ab"), (2, "?\nQ\nXaQ"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.deficit_substitution(spark, tmp_path).count() == 0
+    spark.createDataFrame([("ab",), ("ab",), ("Q",), ("aX",), ("X",)], "text string").write.mode("overwrite").parquet(f"{tmp_path}/train.parquet")
+    assert [(r.donor_id, r.position, r["from"], r.to, r.text) for r in plans.deficit_substitution(spark, tmp_path).collect()] == [("2:2", 0, "X", "Q", "QaQ")]
+
+
 def test_third_pages(spark):
     pages = [("a", i, 0) for i in range(1, 13)] + [("a", 13, 1589)] + [("b", i, 9) for i in range(1, 14)] + [("c", 1, 0)]
     df = spark.createDataFrame(pages, "d string, p int, n int")
