@@ -103,18 +103,43 @@ def first_per_pattern(hits: DataFrame, goal: int) -> DataFrame:
 
 def balanced_pick(pool: DataFrame, characters: str, goal: int, seed: str) -> tuple[DataFrame, DataFrame]:
     """(chosen, shortages): up to `goal` rows per character, one per language and article, in hash order, no shared
-    fragments; (character, chosen, shortage) for every character. Shortages are reported, never filled."""
-    order = shuffle_key(F.col("id"), seed)
-    hit = pool.withColumn("character", F.explode(F.array_distinct(F.filter(tx.characters(F.col("text")), lambda c: F.lit(characters).contains(c)))))
-    one = hit.withColumn("k", F.row_number().over(Window.partitionBy("character", "language", "article_id").orderBy(order))).where("k = 1")
-    near = one.withColumn("k", F.row_number().over(Window.partitionBy("character").orderBy(order))).where(F.col("k") <= 4 * goal)
-    pickable = pool.join(near.select("id").distinct(), "id", "left_semi")
-    own = fragments(pickable, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim")).unionByName(pickable.select("id", F.concat_ws(":", F.lit("a"), "language", "article_id").alias("claim")))
-    kept = greedy_disjoint(own.join(pickable.select("id", order.alias("rank")), "id"), Workspace(pool.sparkSession))
-    chosen = near.join(kept, "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("character").orderBy(order))).where(F.col("k") <= goal).drop("k")
+    fragments; (character, chosen, shortage) for every character. Shortages are reported, never filled.
+
+    In each round every character that is still short nominates as many rows as it lacks, the first in hash order that are
+    free of taken fragments and articles; the nominees that a pass in hash order would take are taken, and only those block
+    others. A row taken for one character counts for every character it holds that is still short, up to the goal. Rounds
+    end when no character is short or nothing can be nominated, so a shortage means that no usable row is left.
+    """
+    work = Workspace(pool.sparkSession)
+    held = F.array_distinct(F.filter(tx.characters(F.col("text")), lambda c: F.lit(characters).contains(c)))
+    rows = work.write(pool.withColumn("held_", held).where(F.size("held_") > 0).withColumn("rank_", shuffle_key(F.col("id"), seed)), "rows")
+    claims = work.write(fragments(rows, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim")).unionByName(rows.select("id", F.concat_ws(":", F.lit("a"), "language", "article_id").alias("claim"))), "claims")
+    free = work.write(rows.select("id", "rank_", F.explode("held_").alias("character")), "free")
+    lack = {c: goal for c in dict.fromkeys(characters)}
+    parts, turn = [], 0
+    while any(lack.values()):
+        short = F.create_map(*[F.lit(x) for c, n in lack.items() for x in (c, n)])
+        near = free.withColumn("short", F.element_at(short, F.col("character"))).where("short > 0").withColumn("k", F.row_number().over(Window.partitionBy("character").orderBy("rank_", "id"))).where((F.col("k") <= goal) & (F.col("k") <= F.col("short")))
+        offers = work.write(near.select("id", F.col("rank_").alias("rank")).distinct(), "offers")
+        if offers.isEmpty():
+            break
+        won = work.write(greedy_disjoint(claims.join(F.broadcast(offers), "id"), Workspace(pool.sparkSession)), f"won{turn}")
+        mine = free.join(F.broadcast(won), "id", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("character").orderBy("rank_", "id"))).where(F.col("k") <= F.element_at(short, F.col("character")))
+        mine = work.write(mine.select("id", "character"), f"chosen{turn}")
+        for r in mine.groupBy("character").count().collect():
+            lack[r["character"]] -= r["count"]
+        parts.append(mine)
+        spent = claims.join(F.broadcast(won), "id", "left_semi").select("claim").distinct()
+        blocked = claims.join(F.broadcast(spent), "claim", "left_semi").select("id").distinct()
+        free = work.write(free.join(blocked, "id", "left_anti"), "free")
+        turn += 1
+    chosen = rows.select("id", F.explode("held_").alias("character")).limit(0)
+    for part in parts:
+        chosen = chosen.unionByName(part)
     counts = chosen.groupBy("character").agg(F.count(F.lit(1)).alias("chosen"))
     all_ = pool.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(characters)], "character string")
-    return chosen, all_.join(counts, "character", "left").select("character", F.coalesce("chosen", F.lit(0)).alias("chosen"), (goal - F.coalesce("chosen", F.lit(0))).alias("shortage"))
+    report = all_.join(counts, "character", "left").select("character", F.coalesce("chosen", F.lit(0)).alias("chosen"), (goal - F.coalesce("chosen", F.lit(0))).alias("shortage"))
+    return rows.drop("held_", "rank_").join(chosen, "id"), report
 
 
 def deficit_lines(lacking: DataFrame, alphabet: str, per_line: int, length: int, seed: str) -> DataFrame:

@@ -54,6 +54,19 @@ def test_balanced_pick_reports_shortages(spark):
     assert chosen.select("article_id").distinct().count() == chosen.select("article_id", "character").distinct().groupBy("article_id").count().count()
 
 
+def test_balanced_pick_looks_beyond_families_of_similar_rows(spark):
+    same = [(i, f"a{i}", "en", f"{i:03} the family shares “this” long fragment {i:03}") for i in range(120)]
+    free = [(200 + i, f"b{i}", "en", f"{chr(65 + i) * 16}“{chr(97 + i) * 16}") for i in range(6)]
+    pool = spark.createDataFrame(same + free, "id long, article_id string, language string, text string")
+    chosen, report = op.balanced_pick(pool, "“☃", 4, "s")
+    assert {r.character: (r.chosen, r.shortage) for r in report.collect()} == {"“": (4, 0), "☃": (0, 4)}
+    chosen, report = op.balanced_pick(pool, "“☃", 9, "s")
+    assert {r.character: (r.chosen, r.shortage) for r in report.collect()} == {"“": (7, 2), "☃": (0, 9)}
+    texts = [r.text for r in chosen.collect()]
+    grams = [{t[i : i + 16] for i in range(len(t) - 15)} for t in texts]
+    assert all(not a & b for i, a in enumerate(grams) for b in grams[:i])
+
+
 def test_deficit_lines_hold_their_targets(spark):
     lacking = spark.createDataFrame([("A", 3), ("B", 1), ("C", 0), ("D", 2)], "character string, shortfall int")
     rows = op.deficit_lines(lacking, "xyz", 2, 10, "s").collect()
