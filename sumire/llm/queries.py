@@ -126,5 +126,6 @@ _FOUND_REPEATED = _REPEATED + "SELECT doc_id FROM covered GROUP BY doc_id HAVING
 _INCONSISTENT = r"""
 SELECT table_name, record_id FROM (SELECT 'train' AS table_name, row_id AS record_id, text FROM train UNION ALL SELECT 'real_references', ref_id, reference FROM real_references)
 WHERE text <> nfc_normalize(text) OR regexp_matches(text, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FF61}-\x{FF9F}\x{FB00}-\x{FB06}\x{2E80}-\x{2FD5}\x{F900}-\x{FAFF}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{3000}\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]') OR regexp_matches(text, '[A-Za-z\x{00C0}-\x{024F}][\x{0370}-\x{03FF}\x{0400}-\x{052F}]|[\x{0370}-\x{03FF}\x{0400}-\x{052F}][A-Za-z\x{00C0}-\x{024F}]')
+ OR regexp_matches(text, '[ァ-ヺー][一二力口工夕卜八丿厶]+([^一-鿿ぁ-ゖ]|$)|(^|[^一-鿿ぁ-ゖ])[一二力口工夕卜八丿厶]+[ァ-ヺー]|[\x{0370}-\x{03FF}][\x{0400}-\x{052F}]|[\x{0400}-\x{052F}][\x{0370}-\x{03FF}]')
 """
 SQL = {"p2_found": _TIES, "p4_found": _KEYS, "p5_found": _TERMS, "p5_frequencies": _FREQUENCIES, "p7_found": _INCONSISTENT, "p10_found": _FOUND_REPEATED, "p10_repetition": _SHARES}

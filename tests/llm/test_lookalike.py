@@ -69,3 +69,35 @@ def test_empty(spark):
     refs = spark.createDataFrame([], "ref_id long, reference string")
     aliases = spark.createDataFrame([], "representative string, members array<string>")
     assert lk.inconsistent_rows(train, refs, aliases).count() == 0
+
+
+JAPANESE = ["ボカヒ書体はミネーソズの区画", "ヤニボメ学習はパトネズヒ認識", "山口の工房で二回、力学と八人のペロータエ", "タビハプ・トオシの一枚と大学ノート"]
+
+
+@pytest.fixture(scope="module")
+def japanese():
+    counts = {}
+    for t in JAPANESE * 30:
+        s = "\n" + "".join(c if lk.script(c) == 3 or c in lk.KANJI else lk.OTHER_KANJI if lk.script(c) == 4 else "\n" for c in t) + "\n"
+        for a, b in zip(s, s[1:]):
+            if a + b != "\n\n":
+                counts[a + b] = counts.get(a + b, 0) + 1
+    return lk.Model(counts)
+
+
+@pytest.mark.parametrize("text,form", [("ボ力ヒ書体", "ボカヒ書体"), ("ミネ一ソズ画像", "ミネーソズ画像"), ("ヤ二ボメ", "ヤニボメ"), ("パ卜ネ", "パトネ"), ("タビ八プ・卜オシ", "タビハプ・トオシ"), ("山口の工房", "山口の工房"), ("二回、力学と八人", "二回、力学と八人"), ("大学ノート", "大学ノート"), ("一枚", "一枚")])
+def test_kanji_inside_katakana(japanese, text, form):
+    assert japanese.canonical(text) == form
+
+
+def test_kanji_look_alikes_are_restored(japanese):
+    for t in JAPANESE:
+        for i in range(1, len(t) - 1):
+            if t[i] in lk.KANJI_KATAKANA and lk.script(t[i - 1]) == lk.script(t[i + 1]) == 3:
+                assert japanese.canonical(t[:i] + lk.KANJI[lk.KANJI_KATAKANA.index(t[i])] + t[i + 1 :]) == t
+
+
+def test_mixed_words_are_not_counted(spark):
+    texts = spark.createDataFrame([("ab aб cd",), (None,), ("",)], "t string")
+    found = lk.letter_bigrams(texts)
+    assert found["ab"] == 1 and found["cd"] == 1 and "aб" not in found and found["\na"] == 1
