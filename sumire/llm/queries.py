@@ -86,7 +86,11 @@ def p10_found(spark, d):
     return repetition.repeated_documents(table(spark, d, "documents")).select(repetition.F.col("id").alias("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition)}
+def p10_risk(spark, d):
+    return repetition.rejection_risk(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition, p10_risk)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),

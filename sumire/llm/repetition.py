@@ -1,4 +1,9 @@
-"""Repetition inside a document: exact shares, and cutoffs with a proven limit on false rejection."""
+"""Repetition inside a document: exact shares, and cutoffs with a proven limit on false rejection.
+
+Every text gets a screening score that is never below its exact share and costs a fraction of it. Labelled holdouts
+with exact binomial bounds give each stratum the score from which on a text is rejected at once; between the share
+asked for and that cutoff the exact share decides.
+"""
 
 from __future__ import annotations
 
@@ -21,57 +26,102 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def repeated_counts(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """(kept characters, repeated characters) of each text, digits and white space left out.
-
-    A character is repeated if it lies in a window of `stretch` characters that already began earlier in the same
-    text (overlaps count). Windows are compared by 64-bit polynomial hashes, all texts of the list at once: equal
-    (text, hash) pairs come together in one sort, and all but the first of each are repeats.
-    """
-    count = len(texts)
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, text of each, number per text), digits and white space left out."""
     lengths = np.array([len(t) for t in texts], np.int64)
     codes = _codes("".join(texts))
-    doc = np.repeat(np.arange(count), lengths)
+    doc = np.repeat(np.arange(len(texts)), lengths)
     table = np.zeros(0x110000, bool)
-    seen = np.unique(codes)
-    table[[c for c in seen.tolist() if (ch := chr(c)).isspace() or ch.isdecimal()]] = True
+    table[[c for c in np.unique(codes).tolist() if (ch := chr(c)).isspace() or ch.isdecimal()]] = True
     keep = ~table[codes]
-    codes, doc = codes[keep], doc[keep]
-    kept = np.bincount(doc, minlength=count)
-    n = len(codes)
-    if n < stretch:
-        return kept, np.zeros(count, np.int64)
-    # Binary powers build the hash of a window of any length from hashes of half windows.
+    return codes[keep], doc[keep], np.bincount(doc[keep], minlength=len(texts))
+
+
+def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """64-bit polynomial hashes of all windows of a width, built from hashes of half windows by binary powers."""
     h = (codes.astype(np.uint64) + np.uint64(1)) * _MULT
     h ^= h >> np.uint64(29)
-    width, parts, done = 1, stretch, None
+    size, parts, done = 1, width, None
     with np.errstate(over="ignore"):
         while parts:
             if parts & 1:
-                done = (h, width) if done is None else (done[0][: len(h) - done[1]] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done[1] :], done[1] + width)
+                done = (h, size) if done is None else (done[0][: len(h) - done[1]] * np.uint64(0xC2B2AE3D27D4EB4F) + h[done[1] :], done[1] + size)
                 done = (done[0] ^ (done[0] >> np.uint64(31)), done[1])
             parts >>= 1
             if parts:
-                h = h[: len(h) - width] * np.uint64(0xD6E8FEB86659FD93) + h[width:]
+                h = h[: len(h) - size] * np.uint64(0xD6E8FEB86659FD93) + h[size:]
                 h ^= h >> np.uint64(32)
-                width *= 2
-        full = done[0][: n - stretch + 1]
-        inside = doc[: n - stretch + 1] == doc[stretch - 1 :]
-        at = np.flatnonzero(inside)
-        key = full[at] ^ ((doc[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
+                size *= 2
+    return done[0][: len(codes) - width + 1]
+
+
+def _again(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of the hashes, in order of place, stood earlier in the same text: one sort of (text, hash) keys."""
+    with np.errstate(over="ignore"):
+        key = h ^ ((doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA24BAED4963EE407))
     order = np.argsort(key, kind="stable")
-    again = np.zeros(len(at), bool)
+    again = np.zeros(len(h), bool)
     ranked = key[order]
     again[order[1:]] = ranked[1:] == ranked[:-1]
-    begins = at[again]
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, begins + stretch, -1)
-    covered = np.cumsum(edge[:-1]) > 0
-    return kept, np.bincount(doc[covered], minlength=count)
+    return again
+
+
+def _covered(starts: np.ndarray, ends: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """Per text, the characters inside any of the spans."""
+    edge = np.bincount(starts, minlength=len(doc) + 1) - np.bincount(ends, minlength=len(doc) + 1)
+    return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=count)
+
+
+def repeated_counts(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """(kept characters, repeated characters) of each text, digits and white space left out.
+
+    A character is repeated if it lies in a window of `stretch` characters that already began earlier in the same
+    text (overlaps count). All texts of the list are compared at once.
+    """
+    codes, doc, kept = _letters(texts)
+    n = len(codes)
+    if n < stretch:
+        return kept, np.zeros(len(texts), np.int64)
+    h = _window_hashes(codes, stretch)
+    at = np.flatnonzero(doc[: n - stretch + 1] == doc[stretch - 1 :])
+    begins = at[_again(h[at], doc[at])]
+    return kept, _covered(begins, begins + stretch, doc, len(texts))
+
 
+def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
+    """Least or greatest of every `width` neighbouring values."""
+    size = 1
+    while size * 2 <= width:
+        values = best(values[:-size], values[size:])
+        size *= 2
+    return values if size == width else best(values[: len(values) - (width - size)], values[width - size :])
 
-def _measure(stretch: int):
+
+def screened_counts(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
+    """(kept characters, characters that may be repeated) of each text: never less than repeated_counts gives.
+
+    Of the short windows (half a stretch) inside each stretch those of least hash are its marks, so equal stretches
+    have an equal mark at the same place. A mark that stood earlier in the text may lie in a repeated stretch, and
+    all characters of the stretches it can lie in are counted. Only marks, about a sixth of all windows, are sorted.
+    """
+    codes, doc, kept = _letters(texts)
+    short = stretch // 2
+    span = stretch - short + 1
+    n = len(codes) - stretch + 1
+    if n <= 0:
+        return kept, np.zeros(len(texts), np.int64)
+    h = _window_hashes(codes, short) | np.uint64(1)
+    least = _sliding(h, span, np.minimum)
+    least = np.where(doc[:n] == doc[stretch - 1 :], least, np.uint64(0))
+    pad = np.zeros(span - 1, np.uint64)
+    marks = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), span, np.maximum) == h)
+    marks = marks[_again(h[marks], doc[marks])]
+    first = np.concatenate(([0], np.cumsum(kept)))
+    own = doc[marks]
+    return kept, _covered(np.maximum(marks - span + 1, first[own]), np.minimum(marks + stretch, first[own + 1]), doc, len(texts))
+
+
+def _measure(count, stretch: int):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -82,21 +132,30 @@ def _measure(stretch: int):
                 while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK):
                     size += len(texts[end])
                     end += 1
-                kept[start:end], repeated[start:end] = repeated_counts(texts[start:end], stretch)
+                kept[start:end], repeated[start:end] = count(texts[start:end], stretch)
                 start = end
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), pa.array(kept), pa.array(repeated)], names=["id", "stratum", "kept", "repeated"])
 
     return run
 
 
+def _shares(documents: DataFrame, key: str, text: str, stratum: str, stretch: int, count) -> DataFrame:
+    rows = spread(documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.col(text).alias("text")))
+    out = rows.mapInArrow(_measure(count, stretch), "id long, stratum string, kept long, repeated long")
+    return out.withColumn("share", F.when(F.col("kept") > 0, F.col("repeated") / F.col("kept")).otherwise(F.lit(0.0)))
+
+
 def repetition_shares(documents: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", stretch: int = STRETCH) -> DataFrame:
     """(id, stratum, kept, repeated, share): one row per document, whole texts.
 
     Null and empty texts, and texts of nothing but digits and space, have share 0. A null stratum is `none`.
     """
-    rows = spread(documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.col(text).alias("text")))
-    out = rows.mapInArrow(_measure(stretch), "id long, stratum string, kept long, repeated long")
-    return out.withColumn("share", F.when(F.col("kept") > 0, F.col("repeated") / F.col("kept")).otherwise(F.lit(0.0)))
+    return _shares(documents, key, text, stratum, stretch, repeated_counts)
+
+
+def screening_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", stretch: int = STRETCH) -> DataFrame:
+    """(id, stratum, score): an upper bound of each document's share, whole texts."""
+    return _shares(documents, key, text, stratum, stretch, screened_counts).select("id", "stratum", F.col("share").alias("score"))
 
 
 def upper_bound(wrong: int, n: int, delta: float) -> float:
@@ -133,7 +192,7 @@ def holdout(scored: DataFrame, per_stratum: int) -> DataFrame:
     return ranked.where(F.col("rank_") <= per_stratum).drop("rank_")
 
 
-def calibrate(labelled: DataFrame, grid: list[float], alpha: float = 0.01, delta: float = 0.05) -> list[tuple[str, float]]:
+def calibrate(labelled: DataFrame, grid: list[float], alpha: float = 0.002, delta: float = 0.05) -> dict[str, float]:
     """The least certified cutoff of each stratum, from labelled rows (stratum, score, good).
 
     For each stratum and cutoff, false rejections are good rows of at least that score. A cutoff is certified if
@@ -144,27 +203,66 @@ def calibrate(labelled: DataFrame, grid: list[float], alpha: float = 0.01, delta
     tests = [F.sum((F.col("good") & (F.col("score") >= c)).cast("long")).alias(f"c{i}") for i, c in enumerate(grid)]
     counts = labelled.groupBy("stratum").agg(F.sum(F.col("good").cast("long")).alias("n"), *tests).orderBy("stratum").collect()
     each = delta / max(1, len(counts) * len(grid))
-    out = []
+    out = {}
     for row in counts:
         held = [c for i, c in enumerate(grid) if upper_bound(row[f"c{i}"] or 0, row["n"] or 0, each) <= alpha]
         if held:
-            out.append((row["stratum"], min(held)))
+            out[row["stratum"]] = min(held)
     return out
 
 
-def repeated_documents(documents: DataFrame, share: float = 0.30, per_stratum: int = 2000, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(id, stratum, kept, repeated, share, cutoff): documents rejected for repetition.
+def cutoff_grid(share: float) -> list[float]:
+    """Cutoffs that are tried: twelve even steps from the share to 1."""
+    return [round(share + (1 - share) * i / 12, 6) for i in range(12)]
+
+
+def _cutoff(found: dict[str, float]):
+    """The stratum's certified cutoff; above every score where none was certified."""
+    cutoff = F.lit(2.0)
+    for stratum, c in found.items():
+        cutoff = F.when(F.col("stratum") == stratum, F.lit(c)).otherwise(cutoff)
+    return cutoff
+
+
+def _labelled(documents: DataFrame, scored: DataFrame, share: float, per_stratum: int, half: int) -> DataFrame:
+    """A holdout (id, stratum, score, good) from one half of the ids by hash; labels are the exact shares of its texts."""
+    held = holdout(scored.where(F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == half), per_stratum)
+    exact = repetition_shares(documents.join(held.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    return held.join(exact.groupBy("id").agg(F.max("share").alias("share")), "id").select("id", "stratum", "score", (F.col("share") < share).alias("good"))
+
+
+def repeated_documents(documents: DataFrame, share: float = 0.30, per_stratum: int = 4000, alpha: float = 0.002, delta: float = 0.05) -> DataFrame:
+    """(id, stratum, score, cutoff, share): documents rejected for repetition.
+
+    Every text is screened. A holdout per language (at most `per_stratum` rows by hash, the only sample taken), labelled
+    by the exact share (good: below `share`), gives each language the least score from which on at most `alpha` of its
+    good texts would be rejected, all such statements holding together with probability 1 - `delta`. Texts from the
+    cutoff on are rejected as they are (share null); texts below `share` are not, since their exact share is lower still;
+    those between, and all of a language too small to certify a cutoff, are rejected if their exact share is at least
+    `share`. Null and empty texts are never rejected. Repeated ids are judged row by row.
+    """
+    work = Workspace(documents.sparkSession)
+    documents = documents.where("doc_id is not null")
+    scored = work.write(screening_scores(documents), "scores")
+    found = calibrate(_labelled(documents, scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
+    judged = scored.where(F.col("score") >= share).withColumn("cutoff", _cutoff(found))
+    clear = judged.where(F.col("score") >= F.col("cutoff")).withColumn("share", F.lit(None).cast("double"))
+    between = judged.where(F.col("score") < F.col("cutoff"))
+    exact = repetition_shares(documents.join(between.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).where(F.col("share") >= share).groupBy("id").agg(F.max("share").alias("share"))
+    return clear.unionByName(between.join(exact, "id")).select("id", "stratum", "score", "cutoff", "share")
+
+
+def rejection_risk(documents: DataFrame, share: float = 0.30, per_stratum: int = 4000, alpha: float = 0.002, delta: float = 0.05) -> DataFrame:
+    """(stratum, cutoff, good, false_rejections, rate, bound): the certified cutoffs on a second holdout.
 
-    Every text is measured. A bounded holdout per language (`per_stratum` rows by hash), labelled by the definition
-    (good: less than `share` repeated), gives each language its cutoff; a language too small to certify one takes
-    `share`. Rejected are rows at or above the cutoff that the definition confirms.
+    The second holdout comes from the half of the ids that calibration never sees and is labelled alike; bound is the exact upper bound of its rate at
+    confidence 1 - delta. cutoff is null where none was certified (then nothing is rejected without its exact share).
     """
     work = Workspace(documents.sparkSession)
-    scored = work.write(repetition_shares(documents), "shares")
-    labelled = holdout(scored, per_stratum).select("stratum", F.col("share").alias("score"), (F.col("share") < share).alias("good"))
-    grid = sorted({round(share * i / 6, 4) for i in range(1, 7)} | {share})
-    found = calibrate(labelled, grid, alpha, delta)
-    cutoff = F.lit(share)
-    for stratum, c in found:
-        cutoff = F.when(F.col("stratum") == stratum, F.lit(float(c))).otherwise(cutoff)
-    return scored.withColumn("cutoff", cutoff).where((F.col("share") >= F.col("cutoff")) & (F.col("share") >= share))
+    documents = documents.where("doc_id is not null")
+    scored = work.write(screening_scores(documents), "scores")
+    found = calibrate(_labelled(documents, scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
+    second = _labelled(documents, scored, share, per_stratum, 1).withColumn("cutoff", _cutoff(found))
+    sums = second.groupBy("stratum", "cutoff").agg(F.count_if("good").alias("good"), F.count_if(F.col("good") & (F.col("score") >= F.col("cutoff"))).alias("false_rejections")).collect()
+    rows = [(r.stratum, r.cutoff if r.cutoff <= 1 else None, r.good, r.false_rejections, r.false_rejections / r.good if r.good else None, upper_bound(r.false_rejections, r.good, delta)) for r in sums]
+    return documents.sparkSession.createDataFrame(rows, "stratum string, cutoff double, good long, false_rejections long, rate double, bound double")

@@ -24,6 +24,14 @@ def test_counts_equal_brute_force(texts, k):
     assert [(int(a), int(b)) for a, b in zip(kept, repeated)] == [brute(t, k) for t in texts]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abc1 \n", max_size=160), max_size=6))
+def test_the_screen_never_falls_below_the_share(texts):
+    kept, repeated = rp.repeated_counts(texts)
+    again, screened = rp.screened_counts(texts)
+    assert (kept == again).all() and (screened >= repeated).all() and (screened <= kept).all()
+
+
 def test_texts_do_not_meet():
     part = "".join(random.Random(1).choices("abcdefghij", k=60))
     kept, repeated = rp.repeated_counts([part, part, part + "12 \n" + part, "𠮟" * 50])
@@ -64,5 +72,28 @@ def test_operator(spark):
     assert sorted(r.id for r in rp.repeated_documents(df).collect()) == sorted(i for i, s in shares.items() if s >= 0.3) == [1, 7, 8]
 
 
+def test_the_cutoff_decides(spark):
+    rng = random.Random(5)
+    phrase = "この文は何度も繰り返されている文章なのである、"
+    letters = [chr(c) for c in range(0x4E00, 0x5E00)]
+    good = [(i, "".join(rng.choices(letters, k=60)), "ja") for i in range(2400)]
+    bad = [(5000 + i, "".join(rng.choices(letters, k=30)) + phrase * 8, "ja") for i in range(40)]
+    few = [(9000, "".join(rng.choices(letters, k=60)) + phrase * 9, "fr"), (9001, "".join(rng.choices(letters, k=60)), "fr")]
+    df = spark.createDataFrame(good + bad + few, "doc_id long, text string, lang string")
+    rows = {r.id: r for r in rp.repeated_documents(df, per_stratum=1500, alpha=0.02).collect()}
+    assert sorted(rows) == [*range(5000, 5040), 9000]
+    # Japanese is certified from the first cutoff on and needs no exact share, two French texts certify nothing.
+    assert all(rows[i].cutoff == 0.3 and rows[i].share is None for i in range(5000, 5040))
+    assert rows[9000].cutoff == 2.0 and rows[9000].share >= 0.3
+    risk = {r.stratum: r for r in rp.rejection_risk(df, per_stratum=1500, alpha=0.02).collect()}
+    assert risk["ja"].cutoff == 0.3 and risk["ja"].false_rejections == 0 and risk["ja"].bound < 0.02
+
+
+def test_a_higher_cutoff_where_good_texts_score_high(spark):
+    rows = [("a", 0.45, True)] * 30 + [("a", 0.1, True)] * 3000 + [("a", 0.9, False)] * 50
+    df = spark.createDataFrame(rows, "stratum string, score double, good boolean")
+    assert rp.calibrate(df, rp.cutoff_grid(0.3), alpha=0.005) == {"a": pytest.approx(0.475)}
+
+
 def test_empty(spark):
     assert rp.repeated_documents(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
