@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Workspace
 
 #: Identifiers of one count array.
-BLOCK = 4096
-#: Spread of the first aggregation, so that one term that holds a third of all rows is counted by several tasks.
-SALTS = 16
+BLOCK = 65_536
+#: Rows of a partition that are combined at once; distinct terms beyond it are passed on in parts.
+COMBINE = 500_000
 
 
 def dictionary(terms: DataFrame, work: Workspace) -> DataFrame:
@@ -30,35 +31,82 @@ def dictionary(terms: DataFrame, work: Workspace) -> DataFrame:
     return local.withColumn("part", F.shiftright("mid", 33).cast("int")).join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("mid").bitwiseAND((1 << 33) - 1)).alias("term_id"))
 
 
-def _arrays(batches):
-    """Adds a partition's rows into count arrays, one per block of identifiers met."""
-    for pdf in batches:
-        block = (pdf.term_id // BLOCK).to_numpy()
-        for b in np.unique(block):
-            own = pdf[block == b]
-            at = (own.term_id % BLOCK).to_numpy()
-            occ, rec = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-            np.add.at(occ, at, own.occurrences.to_numpy())
-            np.add.at(rec, at, own.records.to_numpy())
-            yield pd.DataFrame({"block": [b], "occ": [occ], "rec": [rec]})
+def _combine(batches):
+    """Adds up equal terms of a partition, so that what is shuffled is a row per partition and distinct term, however
+    often the term occurs."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def added() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by("term").aggregate([("occurrences", "sum"), ("records", "sum")])
+        return pa.table({"term": table["term"], "occurrences": table["occurrences_sum"], "records": table["records_sum"]})
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= COMBINE:
+            table = added()
+            if table.num_rows > COMBINE // 2:
+                yield from table.to_batches()
+                held, rows = [], 0
+            else:
+                held, rows = table.combine_chunks().to_batches(), table.num_rows
+    if rows:
+        yield from added().to_batches()
+
+
+def _accumulate(batches):
+    """Adds encoded counts of a partition into arrays, one per block of identifiers met; only cells that were met are
+    passed on."""
+    occ: dict[int, np.ndarray] = {}
+    rec: dict[int, np.ndarray] = {}
+
+    def flush():
+        for b in list(occ):
+            at = np.flatnonzero((occ[b] != 0) | (rec[b] != 0))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x], pa.list_(t)) for x, t in ((at.astype(np.int32), pa.int32()), (occ[b][at], pa.int64()), (rec[b][at], pa.int64())))], names=["block", "at", "occ", "rec"])
+        occ.clear()
+        rec.clear()
+
+    for batch in batches:
+        term, n, m = (batch.column(c).to_numpy() for c in ("term_id", "occurrences", "records"))
+        block = term // BLOCK
+        for b in np.unique(block).tolist():
+            own = block == b
+            if b not in occ:
+                if len(occ) == 256:
+                    yield from flush()
+                occ[b], rec[b] = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+            np.add.at(occ[b], term[own] % BLOCK, n[own])
+            np.add.at(rec[b], term[own] % BLOCK, m[own])
+    yield from flush()
+
+
+def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of a block's arrays."""
+    occ, rec = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
+    for at, n, m in zip(pdf["at"], pdf["occ"], pdf["rec"]):
+        occ[at] += n
+        rec[at] += m
+    met = np.flatnonzero((occ != 0) | (rec != 0))
+    return pd.DataFrame({"term_id": pdf.block.iloc[0] * BLOCK + met, "occurrences": occ[met], "records": rec[met]})
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
     """(term, occurrences, records) of rows (term, occurrences, records); null terms are ignored, null counts are 0.
 
-    Rows may be raw (1, 1) or already counted. They are summed per term and salt before anything is joined, encoded
-    by the dictionary, put into arrays of BLOCK identifiers, and the arrays are summed by identifier.
+    Rows may be raw (1, 1) or already counted. Equal terms of a partition are combined where they lie; the dictionary
+    numbers all terms; the partitions' counts are encoded by it and added into arrays of BLOCK identifiers; and the
+    arrays are summed by range of identifiers. A term that holds a third of all rows is one row per partition.
     """
     work = Workspace(rows.sparkSession)
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    counted = rows.where("term is not null").groupBy("term", salt.alias("salt")).agg(F.sum(F.coalesce(F.col("occurrences").cast("long"), F.lit(0))).alias("occurrences"), F.sum(F.coalesce(F.col("records").cast("long"), F.lit(0))).alias("records"))
-    counted = work.write(counted, "counted")
-    words = work.write(dictionary(counted, work), "dictionary")
-    # Ranges of identifiers: a partition meets neighbouring blocks only, so its arrays are dense.
-    coded = counted.join(words, "term").select("term_id", "occurrences", "records").repartitionByRange("term_id").sortWithinPartitions("term_id")
-    arrays = coded.mapInPandas(_arrays, "block long, occ array<long>, rec array<long>")
-    cells = arrays.select("block", F.posexplode(F.arrays_zip("occ", "rec")).alias("at", "x")).where("x.occ <> 0 or x.rec <> 0")
-    sums = cells.groupBy((F.col("block") * BLOCK + F.col("at")).alias("term_id")).agg(F.sum("x.occ").alias("occurrences"), F.sum("x.rec").alias("records"))
+    count = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    schema = "term string, occurrences long, records long"
+    partial = work.write(rows.where("term is not null").select("term", count("occurrences"), count("records")).mapInArrow(_combine, schema), "partial")
+    words = work.write(dictionary(partial, work), "dictionary")
+    coded = partial.join(words, "term").select("term_id", "occurrences", "records")
+    arrays = coded.mapInArrow(_accumulate, "block long, at array<int>, occ array<long>, rec array<long>")
+    sums = arrays.groupBy("block").applyInPandas(_sum, "term_id long, occurrences long, records long")
     return words.join(sums, "term_id", "left").select("term", F.coalesce("occurrences", F.lit(0)).alias("occurrences"), F.coalesce("records", F.lit(0)).alias("records"))
 
 
