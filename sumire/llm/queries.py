@@ -67,7 +67,7 @@ def p8_packed(spark, d):
 
 
 def p8_report(spark, d):
-    return packing.fill_report(p8_packed(spark, d), table(spark, d, "pack_capacities"))
+    return packing.fill_report(p8_packed(spark, d), table(spark, d, "pack_capacities"), table(spark, d, "documents"))
 
 
 def p9_mixed(spark, d):

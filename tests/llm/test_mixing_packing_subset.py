@@ -50,6 +50,46 @@ def test_windows_keep_the_mixture():
             assert abs(sum(sizes[i] for i in part if sources[i] == s) / total - shares[s]) < 0.12
 
 
+@pytest.mark.parametrize("size,per_box", [(100, 2), (130, 1), (150, 1), (180, 1), (200, 1), (240, 1), (64, 4)])
+def test_equal_items_are_settled_where_they_are(size, per_box):
+    n = 5000
+    sources = ["abc"[i % 3] for i in range(n)]
+    closed, open_, windows, _ = pk.pack_windows([size] * n, sources, dict.fromkeys("abc", 1 / 3), {}, 256)
+    assert sorted(i for _, box in closed + open_ for i in box) == list(range(n))
+    assert sum(len(box) for _, box in open_) < 4 * pk.WINDOW * per_box
+    assert len(closed) + len(open_) == -(-n // per_box)
+
+
+def test_groups_pass_on_a_bounded_number_of_items(spark, monkeypatch):
+    # Every group keeps all but KEEP items, so a group of the next level has MERGE x KEEP at most, whatever the input.
+    monkeypatch.setattr(pk, "ITEMS", 100)
+    rows = [(i, "word " * n, "ab"[i % 2]) for i, n in enumerate([40] * 1500 + [70] * 1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    caps = spark.createDataFrame([(1, 100)], "capacity_id int, capacity_tokens int")
+    packed = pk.pack_documents(df, caps).collect()
+    seen = {r.doc_id for r in packed}
+    assert len(seen) == 3000 == len(packed)
+    level = [int(r.container.split("-")[1]) for r in packed]
+    assert sum(x > 0 for x in level) < 30 * pk.KEEP
+    used = {}
+    for r in packed:
+        used[r.container] = used.get(r.container, 0) + r.tokens
+    assert max(used.values()) <= 100
+
+
+def test_targets_and_mixture_report(spark):
+    df = documents(spark, 3000)
+    caps = spark.createDataFrame([(1, 2048)], "capacity_id int, capacity_tokens int")
+    report = pk.fill_report(pk.pack_documents(df, caps), caps, df).first()
+    assert report.fill > 0.97 and report.windows >= 3 and report.mixture_error < 0.1
+    sources = {r.doc_id: r.source for r in df.collect()}
+    targets = spark.createDataFrame([("a", 0.2), ("b", 0.8), ("b", None), (None, None)], "source string, target_share double")
+    rows = [r for r in pk.pack_documents(df, caps, targets).collect() if r.win and r.win.endswith("-0")]
+    b = sum(r.tokens for r in rows if sources[r.doc_id] == "b")
+    a = sum(r.tokens for r in rows if sources[r.doc_id] == "a")
+    assert 2.5 < b / a < 6
+
+
 def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(pk, "ITEMS", 40)
     df = documents(spark)
