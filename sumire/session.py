@@ -27,10 +27,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and kept in the session's settings.
+    Where that is unset, a session on one machine gets a temporary folder, kept in its settings; on a cluster, where
+    executors would each see a folder of their own, it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sumire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +62,13 @@ class Workspace:
             self._delete(old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def address(self) -> str:
+        """The call's folder as a full address, for workers that open files of their own in it."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        whole = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return whole if not whole.startswith("file:/") else "file:///" + whole[5:].lstrip("/")
+
     def drop(self, name: str) -> None:
         if path := self.paths.pop(name, None):
             self._delete(path)
