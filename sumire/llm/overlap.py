@@ -8,21 +8,37 @@ is free, so each text gets those that the training texts hold least often; this
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import Workspace, spread
 from . import lookalike
 
-#: Lengths a segment can have. Three characters are for texts of six or seven.
+#: Lengths a segment can have. Three characters are for texts of six or seven; shorter ones for greater percentages,
+#: where k + 1 segments of three do not fit.
 LENGTHS = (3, 4, 6, 9)
+SHORT = (1, 2)
+#: Percentage up to which k + 1 segments of one character fit into every text.
+MOST_PERCENT = 45
+#: Longer texts are cut at even places.
+EVEN = 2000
+#: Texts whose edits can shift a segment further than this are met wherever the segment stands.
+REACH = 128
 #: Width of the position buckets that are part of a segment's key.
 BUCKET = 16
-#: Evaluation texts of one block. A block's segments, texts and character counts are what a broadcast holds.
-BLOCK = 100_000
+#: Bytes of evaluation text in one block; its index takes about six times as much.
+BLOCK = 8_000_000
+#: Blocks met in one job, and candidates that are held before they are verified.
+TURN = 16
+HELD = 2_000_000
 #: Bits of a block's filter of segment keys.
 FILTER_BITS = 25
 #: Classes of the character counts that bound a distance from below.
@@ -115,8 +131,10 @@ def cut(texts: list[str], grams: np.ndarray, shares: np.ndarray, percent: int) -
 
     A segment costs the share of texts that hold its rarest gram; grams that are not frequent count as COMMON, halved
     for each further one in the segment. Texts that allow no edit get none: their partners are equal. All texts of
-    one length go through the dynamic programme together.
+    one length go through the dynamic programme together; long texts are cut evenly.
     """
+    if not 0 <= percent <= MOST_PERCENT:
+        raise ValueError(f"k + 1 segments fit into every text up to {MOST_PERCENT} percent only")
     packed = Packed(texts)
     doc, pos, h = packed.windows(_GRAM)
     value = np.full(len(h), 0.0, np.float32)
@@ -130,14 +148,22 @@ def cut(texts: list[str], grams: np.ndarray, shares: np.ndarray, percent: int) -
         if k == 0:
             continue
         own = np.flatnonzero(packed.lengths == n)
+        if n > EVEN:
+            each = max(x for x in (*SHORT, *LENGTHS) if x * (k + 1) <= n)
+            at = np.arange(k + 1) * n // (k + 1)
+            out_doc.append(np.repeat(own, k + 1))
+            out_start.append(np.tile(at, len(own)))
+            out_len.append(np.full(len(own) * (k + 1), each))
+            continue
+        lengths = LENGTHS if (k + 1) * LENGTHS[0] <= n else (*SHORT, *LENGTHS)
         for part in np.array_split(own, max(1, len(own) * n // 400_000)):
-            cost = _costs(part, n, doc, pos, value)
+            cost = _costs(part, n, doc, value, lengths)
             best = np.zeros((len(part), n + 1), np.float32)
             picks = []
             for _ in range(k + 1):
                 total = np.full((len(part), n + 1), np.inf, np.float32)
                 used = np.zeros((len(part), n + 1), np.int8)
-                for length in LENGTHS:
+                for length in lengths:
                     if length > n:
                         continue
                     new = best[:, : n + 1 - length] + cost[length]
@@ -164,16 +190,16 @@ def cut(texts: list[str], grams: np.ndarray, shares: np.ndarray, percent: int) -
     return np.concatenate(out_doc), np.concatenate(out_start), np.concatenate(out_len)
 
 
-def _costs(part, n, doc, pos, value) -> dict[int, np.ndarray]:
+def _costs(part, n, doc, value, lengths) -> dict[int, np.ndarray]:
     lo = np.searchsorted(doc, part)
     width = max(0, n - _GRAM + 1)
     grams = value[lo[:, None] + np.arange(width)] if width else np.zeros((len(part), 0), np.float32)
     out = {}
-    for length in LENGTHS:
+    for length in lengths:
         if length > n:
             continue
         if length < _GRAM:
-            out[length] = np.full((len(part), n - length + 1), 0.05, np.float32)
+            out[length] = np.full((len(part), n - length + 1), 0.05 * 8.0 ** (3 - length), np.float32)
             continue
         held = np.lib.stride_tricks.sliding_window_view(grams, length - _GRAM + 1, axis=1)
         light = (held == 0).sum(axis=2)
@@ -190,56 +216,75 @@ class Block:
         self.lengths, self.counts = packed.lengths, packed.counts()
         doc, start, length = cut(texts, grams, shares, percent)
         self.filter = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        self.sizes = []
-        reaches = np.array([bound(longest_partner(n, percent), percent) for n in range(int(self.lengths.max(initial=0)) + 1)])
-        for size in LENGTHS:
+        #: Of each segment length, with places and without: keys, where each begins, texts and places.
+        self.sizes, self.anywhere = [], []
+        lengths, which = np.unique(self.lengths, return_inverse=True)
+        reaches = np.array([bound(longest_partner(int(n), percent), percent) for n in lengths] or [0])[which if len(which) else slice(0, 0)]
+        for size in (*SHORT, *LENGTHS):
             own = np.flatnonzero(length == size)
             if not len(own):
                 continue
             d, s = doc[own], start[own]
             wd, wp, wh = packed.windows(size)
             h = wh[np.searchsorted(wd * (1 << 32) + wp, d * (1 << 32) + s)]
-            reach = reaches[self.lengths[d]]
-            first, last = np.maximum(0, s - reach) // BUCKET, (s + reach) // BUCKET
-            times = last - first + 1
-            each = np.repeat(np.arange(len(own)), times)
-            bucket = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-            keys = _keyed(h[each], bucket)
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            slot = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            np.bitwise_or.at(self.filter, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-            heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            self.sizes.append((size, keys[heads], np.append(heads, len(keys)), d[each][order].astype(np.int32), s[each][order].astype(np.int32)))
+            near = reaches[d] <= REACH
+            if near.any():
+                self.sizes.append((size, *self._placed(h[near], d[near], s[near], reaches[d[near]])))
+            if not near.all():
+                far = np.unique(np.stack([_keyed(h[~near], np.full((~near).sum(), -1)).view(np.int64), d[~near]]), axis=1)
+                self.anywhere.append((size, *self._indexed(far[0].view(np.uint64), far[1], np.full(far.shape[1], -1))))
+
+    def _placed(self, h, d, s, reach):
+        """One key for each bucket of places that the edits can move a segment to."""
+        first, last = np.maximum(0, s - reach) // BUCKET, (s + reach) // BUCKET
+        times = last - first + 1
+        each = np.repeat(np.arange(len(h)), times)
+        bucket = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        return self._indexed(_keyed(h[each], bucket), d[each], s[each])
+
+    def _indexed(self, keys, d, s):
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        slot = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        np.bitwise_or.at(self.filter, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[heads], np.append(heads, len(keys)), d[order].astype(np.int32), s[order].astype(np.int32)
 
     def met(self, packed: Packed, limit: int = 4_000_000):
         """(evaluation, training) numbers of the pairs that share a segment at a reachable place and whose lengths and
         character counts allow the bound; in pieces of bounded size, however often a segment occurs."""
         counts = packed.counts()
-        for size, keys, heads, docs, starts in self.sizes:
+        for size, *index in self.sizes:
+            d, p, h = packed.windows(size)
+            yield from self._hits(packed, counts, _keyed(h, p // BUCKET), d, p, index, limit)
+        for size, *index in self.anywhere:
             d, p, h = packed.windows(size)
-            k = _keyed(h, p // BUCKET)
-            slot = (k & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            on = np.flatnonzero(self.filter[slot >> 3] >> (slot & 7) & 1)
-            at = np.minimum(np.searchsorted(keys, k[on]), len(keys) - 1)
-            good = keys[at] == k[on]
-            on, at = on[good], at[good]
-            times = heads[at + 1] - heads[at]
-            upto = np.cumsum(times)
-            begin = 0
-            while begin < len(on):
-                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + limit, "right")))
-                for low in range(0, int(times[begin]) if end == begin + 1 else 1, limit):
-                    t = np.minimum(times[begin:end] - low, limit) if end == begin + 1 else times[begin:end]
-                    each = np.repeat(np.arange(begin, end), t)
-                    member = heads[at[each]] + low + np.arange(len(each)) - np.repeat(np.cumsum(t) - t, t)
-                    yield self._reachable(packed, counts, docs[member], starts[member], d[on[each]], p[on[each]])
-                begin = end
+            _, once = np.unique(np.stack([d, h.view(np.int64)]), axis=1, return_index=True)
+            yield from self._hits(packed, counts, _keyed(h[once], np.full(len(once), -1)), d[once], p[once], index, limit)
+
+    def _hits(self, packed, counts, k, d, p, index, limit):
+        keys, heads, docs, starts = index
+        slot = (k & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+        on = np.flatnonzero(self.filter[slot >> 3] >> (slot & 7) & 1)
+        at = np.minimum(np.searchsorted(keys, k[on]), len(keys) - 1)
+        good = keys[at] == k[on]
+        on, at = on[good], at[good]
+        times = heads[at + 1] - heads[at]
+        upto = np.cumsum(times)
+        begin = 0
+        while begin < len(on):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + limit, "right")))
+            for low in range(0, int(times[begin]) if end == begin + 1 else 1, limit):
+                t = np.minimum(times[begin:end] - low, limit) if end == begin + 1 else times[begin:end]
+                each = np.repeat(np.arange(begin, end), t)
+                member = heads[at[each]] + low + np.arange(len(each)) - np.repeat(np.cumsum(t) - t, t)
+                yield self._reachable(packed, counts, docs[member], starts[member], d[on[each]], p[on[each]])
+            begin = end
 
     def _reachable(self, packed, counts, e, e_pos, t, t_pos):
         n, m = self.lengths[e], packed.lengths[t]
         most = self.percent * np.maximum(n, m) // 100
-        shift, grown = t_pos - e_pos, m - n
+        shift, grown = np.where(e_pos < 0, 0, t_pos - e_pos), m - n
         ok = np.flatnonzero(np.abs(shift) + np.abs(grown - shift) <= most)
         e, t, most = e[ok].astype(np.int64), t[ok], most[ok]
         # Few pairs pass the counts, so they are tested before repeats are removed.
@@ -252,34 +297,78 @@ class Block:
         return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def _matches(shared):
+def _save(block: Block, folder: str) -> str:
+    """Writes a block's index under a fresh name (a task that runs again leaves the first file unused)."""
+    path = f"{folder}/{uuid.uuid4().hex}"
+    fs, inside = pa.fs.FileSystem.from_uri(path)
+    fs.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(inside) as out:
+        out.write(pickle.dumps(block, pickle.HIGHEST_PROTOCOL))
+    return path
+
+
+@lru_cache(1)
+def _load(path: str) -> Block:
+    fs, inside = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_stream(inside) as file:
+        return pickle.loads(file.read())
+
+
+def _matches(path: str):
     """Verified pairs of a block's evaluation texts and a partition's training texts."""
 
     def run(batches):
-        block: Block = shared.value
+        block = None
         for batch in batches:
+            block = block or _load(path)
             texts = batch.column("norm").to_pylist()
             if not texts or not len(block.texts):
                 continue
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
+            held, size = [], 0
+            right = [np.zeros(0, np.int64)]
+
+            def verify():
+                right.append(_verified(block, cls, texts, np.unique(np.concatenate(held))))
+                held.clear()
+
             packed = Packed(texts)
-            found = [e << 32 | t for e, t in block.met(packed)]
-            pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            e, t = pairs >> 32, pairs & 0xFFFFFFFF
-            other = block.cls[e] != cls[t]
-            e, t = e[other], t[other]
-            size = np.maximum(block.lengths[e], packed.lengths[t])
-            most = block.percent * size // 100
-            ok = np.zeros(len(e), bool)
-            order = np.argsort(size, kind="stable")
-            for part in range(0, len(order), 4096):
-                own = order[part : part + 4096]
-                ok[own] = distances([block.texts[i] for i in e[own]], [texts[i] for i in t[own]], most[own].copy()) <= most[own]
-            yield pa.RecordBatch.from_arrays([pa.array(block.cls[e[ok]]), pa.array(cls[t[ok]])], names=["evaluation", "training"])
+            for e, t in block.met(packed):
+                held.append(e << 32 | t)
+                size += len(e)
+                if size >= HELD:
+                    verify()
+                    size = 0
+            if held:
+                verify()
+            # A pair that shares several segments can have been verified in several parts.
+            pairs = np.unique(np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(block.cls[pairs >> 32]), pa.array(cls[pairs & 0xFFFFFFFF])], names=["evaluation", "training"])
 
     return run
 
 
+def _verified(block: Block, cls: np.ndarray, texts: list[str], pairs: np.ndarray) -> np.ndarray:
+    """Those of the pairs (evaluation << 32 | training) of different texts that are within the bound."""
+    e, t = pairs >> 32, pairs & 0xFFFFFFFF
+    other = block.cls[e] != cls[t]
+    e, t = e[other], t[other]
+    size = np.maximum(block.lengths[e], [len(texts[i]) for i in t]).astype(np.int64)
+    most = block.percent * size // 100
+    order = np.argsort(size, kind="stable")
+    ok = np.zeros(len(e), bool)
+    begin = 0
+    while begin < len(order):
+        # Together the tables of the pairs of one part have some millions of cells.
+        end = min(len(order), begin + 4096)
+        while end > begin + 1 and (end - begin) * (2 * int(most[order[end - 1]]) + int(size[order[end - 1]])) > 2_000_000:
+            end = begin + (end - begin) // 2
+        own = order[begin:end]
+        ok[own] = distances([block.texts[i] for i in e[own]], [texts[i] for i in t[own]], most[own].copy()) <= most[own]
+        begin = end
+    return (e << 32 | t)[ok]
+
+
 def distances(left: list[str], right: list[str], limits: np.ndarray) -> np.ndarray:
     """Edit distances of pairs, limit + 1 where they exceed their limit; a band of limit on each side of the diagonal,
     all pairs at once."""
@@ -296,16 +385,19 @@ def distances(left: list[str], right: list[str], limits: np.ndarray) -> np.ndarr
     b = np.zeros((len(left), rows + 2 * band + int(m.max()) + 1), np.uint32)
     for i, t in enumerate(right):
         b[i, band : band + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-    big = np.int16(1000)
-    offset = np.arange(-band, band + 1, dtype=np.int16)
+    # Outside the table stands more than any distance; short integers are enough for short texts.
+    far = rows + int(m.max()) + width + 1
+    kind = np.int16 if far + width < 32_000 else np.int32
+    big, one = kind(far), kind(1)
+    offset = np.arange(-band, band + 1, dtype=kind)
     # d[:, o] is the distance of the first i characters of a and the first i + o - band of b.
-    d = np.where(offset >= 0, offset, big)[None, :].repeat(len(left), 0).astype(np.int16)
+    d = np.where(offset >= 0, offset, big)[None, :].repeat(len(left), 0).astype(kind)
     live = n == 0
     out[live] = np.minimum(out[live], m[live])
     for i in range(1, rows + 1):
         same = b[:, i - 1 : i - 1 + width] != a[:, i - 1 : i]
         new = d + same
-        np.minimum(new[:, :-1], d[:, 1:] + np.int16(1), out=new[:, :-1])
+        np.minimum(new[:, :-1], d[:, 1:] + one, out=new[:, :-1])
         if i <= band:
             new[:, : band - i] = big
             new[:, band - i] = i
@@ -337,36 +429,56 @@ def valid_splits(article_splits: DataFrame) -> DataFrame:
     return last.select("article_id", "x.split", "x.source")
 
 
-def class_pairs(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def _built(grams: np.ndarray, shares: np.ndarray, percent: int, folder: str):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = Block(pdf.cls.to_numpy(), pdf.norm.tolist(), grams, shares, percent)
+        return pd.DataFrame({"path": [_save(block, folder)]})
+
+    return run
+
+
+def class_pairs(classes: DataFrame, percent: int, work: Workspace | None = None, block: int = BLOCK) -> DataFrame:
     """(evaluation, training): pairs of different texts, of classes (cls, norm, evaluation, training), within the bound.
 
-    The evaluation texts, a stated query set, are taken in blocks of about `block` texts by hash. A block's index is
-    broadcast (its size is that of the block, not of the input) and met by every training text where it lies, so
-    neither substrings nor candidates are ever shuffled and no segment, however frequent, gathers in one task.
+    The evaluation texts, a stated query set, are taken in blocks of about `block` bytes by hash. Executors build a
+    block's index and put it into the shared folder; each training partition reads one block at a time and meets it
+    where it lies, so neither substrings nor candidates are shuffled, no segment, however frequent, gathers in one
+    task, and the driver sees names of blocks and counts only. The work grows with blocks times training texts.
+    Workers open the shared folder by pyarrow (local, hdfs, s3, gs and abfs addresses).
     """
+    if not 0 <= percent <= MOST_PERCENT:
+        raise ValueError(f"percent must lie between 0 and {MOST_PERCENT}")
     spark = classes.sparkSession
-    total, queries = classes.agg(F.count(F.lit(1)), F.count_if("evaluation")).first()
+    work = work or Workspace(spark)
+    total, size = classes.agg(F.count(F.lit(1)), F.sum(F.when(F.col("evaluation"), F.octet_length("norm") + 1))).first()
+    schema = "evaluation long, training long"
+    if not size:
+        return spark.createDataFrame([], schema)
+    # At most the mean length of a text / COMMON grams are frequent.
     grams = classes.select("norm").mapInArrow(_frequent_grams(COMMON), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).toArrow()
     order = np.argsort(grams.column("gram").to_numpy().view(np.uint64))
     keys, shares = grams.column("gram").to_numpy().view(np.uint64)[order], (grams.column("n").to_numpy()[order] / max(1, total)).astype(np.float32)
     trained = spread(classes.where("training").select("cls", "norm"))
-    blocks = max(1, -(-queries // block))
-    out = None
-    for turn in range(blocks):
-        own = classes.where("evaluation").where(F.pmod(F.xxhash64(F.lit("block"), "cls"), F.lit(blocks)) == turn).select("cls", "norm").toArrow()
-        index = Block(own.column("cls").to_numpy(), own.column("norm").to_pylist(), keys, shares, percent)
-        found = trained.mapInArrow(_matches(spark.sparkContext.broadcast(index)), "evaluation long, training long")
-        out = found if out is None else out.unionByName(found)
+    number = F.pmod(F.xxhash64(F.lit("block"), "cls"), F.lit(-(-size // block)))
+    build = _built(keys, shares, percent, f"{work.address()}/blocks")
+    blocks = [r.path for r in classes.where("evaluation").select(number.alias("number"), "cls", "norm").groupBy("number").applyInPandas(build, "path string").collect()]
+    parts = []
+    for begin in range(0, len(blocks), TURN):
+        found = None
+        for path in blocks[begin : begin + TURN]:
+            one = trained.mapInArrow(_matches(path), schema)
+            found = one if found is None else found.unionByName(one)
+        parts.append(work.write(found, f"near{begin}"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def cross_split_pairs(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> DataFrame:
-    """(row_a, row_b, split, source): pairs row_a < row_b of a training row and a validation or test row whose texts,
-    in the consistent form without case and white space, are within percent of the longer one's characters.
-
-    `split` and `source` are those of the evaluation row. Rows without text, article or split are in no pair; empty
-    texts are equal to each other. Equal texts are joined once per class and expanded at the end.
-    """
+def overlap_classes(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members (row_id, split, source, cls) of all rows with text, article and split, one class per
+    distinct text in the consistent form without case and white space; pairs (evaluation, training) of classes within
+    percent, equal ones included. Copies are never expanded here."""
     work = Workspace(train.sparkSession)
     model = lookalike.fit(train.select("text"), aliases)
     usable = spread(train.where("text is not null and article_id is not null").select("row_id", "article_id", "text"))
@@ -377,15 +489,38 @@ def cross_split_pairs(train: DataFrame, article_splits: DataFrame, aliases: Data
     classes = work.write(
         rows.groupBy("h1", "h2").agg(F.min("row_id").alias("cls"), F.first("norm").alias("norm"), F.max(F.col("split") != "train").alias("evaluation"), F.max(F.col("split") == "train").alias("training")), "classes"
     )
-    near = class_pairs(classes, percent)
+    near = class_pairs(classes, percent, work)
     same = classes.where("evaluation and training").select(F.col("cls").alias("evaluation"), F.col("cls").alias("training"))
-    pairs = near.unionByName(same)
-    members = rows.join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("row_id", "split", "source", "cls")
+    return rows.join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select("row_id", "split", "source", "cls"), near.unionByName(same)
+
+
+def cross_split_pairs(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> DataFrame:
+    """(row_a, row_b, split, source): pairs row_a < row_b of a training row and a validation or test row whose texts,
+    in the consistent form without case and white space, are within percent of the longer one's characters.
+
+    `split` and `source` are those of the evaluation row. Rows without text, article or split are in no pair; empty
+    texts are equal to each other. Equal texts are joined once per class and expanded here, at the end, because rows
+    are asked for; overlap_report counts without expanding.
+    """
+    members, pairs = overlap_classes(train, article_splits, aliases, percent)
     e = members.where("split <> 'train'").select(F.col("cls").alias("evaluation"), F.col("row_id").alias("e"), "split", "source")
     t = members.where("split = 'train'").select(F.col("cls").alias("training"), F.col("row_id").alias("t"))
     return pairs.join(e, "evaluation").join(t, "training").select(F.least("e", "t").alias("row_a"), F.greatest("e", "t").alias("row_b"), "split", "source")
 
 
-def overlap_report(pairs: DataFrame) -> DataFrame:
-    """(split, source, pairs): number of overlapping pairs per evaluation split and source of the evaluation row."""
-    return pairs.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"))
+def overlap_report(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> DataFrame:
+    """(split, source, pairs): number of overlapping row pairs per evaluation split and source of the evaluation row,
+    from the classes and how many rows each has."""
+    members, pairs = overlap_classes(train, article_splits, aliases, percent)
+    e = members.where("split <> 'train'").groupBy(F.col("cls").alias("evaluation"), "split", "source").agg(F.count(F.lit(1)).alias("e"))
+    t = members.where("split = 'train'").groupBy(F.col("cls").alias("training")).agg(F.count(F.lit(1)).alias("t"))
+    return pairs.join(t, "training").groupBy("evaluation").agg(F.sum("t").alias("t")).join(e, "evaluation").groupBy("split", "source").agg(F.sum(F.col("e") * F.col("t")).alias("pairs"))
+
+
+def overlap_links(train: DataFrame, article_splits: DataFrame, aliases: DataFrame | None = None, percent: int = 15) -> DataFrame:
+    """(row_id, split, cls, links): one row per row with text, article and split: its class and how many classes of the
+    other side it is linked to."""
+    members, pairs = overlap_classes(train, article_splits, aliases, percent)
+    both = pairs.select(F.col("evaluation").alias("cls"), F.lit(False).alias("train_")).unionByName(pairs.select(F.col("training").alias("cls"), F.lit(True).alias("train_"))).groupBy("cls", "train_").agg(F.count(F.lit(1)).alias("links"))
+    rows = members.withColumn("train_", F.col("split") == "train")
+    return rows.join(both, ["cls", "train_"], "left").select("row_id", "split", "cls", F.coalesce("links", F.lit(0)).alias("links"))

@@ -22,16 +22,20 @@ def p2_splits(spark, d):
     return splits.assign_splits(table(spark, d, "labels"), table(spark, d, "split_targets"))
 
 
-def p3_pairs(spark, d):
-    return overlap.cross_split_pairs(table(spark, d, "train"), table(spark, d, "article_splits"), table(spark, d, "character_aliases_quotes_homoglyphs"))
+def _overlap_tables(spark, d):
+    return table(spark, d, "train"), table(spark, d, "article_splits"), table(spark, d, "character_aliases_quotes_homoglyphs")
 
 
 def p3_found(spark, d):
-    return p3_pairs(spark, d).select("row_a", "row_b")
+    return overlap.cross_split_pairs(*_overlap_tables(spark, d)).select("row_a", "row_b")
 
 
 def p3_report(spark, d):
-    return overlap.overlap_report(p3_pairs(spark, d))
+    return overlap.overlap_report(*_overlap_tables(spark, d))
+
+
+def p3_links(spark, d):
+    return overlap.overlap_links(*_overlap_tables(spark, d))
 
 
 def p4_found(spark, d):
@@ -90,7 +94,7 @@ def p10_risk(spark, d):
     return repetition.rejection_risk(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition, p10_risk)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p3_found, p3_report, p3_links, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition, p10_risk)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),

@@ -40,6 +40,71 @@ def test_banded_distances():
         assert got == true if true <= k else got > k
 
 
+@pytest.mark.parametrize("length,edits,percent", [(8000, 1270, 15), (8000, 400, 15), (12000, 1900, 15)])
+def test_distances_of_long_texts(length, edits, percent):
+    rng = random.Random(length + edits)
+    a = "".join(rng.choice("abcdefghij") for _ in range(length))
+    b = edited(rng, a, "abcdefghij", edits)
+    # A plain table, one row at a time.
+    x, y = np.array(list(map(ord, a))), np.array(list(map(ord, b)))
+    row = np.arange(len(y) + 1)
+    for i, c in enumerate(x, 1):
+        new = np.minimum(np.concatenate(([i], row[:-1] + (y != c))), np.concatenate(([i], row[1:] + 1)))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    true = int(row[-1])
+    for limit in (true - 1, true, true + 30):
+        got = int(ov.distances([a, "abc"], [b, "abd"], np.array([limit, 1]))[0])
+        assert got == true if true <= limit else got == limit + 1
+
+
+def test_too_great_a_percentage_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a", True, True)], "cls long, norm string, evaluation boolean, training boolean")
+    with pytest.raises(ValueError):
+        ov.class_pairs(df, 50)
+
+
+@pytest.mark.parametrize("percent", [30, 40, 45])
+def test_great_percentages_lose_no_pair(percent):
+    rng = random.Random(percent)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    other = [edited(rng, rng.choice(base), "abcdefgh", rng.randint(0, 9)) for _ in range(200)]
+    want = {(i, j) for i, a in enumerate(base) for j, b in enumerate(other) if 0 < distance(a, b) <= percent * max(len(a), len(b)) // 100}
+    block = ov.Block(np.arange(len(base)), base, np.zeros(0, np.uint64), np.zeros(0, np.float32), percent)
+    met = {(int(e), int(t)) for es, ts in block.met(ov.Packed(other)) for e, t in zip(es, ts)}
+    assert want <= met and len(want) > 60
+
+
+def test_long_texts_are_met(spark):
+    rng = random.Random(11)
+    a = "".join(rng.choice("abcdefghij") for _ in range(6000))
+    near, far = edited(rng, a, "abcdefghij", 500), edited(rng, a, "abcdefghij", 2500)
+    moved = "x" * 400 + a[:-200]
+    rows = [(1, a, True, False), (2, near, False, True), (3, far, False, True), (4, moved, False, True), (5, a[:40], True, False), (6, a[:38], False, True)]
+    df = spark.createDataFrame(rows, "cls long, norm string, evaluation boolean, training boolean")
+    assert {tuple(r) for r in ov.class_pairs(df, 15).collect()} == {(1, 2), (1, 4), (5, 6)}
+
+
+def test_links_and_report_agree_with_the_pairs(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(12)]
+    splits = spark.createDataFrame([("t", "train", "a", at(1)), ("v", "validation", "c", at(2)), ("x", "test", "d", at(1))], SPLITS)
+    rows = [(i, rng.choice("ttvx"), edited(rng, rng.choice(base), "abcdefgh", rng.randint(0, 2)), "", "") for i in range(200)]
+    train = spark.createDataFrame(rows, TRAIN)
+    pairs = ov.cross_split_pairs(train, splits).collect()
+    want = {}
+    for r in pairs:
+        want[r.split, r.source] = want.get((r.split, r.source), 0) + 1
+    assert {(r.split, r.source): r.pairs for r in ov.overlap_report(train, splits).collect()} == want
+    links = ov.overlap_links(train, splits).collect()
+    cls = {r.row_id: r.cls for r in links}
+    assert len(links) == 200
+    partners = {}
+    for r in pairs:
+        partners.setdefault(r.row_a, set()).add(cls[r.row_b])
+        partners.setdefault(r.row_b, set()).add(cls[r.row_a])
+    assert {r.row_id: r.links for r in links if r.links} == {i: len(x) for i, x in partners.items()}
+
+
 @pytest.mark.parametrize("percent", [5, 15])
 def test_segments_are_disjoint_and_enough(percent):
     rng = random.Random(2)
@@ -88,7 +153,7 @@ def test_operator(spark):
         want += [(min(e, t), max(e, t), split, source) for t in (1, 8)]
     want += [(11, 12, "validation", "c"), (14, 15, "validation", "c")]
     assert got == sorted(want, key=lambda r: (r[0], r[1]))
-    report = {(r.split, r.source): r.pairs for r in ov.overlap_report(ov.cross_split_pairs(train, splits)).collect()}
+    report = {(r.split, r.source): r.pairs for r in ov.overlap_report(train, splits).collect()}
     assert report == {("validation", "c"): 4, ("test", None): 4}
 
 
@@ -102,5 +167,5 @@ def test_blocks_agree_with_one(spark):
     classes = [(i, t, True, False) for i, t in enumerate(base)] + [(100 + i, edited(rng, t, "abcdefgh", 3), False, True) for i, t in enumerate(base)]
     df = spark.createDataFrame(classes, "cls long, norm string, evaluation boolean, training boolean")
     a = {tuple(r) for r in ov.class_pairs(df, 15).collect()}
-    b = {tuple(r) for r in ov.class_pairs(df, 15, block=7).collect()}
+    b = {tuple(r) for r in ov.class_pairs(df, 15, block=210).collect()}
     assert a == b and len(a) >= 35
