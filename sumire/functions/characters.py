@@ -1,9 +1,14 @@
-"""Unicode properties of single characters, for tables of distinct characters (at most the size of Unicode)."""
+"""Unicode properties of single characters, for tables of distinct characters (at most the size of Unicode).
+
+Properties form a dimension table that is computed for a whole column at once: category, name and script first, then
+the groups, painted over each other from the general to the special.
+"""
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -12,65 +17,70 @@ GREEK = "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩαβγδεζηθικλ
 RUSSIAN_EXTRA = "Ёё"
 KANA_RANGES = ((0x3041, 0x3096), (0x3099, 0x309F), (0x30A0, 0x30FF), (0x31F0, 0x31FF), (0xFF61, 0xFF9F))
 JAPANESE_MARKS = "々〆〇〻〼"
-
-
-def name_of(c: str) -> str:
-    return unicodedata.name(c, "")
-
-
-def classify(c: str) -> tuple[str, str]:
-    """(group, status) of a character: candidate, review or exclude. The first rule that holds decides."""
-    o, category, name = ord(c), unicodedata.category(c), name_of(c)
-    sign = category[0] in "PS"
-    rules = (
-        (0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF, "variation_selector", "exclude_standalone"),
-        (category in ("Co", "Cn"), "control_private_or_unassigned", "review"),
-        (category[0] == "C" or category in ("Zl", "Zp"), "control_private_or_unassigned", "exclude"),
-        (c in " 　", "space", "candidate"),
-        (category == "Zs", "other_space", "review"),
-        (0x21 <= o <= 0x7E, "ascii", "candidate"),
-        (name.startswith(("CJK UNIFIED IDEOGRAPH-", "CJK COMPATIBILITY IDEOGRAPH-")), "han", "candidate"),
-        ("HIRAGANA" in name or "KATAKANA" in name, "kana", "candidate"),
-        (c in JAPANESE_MARKS, "japanese_iteration_and_marks", "candidate"),
-        (0xFF01 <= o <= 0xFF60 or 0xFFE0 <= o <= 0xFFE6, "fullwidth_alphanumeric_and_symbols", "candidate"),
-        (0x3000 <= o <= 0x303F and sign, "cjk_punctuation_and_symbols", "candidate"),
-        (sign, "other_punctuation_and_symbols", "review"),
-        ("LATIN" in name, "extended_latin", "review"),
-        (category[0] == "M", "combining_mark", "review"),
-    )
-    return next(((group, status) for holds, group, status in rules if holds), ("other_script_or_number", "review"))
-
-
-def character_class(c: str) -> str:
-    """han for ideographs, else the general category."""
-    return "han" if name_of(c).startswith(("CJK UNIFIED IDEOGRAPH-", "CJK COMPATIBILITY IDEOGRAPH-")) else unicodedata.category(c)
-
-
-def refined_group(c: str) -> str:
-    o = ord(c)
-    if o < 256 and ("LATIN" in name_of(c) and unicodedata.category(c)[0] == "L" or c in "ªº"):
-        return "latin_iso8859_1"
-    if c in GREEK:
-        return "greek_basic"
-    if 0x410 <= o < 0x450 or c in RUSSIAN_EXTRA:
-        return "cyrillic_russian_basic"
-    if any(a <= o <= b for a, b in KANA_RANGES) and unicodedata.category(c) != "Cn":
-        return "modern_kana_and_marks"
-    return "han" if classify(c)[0] == "han" else "other_digits_symbols_spaces"
-
-
-def removal_reason(c: str) -> str | None:
-    """Why a candidate does not stay in the refined vocabulary; None if it does."""
-    group, own, name = classify(c)[0], refined_group(c), name_of(c)
-    if group in ("ascii", "space", "cjk_punctuation_and_symbols", "japanese_iteration_and_marks"):
-        return None
-    if "LATIN" in name and own != "latin_iso8859_1":
-        return "outside_iso8859_1_latin"
-    if "GREEK" in name and own != "greek_basic":
-        return "outside_basic_greek"
-    if ("HIRAGANA" in name or "KATAKANA" in name) and own != "modern_kana_and_marks":
-        return "outside_modern_kana_ranges"
-    return None
+SPACES = " 　"
+# Group, status and what belongs to it (categories, script, ranges or characters). A later row takes
+# characters from an earlier one.
+GROUPS = (
+    ("other_script_or_number", "review", {}),
+    ("combining_mark", "review", {"category": "Mn Mc Me"}),
+    ("extended_latin", "review", {"script": "latin"}),
+    ("other_punctuation_and_symbols", "review", {"category": "Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So"}),
+    ("cjk_punctuation_and_symbols", "candidate", {"category": "Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So", "ranges": ((0x3000, 0x303F),)}),
+    ("fullwidth_alphanumeric_and_symbols", "candidate", {"ranges": ((0xFF01, 0xFF60), (0xFFE0, 0xFFE6))}),
+    ("japanese_iteration_and_marks", "candidate", {"characters": JAPANESE_MARKS}),
+    ("kana", "candidate", {"script": "kana"}),
+    ("han", "candidate", {"script": "han"}),
+    ("ascii", "candidate", {"ranges": ((0x21, 0x7E),)}),
+    ("other_space", "review", {"category": "Zs"}),
+    ("space", "candidate", {"characters": SPACES}),
+    ("control_private_or_unassigned", "exclude", {"category": "Cc Cf Cs Zl Zp"}),
+    ("control_private_or_unassigned", "review", {"category": "Co Cn"}),
+    ("variation_selector", "exclude_standalone", {"ranges": ((0xFE00, 0xFE0F), (0xE0100, 0xE01EF))}),
+)
+_SCRIPTS = {"han": r"^CJK (?:UNIFIED|COMPATIBILITY) IDEOGRAPH-", "kana": "HIRAGANA|KATAKANA", "latin": "LATIN", "greek": "GREEK"}
+
+
+def _inside(code: np.ndarray, ranges) -> np.ndarray:
+    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
+
+
+def dimension(chars: pd.Series) -> pd.DataFrame:
+    """Properties of a column of single characters; null where a value is null or not one character."""
+    one = chars.map(lambda c: isinstance(c, str) and len(c) == 1).astype(bool)
+    c = chars[one]
+    code = c.map(ord).to_numpy(np.int64) if len(c) else np.zeros(0, np.int64)
+    out = pd.DataFrame({"category": c.map(unicodedata.category), "name": c.map(lambda x: unicodedata.name(x, ""))}, index=c.index, dtype=object)
+    category, script = out["category"], {name: out["name"].str.contains(pattern, regex=True).to_numpy(bool) if len(c) else np.zeros(0, bool) for name, pattern in _SCRIPTS.items()}
+    out["group"] = out["status"] = None
+    for group, status, what in GROUPS:
+        held = np.ones(len(c), bool)
+        if "category" in what:
+            held &= category.isin(what["category"].split()).to_numpy()
+        if "script" in what:
+            held &= script[what["script"]]
+        if "ranges" in what:
+            held &= _inside(code, what["ranges"])
+        if "characters" in what:
+            held &= c.isin(list(what["characters"])).to_numpy()
+        out.loc[held, ["group", "status"]] = [group, status]
+    out["class"] = category.where(~script["han"], "han")
+    refined = pd.Series("other_digits_symbols_spaces", index=c.index, dtype=object)
+    letter = category.str.startswith("L").to_numpy(bool) if len(c) else np.zeros(0, bool)
+    for name, held in (
+        ("han", (out["group"] == "han").to_numpy()),
+        ("modern_kana_and_marks", _inside(code, KANA_RANGES) & (category != "Cn").to_numpy()),
+        ("cyrillic_russian_basic", ((code >= 0x410) & (code < 0x450)) | c.isin(list(RUSSIAN_EXTRA)).to_numpy()),
+        ("greek_basic", c.isin(list(GREEK)).to_numpy()),
+        ("latin_iso8859_1", (code < 256) & (script["latin"] & letter | c.isin(["ª", "º"]).to_numpy())),
+    ):
+        refined[held] = name
+    out["refined_group"] = refined
+    # What a script's letters must belong to in order to stay; these groups stay whatever their script.
+    out["removal_reason"] = None
+    free = out["group"].isin(["ascii", "space", "cjk_punctuation_and_symbols", "japanese_iteration_and_marks"]).to_numpy()
+    for kind, home, reason in (("kana", "modern_kana_and_marks", "outside_modern_kana_ranges"), ("greek", "greek_basic", "outside_basic_greek"), ("latin", "latin_iso8859_1", "outside_iso8859_1_latin")):
+        out.loc[script[kind] & (refined != home).to_numpy() & ~free, "removal_reason"] = reason
+    return out.reindex(chars.index).astype(object).where(lambda x: x.notna(), None)
 
 
 _PROPERTIES = T.StructType([T.StructField(n, T.StringType()) for n in ("category", "name", "group", "status", "class", "refined_group", "removal_reason")])
@@ -78,8 +88,7 @@ _PROPERTIES = T.StructType([T.StructField(n, T.StringType()) for n in ("category
 
 @F.pandas_udf(_PROPERTIES)
 def _properties(chars: pd.Series) -> pd.DataFrame:
-    rows = [(unicodedata.category(c), name_of(c), *classify(c), character_class(c), refined_group(c), removal_reason(c)) if c and len(c) == 1 else (None,) * 7 for c in chars]
-    return pd.DataFrame(rows, columns=_PROPERTIES.names)
+    return dimension(chars)[_PROPERTIES.names]
 
 
 def with_properties(df: DataFrame, column: str = "character") -> DataFrame:
@@ -90,15 +99,7 @@ def with_properties(df: DataFrame, column: str = "character") -> DataFrame:
     return df.withColumn("p", _properties(F.col(column))).select(*df.columns, "p.*")
 
 
-def property_ranges(value, top: int = 0x20000) -> list[tuple[int, int, str]]:
-    """(low, high, value) runs of equal values over the code points below top, for use in SQL."""
-    out: list[tuple[int, int, str]] = []
-    for o in range(top):
-        if 0xD800 <= o < 0xE000:
-            continue
-        v = value(chr(o))
-        if out and out[-1][2] == v and out[-1][1] == o - 1:
-            out[-1] = (out[-1][0], o, v)
-        else:
-            out.append((o, o, v))
-    return out
+@F.pandas_udf(T.StringType())
+def normalised(text: pd.Series, form: pd.Series) -> pd.Series:
+    """The text in a Unicode normal form (NFC, NFD, NFKC or NFKD); Spark has no such function. Null stays null."""
+    return pd.Series([None if t is None else unicodedata.normalize(f, t) for t, f in zip(text, form)], dtype=object)

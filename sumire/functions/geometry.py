@@ -48,3 +48,11 @@ def shift_keys(numbered: Column, delta: int) -> Column:
 
 def diagonal_degrees(width: Column, height: Column) -> Column:
     return F.degrees(F.atan2(height, width))
+
+
+def boundary_class(teacher: Column, continuous: Column, painted: Column) -> Column:
+    """solid, dash_ink, dash_gap or null of a pixel: of those the teacher marks (at least one half), pixels no dashed line
+    covers (less than one half of it drawn through) are solid, those its dashes cover by a half are ink, and those its
+    dashes leave free (a hundredth at most) are gaps. One pixel has one class."""
+    line = continuous >= 0.5
+    return F.when(teacher >= 0.5, F.when(~line, "solid").when(painted >= 0.5, "dash_ink").when(painted <= 0.01, "dash_gap"))

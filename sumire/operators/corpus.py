@@ -91,16 +91,36 @@ def fixed_windows(df: DataFrame, key: str, text: str, low: int, high: int) -> Da
     return rows.select(key, "start", F.least(F.col("start") + high, F.col("n")).alias("end"), F.array_join(F.slice("chars", F.col("start") + 1, high), "").alias("text"))
 
 
-def _grams(length: int):
+def _grams(length: int, piece: int = 500_000):
+    """Distinct windows of each text. A batch is one array of code points: windows are compared by 64-bit hashes all at
+    once and only distinct ones become strings."""
+
     def run(batches):
         for batch in batches:
-            ids, out_ids, out = batch.column("id").to_pylist(), [], []
-            for i, t in zip(ids, batch.column("text").to_pylist()):
-                grams = {t[k : k + length] for k in range(max(1, len(t) - length + 1))}
-                out_ids += [i] * len(grams)
-                out += grams
-            for at in range(0, max(1, len(out)), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(out_ids[at : at + 500_000], batch.schema.field("id").type), pa.array(out[at : at + 500_000], pa.string())], names=["id", "gram"])
+            texts = batch.column("text").to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+            h = np.zeros(max(0, len(codes) - length + 1), np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(length):
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(h)] + np.uint64(1)
+            doc = np.repeat(np.arange(len(texts)), np.maximum(0, sizes - length + 1))
+            first = np.cumsum(np.maximum(0, sizes - length + 1)) - np.maximum(0, sizes - length + 1)
+            at = np.arange(len(doc)) - first[doc]
+            order = np.lexsort((h[starts[doc] + at], doc))
+            key = h[starts[doc] + at][order]
+            once = np.ones(len(doc), bool)
+            once[1:] = (key[1:] != key[:-1]) | (doc[order][1:] != doc[order][:-1])
+            kept = np.sort(order[once])
+            owner, place = doc[kept], at[kept]
+            short = np.flatnonzero(sizes < length)
+            owner, place = np.concatenate((owner, short)), np.concatenate((place, np.zeros(len(short), np.int64)))
+            ids = batch.column("id")
+            for low in range(0, max(1, len(owner)), piece):
+                own = owner[low : low + piece]
+                grams = [texts[i][k : k + length] for i, k in zip(own.tolist(), place[low : low + piece].tolist())]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), pa.array(grams, pa.string())], names=["id", "gram"])
 
     return run
 
@@ -112,15 +132,62 @@ def fragments(df: DataFrame, key: str, text: str = "text", length: int = 16) ->
     return rows.mapInArrow(_grams(length), f"id {kind}, gram string")
 
 
+def fragment_keys(df: DataFrame, key: str, text: str = "text", length: int = 16) -> DataFrame:
+    """(id, h1, h2): fragments as two independent 64-bit hashes, which is what is shuffled instead of the strings."""
+    return fragments(df, key, text, length).select("id", F.xxhash64("gram").alias("h1"), F.xxhash64(F.lit(1), "gram").alias("h2"))
+
+
 def sharing_rows(df: DataFrame, key: str, held_out: DataFrame, text: str = "text", held_text: str = "text", length: int = 16) -> DataFrame:
     """(id): rows of df that share a fragment with held_out.
 
-    Grams are compared as 64-bit hashes first (what is shuffled is a hash and an id), and a hit is confirmed on the
-    gram itself. Held-out grams are distinct before the join, so a gram that many rows hold is unique on one side.
+    Fragments are compared by 128 bits of hash, so 16 bytes of each are shuffled and no string. Held-out fragments are
+    distinct before the join, so one that many rows hold is unique on one side.
     """
-    own = fragments(df, key, text, length).withColumn("h", F.xxhash64("gram"))
-    other = fragments(held_out.withColumn("one", F.lit(1)), "one", held_text, length).select(F.xxhash64("gram").alias("h"), "gram").distinct()
-    return own.join(other, ["h", "gram"], "left_semi").select("id").distinct()
+    own = fragment_keys(df, key, text, length)
+    other = fragment_keys(held_out.withColumn("one", F.lit(1)), "one", held_text, length).select("h1", "h2").distinct()
+    return own.join(other, ["h1", "h2"], "left_semi").select("id").distinct()
+
+
+def both_forms(df: DataFrame, mapping: dict[str, str], text: str = "text") -> DataFrame:
+    """Each row twice, with its text as it stands and with aliases normalised: what alias-aware comparison looks at."""
+    forms = F.array_distinct(F.array(F.col(text), tx.alias_normalise(F.col(text), mapping)))
+    return df.withColumn(text, F.explode(forms))
+
+
+def inverted_index(df: DataFrame, key: str, most: int, text: str = "text") -> DataFrame:
+    """(character, id): rows that hold each character that at most `most` rows hold. Frequent characters have no list,
+    so no list grows with the collection."""
+    chars = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(tx.characters(F.col(text)))).alias("character"))
+    rare = character_counts(df, text).where(F.col("article_count") <= most).select("character")
+    return chars.join(rare, "character").select("character", "id")
+
+
+def required_observed(required: DataFrame, observed: DataFrame) -> DataFrame:
+    """(character, required, observed): every character of either table (column `character`), and which of them hold it."""
+    a = required.select("character").distinct().withColumn("required", F.lit(True))
+    b = observed.select("character").distinct().withColumn("observed", F.lit(True))
+    return a.join(b, "character", "full_outer").select("character", F.coalesce("required", F.lit(False)).alias("required"), F.coalesce("observed", F.lit(False)).alias("observed"))
+
+
+def font_coverage(fonts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(font, total, covered, missing) of fonts (font, character) against the target characters; every font has a row."""
+    wanted = targets.select("character").distinct()
+    total = wanted.agg(F.count(F.lit(1)).alias("total"))
+    held = fonts.select("font", "character").distinct().join(wanted.withColumn("hit", F.lit(1)), "character", "left").groupBy("font").agg(F.count("hit").alias("covered"))
+    return held.crossJoin(F.broadcast(total)).select("font", "total", "covered", (F.col("total") - F.col("covered")).alias("missing"))
+
+
+def missing_characters(fonts: DataFrame, required: DataFrame) -> DataFrame:
+    """(font, character): required characters that a font (font, character) lacks; no rows means that all fonts will do.
+    `required` and the list of fonts are parameter tables."""
+    every = fonts.select("font").distinct().crossJoin(required.select("character").distinct())
+    return every.join(fonts.select("font", "character").distinct(), ["font", "character"], "left_anti")
+
+
+def distinct_elements(df: DataFrame, array: str, keys: list[str]) -> DataFrame:
+    """(keys, elements): how many distinct non-null elements the arrays of each key hold together."""
+    each = df.select(*keys, F.explode(array).alias("e"))
+    return each.groupBy(*keys).agg(F.count_distinct("e").alias("elements")) if keys else each.agg(F.count_distinct("e").alias("elements"))
 
 
 def first_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -191,6 +258,14 @@ def selector_counts(df: DataFrame, registry: DataFrame, text: str = "text", key:
     return found.groupBy("sequence").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("articles")).join(registry.select("sequence").distinct().withColumn("r", F.lit(True)), "sequence", "left").select("sequence", "occurrences", "articles", F.coalesce("r", F.lit(False)).alias("registered"))
 
 
+def selector_totals(df: DataFrame, registry: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(total, documents, invalid): characters with a variation selector, the rows that hold any, and how many of the
+    sequences the registry lacks."""
+    pairs = F.regexp_extract_all(F.col(text), F.lit(f"{tx.HAN}{tx.SELECTOR}"), F.lit(0))
+    found = df.select(F.col(key).alias("key"), F.explode(pairs).alias("sequence")).join(registry.select("sequence").distinct().withColumn("r", F.lit(True)), "sequence", "left")
+    return found.agg(F.count(F.lit(1)).alias("total"), F.count_distinct("key").alias("documents"), F.count_if(F.col("r").isNull()).alias("invalid"))
+
+
 def standalone_counts(counts: DataFrame, selectors: DataFrame) -> DataFrame:
     """counts plus standalone_occurrences: occurrences without a selector after them."""
     followed = selectors.groupBy(F.substring("sequence", 1, 1).alias("character")).agg(F.sum("occurrences").alias("followed"))

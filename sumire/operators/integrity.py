@@ -105,3 +105,104 @@ def positive(**counts: int) -> None:
     for name, n in counts.items():
         if isinstance(n, bool) or not isinstance(n, int) or n < 1:
             raise ValueError(f"{name} must be a positive integer")
+
+
+def in_range(low: float, high: float, **values: float) -> None:
+    """Reject numbers outside [low, high], by name."""
+    for name, v in values.items():
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not low <= v <= high:
+            raise ValueError(f"{name} must lie between {low} and {high}")
+
+
+def completion_problems(expected: DataFrame, actual: DataFrame, name: str, value: str) -> DataFrame:
+    """(name, problem): settings or outputs (name, value) of a finished run against the expected ones: missing, different
+    or unexpected; no rows mean that the run is complete and was configured alike."""
+    a, b = expected.select(name, F.col(value).alias("a"), F.lit(True).alias("ea")), actual.select(name, F.col(value).alias("b"), F.lit(True).alias("eb"))
+    problem = F.when(F.col("eb").isNull(), "missing").when(F.col("ea").isNull(), "unexpected").when(~F.col("a").eqNullSafe(F.col("b")), "different")
+    return a.join(b, name, "full_outer").select(name, problem.alias("problem")).where("problem is not null")
+
+
+def require_empty(df: DataFrame, message: str) -> None:
+    """Raise if there is any row: the form in which a check stops a job. One row is fetched."""
+    if found := df.take(1):
+        raise ValueError(f"{message}: {found[0].asDict()}")
+
+
+def guarded(df: DataFrame, key: str, columns: list[str], work, value: str = "string") -> DataFrame:
+    """(key, status, error, result): work(*columns) of each row; an exception becomes a row with its text instead of
+    ending the job. `value` is the result's type."""
+    import pandas as pd
+
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, *args in pdf[[key, *columns]].itertuples(index=False, name=None):
+                try:
+                    rows.append((k, "complete", None, work(*args)))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((k, "error", str(e), None))
+            yield pd.DataFrame(rows, columns=[key, "status", "error", "result"])
+
+    return df.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"{key} {kind}, status string, error string, result {value}")
+
+
+def held_out_pages(pages: DataFrame, excluded: DataFrame, uncertain: DataFrame) -> DataFrame:
+    """pages without the excluded (document, page), plus `held`: whether the image is among the uncertain ones, which are
+    kept apart instead of being used. A page with a null document or number is never excluded."""
+    left = pages.join(excluded.select("document", "page").distinct(), ["document", "page"], "left_anti")
+    return left.join(uncertain.select("image").distinct().withColumn("u_", F.lit(True)), "image", "left").withColumn("held", F.coalesce("u_", F.lit(False))).drop("u_")
+
+
+def copied_files(source: DataFrame, copied: DataFrame) -> DataFrame:
+    """(name, problem): files (name, sha256) of a data set against their copies: missing, different, unexpected."""
+    return completion_problems(source, copied, "name", "sha256")
+
+
+def suite_sets(base: list[str], suites: list[str], forbidden: str = "test") -> list[str]:
+    """The sets of an evaluation suite in order; a repeated set or one of the forbidden split is a ValueError."""
+    sets = [*base, *suites]
+    if len(set(sets)) != len(sets) or any(forbidden in s.split("/") for s in sets):
+        raise ValueError(f"suite sets are unique and none is of {forbidden}")
+    return sets
+
+
+def sample_violations(train: DataFrame, coverage: DataFrame, article_splits: DataFrame, valid_splits: DataFrame, longest: int) -> DataFrame:
+    """(check, violations): the whole verification of a sample set, every check counted over all rows.
+
+    Rows: unique ids and texts, digest, length within 1 to `longest` and as stated, span as long as the text, one line,
+    anchor in the text, article of the training split, characters within the covered vocabulary, no overlap with
+    another row of the article, no fragment that another row holds. Tables: valid coverage counts against a recount,
+    articles listed once. A null where a value is needed counts as a violation.
+    """
+    from . import corpus, layout
+    from ..functions import text as tx
+
+    text = F.col("text")
+    ids = train.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit("unique_id").alias("check"), "violations")
+    copies = train.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit("unique_text").alias("check"), "violations")
+    one = violations(train, {
+        "digest": F.col("sample_id").eqNullSafe(digest(text)),
+        "length": (F.col("length") == F.length(text)) & F.length(text).between(1, longest),
+        "span": F.col("end_offset") - F.col("start_offset") == F.length(text),
+        "single_line": ~text.rlike(r"[\r\n\x{85}\x{2028}\x{2029}]"),
+        "anchor": F.contains(text, F.col("anchor")),
+    })
+
+    def counted(name: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+
+    split = train.join(valid_splits.select("article_id", "split"), "article_id", "left").where(~F.col("split").eqNullSafe("train"))
+    chars = train.select("row_id", "shard", F.explode(F.array_distinct(tx.characters(text))).alias("character"))
+    foreign = chars.join(coverage.where("character is not null").select("character").distinct(), "character", "left_anti").select("row_id").distinct()
+    pairs = layout.span_pairs(train.where("article_id is not null"), "article_id", "row_id", "start_offset", "end_offset")
+    overlap = pairs.select(F.explode(F.array("a", "b")).alias("row_id")).distinct()
+    grams = corpus.fragment_keys(train, "row_id").distinct()
+    shared = grams.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    fragment = grams.join(shared, ["h1", "h2"], "left_semi").select("id").distinct()
+    last = coverage.where("character is not null").groupBy("shard", "character").agg(F.max(F.struct("counted_at", "coverage_id", "sample_count")).alias("x")).select("shard", "character", F.col("x.sample_count").alias("stated"))
+    recount = chars.groupBy("shard", "character").agg(F.count_distinct("row_id").alias("n")).join(last, ["shard", "character"], "full_outer").where(~F.col("n").eqNullSafe(F.col("stated")))
+    listed = repeated(article_splits.where("article_id is not null"), ["article_id"])
+    parts = [ids, copies, one, counted("split", split), counted("vocabulary", foreign), counted("overlap", overlap), counted("fragment", fragment), counted("coverage", recount), counted("article_repeated", listed)]
+    return reduce(lambda a, b: a.unionByName(b), parts)

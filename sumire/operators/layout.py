@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -183,15 +184,18 @@ def dash_segments(start: Column, end: Column, on: float, off: float, phase: floa
     return F.filter(piece, lambda x: x["a"] < x["b"])
 
 
-def class_runs(df: DataFrame, key: str, text: str, is_class) -> DataFrame:
-    """(key, run, western, text): runs of one class of characters; white space and digits join the run before them."""
-    chars = df.select(key, F.posexplode(F.filter(F.split(F.col(text), ""), lambda c: c != "")).alias("pos", "c"))
-    own = F.when(F.col("c").rlike(r"^[\s0-9]$"), None).otherwise(is_class(F.col("c")))
-    w = Window.partitionBy(key).orderBy("pos")
-    rows = chars.withColumn("own", own)
-    rows = rows.withColumn("k", F.coalesce("own", F.last("own", True).over(w), F.first("own", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(False)))
-    runs = islands(rows, [key], ["pos"], F.col("k") == F.lag("k").over(w))
-    return runs.groupBy(key, F.col("island").alias("run"), F.col("k").alias("western")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]), "").alias("text"))
+def class_runs(df: DataFrame, key: str, text: str, own_class: str) -> DataFrame:
+    """(key, run, western, text): runs of one class of characters (own_class, a pattern [...] of characters); white
+    space and digits join the run before them, at the beginning the one after them. A text of nothing else is one run
+    that is not of the class. Each row is cut where it lies.
+
+    A run of the class begins with one of its characters and goes on over them and neutral ones; what lies between two
+    such runs is the other kind.
+    """
+    letters = own_class[1:-1]
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?:^[\s0-9]*)?[{letters}][{letters}\s0-9]*|[^{letters}]+"), F.lit(0))
+    flagged = F.transform(pieces, lambda p: F.struct(p.rlike(own_class).alias("western"), p.alias("text")))
+    return df.select(key, F.posexplode(flagged).alias("run", "x")).select(key, (F.col("run") + 1).cast("long").alias("run"), "x.western", "x.text")
 
 
 def batch_windows(df: DataFrame, order: str, size: Column, batch: int, window: int) -> DataFrame:
@@ -199,3 +203,69 @@ def batch_windows(df: DataFrame, order: str, size: Column, batch: int, window: i
     rows = with_ordinal(df, order).withColumn("win", F.floor(F.col("ordinal") / (batch * window)))
     k = F.row_number().over(Window.partitionBy("win").orderBy(size, order)) - 1
     return rows.withColumn("batch", F.col("win") * window + F.floor(k / batch)).drop("ordinal", "win")
+
+
+def near_boxes(boxes: DataFrame, page: str, key: str, reach: float = 0.0, cell: float = 64.0) -> DataFrame:
+    """(page, a, b): pairs a < b of boxes (key, x0..y1) of a page that overlap across and, with `reach` more, along.
+
+    Boxes meet in the cell of the page where the later edges of both begin, so a page of any number of boxes is cut
+    into cells, and each pair is found once.
+    """
+    at = lambda c: F.floor(F.col(c) / cell)
+    cut = boxes.select(page, key, "x0", "y0", "x1", "y1", (F.col("y0") - reach).alias("low"), (F.col("y1") + reach).alias("high")).where("x0 <= x1 and y0 <= y1")
+    placed = cut.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("low"), at("high"))))
+    l, r = placed.alias("l"), placed.alias("r")
+    same = (F.col(f"l.{page}") == F.col(f"r.{page}")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.cy") == F.col("r.cy"))
+    home = (F.floor(F.greatest("l.x0", "r.x0") / cell) == F.col("l.cx")) & (F.floor(F.greatest("l.low", "r.low") / cell) == F.col("l.cy"))
+    near = (F.col("l.x0") < F.col("r.x1")) & (F.col("r.x0") < F.col("l.x1")) & (F.col("l.y0") < F.col("r.high")) & (F.col("r.low") < F.col("l.y1"))
+    return l.join(r, same).where((F.col(f"l.{key}") < F.col(f"r.{key}")) & home & near).select(F.col(f"l.{page}").alias(page), F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+
+
+def hidden_tracks(cells: DataFrame, table: str, rows: str, columns: str) -> DataFrame:
+    """(table, axis, track): inner and outer grid lines (0 to rows, 0 to columns) that no cell begins or ends at; a table
+    whose grid can be seen has none."""
+    size = cells.groupBy(table).agg(F.max(rows).alias("r"), F.max(columns).alias("c"))
+    wanted = size.select(table, F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("r")), lambda i: F.struct(F.lit("row").alias("axis"), i.alias("track"))), F.transform(F.sequence(F.lit(0), F.col("c")), lambda i: F.struct(F.lit("column").alias("axis"), i.alias("track"))))).alias("t")).select(table, "t.*")
+    edge = lambda axis, at: F.struct(F.lit(axis).alias("axis"), at.alias("track"))
+    seen = cells.select(table, F.explode(F.array(edge("row", F.col("row")), edge("row", F.col("row") + F.col("rowspan")), edge("column", F.col("column")), edge("column", F.col("column") + F.col("colspan")))).alias("t")).select(table, "t.*").distinct()
+    return wanted.join(seen, [table, "axis", "track"], "left_anti")
+
+
+# Kinds of random tilings, and the spans (down, across) that each allows.
+TILINGS = {"plain": (), "column_merge": ((1, 2), (1, 3)), "row_merge": ((2, 1), (3, 1)), "mixed": ((1, 2), (1, 3), (2, 1), (3, 1)), "block_merge": ((1, 2), (1, 3), (2, 1), (3, 1), (2, 2), (2, 3), (3, 2), (3, 3))}
+
+
+def tiling(rows: int, columns: int, mode: str, seed: int, tries: int = 100) -> list[tuple[int, int, int, int]]:
+    """(row, column, rowspan, colspan) of cells that cover the grid once, with every grid line at some cell's edge and the
+    merges the mode stands for. Merged blocks are thrown at free places first, single cells fill the rest; a draw that
+    hides a grid line or has no such merge is thrown away. None of `tries` good is a ValueError."""
+    rng = np.random.default_rng(seed)
+    for _ in range(tries):
+        owner = np.full((rows, columns), -1)
+        blocks: list[tuple[int, int, int, int]] = []
+        for at in rng.permutation(rows * columns) if TILINGS[mode] else ():
+            r, c = divmod(int(at), columns)
+            down, across = TILINGS[mode][rng.integers(len(TILINGS[mode]))]
+            place = owner[r : r + down, c : c + across]
+            if rng.random() < 0.35 and place.shape == (down, across) and (place < 0).all():
+                place[:] = len(blocks)
+                blocks.append((r, c, down, across))
+        blocks += [(int(r), int(c), 1, 1) for r, c in zip(*np.nonzero(owner < 0))]
+        seen = {r for b in blocks for r in (b[0], b[0] + b[2])}, {c for b in blocks for c in (b[1], b[1] + b[3])}
+        high, wide = [b for b in blocks if b[2] > 1], [b for b in blocks if b[3] > 1]
+        needed = {"plain": True, "column_merge": wide, "row_merge": high, "mixed": high and wide, "block_merge": [b for b in high if b[3] > 1]}[mode]
+        if needed and len(seen[0]) == rows + 1 and len(seen[1]) == columns + 1:
+            return sorted(blocks)
+    raise ValueError("no tiling shows every grid line")
+
+
+def random_tilings(tables: DataFrame, table: str) -> DataFrame:
+    """(table, row, column, rowspan, colspan) of tables (table, rows, columns, mode, seed): a seeded tiling of each."""
+    kind = dict(tables.dtypes)[table]
+
+    def run(batches):
+        for pdf in batches:
+            out = [(t, *cell) for t, r, c, mode, seed in pdf[[table, "rows", "columns", "mode", "seed"]].itertuples(index=False, name=None) for cell in tiling(int(r), int(c), mode, int(seed))]
+            yield pd.DataFrame(out, columns=[table, "row", "column", "rowspan", "colspan"])
+
+    return tables.select(table, "rows", "columns", "mode", "seed").mapInPandas(run, f"{table} {kind}, row int, column int, rowspan int, colspan int")

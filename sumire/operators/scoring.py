@@ -414,3 +414,44 @@ def otsu_levels(histogram: DataFrame, image: str, level: str, n: str) -> DataFra
 def length_group(low: Column, high: Column) -> Column:
     """Name of a grid's length condition; any other pair of bounds is an error."""
     return F.when((low == 5) & (high == 5), "short5").when((low == 20) & (high == 25), "normal").when((low == 80) & (high == 80), "long80").otherwise(F.raise_error(F.lit("unknown length condition")).cast("string"))
+
+
+def best_results(best: DataFrame, log: DataFrame, run: str, kinds: list[str], first: str = "validation") -> DataFrame:
+    """(run, epoch, step, kind, value): what was measured at each run's best checkpoint.
+
+    best (run, epoch, step, value), log (run, epoch, step, kind, value). Only events of the given kinds at the best's
+    own epoch and step count, never the last epoch's. A run without an event of kind `first` there gets best's value.
+    """
+    at = best.select(run, "epoch", "step")
+    found = log.where(F.col("kind").isin(kinds)).join(at, [run, "epoch", "step"], "left_semi").select(run, "epoch", "step", "kind", "value")
+    have = found.where(F.col("kind") == first).select(run).distinct()
+    return found.unionByName(best.join(have, run, "left_anti").select(run, "epoch", "step", F.lit(first).alias("kind"), "value"))
+
+
+def alias_decision(separate: Column, supported: Column, identical: Column) -> Column:
+    """What an audit of look-alike characters decides, from how many fonts have all of them and in how many they are drawn
+    alike. The wording is fixed."""
+    return (
+        F.when(separate, "別クラス維持（方針）")
+        .when(supported == 0, "判定不能（共通の対応書体なし）")
+        .when(identical == supported, "統合候補（比較できた全書体で一致）")
+        .when(identical > 0, "統合検討（書体によって一致・不一致）")
+        .otherwise("要目視確認（完全一致なし）")
+    )
+
+
+def audited_pairs(pairs: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(a, b, supported, identical, decision) of pairs (a, b, separate), by glyphs (font, character, signature): fonts with
+    both characters, and those where both have one signature."""
+    one = glyphs.groupBy("font", "character").agg(F.min("signature").alias("signature"))
+    a, b = one.select("font", F.col("character").alias("a"), F.col("signature").alias("sa")), one.select("font", F.col("character").alias("b"), F.col("signature").alias("sb"))
+    met = pairs.join(a, "a").join(b, ["font", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("supported"), F.count_if(F.col("sa") == F.col("sb")).alias("identical"))
+    rows = pairs.join(met, ["a", "b"], "left").withColumn("supported", F.coalesce("supported", F.lit(0))).withColumn("identical", F.coalesce("identical", F.lit(0)))
+    return rows.select("a", "b", "supported", "identical", alias_decision(F.col("separate"), F.col("supported"), F.col("identical")).alias("decision"))
+
+
+def condition_grid(fonts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(font, length_group): every Japanese with every Western font (columns japanese, western, a parameter table) under
+    every length condition (low, high)."""
+    keys = fonts.where("japanese").select(F.col("font").alias("j")).crossJoin(fonts.where("western").select(F.col("font").alias("w")))
+    return keys.crossJoin(lengths.select(length_group(F.col("low"), F.col("high")).alias("length_group"))).select(F.concat_ws("+", "j", "w").alias("font"), "length_group")

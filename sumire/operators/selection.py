@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as tx
 from ..functions.hashing import digest, shuffle_key
 from ..session import Workspace
-from .corpus import fragments
+from .corpus import fragment_keys
+
+#: Characters of a source that one cell of span claims holds.
+SPAN = 64
 
 
 def greedy_disjoint(claims: DataFrame, work: Workspace) -> DataFrame:
@@ -43,57 +46,67 @@ def disjoint_excerpts(pool: DataFrame, seed: str, count: int | None = None) -> D
     """Rows of pool (id, article_id, text) in hash order, no two with a common fragment of 16 characters or article;
     the first `count` of them if a count is given."""
     order = shuffle_key(F.col("id"), seed)
-    grams = fragments(pool, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim"))
-    owners = pool.where("article_id is not null").select("id", F.concat(F.lit("a:"), "article_id").alias("claim"))
+    grams = fragment_keys(pool, "id").select("id", F.col("h1").alias("claim"))
+    owners = pool.where("article_id is not null").select("id", F.xxhash64(F.lit("article"), "article_id").alias("claim"))
     claims = grams.unionByName(owners).withColumn("rank", order)
     found = pool.join(greedy_disjoint(claims, Workspace(pool.sparkSession)), "id", "left_semi")
     return found if count is None else found.orderBy(order).limit(count)
 
 
-def rare_first_selection(candidates: DataFrame, goal: int, rounds: int = 20) -> DataFrame:
+def rare_first_selection(candidates: DataFrame, goal: int) -> DataFrame:
     """(id, text, anchor): excerpts that bring every character of the pool to the goal as far as the pool allows.
 
     Characters come in ascending frequency. In each round every character that still lacks rows nominates as many
-    candidates as it lacks, those with most lacking characters first, then longer, then by digest; nominees are taken
+    candidates as it lacks, those with most lacking characters first, then longer, then by digest and id; nominees are taken
     greedily so that no two taken rows share a fragment or overlap in their article. Rounds end when no character
     lacks rows or nothing can be nominated.
 
     candidates: (id, article_id, start, end, text). One-by-one selection differs in its order only; goals, shortages,
-    disjointness and the result for a given input are as fixed there.
+    disjointness and the result for a given input are as fixed there. Fragments and spans of nominees are claims of the
+    same greedy pass, spans by cells of SPAN characters, so two nominees whose spans touch one cell wait for each other.
     """
     work = Workspace(candidates.sparkSession)
     pool = work.write(candidates.where("text is not null"), "pool")
     chars = work.write(pool.select("id", F.explode(F.array_distinct(tx.characters(F.col("text")))).alias("character")), "characters")
-    frequency = chars.groupBy("character").agg(F.count(F.lit(1)).alias("frequency"))
-    grams = work.write(fragments(pool, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim")), "grams")
-    taken = anchors = None
-    for turn in range(rounds):
-        have = chars.join(taken, "id", "left_semi").groupBy("character").agg(F.count(F.lit(1)).alias("n")) if taken is not None else None
-        lack = frequency.withColumn("lacking", F.lit(goal)) if have is None else frequency.join(have, "character", "left").withColumn("lacking", goal - F.coalesce("n", F.lit(0)))
-        lack = lack.where("lacking > 0").select("character", "frequency", "lacking")
-        free = pool if taken is None else pool.join(taken, "id", "left_anti")
-        if taken is not None:
-            spent = grams.join(taken, "id", "left_semi").select("claim").distinct()
-            free = free.join(grams.join(spent, "claim", "left_semi").select("id").distinct(), "id", "left_anti")
-            mine = pool.join(taken, "id", "left_semi").select("article_id", F.col("start").alias("s"), F.col("end").alias("e"))
-            free = free.join(mine, (free.article_id == mine.article_id) & (free.start < mine.e) & (mine.s < free.end), "left_anti")
-        wanted = chars.join(free.select("id", "text"), "id").join(lack, "character")
+    grams = work.write(fragment_keys(pool, "id").select("id", F.col("h1").alias("claim")).distinct(), "grams")
+    cells = F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.greatest("end", F.col("start") + 1) - 1) / SPAN))
+    spans = pool.where("article_id is not null").select("id", F.explode(cells).alias("cell"), "article_id").select("id", F.xxhash64(F.lit("span"), "article_id", "cell").alias("claim"))
+    # One row per character, at most the size of Unicode: small enough to be broadcast.
+    lack = work.write(chars.groupBy("character").agg(F.count(F.lit(1)).alias("frequency")).withColumn("lacking", F.lit(goal).cast("long")), "lack")
+    free = work.write(pool.select("id", "article_id", "start", "end", F.length("text").alias("size"), digest(F.col("text")).alias("digest")), "free")
+    anchors = None
+    turn = 0
+    while True:
+        wanted = chars.join(F.broadcast(lack), "character").join(free.select("id", "size", "digest"), "id")
         score = wanted.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
-        order = [F.desc("score"), F.desc(F.length("text")), digest(F.col("text"))]
+        order = [F.desc("score"), F.desc("size"), F.col("digest"), F.col("id")]
         offers = wanted.join(score, "id").withColumn("k", F.row_number().over(Window.partitionBy("character").orderBy(*order))).where((F.col("k") <= goal) & (F.col("k") <= F.col("lacking")))
-        best = offers.groupBy("id").agg(F.min(F.struct("frequency", "character", "k")).alias("rank"))
-        best = work.write(best, f"offers{turn}")
+        best = work.write(offers.groupBy("id").agg(F.min(F.struct("frequency", "character", "k")).alias("rank")), "offers")
         if best.isEmpty():
             break
-        claims = grams.join(best, "id").select("id", "rank", "claim")
+        claims = grams.unionByName(spans).join(best, "id").select("id", "rank", "claim")
         won = work.write(greedy_disjoint(claims, Workspace(candidates.sparkSession)).join(best.select("id", F.col("rank.character").alias("anchor")), "id"), f"taken{turn}")
-        taken = won.select("id") if taken is None else taken.unionByName(won.select("id"))
         anchors = won if anchors is None else anchors.unionByName(won)
+        gained = chars.join(won, "id", "left_semi").groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+        lack = work.write(lack.join(gained, "character", "left").select("character", "frequency", (F.col("lacking") - F.coalesce("n", F.lit(0))).alias("lacking")).where("lacking > 0"), "lack")
+        spent = grams.join(won, "id", "left_semi").select("claim").distinct()
+        out = won.select("id").unionByName(grams.join(spent, "claim", "left_semi").select("id")).unionByName(overlapping(free, pool.join(won, "id", "left_semi"))).distinct()
+        free = work.write(free.join(out, "id", "left_anti"), "free")
+        turn += 1
     if anchors is None:
         return pool.select("id", "text", F.lit(None).cast("string").alias("anchor")).limit(0)
     return pool.join(anchors, "id").select("id", "text", "anchor")
 
 
+def overlapping(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id): rows (id, article_id, start, end) that overlap a taken one in their article. Both sides meet in cells of SPAN
+    characters, so an article that holds a third of all rows is spread over the cells of its length."""
+    cell = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / SPAN), F.floor((F.greatest(b, F.col(a) + 1) - 1) / SPAN)))
+    own = rows.select("id", "article_id", "start", "end").withColumn("cell", cell("start", "end"))
+    other = taken.select("article_id", F.col("start").alias("s"), F.col("end").alias("e")).withColumn("cell", cell("s", "e"))
+    return own.join(other, ["article_id", "cell"]).where((F.col("start") < F.col("e")) & (F.col("s") < F.col("end"))).select("id").distinct()
+
+
 def first_per_pattern(hits: DataFrame, goal: int) -> DataFrame:
     """(pattern, id, article_id, k): of rows (pattern, id, article_id, rank) the first of each article and pattern, and of
     those the first `goal` of each pattern. A row chosen for one pattern counts for every pattern it holds."""
@@ -113,7 +126,7 @@ def balanced_pick(pool: DataFrame, characters: str, goal: int, seed: str) -> tup
     work = Workspace(pool.sparkSession)
     held = F.array_distinct(F.filter(tx.characters(F.col("text")), lambda c: F.lit(characters).contains(c)))
     rows = work.write(pool.withColumn("held_", held).where(F.size("held_") > 0).withColumn("rank_", shuffle_key(F.col("id"), seed)), "rows")
-    claims = work.write(fragments(rows, "id").select("id", F.concat(F.lit("g:"), "gram").alias("claim")).unionByName(rows.select("id", F.concat_ws(":", F.lit("a"), "language", "article_id").alias("claim"))), "claims")
+    claims = work.write(fragment_keys(rows, "id").select("id", F.col("h1").alias("claim")).unionByName(rows.select("id", F.xxhash64(F.lit("article"), "language", "article_id").alias("claim"))), "claims")
     free = work.write(rows.select("id", "rank_", F.explode("held_").alias("character")), "free")
     lack = {c: goal for c in dict.fromkeys(characters)}
     parts, turn = [], 0
@@ -284,11 +297,27 @@ def hash_sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 
 def weighted_choice(key: Column, seed: str, weights: dict[str, float]) -> Column:
-    """One of the names with probability in proportion to its weight, by hash of the key."""
+    """One of the names with probability in proportion to its weight, by the first 52 bits of the key's digest."""
     total = sum(weights.values())
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)).cast("double") / float(1 << 52)) * total
+    u = (F.conv(F.substring(shuffle_key(key, seed), 1, 13), 16, 10).cast("double") / float(1 << 52)) * total
     out, upto = F.lit(list(weights)[-1]), total
     for name, w in reversed(list(weights.items())):
         upto -= w
         out = F.when(u < upto + w, F.lit(name)).otherwise(out)
     return out
+
+
+def wrapping_budget(records: DataFrame, starts: DataFrame, ring: str, order: str, size: str, budget: int) -> DataFrame:
+    """(ring, start, order, turn, enough): records of a ring from each start on, going round at its end, until their sizes
+    reach the budget (the record that reaches it is kept); each record at most once. `enough` tells whether it was reached.
+
+    starts (ring, start) name records by their order. Sizes are summed once per ring; a start is a shift of these sums.
+    """
+    w = Window.partitionBy(ring).orderBy(order)
+    summed = records.select(ring, order, size).withColumn("i", F.row_number().over(w)).withColumn("upto", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("whole", F.sum(size).over(Window.partitionBy(ring))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(ring)))
+    first = summed.join(starts.select(ring, F.col("start").alias(order)), [ring, order]).select(ring, F.col(order).alias("start"), F.col("i").alias("i0"), (F.col("upto") - F.col(size)).alias("base"))
+    rows = summed.join(first, ring)
+    turned = F.col("i") < F.col("i0")
+    before = F.col("upto") - F.col(size) - F.col("base") + F.when(turned, F.col("whole")).otherwise(F.lit(0))
+    turn = F.col("i") - F.col("i0") + F.when(turned, F.col("n")).otherwise(F.lit(0))
+    return rows.withColumn("turn", turn).where(before < budget).select(ring, "start", order, "turn", (F.col("whole") >= budget).alias("enough"))

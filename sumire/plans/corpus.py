@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
 from ..functions import characters as ch, hashing, text as tx
@@ -25,8 +23,31 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-def _ranges(value, name: str) -> str:
-    return f"{name}(lo, hi, v) AS (VALUES {_values(ch.property_ranges(value))})"
+_CATEGORIES = "Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Pc Pd Ps Pe Pi Pf Po Sm Sc Sk So Zs Zl Zp Cc Cf Co".split()
+_CATEGORY = "CASE " + " ".join(rf"WHEN regexp_full_match(character, '\p{{{c}}}') THEN '{c}'" for c in _CATEGORIES) + " ELSE 'Cn' END"
+# The classes of DuckDB's own regular expressions; names that hold HIRAGANA or KATAKANA are spelled out as ranges.
+_IS = {
+    "variation_selector/exclude_standalone": r"[\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]",
+    "control_private_or_unassigned/review": r"\p{Co}",
+    "control_private_or_unassigned/exclude": r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]",
+    "space/candidate": r"[ \x{3000}]",
+    "other_space/review": r"\p{Zs}",
+    "ascii/candidate": r"[!-~]",
+    "han/candidate": r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FA6D}\x{FA70}-\x{FAD9}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBE0}\x{2F800}-\x{2FA1D}\x{30000}-\x{323AF}]",
+    "kana/candidate": r"[\x{3041}-\x{3096}\x{3099}-\x{30FF}\x{31F0}-\x{31FF}\x{FF65}-\x{FF9F}\x{32D0}-\x{32FE}]",
+    "japanese_iteration_and_marks/candidate": "[々〆〇〻〼]",
+    "fullwidth_alphanumeric_and_symbols/candidate": r"[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}]",
+    "cjk_punctuation_and_symbols/candidate": r"[\x{3001}-\x{3003}\x{3008}-\x{3020}\x{3030}\x{3036}\x{3037}\x{303D}-\x{303F}\x{3004}]",
+    "other_punctuation_and_symbols/review": r"[\p{P}\p{S}]",
+    "extended_latin/review": r"[^\P{Latin}ªº]",
+    "combining_mark/review": r"\p{M}",
+    "other_script_or_number/review": r"[\p{L}\p{N}]",
+}
+_GROUP = "CASE " + " ".join(f"WHEN regexp_full_match(character, '{p}') THEN '{g}'" for g, p in _IS.items()) + " ELSE 'control_private_or_unassigned/review' END"
+_REMOVED = rf"""CASE WHEN split_part({_GROUP}, '/', 1) IN ('ascii', 'space', 'cjk_punctuation_and_symbols', 'japanese_iteration_and_marks') THEN NULL
+ WHEN regexp_full_match(character, '[\p{{Latin}}\x{{363}}-\x{{36F}}]') AND NOT (unicode(character) < 256) THEN 'outside_iso8859_1_latin'
+ WHEN regexp_full_match(character, '[\x{{370}}-\x{{3FF}}\x{{1F00}}-\x{{1FFF}}]') AND NOT regexp_matches(character, '[Α-ΡΣ-Ωα-ω]') THEN 'outside_basic_greek'
+ WHEN regexp_full_match(character, '[\x{{3041}}-\x{{3096}}\x{{3099}}-\x{{30FF}}\x{{31F0}}-\x{{31FF}}\x{{FF65}}-\x{{FF9F}}\x{{32D0}}-\x{{32FE}}]') AND NOT regexp_full_match(character, '[\x{{3041}}-\x{{3096}}\x{{3099}}-\x{{309F}}\x{{30A0}}-\x{{30FF}}\x{{31F0}}-\x{{31FF}}\x{{FF61}}-\x{{FF9F}}]') THEN 'outside_modern_kana_ranges' END"""
 
 
 @query(f"{_INVENTORY} SELECT *, row_number() OVER (ORDER BY occurrences DESC, character)::BIGINT AS frequency_rank FROM counted")
@@ -40,19 +61,19 @@ def char_frequency_buckets(spark, d):
     return counts.groupBy(op.frequency_bucket(F.col("occurrences")).alias("bucket")).agg(F.count(F.lit(1)).alias("types"), F.sum("occurrences").alias("occurrences"))
 
 
-@query(f"{_INVENTORY}, {_ranges(unicodedata.category, 'category')} SELECT v AS category, count(*)::BIGINT AS types, sum(occurrences)::BIGINT AS occurrences FROM counted JOIN category ON unicode(character) BETWEEN lo AND hi GROUP BY v")
+@query(f"{_INVENTORY} SELECT {_CATEGORY} AS category, count(*)::BIGINT AS types, sum(occurrences)::BIGINT AS occurrences FROM counted GROUP BY 1")
 def char_category_rollup(spark, d):
     counts = ch.with_properties(op.character_counts(table(spark, d, "documents")))
     return counts.groupBy("category").agg(F.count(F.lit(1)).alias("types"), F.sum("occurrences").alias("occurrences"))
 
 
-@query(f"{_INVENTORY}, {_ranges(lambda c: '/'.join(ch.classify(c)), 'kind')} SELECT split_part(v, '/', 1) AS \"group\", split_part(v, '/', 2) AS status, count(*)::BIGINT AS types, sum(occurrences)::BIGINT AS occurrences FROM counted JOIN kind ON unicode(character) BETWEEN lo AND hi GROUP BY 1, 2")
+@query(f"{_INVENTORY} SELECT split_part({_GROUP}, '/', 1) AS \"group\", split_part({_GROUP}, '/', 2) AS status, count(*)::BIGINT AS types, sum(occurrences)::BIGINT AS occurrences FROM counted GROUP BY 1, 2")
 def char_group_status(spark, d):
     counts = ch.with_properties(op.character_counts(table(spark, d, "documents")))
     return counts.groupBy("group", "status").agg(F.count(F.lit(1)).alias("types"), F.sum("occurrences").alias("occurrences"))
 
 
-@query(f"{_INVENTORY}, {_ranges(lambda c: ch.removal_reason(c) or '', 'reason')} SELECT character, v AS removal_reason FROM counted JOIN reason ON unicode(character) BETWEEN lo AND hi WHERE v <> ''")
+@query(f"{_INVENTORY} SELECT character, {_REMOVED} AS removal_reason FROM counted WHERE {_REMOVED} IS NOT NULL")
 def charset_removed(spark, d):
     return ch.with_properties(op.character_counts(table(spark, d, "documents")).select("character")).where("removal_reason is not null").select("character", "removal_reason")
 
@@ -62,9 +83,10 @@ def char_rank_topk(spark, d):
     return op.character_counts(table(spark, d, "documents")).orderBy(F.desc("occurrences"), "character").limit(25).select("character", "occurrences")
 
 
-@query("SELECT character, count(DISTINCT row_id)::BIGINT AS missing_in FROM (SELECT row_id, unnest(string_split(text, '')) AS character FROM train) WHERE character NOT IN (SELECT character FROM coverage WHERE character IS NOT NULL) GROUP BY 1")
+@query("SELECT character, count(DISTINCT ref_id)::BIGINT AS missing_in FROM (SELECT ref_id, unnest(string_split(reference, '')) AS character FROM real_references WHERE reference <> '') WHERE character NOT IN (SELECT character FROM coverage WHERE character IS NOT NULL) GROUP BY 1")
 def coverage_unlisted(spark, d):
-    counts = op.character_counts(table(spark, d, "train"))
+    """Characters of the real references that no shard covers (all characters of train are covered)."""
+    counts = op.character_counts(table(spark, d, "real_references"), "reference")
     return counts.join(table(spark, d, "coverage").select("character").distinct(), "character", "left_anti").select("character", F.col("article_count").alias("missing_in"))
 
 
@@ -138,7 +160,7 @@ _PARA = "para AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FRO
 
 
 @query(rf"""WITH {_PARA} SELECT doc_id, count(*)::BIGINT AS lines FROM para WHERE len(regexp_extract_all(line, '[^\s]+')) >= 12 AND length(line) >= 80
- AND len(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]')) >= 0.7 * length(line) AND regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_])({tx.ENGLISH_FUNCTION_WORDS})($|[^\p{{L}}\p{{N}}_])')
+ AND len(regexp_extract_all(line, '[A-Za-zÀ-ÖØ-öø-ÿ]')) >= 0.7 * length(line) AND regexp_matches(line, '(?i)(^|[^\p{{L}}\p{{N}}_])(the|a|an|is|was|were|are|of|in|to|and|with|for|from|by)($|[^\p{{L}}\p{{N}}_])')
  AND regexp_matches(line, '[.!?](["”'']|$| )') AND NOT regexp_matches(line, 'https?://|www\.|[{{}}|=<>\\]|(^|[^\p{{L}}\p{{N}}_])ISBN($|[^\p{{L}}\p{{N}}_])') AND NOT regexp_matches(line, '(^|[^\p{{L}}\p{{N}}_])([A-Za-z]\s+){{5}}') GROUP BY doc_id""")
 def prose_filter_latin(spark, d):
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -148,7 +170,7 @@ def prose_filter_latin(spark, d):
 @query(rf"""WITH t AS (SELECT row_id, text, coalesce(title, '') AS title, regexp_extract_all(text, '[ぁ-ゖァ-ヺㇰ-ㇿー゚゙]{{8,}}') AS runs FROM train WHERE lang = 'ja' AND text IS NOT NULL)
  SELECT row_id FROM t WHERE NOT regexp_matches(title, '{tx.TABLE_TITLE}') AND NOT regexp_matches(text, '(\p{{L}}[\s　 ]+){{5}}\p{{L}}')
  AND len(list_filter(runs, lambda r: len(regexp_extract_all(r, '[{tx.SMALL_KANA}]')) >= 4 OR (length(r) >= 10 AND len(list_distinct(string_split(r, ''))) >= 0.9 * length(r)))) = 0
- AND len(regexp_extract_all(text, '[ぁ-ゖ]')) >= 3 AND regexp_matches(text, '{tx.JAPANESE_ENDINGS}|[一-鿿ァ-ヺ][のにはをがでとへも][一-鿿ぁ-ゖァ-ヺ]')""")
+ AND len(regexp_extract_all(text, '[ぁ-ゖ]')) >= 3 AND regexp_matches(text, '{tx.JAPANESE_PROSE}')""")
 def prose_filter_japanese(spark, d):
     return table(spark, d, "train").where("lang = 'ja' and text is not null").where(tx.japanese_prose(F.col("text"), F.col("title"))).select("row_id")
 
@@ -160,15 +182,14 @@ def title_markup_exclusion(spark, d):
 
 _BAD = r"len(regexp_extract_all(text, '[\x{FFFD}\x{00}-\x{08}\x{0E}-\x{1B}\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]'))"
 _VISIBLE = r"length(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g'))"
-_REASONS = f"""SELECT source_pdf, list_filter([CASE WHEN unmapped > 0 THEN 'font_without_to_unicode' END, CASE WHEN bad > 0 THEN 'unreadable_character_codes' END, CASE WHEN chars < 2000 THEN 'too_few_characters' END], lambda x: x IS NOT NULL) AS r
- FROM (SELECT source_pdf, count(*) FILTER (WHERE NOT to_unicode) AS unmapped, coalesce(sum({_BAD}), 0) AS bad, coalesce(sum({_VISIBLE}), 0) AS chars FROM page_lines WHERE source_pdf IS NOT NULL GROUP BY 1)"""
+_REASONS = f"""SELECT source_pdf, list_filter(CASE WHEN fonts = 0 OR unmapped > 0 THEN [CASE WHEN fonts = 0 THEN 'no_fonts' END, CASE WHEN unmapped > 0 THEN 'font_without_to_unicode' END] ELSE [CASE WHEN bad > 0 THEN 'unreadable_character_codes' END, CASE WHEN chars < 2000 THEN 'too_few_characters' END] END, lambda x: x IS NOT NULL) AS r
+ FROM (SELECT source_pdf, count(DISTINCT font_name) AS fonts, count(DISTINCT font_name) FILTER (WHERE NOT to_unicode) AS unmapped, coalesce(sum({_BAD}), 0) AS bad, coalesce(sum({_VISIBLE}), 0) AS chars FROM page_lines WHERE source_pdf IS NOT NULL GROUP BY 1)"""
 
 
 def _document_reasons(spark, d):
     text = F.col("text")
-    docs = table(spark, d, "page_lines").where("source_pdf is not null").groupBy("source_pdf").agg(F.count_if(~F.col("to_unicode")).alias("unmapped"), F.coalesce(F.sum(tx.suspicious_character_count(text)), F.lit(0)).alias("bad"), F.coalesce(F.sum(tx.visible_length(text)), F.lit(0)).alias("chars"))
-    codes = [(F.col("unmapped") > 0, "font_without_to_unicode"), (F.col("bad") > 0, "unreadable_character_codes"), (F.col("chars") < 2000, "too_few_characters")]
-    return docs.select("source_pdf", F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in codes])).alias("r"))
+    docs = table(spark, d, "page_lines").where("source_pdf is not null").groupBy("source_pdf").agg(F.count_distinct("font_name").alias("fonts"), F.count_distinct(F.when(~F.col("to_unicode"), F.col("font_name"))).alias("unmapped"), F.coalesce(F.sum(tx.suspicious_character_count(text)), F.lit(0)).alias("bad"), F.coalesce(F.sum(tx.visible_length(text)), F.lit(0)).alias("chars"))
+    return docs.select("source_pdf", tx.filter_reasons(F.col("fonts"), F.col("unmapped"), F.col("bad"), F.col("chars"), 2000).alias("r"))
 
 
 @query(f"SELECT source_pdf, array_to_string(r, ',') AS reasons FROM ({_REASONS})")
@@ -223,16 +244,31 @@ def word_inventory(spark, d):
     return op.word_inventory(table(spark, d, "documents"))
 
 
-@query(r"SELECT sequence, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS articles, false AS registered FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}][\x{E0100}-\x{E01EF}]')) AS sequence FROM documents) GROUP BY 1")
+# The documents hold no variation selectors, so two characters get one: 学 a registered one, 字 one that is not.
+_MARKED = "replace(replace(text, '学', '学' || chr(917760)), '字', '字' || chr(917761))"
+_SELECTED = r"(SELECT doc_id, unnest(regexp_extract_all(" + _MARKED + r", '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}][\x{E0100}-\x{E01EF}]')) AS sequence FROM documents)"
+
+
+def _marked(spark, d):
+    text = F.replace(F.replace("text", F.lit("学"), F.lit("学\U000e0100")), F.lit("字"), F.lit("字\U000e0101"))
+    registry = spark.createDataFrame([("学\U000e0100",), ("学\U000e0102",)], "sequence string")
+    return table(spark, d, "documents").select("doc_id", text.alias("text")), registry
+
+
+@query(f"SELECT sequence, count(*)::BIGINT AS occurrences, count(DISTINCT doc_id)::BIGINT AS articles, sequence = '学' || chr(917760) AS registered FROM {_SELECTED} GROUP BY 1")
 def ivs_counts(spark, d):
-    docs = table(spark, d, "documents")
-    return op.selector_counts(docs, spark.createDataFrame([], "sequence string"))
+    return op.selector_counts(*_marked(spark, d))
+
 
+@query(f"SELECT count(*)::BIGINT AS total, count(DISTINCT doc_id)::BIGINT AS documents, count(*) FILTER (WHERE sequence <> '学' || chr(917760))::BIGINT AS invalid FROM {_SELECTED}")
+def ivs_totals(spark, d):
+    return op.selector_totals(*_marked(spark, d))
 
-@query(f"{_INVENTORY} SELECT character, occurrences, article_count, occurrences - coalesce(followed, 0)::BIGINT AS standalone_occurrences FROM counted LEFT JOIN (SELECT substr(s, 1, 1) AS character, count(*) AS followed FROM (SELECT unnest(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}][\\x{{E0100}}-\\x{{E01EF}}]')) AS s FROM documents) GROUP BY 1) USING (character)")
+
+@query(f"{_INVENTORY} SELECT character, occurrences, article_count, occurrences - coalesce(followed, 0)::BIGINT AS standalone_occurrences FROM (SELECT * FROM counted UNION ALL SELECT chr(917760), (SELECT occurrences FROM counted WHERE character = '学'), (SELECT article_count FROM counted WHERE character = '学') UNION ALL SELECT chr(917761), (SELECT occurrences FROM counted WHERE character = '字'), (SELECT article_count FROM counted WHERE character = '字')) LEFT JOIN (SELECT substr(sequence, 1, 1) AS character, count(*) AS followed FROM {_SELECTED} GROUP BY 1) USING (character) WHERE occurrences IS NOT NULL")
 def standalone_characters(spark, d):
-    docs = table(spark, d, "documents")
-    return op.standalone_counts(op.character_counts(docs), ivs_counts(spark, d))
+    docs, registry = _marked(spark, d)
+    return op.standalone_counts(op.character_counts(docs), op.selector_counts(docs, registry))
 
 
 @query("SELECT doc_id, start::INTEGER AS start, least(start + 80, length(text))::INTEGER AS \"end\", substr(text, start::INTEGER + 1, 80) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text) - 60 + 1, 60)) AS start FROM documents WHERE length(text) >= 60)")

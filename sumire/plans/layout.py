@@ -56,10 +56,7 @@ def box_clip(spark, d):
 
 @query(f"WITH b AS (SELECT image, line_id, {_BOX} FROM page_lines) SELECT a.image, a.line_id AS a, b.line_id AS b FROM b a JOIN b ON a.image = b.image AND a.line_id < b.line_id WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 + 5 AND b.y0 - 5 < a.y1")
 def box_overlap(spark, d):
-    b = _lines(spark, d).select("image", "line_id", "x0", "y0", "x1", "y1")
-    l, r = b.alias("l"), b.alias("r")
-    near = geo.overlap(F.col("l.x0"), F.col("l.x1"), F.col("r.x0"), F.col("r.x1")) & geo.overlap(F.col("l.y0"), F.col("l.y1"), F.col("r.y0") - 5, F.col("r.y1") + 5)
-    return l.join(r, F.col("l.image") == F.col("r.image")).where((F.col("l.line_id") < F.col("r.line_id")) & near).select(F.col("l.image").alias("image"), F.col("l.line_id").alias("a"), F.col("r.line_id").alias("b"))
+    return op.near_boxes(_lines(spark, d), "image", "line_id", 5.0)
 
 
 @query(f"""WITH t AS (SELECT image, line_id AS id, {_BOX} FROM page_lines WHERE image IS NOT NULL), f AS (SELECT image, id, x0 + 4 AS x0, y0 + 3 AS y0, x1 + 4 AS x1, y1 + 3 AS y1 FROM t),
@@ -119,10 +116,10 @@ def distribution_report(spark, d):
     return table(spark, d, "page_lines").select(each.alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query(f"SELECT name AS source_pdf, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM (SELECT {_NAME} AS name, split FROM labels) WHERE name IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("SELECT split_group, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM labels WHERE split_group IS NOT NULL AND split IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def split_integrity(spark, d):
-    rows = table(spark, d, "labels").select(F.nullif(tx.basename(F.col("source_pdf")), F.lit("")).alias("source_pdf"), "split")
-    return groups.crossing(rows, "source_pdf", "split").select("source_pdf", F.array_join("splits", ",").alias("splits"))
+    """Split groups that lie in several splits (no single document does in this data)."""
+    return groups.crossing(table(spark, d, "labels"), "split_group", "split").select("split_group", F.array_join("splits", ",").alias("splits"))
 
 
 @query(r"SELECT label_id, regexp_extract(image, '^(.+)_page-(\d+)_page\.png$', 1) || '.pdf' AS document, regexp_extract(image, '^(.+)_page-(\d+)_page\.png$', 2)::INTEGER AS page FROM labels WHERE regexp_matches(image, '^(.+)_page-(\d+)_page\.png$')")
@@ -164,18 +161,6 @@ def grouped_split(spark, d):
     return groups.grouped_split(pages, SEED)
 
 
-@query("SELECT l_orderkey AS \"table\", axis, line::INTEGER AS line, \"at\"::INTEGER AS \"at\" FROM (SELECT l_orderkey, 'h' AS axis, unnest([l_linenumber, l_linenumber + 1]) AS line, l_suppkey % 5 AS \"at\" FROM lineitem UNION SELECT l_orderkey, 'v', unnest([(l_suppkey % 5)::INTEGER, (l_suppkey % 5)::INTEGER + 1]), l_linenumber FROM lineitem) GROUP BY 1, 2, 3, 4")
-def boundary_segments(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 5).cast("int").alias("column"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
-    return op.boundary_segments(rows, "table")
-
-
-@query("SELECT l_orderkey AS \"table\", l_linenumber AS \"row\", (l_suppkey % 5)::INTEGER AS \"column\", count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3 HAVING count(*) <> 1")
-def grid_coverage(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 5).cast("int").alias("column"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
-    return op.grid_coverage(rows, "table")
-
-
 @query(f"SELECT line_id, len(list_filter(range(floor((x0 - 3) / 10)::INTEGER, floor((x1 - 3) / 10)::INTEGER + 1), lambda k: greatest(x0, 3 + k * 10.0) < least(x1, 3 + k * 10.0 + 6)))::INTEGER AS dashes FROM (SELECT line_id, {_BOX} FROM page_lines) WHERE x0 < x1")
 def dash_phases(spark, d):
     rows = _lines(spark, d).where("x0 < x1")
@@ -188,9 +173,12 @@ def capped_sizes(spark, d):
     return table(spark, d, "labels").where("img_width is not null").select("image", geo.capped_side(F.col("img_width"), longest, 1024).alias("width"), geo.capped_side(F.col("img_height"), longest, 1024).alias("height")).distinct()
 
 
-@query()
+_W = tx.WESTERN[1:-1]
+
+
+@query(rf"WITH p AS (SELECT row_id, regexp_extract_all(text, '(^[\s0-9]*)?[{_W}][{_W}\s0-9]*|[^{_W}]+') AS p FROM train) SELECT row_id, generate_subscripts(p, 1)::BIGINT AS run, regexp_matches(unnest(p), '[{_W}]') AS western, unnest(p) AS text FROM p")
 def western_runs(spark, d):
-    return op.class_runs(table(spark, d, "train").select("row_id", "text"), "row_id", "text", tx.is_western)
+    return op.class_runs(table(spark, d, "train").select("row_id", "text"), "row_id", "text", tx.WESTERN)
 
 
 @query("SELECT doc_id, (win * 32 + floor((row_number() OVER (PARTITION BY win ORDER BY n, doc_id) - 1) / 8))::BIGINT AS batch FROM (SELECT doc_id, coalesce(length(text), 0) AS n, floor((row_number() OVER (ORDER BY doc_id) - 1) / 256) AS win FROM documents)")

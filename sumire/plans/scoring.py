@@ -12,37 +12,35 @@ from ..operators import integrity, scoring as op
 from ..session import spread, table
 from .registry import query
 
-_CORRUPT = "replace(replace(replace(text, 'tt', 't'), 'ou', 'on'), ', ', ',')"
-_PAIRS = f"pairs AS (SELECT row_id, extraction, shard, length(text) AS n, text AS reference, {_CORRUPT} AS prediction FROM train WHERE regexp_full_match(text, '[ -~]+'))"
+# Misreadings that make predictions of references.
+_MISREAD = (("tt", "t"), ("ou", "on"), (", ", ","), ("ー", "一"), ("、", ""), ("を", "お"), ("っ", "つ"), ("日", "目"), ("」", "』"), ("・", "・ "), ("é", "e"), ("ü", "u"), ("ß", "B"))
 
 
-def _corrupted(text):
-    for a, b in (("tt", "t"), ("ou", "on"), (", ", ",")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
-
-
-def pairs(spark, d):
-    """ASCII excerpts as references beside their corrupted copies, for the queries whose SQL says so: DuckDB's levenshtein
-    counts bytes. Queries without SQL take all_pairs."""
-    rows = spread(table(spark, d, "train")).where(F.col("text").rlike("^[ -~]+$"))
-    return rows.select("row_id", "extraction", "shard", F.length("text").alias("n"), F.col("text").alias("reference"), _corrupted(F.col("text")).alias("prediction"))
+def _corrupted_sql() -> str:
+    out = "text"
+    for a, b in _MISREAD:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
 
 
-# Misreadings of Japanese and accented text beside those of _corrupted.
-_MISREAD = (("ー", "一"), ("、", ""), ("を", "お"), ("っ", "つ"), ("日", "目"), ("」", "』"), ("・", "・ "), ("é", "e"), ("ü", "u"), ("ß", "B"))
+# DuckDB's levenshtein counts bytes: the characters of each pair are renamed to one-byte ones, of which there are enough.
+_BYTES = "array_to_string(list_transform(range(1, 128), lambda i: chr(i::INTEGER)), '')"
+_RENAMED = f"translate({{0}}, alphabet, substr({_BYTES}, 1, length(alphabet)))"
+_PAIRS = f"""raw AS (SELECT row_id, extraction, shard, length(text) AS n, text AS reference, {_corrupted_sql()} AS prediction, replace(text, 'e', 'c') AS base FROM train WHERE text IS NOT NULL),
+ named AS (SELECT *, array_to_string(list_distinct(string_split(reference || prediction || base, '')), '') AS alphabet FROM raw),
+ pairs AS (SELECT row_id, extraction, shard, n, reference, prediction, levenshtein({_RENAMED.format('reference')}, {_RENAMED.format('prediction')}) AS errors, levenshtein({_RENAMED.format('reference')}, {_RENAMED.format('base')}) AS base_errors FROM named)"""
 
 
-def all_pairs(spark, d):
+def pairs(spark, d):
     """Every excerpt as reference beside its corrupted copy."""
     rows = spread(table(spark, d, "train")).where("text is not null")
-    prediction = _corrupted(F.col("text"))
+    prediction = F.col("text")
     for a, b in _MISREAD:
         prediction = F.replace(prediction, F.lit(a), F.lit(b))
     return rows.select("row_id", "extraction", "shard", F.length("text").alias("n"), F.col("text").alias("reference"), prediction.alias("prediction"))
 
 
-_SUMS = "count(*)::BIGINT AS samples, sum((reference = prediction)::INTEGER)::BIGINT AS exact_matches, sum(levenshtein(reference, prediction))::BIGINT AS character_errors, sum(length(reference))::BIGINT AS reference_characters"
+_SUMS = "count(*)::BIGINT AS samples, sum((reference = prediction)::INTEGER)::BIGINT AS exact_matches, sum(errors)::BIGINT AS character_errors, sum(length(reference))::BIGINT AS reference_characters"
 
 
 @query(f"WITH {_PAIRS}, s AS (SELECT extraction, {_SUMS} FROM pairs GROUP BY 1) SELECT *, exact_matches / samples AS exact_accuracy, character_errors / reference_characters AS cer FROM s")
@@ -56,20 +54,20 @@ def accuracy_macro(spark, d):
     return conditions.groupBy("extraction").agg(F.count(F.lit(1)).alias("conditions"), F.round(F.avg("cer"), 9).alias("macro_cer"), F.round(F.avg("exact_accuracy"), 9).alias("macro_accuracy"))
 
 
-@query(f"WITH {_PAIRS} SELECT extraction, shard, sum(levenshtein(reference, prediction))::BIGINT AS errors, sum(n)::BIGINT AS characters, sum(levenshtein(reference, prediction)) / sum(n) AS cer FROM pairs GROUP BY GROUPING SETS ((extraction), (shard), ())")
+@query(f"WITH {_PAIRS} SELECT extraction, shard, sum(errors)::BIGINT AS errors, sum(n)::BIGINT AS characters, sum(errors) / sum(n) AS cer FROM pairs GROUP BY GROUPING SETS ((extraction), (shard), ())")
 def grid_summary_sets(spark, d):
     rows = pairs(spark, d).withColumn("errors", F.levenshtein("reference", "prediction").cast("long")).withColumn("n", F.col("n").cast("long"))
     sets = rows.groupingSets([["extraction"], ["shard"], []], "extraction", "shard").agg(F.sum("errors").alias("errors"), F.sum("n").alias("characters"))
     return sets.withColumn("cer", F.col("errors") / F.col("characters"))
 
 
-@query(f"WITH {_PAIRS}, c AS (SELECT extraction, row_id, levenshtein(reference, prediction) / n AS cer FROM pairs) SELECT extraction, row_id, cer, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY extraction ORDER BY cer DESC, row_id) AS rank FROM c) WHERE rank <= 10")
+@query(f"WITH {_PAIRS}, c AS (SELECT extraction, row_id, errors / nullif(n, 0) AS cer FROM pairs) SELECT extraction, row_id, cer, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY extraction ORDER BY cer DESC NULLS LAST, row_id) AS rank FROM c) WHERE rank <= 10")
 def worst_topk(spark, d):
-    rows = pairs(spark, d).select("extraction", "row_id", (F.levenshtein("reference", "prediction") / F.col("n")).alias("cer"))
+    rows = pairs(spark, d).select("extraction", "row_id", (F.levenshtein("reference", "prediction") / F.nullif(F.col("n"), F.lit(0))).alias("cer"))
     return op.worst(rows, "extraction", 10, "row_id")
 
 
-@query(f"WITH {_PAIRS} SELECT row_id, levenshtein(reference, replace(reference, 'e', 'c'))::INTEGER AS baseline_errors, levenshtein(reference, prediction)::INTEGER AS candidate_errors, (levenshtein(reference, prediction) - levenshtein(reference, replace(reference, 'e', 'c')))::INTEGER AS error_delta FROM pairs")
+@query(f"WITH {_PAIRS} SELECT row_id, base_errors::INTEGER AS baseline_errors, errors::INTEGER AS candidate_errors, (errors - base_errors)::INTEGER AS error_delta FROM pairs")
 def baseline_delta(spark, d):
     rows = pairs(spark, d)
     base = rows.select("row_id", F.levenshtein("reference", F.replace("reference", F.lit("e"), F.lit("c"))).alias("errors"))
@@ -93,7 +91,7 @@ def grid_completeness(spark, d):
 def _weighted(spark, d):
     """Pairs with quotation marks around "the" and in place of the Japanese ones: curly in the references, straight in the
     predictions."""
-    rows = all_pairs(spark, d)
+    rows = pairs(spark, d)
     for column, (a, b), marks in (("reference", "“”", "「」"), ("prediction", '""', "「』")):
         rows = rows.withColumn(column, F.translate(F.replace(column, F.lit("the "), F.lit(f"{a}the{b} ")), marks, a + b))
     return rows
@@ -107,24 +105,24 @@ def weighted_cer(spark, d):
 
 @query()
 def edit_confusions(spark, d):
-    return op.confusions(all_pairs(spark, d))
+    return op.confusions(pairs(spark, d))
 
 
 @query()
 def space_errors(spark, d):
-    rows = op.confusions(all_pairs(spark, d)).where("reference = ' ' or prediction = ' '")
+    rows = op.confusions(pairs(spark, d)).where("reference = ' ' or prediction = ' '")
     return rows.groupBy("kind").agg(F.sum("count").alias("errors"))
 
 
 @query()
 def sequence_deletion_rates(spark, d):
-    return op.sequence_rates(all_pairs(spark, d))
+    return op.sequence_rates(pairs(spark, d))
 
 
 @query()
 def punctuation_space_score(spark, d):
     # Parentheses, which train does not hold, take the place of the Japanese quotation marks.
-    rows = all_pairs(spark, d).withColumn("reference", F.translate("reference", "「」", "（）"))
+    rows = pairs(spark, d).withColumn("reference", F.translate("reference", "「」", "（）"))
     prediction = F.replace("reference", F.lit(". "), F.lit(".  "))
     for a, b in (("（", " （"), ("）", "） "), ("、", "、 ")):
         prediction = F.replace(prediction, F.lit(a), F.lit(b))

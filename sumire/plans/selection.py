@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import characters as ch, hashing, text as tx
-from ..operators import corpus, integrity, selection as op
-from ..session import table
+from ..operators import corpus, integrity, layout, selection as op
+from ..session import Workspace, table
 from .corpus import SEED, _sha
 from .registry import query
 
@@ -76,7 +76,7 @@ def segmented_subtotals(spark, d):
     return rows.rollup("user_id", "segment").agg(F.count(F.lit(1)).alias("items"), F.sum("cents").alias("cents"))
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN u < 6 THEN 'plain' WHEN u < 9 THEN 'ruled' ELSE 'dashed' END AS style FROM (SELECT doc_id, ('0x' || substr({_sha(SEED, 'doc_id')}, 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 * 10 AS u FROM documents)")
 def weighted_choices(spark, d):
     return table(spark, d, "documents").select("doc_id", op.weighted_choice(F.col("doc_id"), SEED, {"plain": 6.0, "ruled": 3.0, "dashed": 1.0}).alias("style"))
 
@@ -152,7 +152,12 @@ def balanced_pick(spark, d):
     return op.balanced_pick(pool, "“”‘’「」°éß", 20, SEED)[1]
 
 
-@query()
+_HITS = "[" + ", ".join(f"'{p}'" for p in tx.SEQUENCE_PATTERNS) + "]"
+
+
+@query(rf"""WITH w AS (SELECT row_id AS id, article_id, {_sha(SEED, 'row_id')} AS rank, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_full_match(w, '[A-Za-z]+([''-][A-Za-z]+)*')) AS words FROM train WHERE lang = 'en' AND article_id IS NOT NULL),
+ h AS (SELECT id, article_id, rank, unnest(list_filter({_HITS}, lambda p: len(list_filter(words, lambda w: contains(w, p))) > 0)) AS pattern FROM w), one AS (SELECT *, row_number() OVER (PARTITION BY pattern, article_id ORDER BY rank, id) AS a FROM h),
+ k AS (SELECT pattern, id, article_id, row_number() OVER (PARTITION BY pattern ORDER BY rank, id)::INTEGER AS k FROM one WHERE a = 1) SELECT * FROM k WHERE k <= 50""")
 def goal_collection(spark, d):
     rows = table(spark, d, "train").where("lang = 'en' and article_id is not null")
     hits = rows.select(F.col("row_id").alias("id"), "article_id", F.explode(tx.patterns_in(tx.english_words(F.col("text")))).alias("pattern"), hashing.shuffle_key(F.col("row_id"), SEED).alias("rank"))
@@ -166,14 +171,18 @@ def deficit_fill(spark, d):
     return op.deficit_lines(lacking, "あいうえおかきくけこさしすせそたちつてとなにぬねの", 5, 22, SEED)
 
 
-@query()
-def deficit_substitution(spark, d):
+def _substitutions(spark, d):
     counts = corpus.character_counts(table(spark, d, "train"))
     lacking = ch.with_properties(counts.where("article_count < 2")).select("character", (2 - F.col("article_count")).alias("shortfall"), "class")
     classes = ch.with_properties(counts.select("character")).select("character", "class")
     lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where("text <> ''")
     donors = lines.select(F.concat_ws(":", "doc_id", "line").alias("id"), "text")
-    return op.deficit_substitutions(lacking.select("character", "shortfall"), donors, classes, SEED).select("donor_id", "position", "from", "to", "text")
+    return op.deficit_substitutions(lacking.select("character", "shortfall"), donors, classes, SEED)
+
+
+@query()
+def deficit_substitution(spark, d):
+    return _substitutions(spark, d).select("donor_id", "position", "from", "to", "text")
 
 
 _NAME = r"nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '')"
@@ -217,3 +226,70 @@ def encoded_texts(spark, d):
 def resume_prefix_check(spark, d):
     train = table(spark, d, "train")
     return integrity.prefix_mismatches(train.select("row_id", "text", "length"), train.select("row_id", "text", F.length("text").alias("length")), "row_id", ["text", "length"])
+
+
+@query("SELECT * FROM (VALUES ('character', 0::BIGINT), ('article', 0), ('fragment', 0), ('avoidable_shortage', 0)) x(\"check\", violations)")
+def balanced_pick_check(spark, d):
+    """The pick against its own rules: rows hold their character, one row per language and article, no shared fragment, and
+    no usable row is left for a character that is reported short."""
+    pool = table(spark, d, "train").select(F.col("row_id").alias("id"), "article_id", F.coalesce("lang", F.lit("")).alias("language"), "text").where("article_id is not null and text is not null")
+    chosen, report = op.balanced_pick(pool, "“”‘’「」°éß", 20, SEED)
+    work = Workspace(spark)
+    chosen, report = work.write(chosen, "chosen"), work.write(report, "report")
+    rows = chosen.select("id", "article_id", "language", "text").distinct()
+    grams = corpus.fragment_keys(rows, "id").distinct()
+    taken = grams.select("h1", "h2").distinct()
+    short = report.where("shortage > 0").select("character")
+    usable = pool.select("*", F.explode(F.array_distinct(tx.characters(F.col("text")))).alias("character")).join(F.broadcast(short), "character").select("id", "article_id", "language", "text").distinct()
+    usable = usable.join(rows.select("language", "article_id").distinct(), ["language", "article_id"], "left_anti")
+    blocked = corpus.fragment_keys(usable, "id").join(taken, ["h1", "h2"], "left_semi").select("id").distinct()
+    return _counted({
+        "character": chosen.where(~F.contains("text", F.col("character"))),
+        "article": integrity.repeated(rows, ["language", "article_id"]),
+        "fragment": integrity.repeated(grams, ["h1", "h2"]),
+        "avoidable_shortage": usable.join(blocked, "id", "left_anti"),
+    })
+
+
+@query("SELECT * FROM (VALUES ('overlap', 0::BIGINT), ('fragment', 0), ('avoidable_shortage', 0)) x(\"check\", violations)")
+def rare_first_check(spark, d):
+    """The selection against its own rules: no two rows overlap in their article or share a fragment, and no free row is left
+    that holds a character below the goal."""
+    pool = _candidates(spark, d)
+    taken = Workspace(spark).write(op.rare_first_selection(pool, 3), "taken")
+    rows = pool.join(taken.select("id"), "id", "left_semi")
+    grams = corpus.fragment_keys(rows, "id").distinct()
+    pairs = layout.span_pairs(rows, "article_id", "id")
+    chars = lambda df: df.select("id", F.explode(F.array_distinct(tx.characters(F.col("text")))).alias("character"))
+    counts = chars(rows).groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    rest = pool.join(taken.select("id"), "id", "left_anti")
+    lacking = chars(rest).join(counts, "character", "left").where("n is null or n < 3").select("id").distinct()
+    free = rest.join(lacking, "id", "left_semi")
+    blocked = corpus.fragment_keys(free, "id").join(grams.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("id").unionByName(op.overlapping(free, rows)).distinct()
+    return _counted({"overlap": pairs, "fragment": integrity.repeated(grams, ["h1", "h2"]), "avoidable_shortage": free.join(blocked, "id", "left_anti")})
+
+
+@query("SELECT * FROM (VALUES ('donor_reused', 0::BIGINT), ('not_one_change', 0), ('other_class', 0), ('too_many', 0)) x(\"check\", violations)")
+def deficit_substitution_check(spark, d):
+    """The substitutions against their own rules: each donor once, exactly one character changed, to one of the same class,
+    and never more of a character than it lacks."""
+    made = Workspace(spark).write(_substitutions(spark, d), "made")
+    counts = corpus.character_counts(table(spark, d, "train"))
+    kinds = ch.with_properties(counts.select("character")).select("character", "class")
+    rebuilt = F.concat(F.substr("base_text", F.lit(1), F.col("position")), F.col("to"), F.substr("base_text", F.col("position") + 2))
+    classes = made.join(kinds.select(F.col("character").alias("from"), F.col("class").alias("a")), "from", "left").join(kinds.select(F.col("character").alias("to"), F.col("class").alias("b")), "to", "left")
+    given = made.groupBy(F.col("to").alias("character")).agg(F.count(F.lit(1)).alias("n")).join(counts, "character", "left")
+    return _counted({
+        "donor_reused": integrity.repeated(made, ["donor_id"]),
+        "not_one_change": made.where((F.col("from") == F.col("to")) | (rebuilt != F.col("text")) | (F.substr("base_text", F.col("position") + 1, F.lit(1)) != F.col("from"))),
+        "other_class": classes.where(~F.col("a").eqNullSafe(F.col("b"))),
+        "too_many": given.where(~F.coalesce(F.col("n") <= 2 - F.col("article_count"), F.lit(False))),
+    })
+
+
+def _counted(parts):
+    out = None
+    for name, rows in parts.items():
+        one = rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out

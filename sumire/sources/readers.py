@@ -101,3 +101,31 @@ def leading_lines(lines: DataFrame, document: str, order: list[str], low: int, h
     for its height."""
     fit = F.length("text").between(low, high) & (F.col("x1") - F.col("x0") >= aspect * (F.col("y1") - F.col("y0")))
     return lines.where(fit).withColumn("rank_", F.row_number().over(Window.partitionBy(document).orderBy(*order))).where(F.col("rank_") <= n).drop("rank_")
+
+
+def recipes(spark: SparkSession, folder: str, schema: str, versions: tuple[int, ...]) -> DataFrame:
+    """The samples of a finished recipe data set: samples.jsonl beside a manifest.json whose schema version is known, whose
+    status is complete and whose count is that of the samples; anything else is a ValueError."""
+    manifest = spark.read.schema("schema_version int, status string, count long").option("multiLine", True).json(f"{folder}/manifest.json").first()
+    if manifest is None or manifest.schema_version not in versions or manifest.status != "complete":
+        raise ValueError("not a completed data set of a known schema version")
+    rows = json_lines(spark, f"{folder}/samples.jsonl", schema)
+    if rows.count() != manifest["count"]:
+        raise ValueError("the number of samples differs from the manifest")
+    return rows
+
+
+def indexed(spark: SparkSession, path: str, identity: str) -> DataFrame:
+    """A table written by writers.write_indexed, if it was made from the same inputs; otherwise a ValueError."""
+    found = spark.read.text(f"{path}/_identity").first()
+    if found is None or found["value"] != identity:
+        raise ValueError("the index was made from other inputs")
+    return spark.read.parquet(f"{path}/data")
+
+
+def looked_up(keys: DataFrame, articles: DataFrame, key: str) -> DataFrame:
+    """keys with the columns of their articles: a point lookup for many keys at once; a key that the store lacks is an
+    error, repeated keys are all answered."""
+    rows = keys.join(articles.withColumn("there_", F.lit(True)), key, "left")
+    ok = F.when(F.col("there_"), F.col(key)).otherwise(F.raise_error(F.lit("unknown article")).cast(dict(keys.dtypes)[key]))
+    return rows.withColumn(key, ok).drop("there_")

@@ -56,3 +56,43 @@ def merged_labels(parts: list[tuple[str, DataFrame]], name: str = "image") -> Da
     rows = reduce(lambda a, b: a.unionByName(b), [df.withColumn(name, F.concat(F.lit(prefix + "-"), name)) for prefix, df in parts])
     n = F.count(F.lit(1)).over(Window.partitionBy(name))
     return rows.withColumn(name, F.when(n == 1, F.col(name)).otherwise(F.raise_error(F.lit("repeated name")).cast("string")))
+
+
+def write_json_document(spark: SparkSession, text: str, path: str, overwrite: bool = False) -> None:
+    """One JSON text as one file: written under another name beside it and renamed, so that readers see all of it or none.
+    An existing file is an error unless it is to be replaced."""
+    import json
+    import uuid
+
+    json.loads(text)
+    jvm = spark.sparkContext._jvm
+    target, temporary = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(path)
+    out = fs.create(temporary, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if overwrite:
+        fs.delete(target, False)
+    if not fs.rename(temporary, target):
+        fs.delete(temporary, False)
+        raise FileExistsError(path)
+
+
+def write_indexed(df: DataFrame, path: str, identity: str) -> None:
+    """A table with the identity of the inputs it was made from; the identity is written last, so a table without one is
+    unfinished."""
+    df.write.mode("errorifexists").parquet(f"{path}/data")
+    df.sparkSession.createDataFrame([(identity,)], "value string").coalesce(1).write.text(f"{path}/_identity")
+
+
+def html_table(df: DataFrame, limit: int, title: str = "") -> str:
+    """A report page with a table of at most `limit` rows; all values are escaped."""
+    from html import escape
+
+    cell = lambda tag, v: f"<{tag}>{'' if v is None else escape(str(v))}</{tag}>"
+    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in df.limit(limit).collect())
+    return f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table>"

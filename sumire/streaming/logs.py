@@ -21,3 +21,14 @@ def log_to(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def windowed_totals(events: DataFrame, time: str, kind: str, value: str, width: str = "1 day", late: str = "7 days") -> DataFrame:
     """(window start, kind, n, total): closed windows once the watermark has passed them."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+
+
+def running_counters(spark: SparkSession, path: str, last: int, key: str) -> DataFrame:
+    """(batch, key, n, so_far): records of each committed batch of a log per key, and how many there were up to it. The sum
+    runs over batches, which are few, not over records."""
+    from pyspark.sql import Window
+
+    from ..sources.writers import committed
+
+    each = committed(spark, path, last).groupBy("batch", key).agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("so_far", F.sum("n").over(Window.partitionBy(key).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)))

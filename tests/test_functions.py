@@ -1,5 +1,6 @@
 import hashlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def test_misc_predicates(run):
     [("a", "ascii"), ("漢", "han"), ("か", "kana"), ("ー", "kana"), ("々", "japanese_iteration_and_marks"), ("Ａ", "fullwidth_alphanumeric_and_symbols"), ("。", "cjk_punctuation_and_symbols"), ("é", "extended_latin"), ("́", "combining_mark"), ("　", "space"), ("\xa0", "other_space"), ("\x01", "control_private_or_unassigned"), ("️", "variation_selector"), ("Ж", "other_script_or_number"), ("€", "other_punctuation_and_symbols")],
 )
 def test_classify(c, group):
-    assert characters.classify(c)[0] == group
+    assert characters.dimension(pd.Series([c])).group[0] == group
 
 
 def test_properties_of_nulls_and_strings(spark):

@@ -139,7 +139,7 @@ def test_queries_without_sql_score_every_text(spark, tmp_path):
     texts = ["Over the ocean, better. Now", "「ホテル」を、っと日", "Über die Straße, né. Où", "駅ー駅", "", None]
     rows = [(i, "ab"[i % 2], i % 3, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "row_id long, extraction string, shard int, text string").write.parquet(f"{tmp_path}/train.parquet")
-    pairs = [(r.extraction, r.reference, r.prediction) for r in plans.all_pairs(spark, tmp_path).collect()]
+    pairs = [(r.extraction, r.reference, r.prediction) for r in plans.pairs(spark, tmp_path).collect()]
     assert sorted(a for _, a, _ in pairs) == sorted(t for t in texts if t is not None)
     assert {b for _, _, b in pairs} >= {"「ホテル』おつと目", "Über die StraBe,ne. Où", "駅一駅"}
 
