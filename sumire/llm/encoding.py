@@ -2,13 +2,16 @@
 
 A code-page swap (bytes of encoding T read as W) is a substitution cipher: each wrong character stands for a byte, each
 byte or byte sequence for a letter. Which swap a record went through is unknown. Expectation-maximisation learns, per
-source, which letter each odd symbol stands for and how probable each swap is, and with that the language's own character
-bigrams, from which the garbled share is taken out again in each round. A record is garbled when the swaps' posterior
-outweighs that of the text as it stands. One-byte ciphers are applied with translate(); byte sequences are decoded.
+source, which letter each odd symbol stands for (from all its texts; code pages are no more than a prior) and how
+probable each swap is, and with that the language's own character bigrams, from which the garbled share is taken out
+again in each round. A letter that the wrong reading lost (U+FFFD) is an unknown letter between its neighbours. A record
+is garbled when the swaps' posterior outweighs that of the text as it stands. Learned ciphers are applied with
+translate(); byte sequences are decoded.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from functools import lru_cache
@@ -27,6 +30,8 @@ WRONG_WIDE = ("cp932", "gb18030")
 RIGHT_WIDE = ("utf_8", "cp932", "euc_jp")
 RIGHT = ("cp1252", "mac_roman", "cp437", "koi8_r", "cp1251", "cp1250")
 ROUNDS = 3
+#: Log probability that a wrong reading loses a letter, before a source is known.
+LOSS = math.log(0.02)
 
 # --- alphabet of the bigram model -------------------------------------------------------------------------------
 _SPANS = ((0x00, 0x052F), (0x2000, 0x206F), (0x2100, 0x214F), (0x2500, 0x257F), (0x3000, 0x30FF), (0xFF00, 0xFFEF))
@@ -59,7 +64,9 @@ def codes(text: str) -> np.ndarray:
 class Bigrams:
     """Log probabilities of one code after another, from counts; smoothed towards the frequency of the second."""
 
-    def __init__(self, counts: dict[tuple[int, int], float], weight: float = 5.0):
+    def __init__(self, counts: dict[tuple[int, int], float], weight: float = 5.0, ideographs: dict[int, float] | None = None):
+        #: How often each ideograph was counted; bigrams have one code for all of them.
+        self.ideographs = ideographs or {}
         self.at = np.array(list(counts), np.int32).reshape(len(counts), 2)
         self.n = np.maximum(0, np.fromiter(counts.values(), np.float32, len(counts)))
         self.weight = weight
@@ -72,13 +79,14 @@ class Bigrams:
         single = n.sum(0) + 0.1
         single /= single.sum()
         self.log = np.log((n + self.weight * single) / (n.sum(1, keepdims=True) + self.weight)) + within
+        self.unigram = np.log(single) + within
 
     def __getstate__(self):
         """What is sent to the workers are the counts; the table is filled there."""
-        return self.at, self.n, self.weight
+        return self.at, self.n, self.weight, self.ideographs
 
     def __setstate__(self, state) -> None:
-        self.at, self.n, self.weight = state
+        self.at, self.n, self.weight, self.ideographs = state
         self._fill()
 
     def score(self, text: str) -> float:
@@ -89,6 +97,15 @@ class Bigrams:
         """How much better `new` fits than `old` between its neighbours."""
         return self.score_between(left, new, right) - self.score_between(left, old, right)
 
+    def loss_gain(self, text: str) -> float:
+        """How much better the text fits if each U+FFFD is some letter that was lost: what follows a run of them is then as
+        probable as anywhere."""
+        c = codes(text)
+        lost = np.concatenate(([False], np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 0xFFFD, [False]))
+        beside = lost[:-1] | lost[1:]
+        after = np.flatnonzero(lost[:-1] & ~lost[1:]) + 1
+        return float(self.unigram[c[after]].sum() + LOSS * lost.sum() - self.log[c[:-1], c[1:]][beside].sum())
+
     def score_between(self, left: str, text: str, right: str) -> float:
         c = codes(left[-1:] + text + right[:1])
         lo, hi = (1 if left else 0), (len(c) - 2 if right else len(c) - 1)
@@ -113,6 +130,18 @@ def _byte_table(wrong: str) -> dict[int, int]:
     return {ord(c): b for c, b in bytes_of(wrong).items() if b >= 0x80}
 
 
+@lru_cache(None)
+def undefined(wrong: str) -> tuple[int, ...]:
+    """Bytes that a one-byte encoding cannot read, of which a reading leaves U+FFFD."""
+    return tuple(b for b in range(0x80, 0x100) if _decoded(bytes([b]), wrong) is None)
+
+
+@lru_cache(None)
+def _with_loss(wrong: str) -> re.Pattern:
+    high = _set(wrong, 0x80, 0xFF)[1:-1]
+    return re.compile(f"[{high}\ufffd]*\ufffd[{high}\ufffd]*")
+
+
 def encoded(text: str, wrong: str) -> bytes | None:
     """The bytes that `wrong` read as `text`, or None."""
     try:
@@ -146,6 +175,12 @@ _NEEDED = {
     "cp932": re.compile(rb"[\x82\x83][\x40-\xfc]" + _PATTERNS["cp932"] + rb"|" + _PATTERNS["cp932"] + rb"[\x82\x83][\x40-\xfc]"),
     "euc_jp": re.compile(rb"[\xa4\xa5][\xa1-\xf6][\xa1-\xfe]{2}|[\xa1-\xfe]{2}[\xa4\xa5][\xa1-\xf6]"),
 }
+#: Kanji alone, several in a row; where a one-byte page was read the bigrams can judge them.
+_KANJI_ALONE = {
+    "utf_8": re.compile(rb"(?:[\xe4-\xe9][\x80-\xbf]{2}){2}"),
+    "cp932": re.compile(rb"(?:[\x88-\x9f\xe0-\xea][\x40-\x7e\x80-\xfc]){3}"),
+    "euc_jp": re.compile(rb"(?:[\xb0-\xf4][\xa1-\xfe]){3}"),
+}
 
 
 _ODD, _SIGN, _PAIR, _HALFWIDTH, _LOWER, _HAN, _LEAD, _PLAIN = (1 << i for i in range(8))
@@ -270,10 +305,10 @@ def _stretches(pieces: list, wrong: str, right: str) -> list[tuple[int, int, str
     unicode_in_wide = wide and right == "utf_8"
     found = []
     for start, piece, raw in pieces:
-        if not unicode_in_wide and not _NEEDED[right].search(raw):
+        if not unicode_in_wide and not _NEEDED[right].search(raw) and (wide or not _KANJI_ALONE[right].search(raw)):
             continue
         for a, b, own, whole in _aligned(piece, raw, wrong, right):
-            if unicode_in_wide or _NEEDED[right].search(whole) and not (wide and len(whole) < 6):
+            if unicode_in_wide or _NEEDED[right].search(whole) and not (wide and len(whole) < 6) or not wide and _KANJI_ALONE[right].search(whole):
                 kana = bool(_KANA.search(whole if len(own) >= 6 else own))
                 found.append((start + a, start + b, own, kana, len(piece)))
     if unicode_in_wide:
@@ -332,19 +367,21 @@ _LATIN_ODD = re.compile("[^\x00-\x7f　-ヿ㐀-鿿＀-￯�]")
 class Reader:
     """Hypotheses about one text under given bigrams."""
 
-    def __init__(self, bigrams: Bigrams):
+    def __init__(self, bigrams: Bigrams, pages: list[tuple[str, str]] | None = None):
         self.bigrams = bigrams
+        self.pages = NARROW_KEYS if pages is None else pages
         self.gains: dict[tuple[str, str, str], float] = {}
         self.single: dict[tuple, float] = {}
         self.exchanges: dict[tuple[str, str, bool, bool], float] = {}
 
-    def suspicious(self, texts: list[str | None]) -> list[bool]:
-        """Whether some swap may read each text better: one with a wide encoding by its flag, one between one-byte
-        encodings by a test of every odd character in its place."""
+    def suspicious(self, texts: list[str], ciphers: list[dict[str, str] | None]) -> list[bool]:
+        """Whether some swap may read each text better: one with a wide encoding by its flag, a one-byte cipher if the one
+        learned for the text's source holds a character of it, or by a test of every odd character in its place."""
         out: list[bool] = []
         for part in pieces_of(texts):
             wide, narrow = flags(part)
-            out += [bool(w or n and self._narrow(t)) for t, w, n in zip(part, wide, narrow)]
+            own = ciphers[len(out) : len(out) + len(part)]
+            out += [bool(w or n and (c and not c.keys().isdisjoint(t) or self._narrow(t))) for t, w, n, c in zip(part, wide, narrow, own)]
         return out
 
     def _narrow(self, text: str) -> bool:
@@ -352,7 +389,7 @@ class Reader:
             i = m.start()
             at = (text[i - 1 : i], text[i], text[i + 1 : i + 2])
             if at not in self.gains:
-                options = {cipher(w, t).get(ord(at[1])) for w, t in NARROW_KEYS} - {None}
+                options = {cipher(w, t).get(ord(at[1])) for w, t in self.pages} - {None}
                 self.gains[at] = max((self.bigrams.gain(at[0], at[1], o, at[2]) for o in options), default=0.0)
             if self.gains[at] > 2.0:
                 return True
@@ -370,6 +407,44 @@ class Reader:
                 last = b
         return total, "".join(out) + text[last:]
 
+    def fill(self, text: str, wrong: str) -> tuple[float, str]:
+        """(gain, text) with the UTF-8 letters that lost a byte: a lost byte is one that `wrong` cannot read, and of the
+        letters these leave possible the bigrams choose. What fits no letter stays."""
+        if "\ufffd" not in text or not undefined(wrong):
+            return 0.0, text
+        back, log, code = _byte_table(wrong), self.bigrams.log, alphabet()[0]
+        total, out, last = 0.0, [], 0
+        for m in _with_loss(wrong).finditer(text):
+            raw = [None if c == "\ufffd" else back.get(ord(c)) for c in m[0]]
+            new, i = "", 0
+            while i < len(raw):
+                lead = raw[i] or 0
+                size = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 0
+                unit = raw[i : i + size]
+                options = []
+                if size and len(unit) == size and all(b is None or b < 0xC0 for b in unit[1:]):
+                    choices = [(b,) if b is not None else undefined(wrong) for b in unit]
+                    options = [y for x in itertools.product(*choices) if (y := _decoded(bytes(x), "utf_8"))]
+                if options:
+                    before = int(code[ord((new or text[: m.start()])[-1])]) if new or m.start() else 0
+                    new += max(options, key=lambda y: log[before, code[ord(y)]] + (math.log(self.bigrams.ideographs.get(ord(y), 0) + 0.5) if code[ord(y)] == _IDEOGRAPH else 0.0))
+                    i += size
+                else:
+                    new += m[0][i]
+                    i += 1
+            if new != m[0] and (g := self.bigrams.gain(text[: m.start()], m[0], new, text[m.end() :])) > 0:
+                total += g
+                out += [text[last : m.start()], new]
+                last = m.end()
+        return total, "".join(out) + text[last:]
+
+    def read_wide(self, text: str, found: list[tuple[int, int, str]], wrong: str, right: str) -> tuple[float, str]:
+        gain, original = self.apply_wide(text, found)
+        if gain > 0 and right == "utf_8" and wrong in WRONG:
+            more, original = self.fill(original, wrong)
+            gain += more
+        return gain, original
+
     def apply_narrow(self, text: str, places: list[int], table: dict[int, str]) -> tuple[float, str]:
         """translate() of the one window that the cipher improves most: all odd characters in it go through the cipher."""
         best, low, high, run, begin = 0.0, 0, 0, 0.0, 0
@@ -407,15 +482,15 @@ class Reader:
         `learned` is the cipher learned for the text's source; characters it does not hold stand for themselves.
         """
         found = []
-        if "�" in text:
-            found.append(("lost", 40.0, text))
-        first = [(*self.apply_wide(text, stretches), f"{t}>{w}") for (w, t), stretches in all_spans(text).items()]
+        if "�" in text and (g := self.bigrams.loss_gain(text)) > 0:
+            found.append(("lost", g, text))
+        first = [(*self.read_wide(text, stretches, w, t), f"{t}>{w}") for (w, t), stretches in all_spans(text).items()]
         found += [(name, g, original) for g, original, name in first if g > 0]
         best = max(first, default=(0.0, "", ""))
         for _ in range(3):  # the best reading may hold another swap below
             if best[0] <= 0:
                 break
-            more = max(((*self.apply_wide(best[1], again), f"{t}>{w}") for (w, t), again in all_spans(best[1]).items()), default=(0.0, "", ""))
+            more = max(((*self.read_wide(best[1], again, w, t), f"{t}>{w}") for (w, t), again in all_spans(best[1]).items()), default=(0.0, "", ""))
             if more[0] <= 6:
                 break
             best = (best[0] + more[0], more[1], f"{more[2]}+{best[2]}")
@@ -424,19 +499,21 @@ class Reader:
             return found
         places = [m.start() for m in _LATIN_ODD.finditer(text)]
         odd = sorted({ord(text[i]) for i in places})
+        least = 0.0
         if learned and any(chr(o) in learned for o in odd):
-            g, original = self.apply_narrow(text, places, {o: learned.get(chr(o), chr(o)) for o in odd})
-            if g > 0:
-                found.append(("learned", g, original))
+            least, original = self.apply_narrow(text, places, {o: learned.get(chr(o), chr(o)) for o in odd})
+            if least > 0:
+                found.append(("learned", least, original))
+        # Code pages add what the source's own cipher does not explain: another swap, or symbols too rare to be learned.
         readings = set()
-        for w, t in NARROW_KEYS:
+        for w, t in self.pages:
             table = cipher(w, t)
             own = tuple(map(table.get, odd))
             if own in readings or own.count(None) == len(own):
                 continue
             readings.add(own)
             g, original = self.apply_narrow(text, places, table)
-            if g > 0:
+            if g > max(0.0, least) + 1e-6:
                 found.append((f"{t}>{w}", g, original))
         return found
 
@@ -460,7 +537,12 @@ def trusted(text: str) -> bool:
 
 
 def pair_counts(texts: list[str]) -> np.ndarray:
-    """Bigrams (first x codes + second) of the texts that no swap with a wide encoding has garbled.
+    """Bigrams (first x codes + second) of the texts, without those that a swap with a wide encoding may have garbled."""
+    return fair_counts(texts)[0]
+
+
+def fair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bigrams, code points of ideographs), both without texts that a swap with a wide encoding may have garbled.
 
     A Latin letter of ASCII beside a letter or sign of no Latin alphabet is what one-byte ciphers leave behind, so
     such pairs are left out.
@@ -472,45 +554,59 @@ def pair_counts(texts: list[str]) -> np.ndarray:
     latin = ((raw | 32) >= 0x61) & ((raw | 32) <= 0x7A) & (raw < 0x80)
     strange = ((kinds()[raw] & (_ODD | _PLAIN)) == _ODD) & ~((raw >= 0xC0) & (raw < 0x180))
     fine = ~((latin[:-1] & strange[1:]) | (strange[:-1] & latin[1:]))
-    return np.bincount((c[:-1] * size + c[1:])[fine], minlength=size * size)
+    return np.bincount((c[:-1] * size + c[1:])[fine], minlength=size * size), raw[c == _IDEOGRAPH]
 
 
 def _count(batches):
     _, size, _ = alphabet()
-    total = np.zeros(size * size, np.int64)
+    total, single = np.zeros(size * size, np.int64), np.zeros(0x32000, np.int64)
     for batch in batches:
         for part in pieces_of([t for t in batch.column("text").to_pylist() if t]):
-            total += pair_counts(part)
+            pairs, ideographs = fair_counts(part)
+            total += pairs
+            single += np.bincount(ideographs, minlength=len(single))
+    at = np.flatnonzero(single)
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int32)), pa.array(at.astype(np.int32)), pa.array(single[at].astype(np.float64))], names=["a", "b", "n"])
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at].astype(np.float64))], names=["a", "b", "n"])
 
 
-def _suspects(shared):
+def _suspects(shared, pages):
     def run(batches):
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, pages)
         for batch in batches:
-            yield batch.filter(pa.array(reader.suspicious(batch.column("text").to_pylist()), pa.bool_()))
+            ciphers = [dict(c) if c else None for c in batch.column("cipher").to_pylist()]
+            yield batch.filter(pa.array(reader.suspicious(batch.column("text").to_pylist(), ciphers), pa.bool_()))
 
     return run
 
 
 # --- ciphers learned from a source's own text ---------------------------------------------------------------------
-_CONTEXTS = "source string, left string, symbol string, right string, n long"
+_CONTEXTS = "source string, symbol string, before int, after int, n long"
 
 
-def _contexts(batches):
-    """How often each odd character stands between which neighbours, of texts that no wide swap can have garbled."""
-    for batch in batches:
-        count: dict[tuple[str, str, str, str], int] = {}
-        texts = batch.column("text").to_pylist()
-        for source, text, wide in zip(batch.column("source").to_pylist(), texts, flags(texts)[0]):
-            if not wide:
+def _contexts(letters: list[str]):
+    """How often each odd character stands between which neighbours (as codes of the alphabet), of texts that no wide swap
+    can have garbled. Letters of the language are no odd characters."""
+
+    def run(batches):
+        code, known = alphabet()[0], set(letters)
+        for batch in batches:
+            count: dict[tuple, int] = {}
+            texts = batch.column("text").to_pylist()
+            for source, text, wide in zip(batch.column("source").to_pylist(), texts, flags(texts)[0]):
+                if wide and not trusted(text):
+                    continue
                 for m in _LATIN_ODD.finditer(text):
-                    i = m.start()
-                    at = (source, text[i - 1 : i], text[i], text[i + 1 : i + 2])
-                    count[at] = count.get(at, 0) + 1
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([count[k] for k in keys], pa.int64())], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
+                    if m[0] not in known:
+                        i = m.start()
+                        at = (source, m[0], int(code[ord(text[i - 1])]) if i else 0, int(code[ord(text[i + 1])]) if i + 1 < len(text) else 0)
+                        count[at] = count.get(at, 0) + 1
+            keys = list(count)
+            kinds_ = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate(kinds_)), pa.array([count[k] for k in keys], pa.int64())], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
+
+    return run
 
 
 def letters_of(counts: dict[tuple[int, int], float], least: float = 1e-3) -> list[str]:
@@ -524,68 +620,60 @@ def letters_of(counts: dict[tuple[int, int], float], least: float = 1e-3) -> lis
     return [c for c in chars if whole and single[code[ord(c)]] >= least * whole]
 
 
-def learn_cipher(contexts: list[tuple[str, str, str, float]], bigrams: Bigrams, letters: list[str], rounds: int = 12) -> dict[str, tuple[str, float]]:
-    """symbol -> (letter, probability): what each odd symbol of a source stands for, by expectation-maximisation.
+def learn_symbol(symbol: str, before: np.ndarray, after: np.ndarray, n: np.ndarray, bigrams: Bigrams, letters: list[str], pages=None, rounds: int = 12) -> tuple[str, float]:
+    """(letter, probability): what an odd symbol of a source stands for, by expectation-maximisation.
 
-    contexts are (left, symbol, right, n). The hidden letter of a symbol has the prior probability that the known code
-    pages give it (any letter has a little, the symbol itself half); the bigrams of the language score it between its
-    neighbours. E step: the letter's posterior in every context. M step: the symbol's letters over all its contexts.
-    Symbols that are letters of the language are left to the code pages: they are no sign of a cipher by themselves.
+    before, after and n are the codes of its neighbours and how often it stands between them. The hidden letter has the
+    prior probability that the known code pages give it (any letter has a little, the symbol itself half); without pages
+    all letters are alike. The language's bigrams score it between its neighbours. E step: the letter's posterior in
+    every context. M step: the symbol's letters over all its contexts.
     """
-    symbols = sorted({x for _, x, _, _ in contexts} - set(letters))
     code = alphabet()[0]
-    of = lambda c: int(code[ord(c)]) if c else 0
-    found = {}
-    for x in symbols:
-        own = [c for c in contexts if c[1] == x]
-        options = [x, *(y for y in letters if y != x)]
-        known = [cipher(w, t).get(ord(x)) for w, t in NARROW_KEYS]
-        prior = np.array([0.5] + [0.05 / len(options) + 0.45 * known.count(y) / max(1, len(known)) for y in options[1:]])
-        prior /= prior.sum()
-        ys = np.array([of(y) for y in options])
-        fit = np.array([bigrams.log[of(left), ys] + bigrams.log[ys, of(right)] for left, _, right, _ in own], np.float64)
-        n = np.array([c[3] for c in own], np.float64)
-        theta = prior
-        for _ in range(rounds):
-            odds = np.log(theta) + fit
-            weight = np.exp(odds - odds.max(axis=1, keepdims=True))
-            weight /= weight.sum(axis=1, keepdims=True)
-            theta = n @ weight + prior
-            theta /= theta.sum()
-        best = int(theta.argmax())
-        if best:
-            found[x] = (options[best], float(theta[best]))
-    return found
-
-
-def _learn(shared, letters):
+    options = [symbol, *(y for y in letters if y != symbol)]
+    known = [cipher(w, t).get(ord(symbol)) for w, t in (NARROW_KEYS if pages is None else pages)]
+    prior = np.array([0.5] + [0.05 / len(options) + 0.45 * known.count(y) / max(1, len(known)) for y in options[1:]])
+    prior /= prior.sum()
+    ys = np.array([int(code[ord(y)]) for y in options])
+    fit = (bigrams.log[before[:, None], ys[None, :]] + bigrams.log[ys[:, None], after[None, :]].T).astype(np.float64)
+    theta = prior
+    for _ in range(rounds):
+        odds = np.log(theta) + fit
+        weight = np.exp(odds - odds.max(axis=1, keepdims=True))
+        weight /= weight.sum(axis=1, keepdims=True)
+        theta = n @ weight + prior
+        theta /= theta.sum()
+    best = int(theta.argmax())
+    return options[best], float(theta[best])
+
+
+def _learn(shared, letters, pages):
     def run(pdf):
-        contexts = list(zip(pdf.left, pdf.symbol, pdf.right, pdf.n))
-        rows = [(pdf.source.iloc[0], x, y, p) for x, (y, p) in learn_cipher(contexts, shared.value, letters).items()]
-        return pd.DataFrame(rows, columns=["source", "symbol", "letter", "probability"])
+        source, symbol = pdf.source.iloc[0], pdf.symbol.iloc[0]
+        letter, p = learn_symbol(symbol, pdf.before.to_numpy(), pdf.after.to_numpy(), pdf.n.to_numpy(np.float64), shared.value, letters, pages)
+        return pd.DataFrame([(source, symbol, letter, p)] if letter != symbol else [], columns=["source", "symbol", "letter", "probability"])
 
     return run
 
 
-def learned_ciphers(suspects: DataFrame, shared, letters: list[str], certain: float = 0.8) -> DataFrame:
+def learned_ciphers(texts: DataFrame, shared, letters: list[str], certain: float = 0.8, pages=None) -> DataFrame:
     """(source, cipher): the letters that the symbols of each source stand for, where that is certain enough.
 
-    Contexts are counted before they are shuffled; a source reaches its task as distinct contexts (at most alphabet
-    squared times symbols), however large it is.
+    Contexts of all texts (source, text) are counted before they are shuffled. A task gets one symbol of one source, as
+    at most (codes of the alphabet) squared distinct contexts, however large the source is.
     """
-    contexts = suspects.select("source", "text").mapInArrow(_contexts, _CONTEXTS).groupBy("source", "left", "symbol", "right").agg(F.sum("n").alias("n"))
-    tables = contexts.groupBy("source").applyInPandas(_learn(shared, letters), "source string, symbol string, letter string, probability double")
+    contexts = texts.select("source", "text").mapInArrow(_contexts(letters), _CONTEXTS).groupBy("source", "symbol", "before", "after").agg(F.sum("n").alias("n"))
+    tables = contexts.groupBy("source", "symbol").applyInPandas(_learn(shared, letters, pages), "source string, symbol string, letter string, probability double")
     return tables.where(F.col("probability") >= certain).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "letter"))).alias("cipher"))
 
 
 _EVIDENCE = "table_name string, record_id long, source string, swap string, gain double, text string, original string"
 
 
-def _evidence(shared):
+def _evidence(shared, pages):
     """One row per suspect and swap that reads it better."""
 
     def run(batches):
-        reader = Reader(shared.value)
+        reader = Reader(shared.value, pages)
         for batch in batches:
             rows = []
             for i, (text, learned) in enumerate(zip(batch.column("text").to_pylist(), batch.column("cipher").to_pylist())):
@@ -631,7 +719,7 @@ def _deltas(batches):
 
 
 def _bounded_counts(rows: DataFrame) -> dict[tuple[int, int], float]:
-    """Bigram counts on the driver: at most (codes of the alphabet) squared, whatever the input."""
+    """Counts on the driver: at most (codes of the alphabet) squared and one for each ideograph, whatever the input."""
     return {(r.a, r.b): r.n for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -660,25 +748,27 @@ def posteriors(evidence: DataFrame, sizes: DataFrame, work: Workspace, rounds: i
         rows = rows.drop("share", "posterior").join(shares, ["source", "swap"])
 
 
-def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.65) -> DataFrame:
+def garbled(records: DataFrame, rounds: int = ROUNDS, threshold: float = 0.65, pages: list[tuple[str, str]] | None = None) -> DataFrame:
     """(table_name, record_id, swap, posterior, original) of the garbled rows of records (table_name, record_id, source, text).
 
     `original` is the restored text; characters that the wrong reading lost stay U+FFFD. Null and empty texts and
-    texts of ASCII alone are never garbled. A null source is a source of its own.
+    texts of ASCII alone are never garbled. A null source is a source of its own. `pages` are the one-byte swaps known
+    beforehand (wrong, right); an empty list leaves all of them to be learned.
     """
     spark = records.sparkSession
     work = Workspace(spark)
     records = records.withColumn("source", F.coalesce("source", F.lit("")))
     texts = spread(records.where("text is not null and text <> ''"))
     counts = _bounded_counts(texts.select("text").mapInArrow(_count, "a int, b int, n double"))
-    bigrams = Bigrams(counts)
-    schema = "table_name string, record_id long, source string, text string"
+    ideographs = {b: counts.pop((a, b)) for a, b in list(counts) if a < 0}
+    bigrams = Bigrams(counts, ideographs=ideographs)
+    schema = "table_name string, record_id long, source string, text string, cipher map<string,string>"
     odd = texts.where(F.col("text").rlike("[^\\x00-\\x7f]")).select("table_name", "record_id", "source", "text")
     shared = spark.sparkContext.broadcast(bigrams)
-    suspects = work.write(odd.mapInArrow(_suspects(shared), schema), "suspects")
+    ciphers = work.write(learned_ciphers(odd, shared, letters_of(counts), pages=pages), "ciphers")
+    suspects = work.write(odd.join(ciphers, "source", "left").select("table_name", "record_id", "source", "text", "cipher").mapInArrow(_suspects(shared, pages), schema), "suspects")
     sizes = work.write(records.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    ciphers = work.write(learned_ciphers(suspects, shared, letters_of(counts)), "ciphers")
-    proof = work.write(spread(suspects.join(ciphers, "source", "left")).mapInArrow(_evidence(shared), _EVIDENCE), "evidence")
+    proof = work.write(spread(suspects).mapInArrow(_evidence(shared, pages), _EVIDENCE), "evidence")
     work.drop("suspects")
     thin = ["table_name", "record_id", "source", "swap"]
     # Flagged texts were never counted, so only one-letter ciphers change the bigrams and change with them.
