@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import Workspace
-from .components import hash_to_min
+from .components import hash_to_min, named, numbered
 
 
 def document_name(path: Column) -> Column:
@@ -18,11 +18,14 @@ def tied_records(labels: DataFrame) -> DataFrame:
     """(label_id, split_group, split, doc, node, component) of every row of labels.
 
     Documents and split groups are tied by each row that names both. A row that names one belongs to that one's
-    component; a row that names neither is a component of its own (`r:` and its label_id).
+    component; a row that names neither is a component of its own (`r:` and its label_id). A component goes by the least
+    name in it, documents (`d:`) before groups (`g:`).
     """
     doc = document_name(F.col("source_pdf"))
     rows = labels.select("label_id", "split_group", "split", doc.alias("doc")).withColumn("d", F.concat(F.lit("d:"), "doc")).withColumn("g", F.concat(F.lit("g:"), "split_group"))
-    found = hash_to_min(rows.select(F.coalesce("d", "g").alias("a"), F.coalesce("g", "d").alias("b")).distinct(), Workspace(labels.sparkSession))
+    work = Workspace(labels.sparkSession)
+    names, edges = numbered(rows.select(F.coalesce("d", "g").alias("a"), F.coalesce("g", "d").alias("b")).distinct(), work)
+    found = named(names, hash_to_min(work.write(edges, "ties"), work))
     rows = rows.withColumn("node", F.coalesce("d", "g", F.concat(F.lit("r:"), F.col("label_id").cast("string")))).drop("d", "g")
     return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
@@ -30,7 +33,7 @@ def tied_records(labels: DataFrame) -> DataFrame:
 def rendezvous(key: Column, targets: DataFrame, seed: str = "split") -> Column:
     """The split that wins the weighted rendezvous for a key.
 
-    Each split scores -weight / ln(u) with u in (0, 1) from a hash of seed, split and key, so a key moves only when
+    Each split scores -weight / ln(u) with u in (0, 1) from the digest of seed, split and key, so a key moves only when
     its own split's weight falls. `targets` (split, target_share) is a parameter table of a few rows. Null, negative
     and zero shares never win; repeated splits add up.
     """
@@ -39,7 +42,7 @@ def rendezvous(key: Column, targets: DataFrame, seed: str = "split") -> Column:
         return F.lit(None).cast("string")
     scored = []
     for split, w in shares:
-        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(split), key), F.lit((1 << 52) - 1)).cast("double") + 1) / float(1 << 52)
+        u = (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(split), key), 256), 1, 13), 16, 10).cast("double") + 1) / float((1 << 52) + 1)
         scored.append(F.struct((F.lit(-float(w)) / F.ln(u)).alias("score"), F.lit(split).alias("split")))
     return (F.greatest(*scored) if len(scored) > 1 else scored[0])["split"]
 
@@ -55,3 +58,15 @@ def broken_ties(labels: DataFrame) -> DataFrame:
     rows = tied_records(labels)
     broken = rows.where("split is not null").groupBy("component").agg((F.min("split") != F.max("split")).alias("broken")).where("broken").select("component")
     return rows.where("doc is not null").select(F.col("doc").alias("source_pdf"), "component").distinct().join(broken, "component", "left_semi").select("source_pdf").distinct()
+
+
+def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, target_share, records, components, share, largest): the shares of records that the splits reached beside
+    those asked for (which add up to 1 here), and the share that each split's largest component has of all records: what
+    one component holds cannot be divided, so a split can miss its target by as much."""
+    wanted = targets.where("split is not null and target_share > 0").groupBy("split").agg(F.sum("target_share").alias("w"))
+    wanted = wanted.crossJoin(F.broadcast(wanted.agg(F.sum("w").alias("all_")))).select("split", (F.col("w") / F.col("all_")).alias("target_share"))
+    parts = assigned.groupBy(F.col("new_split").alias("split"), "component").agg(F.count(F.lit(1)).alias("n"))
+    got = parts.groupBy("split").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("components"), F.max("n").alias("most"))
+    whole = got.agg(F.sum("records").alias("whole"))
+    return wanted.join(got, "split", "left").crossJoin(F.broadcast(whole)).select("split", "target_share", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("components", F.lit(0)).alias("components"), (F.coalesce("records", F.lit(0)) / F.col("whole")).alias("share"), (F.coalesce("most", F.lit(0)) / F.col("whole")).alias("largest"))

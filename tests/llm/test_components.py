@@ -41,18 +41,17 @@ def test_group_keys(spark, name):
 
 @pytest.mark.parametrize("name", GRAPHS)
 def test_hash_to_min(spark, name):
-    pairs = [p for p in GRAPHS[name]]
-    names = {n for p in pairs if None not in p for n in p}
-    want = brute([p for p in pairs if None not in p], names)
-    got = {r.node: r.component for r in co.hash_to_min(spark.createDataFrame(pairs, "a string, b string"), Workspace(spark)).collect()}
-    assert set(got) == names
-    assert {n: min(m for m in names if got[m] == got[n]) for n in names} == want
-    assert all(got[got[n]] == got[n] for n in names)
+    pairs = GRAPHS[name]
+    names = {n for p in pairs for n in p if n is not None}
+    work = Workspace(spark)
+    terms, edges = co.numbered(spark.createDataFrame(pairs, "a string, b string"), work)
+    assert [r.term for r in terms.orderBy("term_id").collect()] == sorted(names)
+    assert {r.node: r.component for r in co.named(terms, co.hash_to_min(edges, work)).collect()} == brute(pairs, names)
 
 
 def test_empty(spark):
     assert co.group_keys(spark.createDataFrame([], "image_a string, image_b string")).count() == 0
-    assert co.hash_to_min(spark.createDataFrame([], "a string, b string"), Workspace(spark)).count() == 0
+    assert co.hash_to_min(spark.createDataFrame([], "a long, b long"), Workspace(spark)).count() == 0
 
 
 LABELS = "label_id long, source_pdf string, split_group string, split string, component string, node string, doc int"
@@ -89,6 +88,15 @@ def test_assigned_splits_keep_groups_whole(spark):
     assert again == {r.label_id: r.new_split for r in got}
 
 
+def test_shares_reached(spark):
+    targets = spark.createDataFrame([("train", 8.0), ("val", 1.0), ("test", 1.0)], "split string, target_share double")
+    rows = [("big.pdf", None, None)] * 500 + [(f"p{i}.pdf", None, None) for i in range(500)]
+    got = {r.split: r for r in sp.split_shares(sp.assign_splits(labels(spark, rows), targets), targets).collect()}
+    assert sum(r.records for r in got.values()) == 1000 and sum(r.components for r in got.values()) == 501
+    assert got["train"].target_share == pytest.approx(0.8) and max(r.largest for r in got.values()) == 0.5
+    assert sum(r.share for r in got.values()) == pytest.approx(1.0)
+
+
 def test_no_labels_and_no_targets(spark):
     none = spark.createDataFrame([], "split string, target_share double")
     empty = spark.createDataFrame([], LABELS)
