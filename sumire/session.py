@@ -53,10 +53,11 @@ class Workspace:
         self.paths: dict[str, str] = {}
         self.made = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+        """The table written under a name; `by` names columns whose values get folders of their own."""
         self.made += 1
         path = f"{self.root}/{name}-{self.made}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         old, self.paths[name] = self.paths.get(name), path
         if old:
             self._delete(old)
