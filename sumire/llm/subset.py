@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import Workspace, spread
 
@@ -17,8 +17,10 @@ DIMS = TEXT_DIMS + ANCHOR_DIMS
 BATCHES = 4
 #: Bits of the signature that marks families of similar texts.
 FAMILY_BITS = 20
-#: Rows of a cluster that are ranked in one task.
-RANKED = 1_000_000
+#: Buckets of scores in which the last turn's rows are counted; only those of one bucket are ranked.
+SCORES = 4096
+#: Slots that one cluster has on average, and bounds of the number of clusters.
+SLOTS, LEAST_K, MOST_K = 32, 64, 4096
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,7 +83,8 @@ def _labels(shared):
 
 
 def fit_centres(rows: DataFrame, k: int, sample: int = 4096) -> np.ndarray:
-    """Centres by mini-batch k-means over all rows (row_id, text, anchor), one pass in BATCHES hash-chosen batches.
+    """Centres by mini-batch k-means over all rows (row_id, text, anchor, batch), one pass over BATCHES batches of which
+    each is a folder of its own, so a batch reads no row of another.
 
     It starts from k far-apart vectors of a bounded sample (`sample` rows of least hash). Each batch is summed by
     cluster in the executors; k x DIMS sums come to the driver, and each centre moves by its share of all rows seen.
@@ -97,7 +100,7 @@ def fit_centres(rows: DataFrame, k: int, sample: int = 4096) -> np.ndarray:
         gap = np.minimum(gap, ((x - x[chosen[-1]]) ** 2).sum(1))
     centres, seen = x[chosen].astype(np.float64), np.ones(len(chosen))
     for b in range(BATCHES):
-        batch = rows.where(F.pmod(F.xxhash64(F.lit("batch"), "row_id"), F.lit(BATCHES)) == b).select("text", "anchor")
+        batch = rows.where(F.col("batch") == b).select("text", "anchor")
         sums = batch.mapInArrow(_sums(spark.sparkContext.broadcast(centres.astype(np.float32))), "cluster int, n long, vector array<double>")
         flat = sums.select("cluster", "n", F.posexplode("vector").alias("dim", "v")).groupBy("cluster", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toArrow()
         total, n = np.zeros_like(centres), np.zeros(len(centres))
@@ -128,19 +131,44 @@ def quotas(counts: dict[int, int], size: int) -> dict[int, int]:
     return slots
 
 
-def varied_subset(train: DataFrame, size: int, k: int = 64) -> DataFrame:
-    """(row_id, article_id, cluster, family, rank): `size` rows (all, if there are fewer) with text.
+def up_to(rows: DataFrame, own: Column) -> DataFrame:
+    """Rows (cluster, turn, score, row_id) of each cluster that come first by turn, score and row_id, as many as `own` says.
+
+    Turns are counted to find the one in which the quota ends, that turn's rows are counted in buckets of the score, and
+    only the rows of the bucket in which it ends are ranked. A cluster of any size and quota is never sorted as one.
+    """
+    quota = rows.groupBy("cluster", "turn").agg(F.count(F.lit(1)).alias("n")).withColumn("own", own)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = quota.withColumn("before", before).where(F.col("before") < F.col("own")).groupBy("cluster").agg(F.max(F.struct("turn", "before", "own")).alias("x"))
+    ends = ends.select("cluster", F.col("x.turn").alias("last"), (F.col("x.own") - F.col("x.before")).alias("rest"))
+    met = rows.join(F.broadcast(ends), "cluster")
+    whole = met.where(F.col("turn") < F.col("last"))
+    # An increasing function of the score with values below SCORES.
+    final = met.where(F.col("turn") == F.col("last")).withColumn("bucket", F.floor(F.col("score") / (1 + F.col("score")) * SCORES).cast("int"))
+    counts = final.groupBy("cluster", "bucket", "rest").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy("cluster").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = counts.withColumn("upto", upto).where(F.col("upto") < F.col("rest")).groupBy("cluster").agg(F.max(F.struct("bucket", "upto")).alias("x")).select("cluster", F.col("x.bucket").alias("edge"), F.col("x.upto").alias("upto"))
+    near = final.join(F.broadcast(edge), "cluster")
+    ranked = near.where(F.col("bucket") == F.col("edge")).withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("score", "row_id"))).where(F.col("k") <= F.col("rest") - F.col("upto"))
+    return whole.select(rows.columns).unionByName(near.where(F.col("bucket") < F.col("edge")).select(rows.columns)).unionByName(ranked.select(rows.columns))
+
+
+def varied_subset(train: DataFrame, size: int, k: int | None = None) -> DataFrame:
+    """(row_id, article_id, cluster, family, turn): `size` rows (all, if there are fewer) with text.
 
     Each cluster has a square-root quota. Within it families of similar texts (equal signatures) take turns, so a
     family of a third of all rows gets its second row only when every other family of its cluster has its first; rows
     of large articles come later, by the square root of the article's rows over the mean. Ties go by hash and row_id.
     Null texts are never chosen; null articles count as one article each row.
 
-    Rankings meet bounded groups: a score threshold cuts large families first, large clusters are ranked in parts, and
-    each part keeps at most the largest quota, which is at most `size`.
+    There are as many clusters as give each SLOTS rows on average, unless `k` says otherwise. A score threshold cuts
+    large families before they are ranked; quotas end by counts (up_to), not by sorting clusters. The texts are read once
+    from the input and written once by batch; after that each is read twice.
     """
     work = Workspace(train.sparkSession)
-    rows = spread(train.where("text is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("article_id").cast("string").alias("article_id"), "text", F.col("anchor").cast("string").alias("anchor")))
+    k = k or max(LEAST_K, min(MOST_K, size // SLOTS))
+    rows = train.where("text is not null").select(F.col("row_id").cast("long").alias("row_id"), F.col("article_id").cast("string").alias("article_id"), "text", F.col("anchor").cast("string").alias("anchor"))
+    rows = work.write(spread(rows).withColumn("batch", F.pmod(F.xxhash64(F.lit("batch"), "row_id"), F.lit(BATCHES)).cast("int")), "rows", by=["batch"])
     centres = fit_centres(rows, k)
     labelled = work.write(rows.mapInArrow(_labels(train.sparkSession.sparkContext.broadcast((centres, _planes()))), "row_id long, article_id string, cluster int, family long"), "labels")
     counts = {r.cluster: r["count"] for r in labelled.groupBy("cluster").count().collect()}
@@ -155,26 +183,26 @@ def varied_subset(train: DataFrame, size: int, k: int = 64) -> DataFrame:
     families = scored.groupBy("cluster", "family").agg(F.count(F.lit(1)).alias("n_"), F.sum("w").alias("mass_"))
     near = scored.join(families, ["cluster", "family"]).where((F.col("n_") <= 4 * most + 20) | (F.col("score") * F.col("mass_") < 4 * most + 20))
     turns = near.withColumn("turn", F.row_number().over(Window.partitionBy("cluster", "family").orderBy("score", "row_id"))).where(F.col("turn") <= most)
-    # A large cluster is ranked in parts of about RANKED rows first; the best of all are among the best of the parts.
-    order = ["turn", "score", "row_id"]
-    if slots:
-        parts = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(1 + n // RANKED))]), F.col("cluster"))
-        own = F.element_at(F.create_map(*[x for c, n in slots.items() for x in (F.lit(c), F.lit(n))]), F.col("cluster"))
-    else:
-        parts, own = F.lit(1), F.lit(0)
-    part = turns.withColumn("part", F.pmod(F.xxhash64("row_id"), parts))
-    first = part.withColumn("rank", F.row_number().over(Window.partitionBy("cluster", "part").orderBy(*order))).where(F.col("rank") <= most)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))).where(F.col("rank") <= most)
-    return ranked.where(F.col("rank") <= own).select("row_id", "article_id", "cluster", "family", "rank")
+    own = F.element_at(F.create_map(*[x for c, n in slots.items() for x in (F.lit(c), F.lit(n))]), F.col("cluster")) if slots else F.lit(0)
+    return up_to(turns.select("row_id", "article_id", "cluster", "family", "turn", "score"), own).select("row_id", "article_id", "cluster", "family", "turn")
 
 
 def subset_report(train: DataFrame, subset: DataFrame) -> DataFrame:
-    """(kind, all_values, chosen_values, largest_share): how many articles and anchors there are and are covered, and the
-    largest share of the subset that one of them holds."""
-    chosen = subset.select("row_id").join(train.select("row_id", "article_id", "anchor"), "row_id")
+    """(kind, all_values, chosen_values, largest_share, random_values, random_largest_share): how many articles, anchors
+    and first eight characters of texts there are and are covered, and the largest share of the subset that one of them
+    holds; beside both what a random subset of the same size has."""
+    work = Workspace(train.sparkSession)
+    rows = train.where("text is not null").select("row_id", "article_id", "anchor", F.substring("text", 1, 8).alias("beginning"))
+    chosen = work.write(subset.select("row_id"), "chosen")
+    n = chosen.count()
+    order = F.xxhash64(F.lit("random"), "row_id")
+    drawn = rows.orderBy(order, "row_id").limit(n)
     out = None
-    for kind in ("article_id", "anchor"):
-        per = chosen.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
-        part = per.agg(F.lit(kind).alias("kind"), F.count(kind).alias("chosen_values"), (F.max(F.when(F.col(kind).isNotNull(), F.col("n"))) / F.sum("n")).alias("largest_share")).crossJoin(train.agg(F.count_distinct(kind).alias("all_values")))
+    for kind in ("article_id", "anchor", "beginning"):
+        part = rows.agg(F.lit(kind).alias("kind"), F.count_distinct(kind).alias("all_values"))
+        for prefix, picked in (("", rows.join(chosen, "row_id")), ("random_", drawn)):
+            per = picked.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+            share = (F.max(F.when(F.col(kind).isNotNull(), F.col("n"))) / F.sum("n")).alias(f"{prefix}largest_share")
+            part = part.crossJoin(per.agg(F.count(kind).alias(f"{prefix or 'chosen_'}values"), share))
         out = part if out is None else out.unionByName(part)
-    return out.select("kind", "all_values", "chosen_values", "largest_share")
+    return out

@@ -186,6 +186,27 @@ def test_subset_of_few_and_of_none(spark):
     assert sb.varied_subset(same, 10).count() == 10
 
 
+def test_the_subset_covers_more_than_a_random_one(spark):
+    df = spark.createDataFrame(rows_of(3000, 1000), TRAIN)
+    report = {r.kind: r for r in sb.subset_report(df, sb.varied_subset(df, 200, k=16)).collect()}
+    for kind in ("article_id", "beginning"):
+        assert report[kind].chosen_values > 1.5 * report[kind].random_values
+        assert report[kind].largest_share < 0.5 * report[kind].random_largest_share
+
+
+def test_quotas_end_by_counts(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.randrange(3), rng.randint(1, 4), rng.choice([rng.random() * 3, 0.5])) for i in range(900)]
+    df = spark.createDataFrame(rows, "row_id long, cluster int, turn int, score double")
+    quota = {0: 7, 1: 150, 2: 10_000}
+    own = sb.F.element_at(sb.F.create_map(*[sb.F.lit(x) for kv in quota.items() for x in kv]), sb.F.col("cluster"))
+    got = {r.row_id for r in sb.up_to(df, own).collect()}
+    want = set()
+    for c, n in quota.items():
+        want |= {r[0] for r in sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[3], r[0]))[:n]}
+    assert got == want
+
+
 @pytest.mark.parametrize("counts,size", [({0: 100, 1: 4, 2: 1}, 30), ({0: 5, 1: 5}, 100), ({0: 1000}, 7), ({}, 5), ({i: 1 for i in range(50)}, 20)])
 def test_quotas_add_up(counts, size):
     got = sb.quotas(counts, size)
