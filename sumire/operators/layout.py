@@ -118,15 +118,24 @@ def adjacency_violations(spans: DataFrame, group: str, key: str, start: str = "s
 def matched_boxes(truth: DataFrame, found: DataFrame, page: str, least: float = 0.5) -> DataFrame:
     """(page, t, f, iou): one-to-one matches of boxes (id, x0..y1) on a page with IoU of at least `least`, best first.
 
-    A pair is kept when it is the best of both its boxes; pairs of boxes that are settled go, and again.
+    A pair is kept when it is the best of both its boxes; pairs of boxes that are settled go, and again. Over one half a
+    box can match one other at most, so there nothing is left after the first round; from one half down the rounds go on
+    (selection.greedy_disjoint).
     """
     from ..functions.geometry import intersection_over_union
+    from ..session import Workspace
+    from .selection import greedy_disjoint
 
     t = truth.select(page, F.col("id").alias("t"), *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
     f = found.select(page, F.col("id").alias("f"), *[F.col(c).alias(f"f_{c}") for c in ("x0", "y0", "x1", "y1")])
     iou = intersection_over_union([F.col(f"t_{c}") for c in ("x0", "y0", "x1", "y1")], [F.col(f"f_{c}") for c in ("x0", "y0", "x1", "y1")])
     pairs = t.join(f, page).where((F.col("t_x0") < F.col("f_x1")) & (F.col("f_x0") < F.col("t_x1")) & (F.col("t_y0") < F.col("f_y1")) & (F.col("f_y0") < F.col("t_y1"))).select(page, "t", "f", iou.alias("iou")).where(F.col("iou") >= least)
-    # With IoU over one half a box can match one other at most, so the best of both sides is the whole answer.
+    if least <= 0.5:
+        work = Workspace(truth.sparkSession)
+        pairs = work.write(pairs, "pairs")
+        ident = F.concat_ws("/", page, "t", "f")
+        claims = pairs.select(ident.alias("id"), F.struct((-F.col("iou")).alias("i"), "t", "f").alias("rank"), F.explode(F.array(F.concat_ws("/", F.lit("t"), page, "t"), F.concat_ws("/", F.lit("f"), page, "f"))).alias("claim"))
+        return pairs.withColumn("id", ident).join(greedy_disjoint(claims, work), "id", "left_semi").select(page, "t", "f", "iou")
     best = lambda c: F.row_number().over(Window.partitionBy(page, c).orderBy(F.desc("iou"), "t", "f"))
     return pairs.withColumn("a", best("t")).withColumn("b", best("f")).where("a = 1 and b = 1").select(page, "t", "f", "iou")
 

@@ -455,3 +455,28 @@ def condition_grid(fonts: DataFrame, lengths: DataFrame) -> DataFrame:
     every length condition (low, high)."""
     keys = fonts.where("japanese").select(F.col("font").alias("j")).crossJoin(fonts.where("western").select(F.col("font").alias("w")))
     return keys.crossJoin(lengths.select(length_group(F.col("low"), F.col("high")).alias("length_group"))).select(F.concat_ws("+", "j", "w").alias("font"), "length_group")
+
+
+@F.pandas_udf(T.StructType([T.StructField("mantissa", T.LongType()), T.StructField("exponent", T.IntegerType())]))
+def _parts(value: pd.Series) -> pd.DataFrame:
+    """value = mantissa x 2^exponent with a whole mantissa, exactly."""
+    m, e = np.frexp(value.to_numpy(np.float64))
+    known = np.isfinite(m)
+    mantissa = np.where(known, m, 0.0) * 2.0**53
+    return pd.DataFrame({"mantissa": pd.Series(mantissa.astype(np.int64)).where(known), "exponent": pd.Series(e - 53).where(known)})
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact(parts: pd.Series) -> pd.Series:
+    from fractions import Fraction
+
+    return pd.Series([None if p is None else float(sum((Fraction(int(x["n"])) * Fraction(2) ** int(x["exponent"]) for x in p), Fraction(0))) for p in parts])
+
+
+def exact_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, total): sums of doubles rounded once at the end, whatever the order of the rows; nulls, infinities and what is
+    no number are left out. Mantissas are summed as whole numbers per exponent, so what is gathered per key is at most
+    one number for each of the 2,100 exponents."""
+    each = df.select(*keys, _parts(F.col(value)).alias("p")).groupBy(*keys, "p.exponent").agg(F.sum(F.col("p.mantissa").cast("decimal(38,0)")).alias("n"))
+    gathered = each.groupBy(*keys).agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("exponent", "n"))).alias("parts"))
+    return gathered.select(*keys, _exact("parts").alias("total"))

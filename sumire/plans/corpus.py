@@ -295,12 +295,25 @@ def stated_length_check(spark, d):
     return table(spark, d, "train").where(~F.col("length").eqNullSafe(F.length("text"))).select("row_id", F.col("length").alias("stated"), F.length("text").alias("actual"), (F.col("end_offset") - F.col("start_offset")).alias("span"))
 
 
-@query()
+_BLANK = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _lines_of(lang: str) -> str:
+    return rf"""l AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n\x{{85}}\x{{2028}}\x{{2029}}]')) AS line, generate_subscripts(string_split_regex(text, '[\r\n\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS i FROM documents WHERE text <> '' AND lang = '{lang}'),
+ p AS (SELECT doc_id, line, length(line) AS n, string_split(line, '') AS c, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM l WHERE line IS NOT NULL)"""
+
+
+@query(rf"""WITH {_lines_of('en')}, s AS (SELECT *, list_transform(c, lambda x: regexp_matches(x, '{_BLANK}')) AS blank FROM p WHERE line <> ''),
+ t AS (SELECT *, list_filter(range(1, n + 1), lambda i: NOT blank[i] AND (i = 1 OR blank[i - 1])) AS starts, list_filter(range(1, n + 1), lambda i: NOT blank[i] AND (i = n OR blank[i + 1])) AS ends FROM s),
+ w AS (SELECT doc_id, base, line, unnest(starts) AS a, ends FROM t), x AS (SELECT doc_id, base, line, a, unnest(list_filter(ends, lambda e: e - a + 1 BETWEEN 20 AND 25)) AS e FROM w)
+ SELECT DISTINCT doc_id AS id, (base + a - 1)::INTEGER AS start, (base + e)::INTEGER AS "end", substr(line, a::INTEGER, (e - a + 1)::INTEGER) AS text FROM x""")
 def token_window_excerpts(spark, d):
     return op.excerpt_windows(table(spark, d, "documents").where("lang = 'en'"), "doc_id", "tokens")
 
 
-@query()
+@query(rf"""WITH {_lines_of('ja')}, h AS (SELECT doc_id, line, n, base, c, unnest(list_filter(range(0, n), lambda i: contains('「」『』', c[i + 1]))) AS i FROM p WHERE line <> ''),
+ s AS (SELECT doc_id, line, n, base, c[i + 1] AS hit, greatest(0, least(i - shift, n - 25)) AS a FROM h CROSS JOIN (VALUES (12), (18), (6), (0)) v(shift)), w AS (SELECT *, least(a + 25, n) AS b, substr(line, (a + 1)::INTEGER, (least(a + 25, n) - a)::INTEGER) AS text FROM s)
+ SELECT DISTINCT doc_id AS id, (base + a)::INTEGER AS start, (base + b)::INTEGER AS "end", text FROM w WHERE b - a >= 20 AND contains(text, hit) AND NOT regexp_matches(text, '^{_BLANK}|{_BLANK}$')""")
 def hit_centred_excerpts(spark, d):
     return op.excerpt_windows(table(spark, d, "documents").where("lang = 'ja'"), "doc_id", "hits", extra="「」『』")
 

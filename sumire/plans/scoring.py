@@ -108,6 +108,12 @@ def edit_confusions(spark, d):
     return op.confusions(pairs(spark, d))
 
 
+@query(f"WITH {_PAIRS} SELECT sum(errors)::BIGINT AS edits FROM pairs")
+def edit_totals(spark, d):
+    """All edits of all alignments; each alignment has as many as the distance of its texts."""
+    return edit_confusions(spark, d).agg(F.sum("count").alias("edits"))
+
+
 @query()
 def space_errors(spark, d):
     rows = op.confusions(pairs(spark, d)).where("reference = ' ' or prediction = ' '")
@@ -119,6 +125,11 @@ def sequence_deletion_rates(spark, d):
     return op.sequence_rates(pairs(spark, d))
 
 
+@query(r"WITH w AS (SELECT unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_''-]+'), lambda w: regexp_full_match(w, '[A-Za-z]+([''-][A-Za-z]+)*'))) AS word FROM train), p AS (SELECT unnest(" + "[" + ", ".join(f"'{p}'" for p in tx.SEQUENCE_PATTERNS) + "]" + r") AS pattern) SELECT pattern, sum(len(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, length(pattern)) = pattern)))::BIGINT AS occurrences FROM w CROSS JOIN p GROUP BY 1")
+def sequence_occurrences(spark, d):
+    return op.sequence_rates(pairs(spark, d)).select("pattern", "occurrences")
+
+
 @query()
 def punctuation_space_score(spark, d):
     # Parentheses, which train does not hold, take the place of the Japanese quotation marks.
@@ -204,6 +215,12 @@ def epoch_weighted_mean(spark, d):
     return table(spark, d, "events").where("user_id > 0").groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id"), 9).alias("mean_value"), F.count(F.lit(1)).alias("batches"))
 
 
+@query("SELECT l_returnflag, l_linenumber, round(sum((l_extendedprice * 100)::DECIMAL(38, 0))::DOUBLE / 100, 2) AS total FROM lineitem GROUP BY 1, 2")
+def exact_loss_sums(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_extendedprice")
+    return op.exact_sums(rows, ["l_returnflag", "l_linenumber"], "l_extendedprice").withColumn("total", F.round("total", 2))
+
+
 @query("""WITH b AS (SELECT user_id, event_id, value, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best_value FROM events),
  f AS (SELECT *, max(CASE WHEN value = best_value AND (prior IS NULL OR value < prior) THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS best_epoch FROM (SELECT *, lag(best_value) OVER (PARTITION BY user_id ORDER BY event_id) AS prior FROM b))
  SELECT user_id, event_id, value, best_value, best_epoch, event_id - best_epoch >= 500 AS stop FROM f""")

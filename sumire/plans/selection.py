@@ -228,6 +228,29 @@ def resume_prefix_check(spark, d):
     return integrity.prefix_mismatches(train.select("row_id", "text", "length"), train.select("row_id", "text", F.length("text").alias("length")), "row_id", ["text", "length"])
 
 
+@query("SELECT * FROM (VALUES ('article', 0::BIGINT), ('fragment', 0), ('left_out', 0)) x(\"check\", violations)")
+def disjoint_excerpts_check(spark, d):
+    """The disjoint rows against their own rules: one row per article, no shared fragment, and every row left out meets one
+    that was taken."""
+    pool = _candidates(spark, d).select("id", "article_id", "text")
+    taken = Workspace(spark).write(op.disjoint_excerpts(pool, SEED).select("id", "article_id", "text"), "taken")
+    grams = corpus.fragment_keys(taken, "id").distinct()
+    rest = pool.join(taken.select("id"), "id", "left_anti").join(taken.select("article_id").distinct(), "article_id", "left_anti")
+    blocked = corpus.fragment_keys(rest, "id").join(grams.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("id").distinct()
+    return _counted({"article": integrity.repeated(taken, ["article_id"]), "fragment": integrity.repeated(grams, ["h1", "h2"]), "left_out": rest.join(blocked, "id", "left_anti")})
+
+
+@query(f"""WITH v AS (SELECT DISTINCT unnest(string_split('{HIRAGANA}ヰヱヵヶ', '')) AS character), n AS (SELECT character, count(DISTINCT row_id) AS n FROM (SELECT row_id, unnest(string_split(text, '')) AS character FROM train WHERE text <> '') GROUP BY 1)
+ SELECT character, (50 - coalesce(n, 0))::BIGINT AS places, 22::INTEGER AS length, 0::BIGINT AS wrong FROM v LEFT JOIN n USING (character) WHERE coalesce(n, 0) < 50""")
+def deficit_fill_check(spark, d):
+    """Of each lacking character how many places the lines give it, the length of its lines, and places that hold something
+    else or lie in a line that has the character twice."""
+    lines = deficit_fill(spark, d)
+    e = lines.select("text", F.explode("embedded_targets").alias("e")).select("text", "e.*")
+    wrong = (F.substr("text", F.col("position") + 1, F.lit(1)) != F.col("character")) | (F.length(F.replace("text", F.col("character"))) != F.length("text") - 1)
+    return e.groupBy("character").agg(F.count(F.lit(1)).alias("places"), F.max(F.length("text")).alias("length"), F.count_if(wrong).alias("wrong"))
+
+
 @query("SELECT * FROM (VALUES ('character', 0::BIGINT), ('article', 0), ('fragment', 0), ('avoidable_shortage', 0)) x(\"check\", violations)")
 def balanced_pick_check(spark, d):
     """The pick against its own rules: rows hold their character, one row per language and article, no shared fragment, and

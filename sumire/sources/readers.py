@@ -52,7 +52,8 @@ def code_sequences(spark: SparkSession, path: str) -> DataFrame:
     """(sequence, fields): files of `;`-separated fields whose first is a list of hex code points; # starts a comment."""
     body = F.trim(F.regexp_replace("value", "#.*$", ""))
     rows = text_lines(spark, path).select(body.alias("b")).where("b <> ''").select(F.split("b", r"\s*;\s*").alias("fields"))
-    chars = F.transform(F.split(F.col("fields")[0], r"\s+"), lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32"))
+    # With a byte order mark before it, U+FEFF itself is read as a character.
+    chars = F.transform(F.split(F.col("fields")[0], r"\s+"), lambda h: F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(h, 8, "0"))), "UTF-32"))
     return rows.select(F.array_join(chars, "").alias("sequence"), F.slice("fields", 2, 100).alias("fields"))
 
 
@@ -70,7 +71,7 @@ def verified(found: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.select("name", problem.alias("problem")).where("problem is not null")
 
 
-#: Right-hand columns of a font listing: embedded, subset, character map, object and generation.
+# Fixed value: right-hand columns of a font listing: embedded, subset, character map, object and generation.
 FONT_ROW = r"^(.*?)\s+(yes|no)\s+(yes|no)\s+(yes|no)\s+(\d+)\s+(\d+)\s*$"
 
 

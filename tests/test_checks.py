@@ -202,3 +202,41 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_exact_sums(spark):
+    import math
+
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], rng.choice([1e16, -1e16, 1.0, 1e-9, 3.3]) * rng.random()) for i in range(2000)] + [("a", None), ("a", float("inf")), ("c", None)]
+    got = {r.k: r.total for r in scoring.exact_sums(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    for k in "ab":
+        assert got[k] == math.fsum(v for x, v in rows if x == k and v is not None and math.isfinite(v))
+    assert got["c"] == 0.0
+
+
+def test_boxes_below_one_half_match_greedily(spark):
+    rng = random.Random(4)
+
+    def boxes(n):
+        out = []
+        for i in range(n):
+            x, y = rng.randint(0, 60), rng.randint(0, 60)
+            out.append(("p", i, float(x), float(y), float(x + rng.randint(5, 40)), float(y + rng.randint(5, 40))))
+        return out
+
+    def iou(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        i = max(0, w) * max(0, h)
+        return i / ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - i)
+
+    t, f = boxes(25), boxes(25)
+    schema = "page string, id long, x0 double, y0 double, x1 double, y1 double"
+    got = {(r.t, r.f) for r in layout.matched_boxes(spark.createDataFrame(t, schema), spark.createDataFrame(f, schema), "page", 0.2).collect()}
+    want, used = set(), (set(), set())
+    for s, i, j in sorted((-iou(a, b), a[1], b[1]) for a in t for b in f):
+        if -s >= 0.2 and i not in used[0] and j not in used[1]:
+            want.add((i, j))
+            used[0].add(i)
+            used[1].add(j)
+    assert got == want and len(got) > 5
