@@ -17,16 +17,43 @@ def targets_of(mix_targets: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
 
 
+def shared_out(sources: dict[str, tuple[float, int]], total: int) -> dict[str, int]:
+    """What each source (share, limit) gives of the total: in proportion to its share, never above its limit, what the
+    limited ones lack being shared out among the rest in the same way."""
+    given = dict.fromkeys(sources, 0)
+    open_ = {s for s, (share, limit) in sources.items() if share > 0 and limit > 0}
+    left = total
+    while open_:
+        whole = sum(sources[s][0] for s in open_)
+        full = {s for s in open_ if left * sources[s][0] / whole >= sources[s][1]}
+        for s in full or open_:
+            given[s] = sources[s][1] if full else int(left * sources[s][0] / whole)
+        if not full:
+            break
+        left -= sum(given[s] for s in full)
+        open_ -= full
+    return given
+
+
 def budgets(sizes: DataFrame, mix_targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, target_share, max_repeats, available, budget): tokens each source is to give.
 
     Without a total, the greatest is taken that every source that has any documents can meet at its share within
     max_repeats. A source without documents gets budget 0; the others keep their shares of the total that is left
     out of account for it (it is a share of what all sources with documents give).
+
+    With a total, a source that cannot give its share within max_repeats gives all it can, and what it lacks is shared
+    out among the others by their targets, until the total or every source's limit is reached.
     """
     own = targets_of(mix_targets).join(sizes.groupBy("source").agg(F.sum("tokens").alias("available")), "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     everyone = own.where("available > 0").agg(F.min(F.col("available") * F.col("max_repeats") / F.col("target_share")).alias("meets"))
-    limit = F.lit(float(total)) if total is not None else F.col("meets")
+    if total is not None:
+        # One row per target source, a parameter table; the shares are settled on the driver.
+        rows = own.orderBy("source").collect()
+        given = shared_out({r.source: (r.target_share, r.available * r.max_repeats) for r in rows}, total)
+        settled = mix_targets.sparkSession.createDataFrame([(s, n) for s, n in given.items()], "source string, budget long")
+        return own.join(F.broadcast(settled), "source").select("source", "target_share", "max_repeats", "available", "budget")
+    limit = F.col("meets")
     return own.crossJoin(F.broadcast(everyone)).select("source", "target_share", "max_repeats", "available", F.when(F.col("available") > 0, F.least(F.floor(F.col("target_share") * limit), F.col("available") * F.col("max_repeats"))).otherwise(F.lit(0)).cast("long").alias("budget"))
 
 

@@ -155,6 +155,20 @@ def test_mixture_of_a_given_total_and_of_nothing(spark):
     assert chosen.count() == 0 and {r.actual_share for r in none.collect()} == {None}
 
 
+@pytest.mark.parametrize(
+    "sources,total,want",
+    [
+        ({"a": (0.5, 100), "b": (0.5, 1000)}, 600, {"a": 100, "b": 500}),
+        ({"a": (0.5, 100), "b": (0.3, 150), "c": (0.2, 1000)}, 600, {"a": 100, "b": 150, "c": 350}),
+        ({"a": (0.5, 100), "b": (0.5, 100)}, 600, {"a": 100, "b": 100}),
+        ({"a": (0.2, 0), "b": (0.5, 900), "c": (0.5, 900)}, 600, {"a": 0, "b": 300, "c": 300}),
+        ({}, 5, {}),
+    ],
+)
+def test_what_a_capped_source_lacks_is_shared_out(sources, total, want):
+    assert mx.shared_out(sources, total) == want
+
+
 TRAIN = "row_id long, text string, anchor string, article_id string, cluster int, family string"
 
 
