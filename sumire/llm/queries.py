@@ -22,6 +22,10 @@ def p2_splits(spark, d):
     return splits.assign_splits(table(spark, d, "labels"), table(spark, d, "split_targets"))
 
 
+def p2_rendezvous(spark, d):
+    return splits.assign_splits(table(spark, d, "labels"), table(spark, d, "split_targets"), by_records=False)
+
+
 def p2_shares(spark, d):
     return splits.split_shares(p2_splits(spark, d), table(spark, d, "split_targets"))
 
@@ -98,7 +102,7 @@ def p10_risk(spark, d):
     return repetition.rejection_risk(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p2_shares, p3_found, p3_report, p3_links, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition, p10_risk)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_splits, p2_rendezvous, p2_shares, p3_found, p3_report, p3_links, p4_found, p5_found, p5_frequencies, p6_subset, p6_report, p7_found, p7_rewritten, p8_packed, p8_report, p9_mixed, p9_report, p10_found, p10_repetition, p10_risk)}
 
 _TIES = r"""
 WITH RECURSIVE rows0 AS (SELECT label_id, nullif(regexp_extract(source_pdf, '([^/\\]*)$', 1), '') AS doc, split_group AS g, split FROM labels),
@@ -145,4 +149,4 @@ SELECT table_name, record_id FROM (SELECT 'train' AS table_name, row_id AS recor
 WHERE text <> nfc_normalize(text) OR regexp_matches(text, '[\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{FF61}-\x{FF9F}\x{FB00}-\x{FB06}\x{2E80}-\x{2FD5}\x{F900}-\x{FAFF}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{202F}\x{205F}\x{3000}\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180E}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]') OR regexp_matches(text, '[A-Za-z\x{00C0}-\x{024F}][\x{0370}-\x{03FF}\x{0400}-\x{052F}]|[\x{0370}-\x{03FF}\x{0400}-\x{052F}][A-Za-z\x{00C0}-\x{024F}]')
  OR regexp_matches(text, '[ァ-ヺー][一二力口工夕卜八丿厶]+([^一-鿿ぁ-ゖ]|$)|(^|[^一-鿿ぁ-ゖ])[一二力口工夕卜八丿厶]+[ァ-ヺー]|[\x{0370}-\x{03FF}][\x{0400}-\x{052F}]|[\x{0400}-\x{052F}][\x{0370}-\x{03FF}]')
 """
-SQL = {"p2_found": _TIES, "p2_splits": _SPLITS, "p4_found": _KEYS, "p5_found": _TERMS, "p5_frequencies": _FREQUENCIES, "p7_found": _INCONSISTENT, "p10_found": _FOUND_REPEATED, "p10_repetition": _SHARES}
+SQL = {"p2_found": _TIES, "p2_rendezvous": _SPLITS, "p4_found": _KEYS, "p5_found": _TERMS, "p5_frequencies": _FREQUENCIES, "p7_found": _INCONSISTENT, "p10_found": _FOUND_REPEATED, "p10_repetition": _SHARES}

@@ -83,6 +83,8 @@ def test_assigned_splits_keep_groups_whole(spark):
     assert all(len(s) == 1 for s in by.values())
     groups = [next(iter(by[c])) for c in by]
     assert abs(groups.count("train") / len(groups) - 0.8) < 0.05
+    shares = [r.new_split for r in got]
+    assert abs(shares.count("train") / len(shares) - 0.8) < 0.005 and abs(shares.count("val") / len(shares) - 0.1) < 0.005
     assert len({r.component for r in got if r.label_id in (7, 8)}) == 2
     again = {r.label_id: r.new_split for r in sp.assign_splits(labels(spark, rows), targets).collect()}
     assert again == {r.label_id: r.new_split for r in got}
@@ -93,6 +95,8 @@ def test_shares_reached(spark):
     rows = [("big.pdf", None, None)] * 500 + [(f"p{i}.pdf", None, None) for i in range(500)]
     got = {r.split: r for r in sp.split_shares(sp.assign_splits(labels(spark, rows), targets), targets).collect()}
     assert sum(r.records for r in got.values()) == 1000 and sum(r.components for r in got.values()) == 501
+    # The document of half of all pages is where there is room for it.
+    assert got["train"].largest == 0.5 and all(abs(r.share - r.target_share) < 0.01 for r in got.values())
     assert got["train"].target_share == pytest.approx(0.8) and max(r.largest for r in got.values()) == 0.5
     assert sum(r.share for r in got.values()) == pytest.approx(1.0)
 
