@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions.hashing import digest, shuffle_key
 from ..session import Workspace
 from .corpus import fragment_keys
+from .integrity import require_empty
 
 #: Characters of a source that one cell of span claims holds.
 SPAN = 64
@@ -42,15 +43,20 @@ def greedy_disjoint(claims: DataFrame, work: Workspace) -> DataFrame:
     return taken
 
 
-def disjoint_excerpts(pool: DataFrame, seed: str, count: int | None = None) -> DataFrame:
+def disjoint_excerpts(pool: DataFrame, seed: str, count: int | None = None, strict: bool = False) -> DataFrame:
     """Rows of pool (id, article_id, text) in hash order, no two with a common fragment of 16 characters or article;
-    the first `count` of them if a count is given."""
+    the first `count` of them if a count is given. Fewer than that are a ValueError if `strict`."""
     order = shuffle_key(F.col("id"), seed)
     grams = fragment_keys(pool, "id").select("id", F.col("h1").alias("claim"))
     owners = pool.where("article_id is not null").select("id", F.xxhash64(F.lit("article"), "article_id").alias("claim"))
     claims = grams.unionByName(owners).withColumn("rank", order)
     found = pool.join(greedy_disjoint(claims, Workspace(pool.sparkSession)), "id", "left_semi")
-    return found if count is None else found.orderBy(order).limit(count)
+    if count is None:
+        return found
+    chosen = found.orderBy(order).limit(count)
+    if strict and (n := chosen.count()) < count:
+        raise ValueError(f"only {n} of {count} disjoint rows")
+    return chosen
 
 
 def rare_first_selection(candidates: DataFrame, goal: int) -> DataFrame:
@@ -155,6 +161,13 @@ def balanced_pick(pool: DataFrame, characters: str, goal: int, seed: str) -> tup
     return rows.drop("held_", "rank_").join(chosen, "id"), report
 
 
+def strict_pick(pool: DataFrame, characters: str, goal: int, seed: str) -> DataFrame:
+    """What balanced_pick chooses; a character that is short is a ValueError."""
+    chosen, report = balanced_pick(pool, characters, goal, seed)
+    require_empty(report.where("shortage > 0"), "too few rows")
+    return chosen
+
+
 def deficit_lines(lacking: DataFrame, alphabet: str, per_line: int, length: int, seed: str) -> DataFrame:
     """(text, embedded_targets): lines that hold every lacking character (character, shortfall) as often as it lacks.
 

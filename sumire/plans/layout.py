@@ -37,6 +37,17 @@ def stacked_runs(spark, d):
     return op.stacked_characters(rows)
 
 
+@query("""WITH l AS (SELECT image AS page, line_id * 100000 AS first, text, length(text) AS n FROM page_lines WHERE image IS NOT NULL AND text <> ''),
+ c AS (SELECT page, first, unnest(string_split(text, '')) AS text, generate_subscripts(string_split(text, ''), 1) - 1 AS k FROM l WHERE n < 3)
+ SELECT page, first AS line, text, n::BIGINT AS lines FROM l WHERE n >= 3 UNION ALL SELECT page, first + k, text, 1 FROM c""")
+def stacked_lines(spark, d):
+    """The characters of every line under each other, each line at an x of its own: they must become that line again."""
+    chars = _lines(spark, d).where("image is not null and text <> ''").select("image", "line_id", "source_block", "font_name", F.posexplode(tx.characters(F.col("text"))).alias("k", "text"))
+    x, y = F.col("line_id") * 10.0, F.col("k") * 10.0
+    rows = chars.select(F.col("image").alias("page"), (F.col("line_id") * 100_000 + F.col("k")).alias("line"), "source_block", "text", F.lit(0).alias("wmode"), F.col("font_name").alias("font"), F.lit("horizontal").alias("orientation"), x.alias("x"), y.alias("y"), F.lit(10.0).alias("size"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 10).alias("y1"))
+    return op.stacked_characters(rows).select("page", "line", "text", "lines")
+
+
 @query(f"""WITH c AS (SELECT image AS node, line_id AS "offset", text, {_BOX} FROM page_lines WHERE image IS NOT NULL AND text IS NOT NULL),
  p AS (SELECT *, lag("offset") OVER w AS po, last_value(CASE WHEN trim(text) <> '' THEN x1 END IGNORE NULLS) OVER b AS px1, last_value(CASE WHEN trim(text) <> '' THEN y0 END IGNORE NULLS) OVER b AS py0, last_value(CASE WHEN trim(text) <> '' THEN y1 END IGNORE NULLS) OVER b AS py1 FROM c WINDOW w AS (PARTITION BY node ORDER BY "offset"), b AS (PARTITION BY node ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  f AS (SELECT *, CASE WHEN po IS NULL OR (trim(text) <> '' AND coalesce(abs((y0 + y1) / 2 - (py0 + py1) / 2) > (py1 - py0) * 0.45 OR x0 - px1 > (py1 - py0) * 3 OR x0 - px1 < -(py1 - py0) * 1.5, false)) THEN 1 ELSE 0 END AS brk FROM p)

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import characters as ch, hashing, text as tx
 from ..operators import corpus, integrity, layout, selection as op
 from ..session import Workspace, table
-from .corpus import SEED, _sha
+from .corpus import SEED, _BLANK, _sha
 from .registry import query
 
 HIRAGANA = "".join(chr(o) for o in range(0x3041, 0x3094))
@@ -64,9 +64,13 @@ def overflow_prefix(spark, d):
     return op.before_overflow(rows, "image", "line_id", "fits", "heading", 0.75).select("image", "line_id")
 
 
-@query()
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x{{0B}}\x{{0C}}\x{{1C}}-\x{{1E}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda p: regexp_replace(p, '^{_BLANK}+|{_BLANK}+$', '', 'g')), lambda p: length(p) >= 40) AS ps FROM documents WHERE text IS NOT NULL),
+ r(doc_id, ps, k, room, out) AS (SELECT doc_id, ps, 0, 400, ''::VARCHAR FROM p UNION ALL
+  SELECT doc_id, ps, k + 1, (room - length(cut))::INTEGER, CASE WHEN k = 0 THEN cut ELSE out || chr(10) || cut END FROM (SELECT *, CASE WHEN length(ps[k + 1]) <= room THEN ps[k + 1] WHEN stop >= 61 THEN substr(head, 1, stop) ELSE head END AS cut
+   FROM (SELECT *, substr(ps[k + 1], 1, room) AS head, CASE WHEN contains(substr(ps[k + 1], 1, room), '。') THEN length(substr(ps[k + 1], 1, room)) - strpos(reverse(substr(ps[k + 1], 1, room)), '。') + 1 ELSE 0 END AS stop FROM r WHERE k < len(ps) AND room >= 80)))
+ SELECT doc_id, arg_max(out, k) AS paragraphs FROM r GROUP BY 1""")
 def paragraph_excerpts(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", op.paragraph_excerpt(F.col("text"), 400).alias("paragraphs"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(op.paragraph_excerpt(F.col("text"), 400), "\n").alias("paragraphs"))
 
 
 @query("WITH s AS (SELECT user_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 6)::BIGINT AS segment, round(value * 100)::BIGINT AS cents FROM events) SELECT user_id, segment, count(*)::BIGINT AS items, sum(cents)::BIGINT AS cents FROM s GROUP BY ROLLUP (user_id, segment)")

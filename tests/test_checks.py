@@ -240,3 +240,14 @@ def test_boxes_below_one_half_match_greedily(spark):
             used[0].add(i)
             used[1].add(j)
     assert got == want and len(got) > 5
+
+
+def test_strict_selections_raise_when_short(spark):
+    rows = [(i, f"a{i}", "en", f"row {i} of its own {'abcdefghijklmnop'[i]} éé") for i in range(4)]
+    pool = spark.createDataFrame(rows, "id long, article_id string, language string, text string")
+    assert selection.strict_pick(pool, "é", 2, "s").count() == 2
+    with pytest.raises(ValueError, match="too few"):
+        selection.strict_pick(pool, "é", 9, "s")
+    assert selection.disjoint_excerpts(pool, "s", 3, strict=True).count() == 3
+    with pytest.raises(ValueError, match="only 4 of 5"):
+        selection.disjoint_excerpts(pool, "s", 5, strict=True)
