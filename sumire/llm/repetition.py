@@ -19,6 +19,8 @@ from ..session import Workspace, spread
 STRETCH = 20
 #: Characters handled at once; a longer document is handled alone.
 CHUNK = 2_000_000
+#: Strata (languages and the like) that there can be.
+STRATA = 10_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,28 +123,51 @@ def screened_counts(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarra
     return kept, _covered(np.maximum(marks - span + 1, first[own]), np.minimum(marks + stretch, first[own + 1]), doc, len(texts))
 
 
-def _measure(count, stretch: int):
+def _chunks(texts: list[str]):
+    """(start, end) of parts of the list with about CHUNK characters; a longer text is a part of its own."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
+def _measure(stretch: int):
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             kept, repeated = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (end == start or size + len(texts[end]) <= CHUNK):
-                    size += len(texts[end])
-                    end += 1
-                kept[start:end], repeated[start:end] = count(texts[start:end], stretch)
-                start = end
+            for start, end in _chunks(texts):
+                kept[start:end], repeated[start:end] = repeated_counts(texts[start:end], stretch)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), pa.array(kept), pa.array(repeated)], names=["id", "stratum", "kept", "repeated"])
 
     return run
 
 
-def _shares(documents: DataFrame, key: str, text: str, stratum: str, stretch: int, count) -> DataFrame:
-    rows = spread(documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.col(text).alias("text")))
-    out = rows.mapInArrow(_measure(count, stretch), "id long, stratum string, kept long, repeated long")
-    return out.withColumn("share", F.when(F.col("kept") > 0, F.col("repeated") / F.col("kept")).otherwise(F.lit(0.0)))
+def _screen(stretch: int, share: float):
+    """Scores of all texts; exact shares of those that were drawn for a holdout or score at least `share`."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            score, exact = np.zeros(len(texts)), np.full(len(texts), np.nan)
+            drawn = batch.column("drawn").to_numpy(zero_copy_only=False)
+            for start, end in _chunks(texts):
+                kept, may = screened_counts(texts[start:end], stretch)
+                score[start:end] = may / np.maximum(kept, 1)
+                needed = np.flatnonzero(drawn[start:end] | (score[start:end] >= share)) + start
+                kept, repeated = repeated_counts([texts[i] for i in needed], stretch)
+                exact[needed] = repeated / np.maximum(kept, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("stratum"), batch.column("drawn"), pa.array(score), pa.array(exact, mask=np.isnan(exact))], names=["id", "stratum", "drawn", "score", "share"])
+
+    return run
+
+
+def _rows(documents: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
+    return documents.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"), F.col(text).alias("text"))
 
 
 def repetition_shares(documents: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", stretch: int = STRETCH) -> DataFrame:
@@ -150,12 +175,25 @@ def repetition_shares(documents: DataFrame, key: str = "doc_id", text: str = "te
 
     Null and empty texts, and texts of nothing but digits and space, have share 0. A null stratum is `none`.
     """
-    return _shares(documents, key, text, stratum, stretch, repeated_counts)
+    out = spread(_rows(documents, key, text, stratum)).mapInArrow(_measure(stretch), "id long, stratum string, kept long, repeated long")
+    return out.withColumn("share", F.when(F.col("kept") > 0, F.col("repeated") / F.col("kept")).otherwise(F.lit(0.0)))
+
 
+def screened(documents: DataFrame, share: float, per_stratum: int, key: str = "doc_id", text: str = "text", stratum: str = "lang", stretch: int = STRETCH) -> DataFrame:
+    """(id, stratum, drawn, score, share): every document's score, an upper bound of its share, from its whole text.
 
-def screening_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", stretch: int = STRETCH) -> DataFrame:
-    """(id, stratum, score): an upper bound of each document's share, whole texts."""
-    return _shares(documents, key, text, stratum, stretch, screened_counts).select("id", "stratum", F.col("share").alias("score"))
+    `drawn` marks about 4 x per_stratum rows of each stratum by hash, from which holdouts are taken. These and texts that
+    score at least `share` get their exact share in the same pass; for others it is null. Texts are read once and never
+    shuffled. More than STRATA strata are a ValueError.
+    """
+    rows = _rows(documents, key, text, stratum)
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_")).limit(STRATA + 1).collect()
+    if len(sizes) > STRATA:
+        raise ValueError(f"more than {STRATA} strata")
+    sizes = documents.sparkSession.createDataFrame([(r.stratum, r.n_) for r in sizes], "stratum string, n_ long")
+    u = F.pmod(F.xxhash64(F.lit("holdout"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = spread(rows).join(F.broadcast(sizes), "stratum").select("id", "stratum", "text", (u * F.col("n_") < 4 * per_stratum + 40).alias("drawn"))
+    return drawn.mapInArrow(_screen(stretch, share), "id long, stratum string, drawn boolean, score double, share double")
 
 
 def upper_bound(wrong: int, n: int, delta: float) -> float:
@@ -224,11 +262,10 @@ def _cutoff(found: dict[str, float]):
     return cutoff
 
 
-def _labelled(documents: DataFrame, scored: DataFrame, share: float, per_stratum: int, half: int) -> DataFrame:
-    """A holdout (id, stratum, score, good) from one half of the ids by hash; labels are the exact shares of its texts."""
-    held = holdout(scored.where(F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == half), per_stratum)
-    exact = repetition_shares(documents.join(held.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    return held.join(exact.groupBy("id").agg(F.max("share").alias("share")), "id").select("id", "stratum", "score", (F.col("share") < share).alias("good"))
+def _labelled(scored: DataFrame, share: float, per_stratum: int, half: int) -> DataFrame:
+    """A holdout (id, stratum, score, good) from one half of the drawn rows by hash; labels are the exact shares."""
+    half_ = scored.where(F.col("drawn") & (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)) == half))
+    return holdout(half_, per_stratum).select("id", "stratum", "score", (F.col("share") < share).alias("good"))
 
 
 def repeated_documents(documents: DataFrame, share: float = 0.30, per_stratum: int = 4000, alpha: float = 0.002, delta: float = 0.05) -> DataFrame:
@@ -237,32 +274,28 @@ def repeated_documents(documents: DataFrame, share: float = 0.30, per_stratum: i
     Every text is screened. A holdout per language (at most `per_stratum` rows by hash, the only sample taken), labelled
     by the exact share (good: below `share`), gives each language the least score from which on at most `alpha` of its
     good texts would be rejected, all such statements holding together with probability 1 - `delta`. Texts from the
-    cutoff on are rejected as they are (share null); texts below `share` are not, since their exact share is lower still;
-    those between, and all of a language too small to certify a cutoff, are rejected if their exact share is at least
-    `share`. Null and empty texts are never rejected. Repeated ids are judged row by row.
+    cutoff on are rejected by their score; texts that score below `share` are not, since their exact share is lower
+    still; those between, and all of a language too small to certify a cutoff, are rejected if their exact share is at
+    least `share`. Null and empty texts are never rejected. Repeated ids are judged row by row.
     """
     work = Workspace(documents.sparkSession)
-    documents = documents.where("doc_id is not null")
-    scored = work.write(screening_scores(documents), "scores")
-    found = calibrate(_labelled(documents, scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
-    judged = scored.where(F.col("score") >= share).withColumn("cutoff", _cutoff(found))
-    clear = judged.where(F.col("score") >= F.col("cutoff")).withColumn("share", F.lit(None).cast("double"))
-    between = judged.where(F.col("score") < F.col("cutoff"))
-    exact = repetition_shares(documents.join(between.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")).where(F.col("share") >= share).groupBy("id").agg(F.max("share").alias("share"))
-    return clear.unionByName(between.join(exact, "id")).select("id", "stratum", "score", "cutoff", "share")
+    scored = work.write(screened(documents, share, per_stratum), "scores")
+    found = calibrate(_labelled(scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
+    judged = scored.where((F.col("score") >= share) & F.col("id").isNotNull()).withColumn("cutoff", _cutoff(found))
+    return judged.where((F.col("score") >= F.col("cutoff")) | (F.col("share") >= share)).select("id", "stratum", "score", "cutoff", "share")
 
 
 def rejection_risk(documents: DataFrame, share: float = 0.30, per_stratum: int = 4000, alpha: float = 0.002, delta: float = 0.05) -> DataFrame:
     """(stratum, cutoff, good, false_rejections, rate, bound): the certified cutoffs on a second holdout.
 
-    The second holdout comes from the half of the ids that calibration never sees and is labelled alike; bound is the exact upper bound of its rate at
-    confidence 1 - delta. cutoff is null where none was certified (then nothing is rejected without its exact share).
+    The second holdout comes from the half of the ids that calibration never sees and is labelled alike; bound is the
+    exact upper bound of its rate at confidence 1 - delta. cutoff is null where none was certified (then nothing is
+    rejected without its exact share).
     """
     work = Workspace(documents.sparkSession)
-    documents = documents.where("doc_id is not null")
-    scored = work.write(screening_scores(documents), "scores")
-    found = calibrate(_labelled(documents, scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
-    second = _labelled(documents, scored, share, per_stratum, 1).withColumn("cutoff", _cutoff(found))
+    scored = work.write(screened(documents, share, per_stratum), "scores")
+    found = calibrate(_labelled(scored, share, per_stratum, 0), cutoff_grid(share), alpha, delta)
+    second = _labelled(scored, share, per_stratum, 1).withColumn("cutoff", _cutoff(found))
     sums = second.groupBy("stratum", "cutoff").agg(F.count_if("good").alias("good"), F.count_if(F.col("good") & (F.col("score") >= F.col("cutoff"))).alias("false_rejections")).collect()
     rows = [(r.stratum, r.cutoff if r.cutoff <= 1 else None, r.good, r.false_rejections, r.false_rejections / r.good if r.good else None, upper_bound(r.false_rejections, r.good, delta)) for r in sums]
     return documents.sparkSession.createDataFrame(rows, "stratum string, cutoff double, good long, false_rejections long, rate double, bound double")

@@ -83,12 +83,26 @@ def test_the_cutoff_decides(spark):
     rows = {r.id: r for r in rp.repeated_documents(df, per_stratum=1500, alpha=0.02).collect()}
     assert sorted(rows) == [*range(5000, 5040), 9000]
     # Japanese is certified from the first cutoff on and needs no exact share, two French texts certify nothing.
-    assert all(rows[i].cutoff == 0.3 and rows[i].share is None for i in range(5000, 5040))
+    assert all(rows[i].cutoff == 0.3 for i in range(5000, 5040))
     assert rows[9000].cutoff == 2.0 and rows[9000].share >= 0.3
     risk = {r.stratum: r for r in rp.rejection_risk(df, per_stratum=1500, alpha=0.02).collect()}
     assert risk["ja"].cutoff == 0.3 and risk["ja"].false_rejections == 0 and risk["ja"].bound < 0.02
 
 
+def test_a_certified_score_needs_no_exact_share(spark, monkeypatch):
+    """A text whose score is above the cutoff is rejected by it, whatever its exact share."""
+    phrase, letters = "この文は何度も繰り返されている文章なのである、", [chr(c) for c in range(0x4E00, 0x5E00)]
+    rng = random.Random(6)
+    odd = "".join("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申" + letters[i] for i in range(40))
+    rows = [(i, "".join(rng.choices(letters, k=60)), "ja") for i in range(2400)] + [(5000, phrase * 8, "ja"), (5001, odd, "ja")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    exact = {r.id: r.share for r in rp.repetition_shares(df.where("doc_id >= 5000")).collect()}
+    assert exact[5001] < 0.3 < 0.6 < rp.screened(df.where("doc_id = 5001"), 0.3, 10).first().score
+    found = {r.id: r for r in rp.repeated_documents(df, per_stratum=1500, alpha=0.02).collect()}
+    assert set(found) == {5000, 5001} and found[5001].share < 0.3
+    assert {r.id for r in rp.repeated_documents(df, per_stratum=100, alpha=0.02).collect()} == {5000}
+
+
 def test_a_higher_cutoff_where_good_texts_score_high(spark):
     rows = [("a", 0.45, True)] * 30 + [("a", 0.1, True)] * 3000 + [("a", 0.9, False)] * 50
     df = spark.createDataFrame(rows, "stratum string, score double, good boolean")
