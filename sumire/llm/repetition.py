@@ -102,12 +102,13 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 def screened_counts(texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
     """(kept characters, characters that may be repeated) of each text: never less than repeated_counts gives.
 
-    Of the short windows (half a stretch) inside each stretch those of least hash are its marks, so equal stretches
-    have an equal mark at the same place. A mark that stood earlier in the text may lie in a repeated stretch, and
-    all characters of the stretches it can lie in are counted. Only marks, about a sixth of all windows, are sorted.
+    Of the slightly shorter windows inside each stretch those of least hash are its marks, so equal stretches have an
+    equal mark at the same place. A mark that stood earlier in the text may lie in a repeated stretch, and all
+    characters of the stretches it can lie in are counted. Only marks, two fifths of all windows, are sorted. The longer
+    the short windows, the more marks there are, and the closer the score comes to the share.
     """
     codes, doc, kept = _letters(texts)
-    short = stretch // 2
+    short = max(1, stretch - 3)
     span = stretch - short + 1
     n = len(codes) - stretch + 1
     if n <= 0:
@@ -250,8 +251,9 @@ def calibrate(labelled: DataFrame, grid: list[float], alpha: float = 0.002, delt
 
 
 def cutoff_grid(share: float) -> list[float]:
-    """Cutoffs that are tried: twelve even steps from the share to 1."""
-    return [round(share + (1 - share) * i / 12, 6) for i in range(12)]
+    """Cutoffs that are tried: even steps of a twelfth between the share and 1. The first lies above the share, because
+    scores do: what scores closer to the share than that always gets its exact share."""
+    return [round(share + (1 - share) * i / 12, 6) for i in range(1, 12)]
 
 
 def _cutoff(found: dict[str, float]):
