@@ -42,7 +42,8 @@ def _combine(batches):
         return pa.table({"term": table["term"], "occurrences": table["occurrences_sum"], "records": table["records_sum"]})
 
     for batch in batches:
-        held.append(batch)
+        # Spark's batches declare their counts as not null, combined tables don't; tables are made of one schema only.
+        held.append(pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names))
         rows += batch.num_rows
         if rows >= COMBINE:
             table = added()

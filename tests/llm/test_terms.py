@@ -23,6 +23,16 @@ def test_many_blocks_and_a_hot_term(spark):
     assert got.count() == 20001 and got.where("term = 'hot'").first().records == 10000 and got.agg(F.sum("records")).first()[0] == 30000
 
 
+def test_a_partition_of_more_rows_than_are_combined_at_once(spark):
+    n = 2 * tm.COMBINE + 100_000
+    few = spark.range(0, n, 1, 1).select(F.concat(F.lit("t"), F.col("id") % 1000).alias("term"), F.lit(1).alias("occurrences"), F.lit(1).alias("records"))
+    got = tm.term_counts(few).collect()
+    assert len(got) == 1000 and {(r.occurrences, r.records) for r in got} == {(n // 1000, n // 1000)}
+    turns = F.when(F.col("id") < tm.COMBINE, F.col("id") % 10).when(F.col("id") < 2 * tm.COMBINE, F.col("id")).otherwise(3)
+    got = {r.term: r.occurrences for r in tm.term_counts(spark.range(0, n, 1, 1).select(turns.cast("string").alias("term"), F.lit(1).alias("occurrences"), F.lit(1).alias("records"))).collect()}
+    assert len(got) == tm.COMBINE + 10 and got["3"] == tm.COMBINE // 10 + 100_000 and got["4"] == tm.COMBINE // 10 and got[str(tm.COMBINE)] == 1
+
+
 def test_dictionary_is_consecutive_and_ordered(spark):
     from sumire.session import Workspace
 
