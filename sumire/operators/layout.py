@@ -247,25 +247,64 @@ TILINGS = {"plain": (), "column_merge": ((1, 2), (1, 3)), "row_merge": ((2, 1),
 def tiling(rows: int, columns: int, mode: str, seed: int, tries: int = 100) -> list[tuple[int, int, int, int]]:
     """(row, column, rowspan, colspan) of cells that cover the grid once, with every grid line at some cell's edge and the
     merges the mode stands for. Merged blocks are thrown at free places first, single cells fill the rest; a draw that
-    hides a grid line or has no such merge is thrown away. None of `tries` good is a ValueError."""
+    hides a grid line or has no such merge is thrown away. Where none of `tries` is good, the tiling is built instead
+    (`_built`); a grid that has no such tiling is a ValueError."""
     rng = np.random.default_rng(seed)
+    cells = range(rows * columns)
+    # Bit r * columns + c is cell (r, c); of each span, the bits it covers from cell (0, 0).
+    spans = [(down, across, sum(((1 << across) - 1) << i * columns for i in range(down))) for down, across in TILINGS[mode]]
     for _ in range(tries):
-        owner = np.full((rows, columns), -1)
+        free = (1 << len(cells)) - 1
         blocks: list[tuple[int, int, int, int]] = []
-        for at in rng.permutation(rows * columns) if TILINGS[mode] else ():
-            r, c = divmod(int(at), columns)
-            down, across = TILINGS[mode][rng.integers(len(TILINGS[mode]))]
-            place = owner[r : r + down, c : c + across]
-            if rng.random() < 0.35 and place.shape == (down, across) and (place < 0).all():
-                place[:] = len(blocks)
+        for at in rng.permutation(len(cells)).tolist() if spans else ():
+            r, c = divmod(at, columns)
+            down, across, bits = spans[rng.integers(len(spans))]
+            if rng.random() < 0.35 and r + down <= rows and c + across <= columns and not bits << at & ~free:
+                free ^= bits << at
                 blocks.append((r, c, down, across))
-        blocks += [(int(r), int(c), 1, 1) for r, c in zip(*np.nonzero(owner < 0))]
-        seen = {r for b in blocks for r in (b[0], b[0] + b[2])}, {c for b in blocks for c in (b[1], b[1] + b[3])}
         high, wide = [b for b in blocks if b[2] > 1], [b for b in blocks if b[3] > 1]
-        needed = {"plain": True, "column_merge": wide, "row_merge": high, "mixed": high and wide, "block_merge": [b for b in high if b[3] > 1]}[mode]
-        if needed and len(seen[0]) == rows + 1 and len(seen[1]) == columns + 1:
+        if not {"plain": True, "column_merge": wide, "row_merge": high, "mixed": high and wide, "block_merge": [b for b in high if b[3] > 1]}[mode]:
+            continue
+        blocks += [(*divmod(at, columns), 1, 1) for at in cells if free >> at & 1]
+        seen = {r for b in blocks for r in (b[0], b[0] + b[2])}, {c for b in blocks for c in (b[1], b[1] + b[3])}
+        if len(seen[0]) == rows + 1 and len(seen[1]) == columns + 1:
             return sorted(blocks)
-    raise ValueError("no tiling shows every grid line")
+    return _built(rows, columns, mode, rng)
+
+
+def _built(rows: int, columns: int, mode: str, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
+    """A tiling as `tiling` draws them, without redraws: the merges that the mode needs come first, each at a random place,
+    then others are thrown; no block is set that would hide a grid line. A grid without any such tiling is a ValueError.
+
+    A wide and a tall merge both fit into any grid that has room for them if the first lies along the side of three or
+    more; all other modes need one merge, of the least size.
+    """
+    owner = -1 - np.arange(rows * columns).reshape(rows, columns)
+    blocks: list[tuple[int, int, int, int]] = []
+
+    def put(at: int, down: int, across: int) -> bool:
+        r, c = divmod(at, columns)
+        place = owner[r : r + down, c : c + across]
+        if place.shape != (down, across) or (place >= 0).any():
+            return False
+        before = place.copy()
+        place[:] = len(blocks)
+        over, beside = owner[r : r + down], owner[:, c : c + across]
+        shown = (over[1:] != over[:-1]).any(axis=1).all() and (beside[:, 1:] != beside[:, :-1]).any(axis=0).all()
+        if shown:
+            blocks.append((r, c, down, across))
+        else:
+            place[:] = before
+        return bool(shown)
+
+    both = ((1, 2), (2, 1)) if columns > 2 else ((2, 1), (1, 2))
+    for down, across in {"plain": (), "column_merge": ((1, 2),), "row_merge": ((2, 1),), "mixed": both, "block_merge": ((2, 2),)}[mode]:
+        if not any(put(int(at), down, across) for at in rng.permutation(rows * columns)):
+            raise ValueError("no tiling shows every grid line")
+    for at in rng.permutation(rows * columns) if TILINGS[mode] else ():
+        if rng.random() < 0.35:
+            put(int(at), *TILINGS[mode][rng.integers(len(TILINGS[mode]))])
+    return sorted(blocks + [(int(r), int(c), 1, 1) for r, c in zip(*np.nonzero(owner < 0))])
 
 
 def random_tilings(tables: DataFrame, table: str) -> DataFrame:

@@ -107,6 +107,24 @@ def test_tilings(mode):
         layout.tiling(1, 1, "mixed", 0)
 
 
+@pytest.mark.parametrize(("rows", "columns", "mode", "seed"), [(3, 3, "block_merge", 3490504), (3, 3, "block_merge", 4729184), (2, 60, "column_merge", 0), (60, 2, "row_merge", 0), (2, 60, "mixed", 1), (60, 2, "mixed", 1), (3, 90, "block_merge", 2)])
+def test_tiling_where_no_draw_is_good(rows, columns, mode, seed):
+    cells = layout.tiling(rows, columns, mode, seed)
+    covered = [(r + i, c + j) for r, c, a, b in cells for i in range(a) for j in range(b)]
+    assert len(covered) == rows * columns == len(set(covered)) and cells == layout.tiling(rows, columns, mode, seed)
+    assert {x for r, _, a, _ in cells for x in (r, r + a)} == set(range(rows + 1)) and {x for _, c, _, b in cells for x in (c, c + b)} == set(range(columns + 1))
+    assert {(a, b) for _, _, a, b in cells} <= {(1, 1), *layout.TILINGS[mode]}
+    tall, wide = any(a > 1 for _, _, a, _ in cells), any(b > 1 for _, _, _, b in cells)
+    assert (tall, wide) == {"column_merge": (False, True), "row_merge": (True, False)}.get(mode, (True, True))
+    assert mode != "block_merge" or any(a > 1 < b for _, _, a, b in cells)
+
+
+@pytest.mark.parametrize(("rows", "columns", "mode"), [(2, 2, "mixed"), (1, 9, "column_merge"), (9, 1, "row_merge"), (2, 9, "block_merge"), (9, 2, "block_merge")])
+def test_grid_that_has_no_tiling(rows, columns, mode):
+    with pytest.raises(ValueError):
+        layout.tiling(rows, columns, mode, 0)
+
+
 def test_near_boxes_against_brute_force(spark):
     rng = random.Random(1)
     boxes = []
