@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sumire import session
 from sumire.functions import characters, geometry, text as tx
 from sumire.operators import corpus, integrity, layout, scoring, selection
+from sumire.plans import catalogue
 from sumire.sources import readers, writers
 from sumire.streaming import logs
 
@@ -125,6 +126,11 @@ def test_grid_that_has_no_tiling(rows, columns, mode):
         layout.tiling(rows, columns, mode, 0)
 
 
+def test_tiling_check_of_orders_where_no_draw_is_good(spark, tmp_path):
+    spark.createDataFrame([(3490504, 351843), (4729184, 471798), (4, 4), (0, 1)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(map(tuple, catalogue.QUERIES["grid_tiling_check"](spark, str(tmp_path)).collect())) == [("block_merge", 3, 30, 0), ("plain", 1, 12, 0)]
+
+
 def test_near_boxes_against_brute_force(spark):
     rng = random.Random(1)
     boxes = []
